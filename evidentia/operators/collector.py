@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import constants as K
-from evidentia.operators.ordering import HOUR, latest_per_key, time_slice
+from evidentia.operators.ordering import DAY, latest_per_key, time_slice
 
 KEY = "detector_id"
 _BEFORE_ALL = -(2**62)
@@ -36,127 +36,92 @@ def with_backoff(df: DataFrame, failures: str = "consecutive_failures", state: s
     return df.withColumn("retry_delay_seconds", delay).withColumn("next_retry_at", F.when(failed, retry))
 
 
-def _carry_in(summary: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Per (detector, slice), aggregates over all earlier slices of the detector."""
-    earlier = Window.partitionBy(KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(KEY, "_slice", *[v.over(earlier).alias(name) for name, v in values.items()])
-
-
-def _last(column: str) -> Column:
-    return F.last(column, ignorenulls=True)
-
-
-def effective_tokens(
-    probes: DataFrame, previous: DataFrame | None = None, order: tuple[str, ...] = ("observed_at", "probe_id"),
-    slice_seconds: int = HOUR,
-) -> DataFrame:
-    """Adds ``effective_token``, ``previous_token`` and ``is_first``.
-
-    A failed retryable probe without a token keeps the token before it; a probe that needs
-    user action and has none drops it.
-    """
-    carries = F.col("source_token").isNull() & (F.coalesce("probe_state", F.lit("")) == "RETRYABLE_ERROR")
-    set_token = F.when(~carries, F.struct(F.col("source_token").alias("token")))
-    rows = probes.withColumn("_slice", time_slice("observed_at", slice_seconds)).withColumn("_set", set_token)
-    summary = rows.groupBy(KEY, "_slice").agg(
-        F.max_by("_set", F.when(F.col("_set").isNotNull(), F.struct(*order))).alias("_set_out")
-    )
-    if previous is not None:
-        summary = summary.unionByName(
-            previous.select(
-                KEY, F.lit(_BEFORE_ALL).cast("long").alias("_slice"), F.struct(F.col("source_token").alias("token")).alias("_set_out")
-            )
-        )
-    carried = _carry_in(summary, {"_set_in": _last("_set_out"), "_slices_before": F.count(F.lit(1))})
-    within = Window.partitionBy(KEY, "_slice").orderBy(*order)
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn("_set_now", F.last("_set", ignorenulls=True).over(running)).withColumn(
-        "_position", F.row_number().over(within)
-    )
-    joined = local.join(carried, [KEY, "_slice"]).withColumn("_now", F.coalesce("_set_now", "_set_in"))
-    first_in_slice = F.col("_position") == 1
-    before = F.when(first_in_slice, F.col("_set_in")).otherwise(F.lag("_now").over(within))
+def _derived_state(explicit: Column, token: Column, before: Column, first: Column) -> Column:
     return (
-        joined.withColumn("effective_token", F.col("_now.token"))
-        .withColumn("_before", before)
-        .withColumn("previous_token", F.col("_before.token"))
-        .withColumn("is_first", first_in_slice & (F.col("_slices_before") == 0))
-        .drop("_set", "_set_now", "_set_in", "_slices_before", "_now", "_before")
+        F.when(explicit.isNotNull(), explicit)
+        .when(token.isNull(), "OK_UNCHANGED")
+        .when(first | before.isNull(), "BASELINE_ESTABLISHED")
+        .when(before == token, "OK_UNCHANGED")
+        .otherwise("CHANGE_OBSERVED")
     )
 
 
 def probe_states(
     probes: DataFrame, previous: DataFrame | None = None, order: tuple[str, ...] = ("observed_at", "probe_id"),
-    slice_seconds: int = HOUR,
+    slice_seconds: int = DAY,
 ) -> DataFrame:
     """The full state machine, one row per probe.
 
-    Adds effective token, state, consecutive failures, carried instants, transition flag and
-    backoff. ``previous`` holds stored heartbeats, one per detector.
+    Adds effective and previous token, state, consecutive failures, carried instants,
+    transition flag and backoff. ``previous`` holds stored heartbeats, one per detector.
+
+    A failed retryable probe without a token keeps the token before it; a probe that needs
+    user action and has none drops it.
+
+    The rows are shuffled once, by (detector, slice). What a slice passes on fits in one row,
+    because only its first token-setting probe depends on the slices before it.
     """
-    rows = effective_tokens(probes, previous, order, slice_seconds)
-    derived = (
-        F.when(F.col("probe_state").isNotNull(), F.col("probe_state"))
-        .when(F.col("effective_token").isNull(), "OK_UNCHANGED")
-        .when(F.col("is_first") | F.col("previous_token").isNull(), "BASELINE_ESTABLISHED")
-        .when(F.col("previous_token") == F.col("effective_token"), "OK_UNCHANGED")
-        .otherwise("CHANGE_OBSERVED")
-    )
-    rows = rows.withColumn("state", derived).withColumn("_failed", is_failure("state"))
     within = Window.partitionBy(KEY, "_slice").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_ok = F.max(F.when(~F.col("_failed"), F.col("_position"))).over(running)
-    observed = F.max(F.when(F.col("source_observed"), F.col("observed_at"))).over(running)
-    changed = F.max(F.when(F.col("state") == "CHANGE_OBSERVED", F.col("observed_at"))).over(running)
-    rows = (
-        rows.withColumn("_last_ok", last_ok)
-        .withColumn("_observed", observed)
-        .withColumn("_changed", changed)
+    carries = F.col("source_token").isNull() & F.col("probe_state").eqNullSafe(F.lit("RETRYABLE_ERROR"))
+    local = (
+        probes.withColumn("_slice", time_slice("observed_at", slice_seconds))
+        .withColumn("_set", F.when(~carries, F.struct(F.col("source_token").alias("token"))))
+        .withColumn("_failed", is_failure("probe_state"))
+        .withColumn("_position", F.row_number().over(within))
+        .withColumn("_set_now", F.last("_set", ignorenulls=True).over(running))
+        .withColumn("_set_prev", F.last("_set", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("_last_ok", F.max(F.when(~F.col("_failed"), F.col("_position"))).over(running))
+        .withColumn("_observed", F.max(F.when(F.col("source_observed"), F.col("observed_at"))).over(running))
         .withColumn("_run", F.col("_position") - F.coalesce("_last_ok", F.lit(0)))
     )
-    summary = rows.groupBy(KEY, "_slice").agg(
+    decided = _derived_state(F.col("probe_state"), F.col("_set_now.token"), F.col("_set_prev.token"), F.lit(False))
+    opens = F.col("_set").isNotNull() & F.col("_set_prev").isNull()
+    summary = local.groupBy(KEY, "_slice").agg(
         F.max_by(
-            F.struct("state", "error_code", "_run", F.col("_last_ok").isNotNull().alias("_ok"), "_observed", "_changed"),
+            F.struct(
+                "probe_state", "error_code", "_set_now", "_set_prev", "_position", "_run", "_observed",
+                F.col("_last_ok").isNotNull().alias("_ok"),
+            ),
             F.col("_position"),
-        ).alias("_end")
-    ).select(KEY, "_slice", "_end.*")
+        ).alias("_end"),
+        F.max(
+            F.when(F.col("_set_prev").isNotNull() & (decided == "CHANGE_OBSERVED"), F.col("observed_at"))
+        ).alias("_changed"),
+        F.max(F.when(opens, F.struct("probe_state", "source_token", "_position", "observed_at"))).alias("_opener"),
+    ).select(KEY, "_slice", "_end.*", "_changed", "_opener")
     if previous is not None:
         summary = summary.unionByName(
             previous.select(
                 KEY,
                 F.lit(_BEFORE_ALL).cast("long").alias("_slice"),
-                "state",
+                F.col("state").alias("probe_state"),
                 "error_code",
+                F.struct(F.col("source_token").alias("token")).alias("_set_now"),
                 F.col("consecutive_failures").cast("int").alias("_run"),
                 F.lit(True).alias("_ok"),
                 F.col("source_observed_at").alias("_observed"),
                 F.col("last_change_at").alias("_changed"),
-            )
+            ),
+            allowMissingColumns=True,
         )
-    # failures of a slice add up until the newest slice that contains a success
-    up_to = Window.partitionBy(KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summary = summary.withColumn("_island", F.sum(F.col("_ok").cast("int")).over(up_to))
-    island = Window.partitionBy(KEY, "_island").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summary = summary.withColumn("_total_run", F.sum("_run").over(island)).withColumn(
-        "_final", F.struct("state", "error_code")
+    carried = _carry_over_slices(summary)
+    joined = local.join(carried, [KEY, "_slice"])
+    token = F.coalesce("_set_now", "_set_in")["token"]
+    before_token = F.coalesce("_set_prev", "_set_in")["token"]
+    joined = (
+        joined.withColumn("effective_token", token)
+        .withColumn("previous_token", before_token)
+        .withColumn("is_first", F.col("_head") & (F.col("_position") == 1))
     )
-    carried = _carry_in(
-        summary,
-        {
-            "_end_in": F.last("_final"),
-            "_run_in": F.last("_total_run"),
-            "_observed_in": F.max("_observed"),
-            "_changed_in": F.max("_changed"),
-        },
+    joined = joined.withColumn(
+        "state", _derived_state(F.col("probe_state"), F.col("effective_token"), F.col("previous_token"), F.col("is_first"))
     )
-    joined = rows.join(carried, [KEY, "_slice"])
-    first_in_slice = F.col("_position") == 1
-    before = F.when(first_in_slice, F.col("_end_in")).otherwise(F.lag(F.struct("state", "error_code")).over(within))
-    joined = joined.withColumn("_before", before)
-    failures = F.when(
-        F.col("_failed"),
-        F.col("_run") + F.when(F.col("_last_ok").isNull(), F.coalesce("_run_in", F.lit(0))).otherwise(0),
-    ).otherwise(0)
+    shown = F.struct("state", "error_code")
+    joined = joined.withColumn(
+        "_before", F.when(F.col("_position") == 1, F.col("_end_in")).otherwise(F.lag(shown).over(within))
+    ).withColumn("_changed", F.max(F.when(F.col("state") == "CHANGE_OBSERVED", F.col("observed_at"))).over(running))
+    carried_run = F.when(F.col("_last_ok").isNull(), F.coalesce("_run_in", F.lit(0))).otherwise(0)
     transition = (
         F.col("is_first")
         | ~F.col("_before.state").eqNullSafe(F.col("state"))
@@ -164,7 +129,9 @@ def probe_states(
         | ~F.col("_before.error_code").eqNullSafe(F.col("error_code"))
     )
     result = (
-        joined.withColumn("consecutive_failures", failures.cast("long"))
+        joined.withColumn(
+            "consecutive_failures", F.when(F.col("_failed"), F.col("_run") + carried_run).otherwise(0).cast("long")
+        )
         .withColumn("source_observed_at", F.greatest("_observed", "_observed_in"))
         .withColumn("last_change_at", F.greatest("_changed", "_changed_in"))
         .withColumn("transition", transition)
@@ -173,6 +140,53 @@ def probe_states(
     return with_backoff(result.drop(*internal))
 
 
+def _carry_over_slices(summary: DataFrame) -> DataFrame:
+    """What each slice receives from the slices before it; works on one row per slice."""
+    ordered = Window.partitionBy(KEY).orderBy("_slice")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (
+        summary.withColumn("_set_in", F.last("_set_now", ignorenulls=True).over(earlier))
+        .withColumn("_head", F.row_number().over(ordered) == 1)
+        # failures add up until the newest slice that contains a success
+        .withColumn("_island", F.sum(F.col("_ok").cast("int")).over(up_to))
+    )
+    inherited = F.col("_set_in.token")
+    end_state = _derived_state(
+        F.col("probe_state"),
+        F.coalesce("_set_now", "_set_in")["token"],
+        F.coalesce("_set_prev", "_set_in")["token"],
+        F.col("_head") & F.coalesce(F.col("_position") == 1, F.lit(False)),
+    )
+    opener = F.col("_opener")
+    opener_state = _derived_state(
+        opener["probe_state"], opener["source_token"], inherited, F.col("_head") & (opener["_position"] == 1)
+    )
+    opener_change = F.when(opener.isNotNull() & (opener_state == "CHANGE_OBSERVED"), opener["observed_at"])
+    island = Window.partitionBy(KEY, "_island").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (
+        rows.withColumn("_final", F.struct(end_state.alias("state"), F.col("error_code")))
+        .withColumn("_changed_out", F.greatest("_changed", opener_change))
+        .withColumn("_run_out", F.sum("_run").over(island))
+    )
+    return rows.select(
+        KEY,
+        "_slice",
+        "_set_in",
+        "_head",
+        F.last("_final").over(earlier).alias("_end_in"),
+        F.last("_run_out").over(earlier).alias("_run_in"),
+        F.max("_observed").over(earlier).alias("_observed_in"),
+        F.max("_changed_out").over(earlier).alias("_changed_in"),
+    )
+
+
+def effective_tokens(probes: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Probes with the token in force and the one before; unused state columns are pruned."""
+    states = probe_states(probes, previous)
+    return states.select(*probes.columns, "effective_token", "previous_token", "is_first")
+
+
 def transitions(states: DataFrame) -> DataFrame:
     """The append-only log: first probe, or a change of state, token or error."""
     return states.filter("transition").select(
@@ -213,11 +227,12 @@ def merge_lifecycle(heartbeats: DataFrame, imports: DataFrame) -> tuple[DataFram
         else F.lit(None).cast("string").alias("_stored"),
     )
     rows = imports.join(bound, ["source_kind", "external_account_id"]).withColumn(
-        "_slice", time_slice("completed_at")
+        "_slice", time_slice("completed_at", DAY)
     )
     order = F.struct("completed_at", "generation_id")
     ends = rows.groupBy(KEY, "_slice").agg(F.max_by("generation_id", order).alias("_end"))
-    carried = _carry_in(ends, {"_end_in": F.last("_end")})
+    earlier = Window.partitionBy(KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(KEY, "_slice", F.last("_end").over(earlier).alias("_end_in"))
     within = Window.partitionBy(KEY, "_slice").orderBy("completed_at", "generation_id")
     before = F.coalesce(F.lag("generation_id").over(within), "_end_in", "_stored")
     applied = (

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600
+DAY = 86400
 
 
 def time_slice(instant: str | Column, seconds: int = HOUR) -> Column:

@@ -198,7 +198,7 @@ SELECT detector_id, first_us, last_us + 1800000000 AS fires_us, n AS changes FRO
   SELECT detector_id, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM (
     SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY detector_id ORDER BY t, probe_id ROWS UNBOUNDED PRECEDING) AS g FROM (
       SELECT *, t - lag(t) OVER (PARTITION BY detector_id ORDER BY t, probe_id) > 1800000000 AS gap FROM ps WHERE state = 'CHANGE_OBSERVED'))
-  GROUP BY detector_id, g))""")
+  GROUP BY detector_id, g)""")
 def _(v: Views):
     changes = v.states.filter("state = 'CHANGE_OBSERVED'").select("detector_id", F.col("observed_at").alias("changed_at"))
     bursts = collector.quiet_captures(changes, 1800)

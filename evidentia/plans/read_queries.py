@@ -72,9 +72,10 @@ def _(v: Views):
 
 
 @query("keyset_next_page", "R7 L1 L3", """
-SELECT message_id, sent_epoch FROM m
-WHERE (sent_epoch, message_id) < (SELECT sent_epoch, message_id FROM m ORDER BY sent_epoch DESC, message_id DESC LIMIT 1 OFFSET 19)
-ORDER BY sent_epoch DESC, message_id DESC LIMIT 21""")
+SELECT m.message_id, m.sent_epoch FROM m,
+  (SELECT sent_epoch AS t, message_id AS i FROM m ORDER BY sent_epoch DESC, message_id DESC LIMIT 1 OFFSET 19) k
+WHERE m.sent_epoch < t OR (m.sent_epoch = t AND m.message_id < i)
+ORDER BY m.sent_epoch DESC, m.message_id DESC LIMIT 21""")
 def _(v: Views):
     messages = v.tables["messages"].select("sent_at", "message_id")
     # the cursor is the last row of the page before

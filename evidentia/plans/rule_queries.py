@@ -43,7 +43,7 @@ def _(v: Views):
 
 
 @query("keyword_matches", "E3", """
-SELECT message_id, array_to_string(reg, ',') AS registration_hits, array_to_string(dead, ',') AS deadline_hits FROM mt WHERE event_type IS NOT NULL""")
+SELECT message_id, reg AS registration_hits, dead AS deadline_hits FROM mt WHERE event_type IS NOT NULL""")
 def _(v: Views):
     hits = lambda kind: F.array_join(F.coalesce(F.try_element_at("matches", F.lit(kind)), F.array().cast("array<string>")), ",")
     found = v.matched.filter("event_type IS NOT NULL")
@@ -121,7 +121,7 @@ def _(v: Views):
     current = part.select(rule, F.lit("1").alias("rule_version"), F.concat(F.lit('{"b": 1, "a": "'), F.col("p_type"), F.lit('"}')).alias("definition_json"))
     stored = part.filter(n != 0).select(
         rule, F.when((n == 1) & (F.col("p_size") % 2 == 0), "0").otherwise("1").alias("rule_version"),
-        ~((n == 2) & (F.col("p_size") % 2 == 0)) .alias("enabled"),
+        (~((n == 2) & (F.col("p_size") % 2 == 0))).alias("enabled"),
         F.concat(F.lit('{"a":"'), F.when((n == 1) & (F.col("p_size") % 2 == 1), "other").otherwise(F.col("p_type")), F.lit('","b":1}')).alias("definition_json"),
     )
     return rules.rule_verdicts(stored, current)

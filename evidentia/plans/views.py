@@ -392,12 +392,13 @@ d0 AS (
 d1 AS (SELECT *, 'msg_' || substr(sha256(source_id || chr(0) || doc_id), 1, 24) AS message_id FROM d0),
 st AS (SELECT message_id FROM d1 WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 mt0 AS (
-  SELECT *, list_filter(['tion', 'hand'], x -> contains(body, x)) AS reg,
-    list_filter(['ung', 'ment', 'ring'], x -> contains(body, x)) AS dead
+  SELECT *, concat_ws(',', CASE WHEN contains(body, 'tion') THEN 'tion' END, CASE WHEN contains(body, 'hand') THEN 'hand' END) AS reg,
+    concat_ws(',', CASE WHEN contains(body, 'ung') THEN 'ung' END, CASE WHEN contains(body, 'ment') THEN 'ment' END,
+      CASE WHEN contains(body, 'ring') THEN 'ring' END) AS dead
   FROM d1 WHERE message_id NOT IN (SELECT message_id FROM st)),
 mt1 AS (
-  SELECT *, CASE WHEN len(reg) > 0 AND len(dead) > 0 THEN 'registration_deadline' WHEN len(reg) > 0 THEN 'registration'
-      WHEN len(dead) > 0 THEN 'deadline' END AS event_type,
+  SELECT *, CASE WHEN reg <> '' AND dead <> '' THEN 'registration_deadline' WHEN reg <> '' THEN 'registration'
+      WHEN dead <> '' THEN 'deadline' END AS event_type,
     coalesce(nullif(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 160), ''), '[无可提取文本]') AS title
   FROM mt0),
 mt AS (
