@@ -84,41 +84,47 @@ def strip_group_prefix(text: str | Column, is_group: str | Column) -> Column:
 
 # --- typed parts, numeric type codes -----------------------------------------------------
 
+_MARKERS = ("<msg", "<appmsg", "<location")
 _APP_SCHEMA = "struct<title:string,type:string,url:string>"
 _LOCATION_SCHEMA = "struct<_poiname:string,_label:string>"
+_CHECK_SCHEMA = "struct<_none:string,_bad:string>"
 
 
-def _xml_from(text: Column, markers: tuple[str, ...]) -> Column:
-    """The text from its earliest marker on, null when no marker occurs."""
+def _from(text: Column, markers: tuple[str, ...]) -> Column:
+    """The text from the earliest marker on, null when none occurs."""
     spots = [F.nullif(F.instr(text, marker), F.lit(0)) for marker in markers]
-    at = F.least(*spots)
+    at = F.least(*spots) if len(spots) > 1 else spots[0]
     return F.when(at.isNotNull(), F.substring(text, at, F.length(text)))
 
 
-def extract_appmsg(text: str | Column) -> Column:
-    """``struct(is_app, title, app_type, url)`` of embedded markup; nulls when malformed."""
-    markup = _xml_from(_col(text), ("<msg", "<appmsg", "<location"))
-    direct = markup.startswith("<appmsg")
-    as_root = F.from_xml(F.when(direct, markup), _APP_SCHEMA)
-    nested = F.from_xml(F.when(~direct, markup), f"struct<appmsg:{_APP_SCHEMA}>")["appmsg"]
-    pick = lambda name: blank_to_null(F.coalesce(as_root[name], nested[name]))
-    any_field = F.coalesce(pick("title"), pick("type"), pick("url"))
-    return F.struct(
-        any_field.isNotNull().alias("is_app"),
-        pick("title").alias("title"),
-        pick("type").alias("app_type"),
-        pick("url").alias("url"),
-    )
+def with_markup(df: DataFrame, text: str, only: Column | None = None) -> DataFrame:
+    """Adds ``is_app, app_title, app_type, app_url, place`` of embedded markup; nulls when it
+    is absent or malformed.
 
-
-def extract_location(text: str | Column) -> Column:
-    """Place name, else label, of embedded location markup."""
-    markup = _xml_from(_col(text), ("<msg", "<appmsg", "<location"))
-    direct = markup.startswith("<location")
-    as_root = F.from_xml(F.when(direct, markup), _LOCATION_SCHEMA)
-    nested = F.from_xml(F.when(~direct, markup), f"struct<location:{_LOCATION_SCHEMA}>")["location"]
-    pick = lambda name: F.nullif(F.coalesce(as_root[name], nested[name]), F.lit(""))
-    return F.coalesce(pick("_poiname"), pick("_label"))
+    Each step is a column of its own, so that every parse happens once per row; ``only``
+    limits the rows that are looked at. The parser ignores what follows the root element, so
+    the end of the root is checked separately.
+    """
+    tail = F.regexp_replace(_from(F.col(text), _MARKERS), r"\s+$", "")
+    df = df.withColumn("_tail", tail if only is None else F.when(only, tail))
+    df = df.withColumn("_check", F.from_xml("_tail", _CHECK_SCHEMA, {"columnNameOfCorruptRecord": "_bad"}))
+    tag = F.regexp_extract("_tail", r"^<([\w.:-]+)", 1)
+    closed = F.col("_tail").endswith(F.concat(F.lit("</"), tag, F.lit(">"))) | F.col("_tail").rlike(r"^<[^<>]*/>$")
+    df = df.withColumn("_markup", F.when(closed & F.col("_check._bad").isNull(), F.col("_tail")))
+    df = df.withColumn("_element", _from(F.col("_markup"), ("<appmsg",)))
+    df = df.withColumn("_app", F.from_xml("_element", _APP_SCHEMA))
+    df = df.withColumn("_location", F.from_xml(_from(F.col("_markup"), ("<location",)), _LOCATION_SCHEMA))
+    return (
+        df.withColumn("is_app", F.col("_element").isNotNull())
+        .withColumn("app_title", blank_to_null("_app.title"))
+        .withColumn("app_type", blank_to_null("_app.type"))
+        .withColumn("app_url", blank_to_null("_app.url"))
+        .withColumn(
+            "place",
+            F.coalesce(F.nullif("_location._poiname", F.lit("")), F.nullif("_location._label", F.lit(""))),
+        )
+        .drop("_tail", "_check", "_markup", "_element", "_app", "_location")
+    )
 
 
 def parts_from_type_code(
@@ -128,7 +134,7 @@ def parts_from_type_code(
     local_id: str = "local_id",
     voice_path: str | None = None,
     platform: str = "Chat",
-    with_markup: bool = True,
+    markup: bool = True,
 ) -> DataFrame:
     """Adds ``parts`` for numeric message types; ``platform`` names the placeholders."""
     code, body = F.col(type_code), F.col(text)
@@ -147,19 +153,18 @@ def parts_from_type_code(
         mime=F.lit("audio/silk"),
         status=F.when(voice.isNull(), F.lit("voice_row_not_resolved")),
     )
-    if with_markup:
-        df = df.withColumn("_app", F.when(code == 49, extract_appmsg(text))).withColumn(
-            "_place", F.when(code == 48, extract_location(text))
-        )
-        app, place = F.col("_app"), F.col("_place")
-        title = F.coalesce(app["title"], F.lit(f"{platform} app message"))
+    if markup:
+        df = with_markup(df, text, code.isin(48, 49))
+        is_app, place = F.col("is_app"), F.col("place")
+        title = F.coalesce("app_title", F.lit(f"{platform} app message"))
+        subtype, url = F.col("app_type"), F.col("app_url")
         app_part = (
             F.when(
-                F.coalesce(app["is_app"], F.lit(False)) & app["app_type"].eqNullSafe(F.lit("6")),
+                is_app & subtype.eqNullSafe(F.lit("6")),
                 part("file", file_name=title, mime=octets, subtype=F.lit("appmsg_file"), status=not_exported),
             )
-            .when(app["is_app"] & app["url"].isNotNull(), part("link", text=title, url=app["url"], subtype=app["app_type"]))
-            .when(app["is_app"], part("text", text=title, subtype=app["app_type"]))
+            .when(is_app & url.isNotNull(), part("link", text=title, url=url, subtype=subtype))
+            .when(is_app, part("text", text=title, subtype=subtype))
             .otherwise(part("system", text=F.lit(f"[{platform} app message]")))
         )
         location_part = F.when(
@@ -182,7 +187,7 @@ def parts_from_type_code(
         .when(code.isin(50, 10000), part("system", text=F.when(body != "", body).otherwise(placeholder)))
         .otherwise(part("system", text=placeholder))
     )
-    return df.withColumn("parts", F.array(built)).drop("_app", "_place")
+    return df.withColumn("parts", F.array(built)).drop("is_app", "app_title", "app_type", "app_url", "place")
 
 
 # --- typed parts, JSON content -------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.constants import CONVERSATION_TYPES, DIRECTIONS, PART_TYPES, SCHEMA_VERSION_PATTERN, TEXT_PART_TYPES
-from evidentia.functions import escapes_root, json_type, parse_instant, unsafe_inventory_path
+from evidentia.functions import escapes_root, json_type, parse_instant, strict_object, unsafe_inventory_path
 
 
 class ArgumentError(ValueError):
@@ -94,10 +94,7 @@ def _report(rows: DataFrame, where: Column, checks: dict[str, Column]) -> DataFr
 
 def manifest_problems(documents: DataFrame) -> DataFrame:
     """One row per broken rule: ``manifest_sha256, location, problem``."""
-    whole = F.coalesce(json_type(F.try_parse_json("body")), F.lit("NOT_JSON"))
-    root = documents.select("manifest_sha256", "doc.*", "body").withColumn(
-        "is_object", F.when(F.coalesce("schema_version", "source").isNotNull(), F.lit(True)).otherwise(whole == "OBJECT")
-    )
+    root = documents.select("manifest_sha256", "doc.*", strict_object("body").alias("is_object"))
     version = F.when(json_type("schema_version") == "STRING", F.try_variant_get("schema_version", "$", "string"))
     reports = [
         _report(

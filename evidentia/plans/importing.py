@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from evidentia.functions import stable_id
 from evidentia.operators import merge as M
 from evidentia.operators.attachments import resolve_attachments
-from evidentia.operators.validate import split_valid
-from evidentia.sources.manifests import flatten_manifests, part_rows
+from evidentia.operators.validate import manifest_problems, split_valid
+from evidentia.session import stage
+from evidentia.sources.manifests import (
+    conversation_raw,
+    conversation_rows,
+    message_rows,
+    part_rows,
+    participant_rows,
+    source_rows,
+)
 
 STORE_TABLES = (
     "sources", "import_runs", "identities", "conversations", "participants", "messages", "parts", "attachments", "blobs",
@@ -38,8 +46,10 @@ def import_documents(
 ) -> ImportResult:
     """One batch of parsed documents against the store.
 
-    Parsing and exploding are narrow; shuffles happen only on the merge keys (message,
-    conversation, identity, digest). Documents that are broken or known are left out first.
+    Documents that are broken or known are left out first. The flattened levels are written
+    once to the shared folder, so that no later step parses JSON again and a lost executor
+    costs only its own tasks. Shuffles happen only on the merge keys (message, conversation,
+    identity, digest).
     """
     spark = documents.sparkSession
     runs = _with(store, "import_runs")
@@ -50,21 +60,28 @@ def import_documents(
             "exported_at timestamp, finished_at timestamp"
         )
         runs = spark.createDataFrame([], known_columns)
-    valid, problems = split_valid(documents)
+    problems = stage(manifest_problems(documents), "problems")
+    valid, problems = split_valid(documents, problems)
     fresh, repeated = M.split_new_manifests(valid, runs)
-    flat = flatten_manifests(fresh)
 
-    labelled = M.label_messages(flat["messages"], _with(store, "messages"))
+    # JSON is parsed once into conversation variants; everything below reads those
+    sources_in = stage(source_rows(fresh), "sources")
+    occurrences = stage(conversation_rows(fresh), "conversations")
+    participants = stage(participant_rows(occurrences), "participants")
+    conversations = conversation_raw(occurrences)
+    labelled = stage(
+        M.label_messages(message_rows(occurrences, participants), _with(store, "messages")), "messages"
+    )
     inserted = labelled.filter("outcome = 'inserted'").drop("outcome", "conflict")
     conflicts = M.message_conflicts(labelled)
 
     parts = part_rows(inserted, ("manifest_sha256", "export_root"))
     bodies = parts.filter(F.col("attachment_id").isNotNull())
-    attachments = resolve_attachments(bodies, files)
-    ledger = M.import_run_metrics(fresh, labelled, attachments)
+    attachments = stage(resolve_attachments(bodies, files), "attachments")
+    ledger = M.import_run_metrics(sources_in, labelled, attachments)
     warnings = M.import_warnings(conflicts, attachments)
 
-    source_of = flat["sources"].select("manifest_sha256", "source_id", "exported_at")
+    source_of = sources_in.select("manifest_sha256", "source_id", "exported_at")
     new_runs = ledger.join(source_of, "manifest_sha256").select(
         "manifest_sha256",
         stable_id("imp", "manifest_sha256").alias("import_run_id"),
@@ -75,7 +92,7 @@ def import_documents(
         as_of.alias("finished_at"),
     )
     sources = M.upsert_latest(
-        flat["sources"].select("source_id", "kind", "external_account_id", "display_name", "exported_at", "manifest_sha256"),
+        sources_in.select("source_id", "kind", "external_account_id", "display_name", "exported_at", "manifest_sha256"),
         ["source_id"], ["exported_at", "manifest_sha256"], _with(store, "sources"),
     )
     message_columns = [
@@ -99,9 +116,9 @@ def import_documents(
     tables = {
         "sources": sources,
         "import_runs": runs.unionByName(new_runs),
-        "identities": M.merge_identities(flat["participants"], _with(store, "identities")),
-        "conversations": M.merge_conversations(flat["conversations"], flat["messages"], _with(store, "conversations")),
-        "participants": M.merge_roster(flat["conversations"], flat["participants"], _with(store, "participants")),
+        "identities": M.merge_identities(participants, _with(store, "identities")),
+        "conversations": M.merge_conversations(conversations, labelled, _with(store, "conversations")),
+        "participants": M.merge_roster(conversations, participants, _with(store, "participants")),
         "messages": appended("messages", messages),
         "parts": appended("parts", parts.select(*part_columns)),
         "attachments": appended("attachments", attachments.select(*attachment_columns)),

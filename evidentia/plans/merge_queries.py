@@ -8,7 +8,9 @@ from evidentia.operators import merge as M
 from evidentia.plans.importing import import_documents
 from evidentia.plans.registry import query
 from evidentia.plans.views import EPOCH, Views, text
+from evidentia.session import scratch_path
 from evidentia.sources import manifests
+from evidentia.sources.store import read_store, write_store
 
 T1, T2 = 1788100000, 1788200000
 
@@ -313,12 +315,15 @@ def _(v: Views):
     return result.runs.groupBy("inserted_messages", "reused_messages", "conflicts").agg(F.count("*").alias("documents"))
 
 
-@query("import_second_batch", "M2 M5 against a store", """
+@query("import_second_batch", "M2 M5 S8 against a store", """
 SELECT source_id, count(*) AS messages, count(DISTINCT conversation_id) AS conversations FROM m GROUP BY 1""")
 def _(v: Views):
     as_of = F.timestamp_seconds(F.lit(EPOCH))
+    root = scratch_path(v.spark, "store")
     first = import_documents(documents(v, 1), v.files, as_of)
-    second = import_documents(documents(v, 2), v.files, as_of, first.tables)
+    write_store(first.tables, root)
+    stored = read_store(v.spark, root, list(first.tables))
+    second = import_documents(documents(v, 2), v.files, as_of, stored)
     return second.tables["messages"].groupBy("source_id").agg(
         F.count("*").alias("messages"), F.count_distinct("conversation_id").alias("conversations")
     )

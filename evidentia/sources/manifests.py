@@ -109,7 +109,7 @@ def participant_rows(conversations: DataFrame) -> DataFrame:
         F.coalesce(
             json_keys_without(raw, ["role", "group_nickname", "membership"]), F.lit("{}")
         ).alias("identity_raw"),
-        canonical_json(raw).alias("relation_raw"),
+        raw.alias("relation_raw"),
     )
 
 
