@@ -33,7 +33,7 @@ def with_backoff(df: DataFrame, failures: str = "consecutive_failures", state: s
     failed = is_failure(state)
     delay = F.when(failed, F.least(doubled, ceiling, F.lit(K.BACKOFF_CAP_SECONDS))).otherwise(F.col("interval_seconds"))
     retry = F.timestamp_micros((F.unix_micros("observed_at") + delay * 1_000_000).cast("long"))
-    return df.withColumn("retry_delay_seconds", delay).withColumn("next_retry_at", F.when(failed, retry))
+    return df.withColumns({"retry_delay_seconds": delay, "next_retry_at": F.when(failed, retry)})
 
 
 def _derived_state(explicit: Column, token: Column, before: Column, first: Column) -> Column:
@@ -64,17 +64,24 @@ def probe_states(
     within = Window.partitionBy(KEY, "_slice").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carries = F.col("source_token").isNull() & F.col("probe_state").eqNullSafe(F.lit("RETRYABLE_ERROR"))
-    local = (
-        probes.withColumn("_slice", time_slice("observed_at", slice_seconds))
-        .withColumn("_set", F.when(~carries, F.struct(F.col("source_token").alias("token"))))
-        .withColumn("_failed", is_failure("probe_state"))
-        .withColumn("_position", F.row_number().over(within))
-        .withColumn("_set_now", F.last("_set", ignorenulls=True).over(running))
-        .withColumn("_set_prev", F.last("_set", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_last_ok", F.max(F.when(~F.col("_failed"), F.col("_position"))).over(running))
-        .withColumn("_observed", F.max(F.when(F.col("source_observed"), F.col("observed_at"))).over(running))
-        .withColumn("_run", F.col("_position") - F.coalesce("_last_ok", F.lit(0)))
+    sliced = probes.withColumns(
+        {
+            "_slice": time_slice("observed_at", slice_seconds),
+            "_set": F.when(~carries, F.struct(F.col("source_token").alias("token"))),
+            "_failed": is_failure("probe_state"),
+        }
     )
+    earlier_rows = within.rowsBetween(Window.unboundedPreceding, -1)
+    local = sliced.withColumns(
+        {
+            "_position": F.row_number().over(within),
+            "_set_now": F.last("_set", ignorenulls=True).over(running),
+            "_set_prev": F.last("_set", ignorenulls=True).over(earlier_rows),
+            "_observed": F.max(F.when(F.col("source_observed"), F.col("observed_at"))).over(running),
+        }
+    )
+    local = local.withColumns({"_last_ok": F.max(F.when(~F.col("_failed"), F.col("_position"))).over(running)})
+    local = local.withColumns({"_run": F.col("_position") - F.coalesce("_last_ok", F.lit(0))})
     decided = _derived_state(F.col("probe_state"), F.col("_set_now.token"), F.col("_set_prev.token"), F.lit(False))
     opens = F.col("_set").isNotNull() & F.col("_set_prev").isNull()
     summary = local.groupBy(KEY, "_slice").agg(
@@ -107,20 +114,27 @@ def probe_states(
         )
     carried = _carry_over_slices(summary)
     joined = local.join(carried, [KEY, "_slice"])
-    token = F.coalesce("_set_now", "_set_in")["token"]
-    before_token = F.coalesce("_set_prev", "_set_in")["token"]
-    joined = (
-        joined.withColumn("effective_token", token)
-        .withColumn("previous_token", before_token)
-        .withColumn("is_first", F.col("_head") & (F.col("_position") == 1))
+    joined = joined.withColumns(
+        {
+            "effective_token": F.coalesce("_set_now", "_set_in")["token"],
+            "previous_token": F.coalesce("_set_prev", "_set_in")["token"],
+            "is_first": F.col("_head") & (F.col("_position") == 1),
+        }
     )
-    joined = joined.withColumn(
-        "state", _derived_state(F.col("probe_state"), F.col("effective_token"), F.col("previous_token"), F.col("is_first"))
+    joined = joined.withColumns(
+        {
+            "state": _derived_state(
+                F.col("probe_state"), F.col("effective_token"), F.col("previous_token"), F.col("is_first")
+            )
+        }
     )
     shown = F.struct("state", "error_code")
-    joined = joined.withColumn(
-        "_before", F.when(F.col("_position") == 1, F.col("_end_in")).otherwise(F.lag(shown).over(within))
-    ).withColumn("_changed", F.max(F.when(F.col("state") == "CHANGE_OBSERVED", F.col("observed_at"))).over(running))
+    joined = joined.withColumns(
+        {
+            "_before": F.when(F.col("_position") == 1, F.col("_end_in")).otherwise(F.lag(shown).over(within)),
+            "_changed": F.max(F.when(F.col("state") == "CHANGE_OBSERVED", F.col("observed_at"))).over(running),
+        }
+    )
     carried_run = F.when(F.col("_last_ok").isNull(), F.coalesce("_run_in", F.lit(0))).otherwise(0)
     transition = (
         F.col("is_first")
@@ -128,16 +142,19 @@ def probe_states(
         | ~F.col("previous_token").eqNullSafe(F.col("effective_token"))
         | ~F.col("_before.error_code").eqNullSafe(F.col("error_code"))
     )
-    result = (
-        joined.withColumn(
-            "consecutive_failures", F.when(F.col("_failed"), F.col("_run") + carried_run).otherwise(0).cast("long")
-        )
-        .withColumn("source_observed_at", F.greatest("_observed", "_observed_in"))
-        .withColumn("last_change_at", F.greatest("_changed", "_changed_in"))
-        .withColumn("transition", transition)
+    failures = F.when(F.col("_failed"), F.col("_run") + carried_run).otherwise(0).cast("long")
+    result = joined.select(
+        *probes.columns,
+        "effective_token",
+        "previous_token",
+        "is_first",
+        "state",
+        failures.alias("consecutive_failures"),
+        F.greatest("_observed", "_observed_in").alias("source_observed_at"),
+        F.greatest("_changed", "_changed_in").alias("last_change_at"),
+        transition.alias("transition"),
     )
-    internal = [c for c in result.columns if c.startswith("_")]
-    return with_backoff(result.drop(*internal))
+    return with_backoff(result)
 
 
 def _carry_over_slices(summary: DataFrame) -> DataFrame:
@@ -145,11 +162,13 @@ def _carry_over_slices(summary: DataFrame) -> DataFrame:
     ordered = Window.partitionBy(KEY).orderBy("_slice")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     up_to = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        summary.withColumn("_set_in", F.last("_set_now", ignorenulls=True).over(earlier))
-        .withColumn("_head", F.row_number().over(ordered) == 1)
-        # failures add up until the newest slice that contains a success
-        .withColumn("_island", F.sum(F.col("_ok").cast("int")).over(up_to))
+    rows = summary.withColumns(
+        {
+            "_set_in": F.last("_set_now", ignorenulls=True).over(earlier),
+            "_head": F.row_number().over(ordered) == 1,
+            # failures add up until the newest slice that contains a success
+            "_island": F.sum(F.col("_ok").cast("int")).over(up_to),
+        }
     )
     inherited = F.col("_set_in.token")
     end_state = _derived_state(
@@ -164,10 +183,12 @@ def _carry_over_slices(summary: DataFrame) -> DataFrame:
     )
     opener_change = F.when(opener.isNotNull() & (opener_state == "CHANGE_OBSERVED"), opener["observed_at"])
     island = Window.partitionBy(KEY, "_island").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        rows.withColumn("_final", F.struct(end_state.alias("state"), F.col("error_code")))
-        .withColumn("_changed_out", F.greatest("_changed", opener_change))
-        .withColumn("_run_out", F.sum("_run").over(island))
+    rows = rows.withColumns(
+        {
+            "_final": F.struct(end_state.alias("state"), F.col("error_code")),
+            "_changed_out": F.greatest("_changed", opener_change),
+            "_run_out": F.sum("_run").over(island),
+        }
     )
     return rows.select(
         KEY,

@@ -225,8 +225,7 @@ UNION ALL SELECT 'unique:parts(message_id,part_index)', (SELECT count(*) FROM p
 UNION ALL SELECT 'values:conversations.conversation_type', 0 UNION ALL SELECT 'values:messages.direction', 0 UNION ALL SELECT 'values:attachments.status', 0
 UNION ALL SELECT 'values:parts.part_type', 0""")
 def _(v: Views):
-    t = dict(v.tables)
-    t.pop("heartbeats")
+    t = {name: v.tables[name] for name in v.tables if name != "heartbeats"}
     gone = F.col("external_conversation_id").substr(6, 20).cast("long") % 13 == 0
     t["conversations"] = t["conversations"].filter(~gone)
     t["parts"] = t["parts"].unionByName(t["parts"].filter("part_index = 1"))

@@ -6,6 +6,7 @@ the DataFrame side and are compared with plain SQL on the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +36,37 @@ def text(*pieces) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in pieces])
 
 
+class LazyTables(Mapping):
+    """Tables built on first use, so that a plan only contains what it reads."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Views:
     """Lazily built views for one data directory."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = configure(spark)
         self.root = root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     # --- messages -------------------------------------------------------------------
 
@@ -122,53 +145,68 @@ class Views:
         return resolve_attachments(bodies, self.files).drop("export_root", "text_content", "part_id")
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
+    def tables(self) -> Mapping[str, DataFrame]:
         """The normalised store."""
-        m = self.messages
-        sources = m.select("source_id", "kind", F.col("account").alias("external_account_id")).distinct()
-        conversations = m.groupBy("conv_id", "source_id", "conversation_id", "external_conversation_id").agg(
-            F.max("sent_at").alias("last_activity")
-        )
-        c = F.col("conv_id")
-        conversations = conversations.select(
-            "*",
-            text("Topic ", c % 50).alias("title"),
-            F.when(c % 2 == 0, "single").otherwise("group").alias("conversation_type"),
-            F.concat(
-                F.lit('{"metadata":{"unread_count":'), (c % 7).cast("string"),
-                F.lit(',"is_hidden":'), F.when(c % 5 == 0, "true").otherwise("false"),
-                F.lit('},"participants_complete":'), F.when(c % 2 == 1, "true").otherwise("false"), F.lit("}"),
-            ).alias("raw_json"),
-        ).drop("conv_id")
-        role = F.when(F.col("role") == "user", "owner").when(F.col("role") == "assistant", "member").otherwise("observed")
-        participants = m.select(
-            "conversation_id", "identity_id", text('{"role":"', role, '"}').alias("relation_raw")
-        ).distinct()
-        identities = m.select(
-            "identity_id", "source_id", F.col("sender_external_id").alias("external_identity_id"),
-            F.col("sender_display_name").alias("display_name"), (F.col("role") == "assistant").alias("is_self"),
-        ).distinct()
-        blobs = self.files.groupBy("sha256").agg(F.min("size_bytes").alias("size_bytes"), F.min("path").alias("stored_path"))
-        runs = m.select("conv_id", "source_id", "kind").distinct().select(
-            stable_id("imp", text("conv-", c)).alias("import_run_id"),
-            text("conv-", c).alias("manifest_sha256"),
-            "source_id",
-            F.when((c % 11 == 0) & (F.col("kind") == "beta"), "rejected").otherwise("complete").alias("status"),
-            F.timestamp_seconds(EPOCH + (c % 10000) * 3600 + 7200).alias("finished_at"),
-            F.timestamp_seconds(EPOCH + (c % 10000) * 3600 + 3600).alias("exported_at"),
+        m, c = self.messages, F.col("conv_id")
+
+        def sources():
+            found = m.select("source_id", "kind", F.col("account").alias("external_account_id")).distinct()
+            return found.withColumn("display_name", F.concat(F.lit("Source "), F.col("kind")))
+
+        def conversations():
+            grouped = m.groupBy("conv_id", "source_id", "conversation_id", "external_conversation_id").agg(
+                F.max("sent_at").alias("last_activity")
+            )
+            return grouped.select(
+                "source_id", "conversation_id", "external_conversation_id", "last_activity",
+                text("Topic ", c % 50).alias("title"),
+                F.when(c % 2 == 0, "single").otherwise("group").alias("conversation_type"),
+                F.concat(
+                    F.lit('{"metadata":{"unread_count":'), (c % 7).cast("string"),
+                    F.lit(',"is_hidden":'), F.when(c % 5 == 0, "true").otherwise("false"),
+                    F.lit('},"participants_complete":'), F.when(c % 2 == 1, "true").otherwise("false"), F.lit("}"),
+                ).alias("raw_json"),
+            )
+
+        def participants():
+            role = F.when(F.col("role") == "user", "owner").when(F.col("role") == "assistant", "member").otherwise("observed")
+            return m.select("conversation_id", "identity_id", text('{"role":"', role, '"}').alias("relation_raw")).distinct()
+
+        def identities():
+            return m.select(
+                "identity_id", "source_id", F.col("sender_external_id").alias("external_identity_id"),
+                F.col("sender_display_name").alias("display_name"), (F.col("role") == "assistant").alias("is_self"),
+            ).distinct()
+
+        def blobs():
+            return self.files.groupBy("sha256").agg(
+                F.min("size_bytes").alias("size_bytes"), F.min("path").alias("stored_path")
+            )
+
+        def import_runs():
+            return m.select("conv_id", "source_id", "kind").distinct().select(
+                stable_id("imp", text("conv-", c)).alias("import_run_id"),
+                text("conv-", c).alias("manifest_sha256"),
+                "source_id",
+                F.when((c % 11 == 0) & (F.col("kind") == "beta"), "rejected").otherwise("complete").alias("status"),
+                F.timestamp_seconds(EPOCH + (c % 10000) * 3600 + 7200).alias("finished_at"),
+                F.timestamp_seconds(EPOCH + (c % 10000) * 3600 + 3600).alias("exported_at"),
+            )
+
+        return LazyTables(
+            {
+                "sources": sources,
+                "conversations": conversations,
+                "participants": participants,
+                "identities": identities,
+                "messages": lambda: m.drop("parts", "kind", "account", "text"),
+                "parts": lambda: self.parts,
+                "attachments": lambda: self.attachments,
+                "blobs": blobs,
+                "import_runs": import_runs,
+                "heartbeats": lambda: self.heartbeats,
+            }
         )
-        return {
-            "sources": sources.withColumn("display_name", F.concat(F.lit("Source "), F.col("kind"))),
-            "conversations": conversations,
-            "participants": participants,
-            "identities": identities,
-            "messages": m.drop("parts", "kind", "account", "text"),
-            "parts": self.parts,
-            "attachments": self.attachments,
-            "blobs": blobs,
-            "import_runs": runs,
-            "heartbeats": self.heartbeats,
-        }
 
     # --- collector ------------------------------------------------------------------
 
