@@ -23,7 +23,22 @@ def epoch_auto(number) -> Column:
     return F.when(c >= F.lit(MS_THRESHOLD), F.timestamp_millis(c)).otherwise(F.timestamp_seconds(c))
 
 
+def month_columns(epoch_seconds, offsets=(-1, 0, 1), time_zone: str = "UTC") -> list[Column]:
+    """``yyyy-MM`` folders around an epoch, one column per offset.
+
+    Months are counted as numbers; formatting dates per row would dominate the join around it.
+    """
+    instant = F.timestamp_seconds(_col(epoch_seconds).cast("long"))
+    local = instant if time_zone == "UTC" else F.from_utc_timestamp(instant, time_zone)
+    index = F.year(local) * 12 + F.month(local) - 1
+
+    def folder(number: Column) -> Column:
+        year, month = F.floor(number / 12).cast("string"), (F.pmod(number, F.lit(12)) + 1).cast("string")
+        return F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"))
+
+    return [folder(index + delta) for delta in offsets]
+
+
 def month_candidates(epoch_seconds, offsets=(-1, 0, 1), time_zone: str = "UTC") -> Column:
-    """``yyyy-MM`` folders around an epoch, in the order of ``offsets``."""
-    local = F.from_utc_timestamp(F.timestamp_seconds(_col(epoch_seconds).cast("long")), time_zone)
-    return F.array(*[F.date_format(F.add_months(local, delta), "yyyy-MM") for delta in offsets])
+    """The same folders as one array."""
+    return F.array(*month_columns(epoch_seconds, offsets, time_zone))

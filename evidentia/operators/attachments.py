@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions import is_mp4, month_candidates, normal_form, normal_path, stable_id
+from evidentia.functions import is_mp4, month_columns, normal_form, normal_path, stable_id
 from evidentia.operators.ordering import latest_per_key
 
 
@@ -49,24 +49,25 @@ def lookup_resources(
     pick = F.coalesce("_exact", "_newest")
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_newest").isNotNull(), "newest").otherwise("none")
     return (
-        joined.withColumn("resource_match", how)
-        .select("*", *[pick[name].alias(name) for name in payload])
-        .drop("_exact", "_newest")
+        joined.withColumns({"resource_match": how, "_pick": pick})
+        .select("*", *[F.col(f"_pick.{name}").alias(name) for name in payload])
+        .drop("_exact", "_newest", "_pick")
     )
 
 
 def _by_month(files: DataFrame, keys: list[str], payload: list[str], rank: str) -> DataFrame:
-    """Best file per (key, month), nested to one short array per key: months bound its length."""
+    """Best file per (key, month), nested to one small map per key: months bound its size."""
     best = latest_per_key(files, [*keys, "month"], [F.col(rank).asc(), F.col("path").asc()])
+    body = F.struct(*payload)
     return best.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("month", *payload))).alias("_months"),
+        F.map_from_entries(F.collect_list(F.struct("month", body.alias("body")))).alias("_months"),
+        F.min_by(body, "month").alias("_earliest"),
     )
 
 
-def _first_month(months: Column, wanted: Column) -> Column:
-    """First nested file in the order of the wanted months."""
-    hits = F.flatten(F.transform(wanted, lambda m: F.filter(months, lambda f: f["month"] == m)))
-    return F.try_element_at(hits, F.lit(1))
+def _first_month(wanted: list[Column]) -> list[Column]:
+    """Nested files in the order of the wanted months; plain map lookups stay in codegen."""
+    return [F.try_element_at("_months", month) for month in wanted]
 
 
 def pick_variant(messages: DataFrame, files: DataFrame, time_zone: str = "UTC") -> DataFrame:
@@ -77,11 +78,11 @@ def pick_variant(messages: DataFrame, files: DataFrame, time_zone: str = "UTC")
     """
     order = F.when(F.col("variant") == "full", 0).when(F.col("variant") == "high", 1).otherwise(2)
     nested = _by_month(files.withColumn("_order", order), ["chat_md5", "resource_key"], ["variant", "path"], "_order")
-    wanted = month_candidates("create_time", (-1, 0, 1), time_zone)
+    wanted = month_columns("create_time", (-1, 0, 1), time_zone)
     joined = messages.withColumn("chat_md5", F.md5("chat")).join(nested, ["chat_md5", "resource_key"], "left")
-    pick = F.coalesce(_first_month(F.col("_months"), wanted), F.try_element_at(F.col("_months"), F.lit(1)))
-    return joined.select(
-        *messages.columns, pick["variant"].alias("variant"), pick["path"].alias("body_path")
+    pick = F.coalesce(*_first_month(wanted), "_earliest")
+    return joined.withColumn("_pick", pick).select(
+        *messages.columns, F.col("_pick.variant").alias("variant"), F.col("_pick.path").alias("body_path")
     )
 
 
@@ -95,18 +96,20 @@ def accept_videos(messages: DataFrame, files: DataFrame, time_zone: str = "UTC")
     listed = files.withColumn("mp4", is_mp4("header"))
     nested = _by_month(listed.withColumn("_order", F.lit(0)), ["resource_key"], ["path", "size_bytes", "mp4"], "_order")
     copies = files.groupBy("resource_key").agg(F.count("*").alias("_copies"))
-    wanted = month_candidates("create_time", (0, -1, 1), time_zone)
+    wanted = month_columns("create_time", (0, -1, 1), time_zone)
     joined = messages.join(nested, "resource_key", "left").join(copies, "resource_key", "left")
-    alone = F.when(F.col("_copies") == 1, F.try_element_at(F.col("_months"), F.lit(1)))
-    pick = F.coalesce(_first_month(F.col("_months"), wanted), alone)
-    valid = (F.col("declared_size") > 0) & (pick["size_bytes"] == F.col("declared_size")) & pick["mp4"]
+    alone = F.when(F.col("_copies") == 1, F.col("_earliest"))
+    pick = F.coalesce(*_first_month(wanted), alone)
+    joined = joined.withColumn("_pick", pick)
+    chosen = F.col("_pick")
+    valid = (F.col("declared_size") > 0) & (chosen["size_bytes"] == F.col("declared_size")) & chosen["mp4"]
     status = (
-        F.when(pick.isNull(), "resource_body_not_local")
+        F.when(chosen.isNull(), "resource_body_not_local")
         .when(F.coalesce(valid, F.lit(False)), "copied")
         .otherwise("resource_validation_failed")
     )
     return joined.select(
-        *messages.columns, status.alias("attachment_status"), F.when(status == "copied", pick["path"]).alias("body_path")
+        *messages.columns, status.alias("attachment_status"), F.when(status == "copied", chosen["path"]).alias("body_path")
     )
 
 
@@ -124,12 +127,12 @@ def match_files_by_name(messages: DataFrame, files: DataFrame, time_zone: str =
     """
     keyed = files.withColumn("_name", normal_form("name", "NFC")).withColumn("_order", F.lit(0))
     nested = _by_month(keyed, ["_name"], ["path", "size_bytes"], "_order")
-    wanted = month_candidates("create_time", (-1, 0, 1), time_zone)
+    wanted = month_columns("create_time", (-1, 0, 1), time_zone)
     named = messages.withColumn("safe_name", safe_source_name("file_name"))
     joined = named.withColumn("_name", normal_form("safe_name", "NFC")).join(nested, "_name", "left")
-    pick = F.coalesce(_first_month(F.col("_months"), wanted), F.try_element_at(F.col("_months"), F.lit(1)))
-    return joined.select(
-        *named.columns, pick["path"].alias("body_path"), pick["size_bytes"].alias("size_bytes")
+    pick = F.coalesce(*_first_month(wanted), "_earliest")
+    return joined.withColumn("_pick", pick).select(
+        *named.columns, F.col("_pick.path").alias("body_path"), F.col("_pick.size_bytes").alias("size_bytes")
     )
 
 

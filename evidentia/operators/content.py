@@ -216,33 +216,32 @@ def parts_from_json_content(
     """Adds ``parts`` for JSON bodies: 1 text, 2 image, 500 file, else card or placeholder."""
     code = F.col(content_type)
     slug = platform.lower()
-    df = df.withColumn("_body", F.try_parse_json(content))
-    body = F.col("_body")
-    attachments = F.try_variant_get(body, "$.attachments", "array<variant>")
-    df = df.withColumn("_attachments", attachments).withColumn(
-        "_ext", _extension(F.try_element_at(F.col("_attachments"), F.lit(1)))
+    body, first, ext = F.col("_body"), F.col("_first"), F.col("_ext")
+    card_keys = ("title", "single_title", "desc", "markdown")
+    is_card = ~code.isin(1, 2, 500)
+
+    def card_texts(attachment: Column) -> Column:
+        extension = _extension(attachment)
+        return F.array(*[_variant_text(extension, f"$.{key}") for key in card_keys])
+
+    cards = F.array_compact(F.flatten(F.transform("_attachments", card_texts)))
+    file_name = F.coalesce(
+        _variant_text(ext, "$.f_name"), F.concat(F.lit(f"{slug}-file-"), F.col(local_id).cast("string"))
+    )
+    # one column per step: each parse happens once, and only for the types that need it
+    df = (
+        df.withColumn("_body", F.try_parse_json(content))
+        .withColumn("_attachments", F.when(~code.isin(1, 2), F.try_variant_get("_body", "$.attachments", "array<variant>")))
+        .withColumn("_first", F.when(code == 500, F.try_element_at("_attachments", F.lit(1))))
+        .withColumn("_ext", _extension(first))
+        .withColumn("_file", F.when(code == 500, file_name))
+        .withColumn("_card", F.when(is_card, F.try_element_at(cards, F.lit(1))))
     )
-    first = F.try_element_at(F.col("_attachments"), F.lit(1))
+    file_name, card = F.col("_file"), F.col("_card")
     image_name = F.coalesce(
         _variant_text(body, "$.filename"),
         F.concat(F.lit(f"{slug}-image-"), F.col(local_id).cast("string"), F.lit(".dat")),
     )
-    file_name = F.coalesce(
-        _variant_text(F.col("_ext"), "$.f_name"),
-        F.concat(F.lit(f"{slug}-file-"), F.col(local_id).cast("string")),
-    )
-    card_keys = ("title", "single_title", "desc", "markdown")
-    card = F.try_element_at(
-        F.array_compact(
-            F.flatten(
-                F.transform(
-                    F.col("_attachments"),
-                    lambda a: F.array(*[_variant_text(_extension(a), f"$.{key}") for key in card_keys]),
-                )
-            )
-        ),
-        F.lit(1),
-    )
     octets = F.lit("application/octet-stream")
     not_resolved = F.lit("local_resource_not_resolved")
     built = (
@@ -269,7 +268,7 @@ def parts_from_json_content(
             part("system", text=F.concat(F.lit(f"[{platform} content type "), code.cast("string"), F.lit("]")))
         )
     )
-    return df.withColumn("parts", F.array(built)).drop("_body", "_attachments", "_ext")
+    return df.withColumn("parts", F.array(built)).drop("_body", "_attachments", "_first", "_ext", "_file", "_card")
 
 
 # --- typed parts, text and resources ---------------------------------------------------------

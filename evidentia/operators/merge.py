@@ -184,10 +184,16 @@ def merge_blobs(files: DataFrame, store: DataFrame | None = None) -> DataFrame:
 
 
 def dedupe_exports(df: DataFrame, key: str, fingerprint: str) -> tuple[DataFrame, DataFrame]:
-    """One row per key for identical copies, and the keys whose copies differ."""
-    bounds = df.groupBy(key).agg(F.min(fingerprint).alias("_low"), F.max(fingerprint).alias("_high"))
-    conflicting = bounds.filter("_low <> _high").select(key)
-    clean = df.dropDuplicates([key]).join(conflicting, key, "left_anti")
+    """One row per key for identical copies, and the keys whose copies differ.
+
+    Copies differ when any of two independent 64-bit digests does; bounds over numbers keep the
+    aggregate in hash form and fold on the map side, however many copies a key has.
+    """
+    digests = [F.xxhash64(fingerprint), F.xxhash64(F.lit("second"), fingerprint)]
+    sides = [f(d).alias(f"_{name}{i}") for i, d in enumerate(digests) for name, f in (("low", F.min), ("high", F.max))]
+    differs = (F.col("_low0") != F.col("_high0")) | (F.col("_low1") != F.col("_high1"))
+    conflicting = df.groupBy(key).agg(*sides).filter(differs).select(key)
+    clean = latest_per_key(df, [key], [F.col(fingerprint).asc()]).join(conflicting, key, "left_anti")
     return clean, conflicting
 
 
