@@ -33,6 +33,11 @@ def keyset_page(
     return df.orderBy(F.col(instant).desc(), F.col(row_id).desc()).limit(limit + 1)
 
 
+def in_page_order(df: DataFrame, instant: str, row_id: str, size: int | None) -> DataFrame:
+    """Newest first again after the page was joined; a page is at most ``size + 1`` rows."""
+    return df if size is None else df.orderBy(F.col(instant).desc(), F.col(row_id).desc())
+
+
 # --- status -----------------------------------------------------------------------------
 
 
@@ -141,7 +146,7 @@ def list_conversations(
     if query:
         listed = listed.filter(F.lower("title").contains(query.lower()))
     listed = listed.withColumn("_activity", F.coalesce("last_activity", F.timestamp_seconds(F.lit(0))))
-    page = keyset_page(listed, "_activity", "conversation_id", after, size).drop("_activity")
+    page = keyset_page(listed, "_activity", "conversation_id", after, size)
     keys = page.select("conversation_id")
     counted = page
     for name, alias in (("messages", "message_count"), ("participants", "participant_count")):
@@ -150,6 +155,7 @@ def list_conversations(
         counted = counted.join(
             side.groupBy("conversation_id").agg(F.count("*").alias(alias)), "conversation_id", "left"
         ).withColumn(alias, F.coalesce(alias, F.lit(0)))
+    counted = in_page_order(counted, "_activity", "conversation_id", size).drop("_activity")
     if "raw_json" not in counted.columns:
         return counted
     raw = F.try_parse_json("raw_json")
@@ -245,7 +251,7 @@ def search_messages(
         typed = tables["parts"].filter(F.col("part_type") == media_type).select("message_id")
         hits = hits.join(typed, "message_id", "left_semi")
     page = keyset_page(hits.drop("search_body"), "sent_at", "message_id", after, size)
-    return with_headers(page, tables)
+    return in_page_order(with_headers(page, tables), "sent_at", "message_id", size)
 
 
 def hydrate_messages(messages: DataFrame, parts: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -458,9 +464,10 @@ def list_candidates(
     if not whole:
         evidence = evidence.join(page.select("candidate_id"), "candidate_id", "left_semi")
     counts = evidence.groupBy("candidate_id").agg(F.count("*").alias("evidence_count"))
-    return page.join(counts, "candidate_id", "left").withColumn(
+    counted = page.join(counts, "candidate_id", "left").withColumn(
         "evidence_count", F.coalesce("evidence_count", F.lit(0))
     )
+    return in_page_order(counted, "last_seen_at", "candidate_id", size)
 
 
 def candidate_evidence(tables: dict[str, DataFrame], candidate_ids: DataFrame | None = None) -> DataFrame:

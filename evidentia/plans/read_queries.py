@@ -11,7 +11,8 @@ from evidentia.operators import resolve, rules
 from evidentia.plans.registry import query
 from evidentia.plans.views import AS_OF, EPOCH, TEST_RULE, Views
 
-AS_OF_COL = F.timestamp_seconds(F.lit(AS_OF))
+def as_of():
+    return F.timestamp_seconds(F.lit(AS_OF))
 
 
 def epoch(column: str):
@@ -182,7 +183,7 @@ FROM s LEFT JOIN (SELECT source_id, count(*) AS n FROM c GROUP BY 1) cc USING (s
     FROM r GROUP BY 1) rc USING (source_id)
   FULL JOIN hb ON hb.source_kind = s.kind AND hb.external_account_id = s.account""")
 def _(v: Views):
-    return Q.source_status(v.tables, AS_OF_COL).select(
+    return Q.source_status(v.tables, as_of()).select(
         *_STATUS_FIELDS, epoch("latest_message_at").alias("latest_message_epoch"),
         epoch("last_successful_import_at").alias("last_import_epoch"), epoch("latest_exported_at").alias("latest_exported_epoch"),
     )

@@ -8,7 +8,8 @@ from evidentia.operators import rules
 from evidentia.plans.registry import query
 from evidentia.plans.views import TEST_RULE, Views
 
-AS_OF = F.timestamp_seconds(F.lit(1706000000))
+def as_of():
+    return F.timestamp_seconds(F.lit(1706000000))
 
 
 @query("unscanned_messages", "E1 anti join", "SELECT message_id, doc_id FROM d1 WHERE message_id NOT IN (SELECT message_id FROM st)")
@@ -70,7 +71,7 @@ def _(v: Views):
     old_at = F.timestamp_seconds(F.lit(1700000000))
     stored = rules.candidate_rows(found.filter(F.col("doc_id") % 3 == 0), TEST_RULE, old_at)
     stored = stored.withColumn("review_status", F.lit("APPROVED")).withColumn("title", F.lit("old title"))
-    fresh = rules.candidate_rows(found.filter(F.col("doc_id") % 2 == 0), TEST_RULE, AS_OF)
+    fresh = rules.candidate_rows(found.filter(F.col("doc_id") % 2 == 0), TEST_RULE, as_of())
     merged = rules.merge_candidates(stored, fresh)
     return merged.select(
         "candidate_id", F.unix_seconds("first_seen_at").alias("first_epoch"), F.unix_seconds("last_seen_at").alias("last_epoch"),
@@ -87,15 +88,15 @@ def _(v: Views):
 
 @query("scan_state_append", "E7", "SELECT message_id, event_type IS NOT NULL AS matched, 'run-1' AS monitor_run_id FROM mt")
 def _(v: Views):
-    return rules.scan_state_rows(v.matched, TEST_RULE, AS_OF, "run-1").select("message_id", "matched", "monitor_run_id")
+    return rules.scan_state_rows(v.matched, TEST_RULE, as_of(), "run-1").select("message_id", "matched", "monitor_run_id")
 
 
 @query("monitor_run_record", "E8", """
 SELECT 'run-1' AS monitor_run_id, 'complete' AS status, count(*) AS scanned_messages, count(event_type) AS candidate_count, 0::BIGINT AS remaining_messages FROM mt""")
 def _(v: Views):
-    state = rules.scan_state_rows(v.matched, TEST_RULE, AS_OF, "run-1")
+    state = rules.scan_state_rows(v.matched, TEST_RULE, as_of(), "run-1")
     progress = rules.scan_progress(v.corpus, v.scan_state, TEST_RULE.id, 1 << 60)
-    run = rules.monitor_run(state, progress, TEST_RULE, AS_OF, "run-1")
+    run = rules.monitor_run(state, progress, TEST_RULE, as_of(), "run-1")
     return run.select("monitor_run_id", "status", "scanned_messages", "candidate_count", "remaining_messages")
 
 
