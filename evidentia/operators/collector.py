@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import constants as K
-from evidentia.operators.ordering import DAY, latest_per_key, time_slice
+from evidentia.operators.ordering import latest_per_key, measured_slice, time_slice
 
 KEY = "detector_id"
 _BEFORE_ALL = -(2**62)
@@ -48,7 +48,7 @@ def _derived_state(explicit: Column, token: Column, before: Column, first: Colum
 
 def probe_states(
     probes: DataFrame, previous: DataFrame | None = None, order: tuple[str, ...] = ("observed_at", "probe_id"),
-    slice_seconds: int = DAY,
+    slice_seconds: float | None = None,
 ) -> DataFrame:
     """The full state machine, one row per probe.
 
@@ -59,14 +59,16 @@ def probe_states(
     user action and has none drops it.
 
     The rows are shuffled once, by (detector, slice). What a slice passes on fits in one row,
-    because only its first token-setting probe depends on the slices before it.
+    because only its first token-setting probe depends on the slices before it. Without
+    ``slice_seconds`` the width is measured, so that a dense detector spreads over many tasks.
     """
+    width = slice_seconds or measured_slice(probes, [KEY], "observed_at")
     within = Window.partitionBy(KEY, "_slice").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carries = F.col("source_token").isNull() & F.col("probe_state").eqNullSafe(F.lit("RETRYABLE_ERROR"))
     sliced = probes.withColumns(
         {
-            "_slice": time_slice("observed_at", slice_seconds),
+            "_slice": time_slice("observed_at", width),
             "_set": F.when(~carries, F.struct(F.col("source_token").alias("token"))),
             "_failed": is_failure("probe_state"),
         }
@@ -242,13 +244,14 @@ def merge_lifecycle(heartbeats: DataFrame, imports: DataFrame) -> tuple[DataFram
     An unbound completion is ignored, and so is one repeating the generation right before it.
     The completions are cut into slices per account so that a busy one spreads.
     """
+    width = measured_slice(imports, ["source_kind", "external_account_id"], "completed_at")
     bound = heartbeats.select(
         KEY, "source_kind", "external_account_id", "observation_scope",
         F.col("last_generation_id").alias("_stored") if "last_generation_id" in heartbeats.columns
         else F.lit(None).cast("string").alias("_stored"),
     )
     rows = imports.join(bound, ["source_kind", "external_account_id"]).withColumn(
-        "_slice", time_slice("completed_at", DAY)
+        "_slice", time_slice("completed_at", width)
     )
     order = F.struct("completed_at", "generation_id")
     ends = rows.groupBy(KEY, "_slice").agg(F.max_by("generation_id", order).alias("_end"))

@@ -14,8 +14,21 @@ HOUR = 3600
 DAY = 86400
 
 
-def time_slice(instant: str | Column, seconds: int = HOUR) -> Column:
-    return F.floor(F.unix_seconds(instant) / F.lit(seconds))
+def time_slice(instant: str | Column, seconds: float = DAY) -> Column:
+    return F.floor(F.unix_micros(instant) / F.lit(max(int(seconds * 1_000_000), 1)))
+
+
+def measured_slice(df: DataFrame, keys: list[str], instant: str, rows: int = 200_000, widest: float = DAY) -> float:
+    """Slice width in seconds at which the densest key has about ``rows`` rows per slice.
+
+    One aggregate over two columns, folded on the map side; a single number reaches the driver.
+    Sparse histories keep wide slices, dense ones get as narrow as they need.
+    """
+    spans = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), (F.max(F.unix_micros(instant)) - F.min(F.unix_micros(instant))).alias("span")
+    )
+    densest = spans.agg(F.max(F.col("n") / (F.col("span") / 1_000_000 + 1))).first()[0]
+    return widest if not densest else min(widest, max(rows / densest, 1e-6))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

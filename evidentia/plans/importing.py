@@ -11,6 +11,7 @@ from evidentia.functions import stable_id
 from evidentia.operators import merge as M
 from evidentia.operators.attachments import resolve_attachments
 from evidentia.operators.validate import manifest_problems, split_valid
+from evidentia.schemas import conform, empty_table
 from evidentia.session import stage
 from evidentia.sources.manifests import (
     conversation_raw,
@@ -21,10 +22,6 @@ from evidentia.sources.manifests import (
     source_rows,
 )
 
-STORE_TABLES = (
-    "sources", "import_runs", "identities", "conversations", "participants", "messages", "parts", "attachments", "blobs",
-)
-
 
 @dataclass
 class ImportResult:
@@ -54,12 +51,7 @@ def import_documents(
     spark = documents.sparkSession
     runs = _with(store, "import_runs")
     if runs is None:
-        known_columns = (
-            "manifest_sha256 string, import_run_id string, source_id string, status string, inserted_messages long, "
-            "reused_messages long, conflicts long, present_attachments long, missing_attachments long, "
-            "exported_at timestamp, finished_at timestamp"
-        )
-        runs = spark.createDataFrame([], known_columns)
+        runs = empty_table(spark, "import_runs")
     problems = stage(manifest_problems(documents), "problems")
     valid, problems = split_valid(documents, problems)
     fresh, repeated = M.split_new_manifests(valid, runs)
@@ -124,4 +116,5 @@ def import_documents(
         "attachments": appended("attachments", attachments.select(*attachment_columns)),
         "blobs": M.merge_blobs(used, _with(store, "blobs")),
     }
+    tables = {name: conform(df, name) for name, df in tables.items()}
     return ImportResult(tables, new_runs, repeated, warnings, problems)

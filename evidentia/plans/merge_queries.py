@@ -239,7 +239,7 @@ def _(v: Views):
 # --- documents ------------------------------------------------------------------------------
 
 
-def raw_documents(v: Views, sequence: int = 1, damaged: bool = False):
+def raw_documents(v: Views, sequence: int = 1, damaged: bool = False, per_document: int = 1):
     """Nested export documents built from the conversations, at most 200 turns each.
 
     The second sequence repeats the even conversations with changed even turns. ``damaged``
@@ -288,14 +288,25 @@ def raw_documents(v: Views, sequence: int = 1, damaged: bool = False):
         F.when(c % 2 == 0, "single").otherwise("group").alias("type"), (c % 4 == 0).alias("participants_complete"),
         F.col("members").alias("participants"), F.transform("items", lambda x: x["body"]).alias("messages"),
     )
+    # conversations of one source (ids that agree modulo 3) share a document, chunk by chunk
+    doc = F.concat_ws("-", F.lit(sequence), "kind", F.floor(c / (3 * per_document)), "chunk") if per_document > 1 else F.concat_ws(
+        "-", F.lit(sequence), "conv_id", "chunk"
+    )
+    rows = chunks.select(
+        doc.alias("doc"), "kind", "account", version.alias("version"), F.struct("conv_id", conversation.alias("body")).alias("item")
+    )
+    if per_document > 1:
+        rows = rows.groupBy("doc", "kind", "account", "version").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    else:
+        rows = rows.withColumn("items", F.array("item"))
     document = F.to_json(
         F.struct(
-            version.alias("schema_version"), F.lit(f"2026-09-0{sequence}T00:00:00Z").alias("exported_at"),
+            F.col("version").alias("schema_version"), F.lit(f"2026-09-0{sequence}T00:00:00Z").alias("exported_at"),
             F.struct(F.col("kind"), F.col("account").alias("account_id"), F.concat(F.lit("Source "), F.col("kind")).alias("display_name")).alias("source"),
-            F.array(conversation).alias("conversations"),
+            F.transform("items", lambda x: x["body"]).alias("conversations"),
         )
     )
-    return chunks.select("conv_id", text("/export/", F.lit(sequence), "-", c, "-", F.col("chunk"), ".json").alias("path"), document.alias("content"))
+    return rows.select("doc", text("/export/", F.col("doc"), ".json").alias("path"), document.alias("content"))
 
 
 def documents(v: Views, sequence: int = 1, damaged: bool = False):

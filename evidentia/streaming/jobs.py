@@ -59,27 +59,31 @@ def read_batches(spark: SparkSession, root: str, schema, before: int | None = No
 
 # --- rule scan --------------------------------------------------------------------------
 
-SCAN_SCHEMA = "message_id string, candidate_id string, event_type string, title string, dedup_key string, sent_at timestamp, batch long"
+SCAN_SCHEMA = "message_id string, candidate_id string, event_type string, title string, dedup_key string, sent_at timestamp"
 
 
 def stream_scan(
-    messages: DataFrame, rule: rules.Rule, out: str, checkpoint: str, continuous: str | None = None
+    messages: DataFrame, rule: rules.Rule, out: str, checkpoint: str, state: DataFrame | None = None,
+    continuous: str | None = None,
 ) -> StreamingQuery:
     """Scan each arriving message once per rule.
 
     Old and late messages are scanned like new ones: what counts is the state by message id,
-    not a time cursor. ``messages`` carry ``message_id, sent_at, body``.
+    not a time cursor. The ids seen so far are keyed state spread over the executors, so a batch
+    costs what it brings, not what was scanned before; the file sink commits each batch once.
+    ``messages`` carry ``message_id, sent_at, body``; ``state`` holds ids of earlier batch scans.
     """
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = read_batches(spark, out, SCAN_SCHEMA, number).select(F.lit(rule.id).alias("rule_id"), "message_id")
-        fresh = batch.dropDuplicates(["message_id"])
-        matched = rules.scan_messages(fresh, done, rule, cap=None)
-        rows = matched.select("message_id", "candidate_id", "event_type", "title", "dedup_key", "sent_at")
-        rows.write.mode("overwrite").parquet(batch_path(out, number))
-
-    return run_batches(messages, each, checkpoint, continuous)
+    fresh = messages.dropDuplicates(["message_id"])
+    if state is not None:
+        done = state.filter(F.col("rule_id") == rule.id).select("message_id")
+        fresh = fresh.join(done, "message_id", "left_anti")
+    matched = rules.match_rules(fresh, rule)
+    rows = matched.select("message_id", "candidate_id", "event_type", "title", "dedup_key", "sent_at")
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint
+    )
+    writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
+    return writer.start()
 
 
 # --- heartbeats ---------------------------------------------------------------------------

@@ -198,9 +198,9 @@ def test_stream_scan_scans_once(spark, tmp_path):
     def drain():
         stream = spark.readStream.schema(first.schema).parquet(folder)
         jobs.stream_scan(stream, rule, out, checkpoint).awaitTermination()
-        return {(r.message_id, r.event_type) for r in jobs.read_batches(spark, out, jobs.SCAN_SCHEMA).collect()}
+        return {(r.message_id, r.event_type) for r in spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).collect()}
 
     assert drain() == {("m0", "registration"), ("m1", None)}
     late.write.mode("append").parquet(folder)
     assert drain() == {("m0", "registration"), ("m1", None), ("m2", "deadline")}
-    assert jobs.read_batches(spark, out, jobs.SCAN_SCHEMA).count() == 3
+    assert spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).count() == 3
