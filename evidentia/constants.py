@@ -24,6 +24,12 @@ EXCERPTS_PER_CONVERSATION = 10
 EXCERPT_CHARS = 240
 TOP_SENDERS = 10
 NO_TEXT_EXCERPT = "[attachment-only message]"
+DIGEST_HEADER = (
+    "# Deterministic inbox digest packet",
+    "This packet is derived from normalized evidence; it is not an AI summary.",
+    "Messages considered: ",
+    "Additional messages omitted by limit: ",
+)
 ATTACHMENT_BYTES = (2097152, 26214400)
 
 # --- fixed values: rule scan -----------------------------------------------------

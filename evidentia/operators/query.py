@@ -7,11 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia import constants as K
-from evidentia.functions import compact, contains_literal, json_field, json_keys_without, literal_words
+from evidentia.functions import (
+    compact,
+    contains_literal,
+    json_field,
+    json_keys_without,
+    json_type,
+    literal_words,
+    strict_variant,
+)
 from evidentia.operators.ordering import HOUR, ranked_in_slices, top_per_key
 from evidentia.operators.validate import ArgumentError, bounded_limit, bounded_offset, one_of, text_argument
 
 MEDIA_TYPES = ("any", "image", "audio", "video", "file")
+ATTACHMENT_KEYS = ("type", "path", "file_name", "mime_type", "transcription")
 PART_KEYS = ("type", "text", "url", "path", "file_name", "mime_type", "transcription")
 
 
@@ -280,6 +289,10 @@ def hydrate_messages(messages: DataFrame, parts: DataFrame, attachments: DataFra
         ).alias("parts")
     )
     bare = messages.drop("parts")
+    if "raw_json" in bare.columns:
+        metadata = F.try_variant_get(strict_variant("raw_json"), "$.metadata", "variant")
+        shown = F.when(json_type(metadata) == "OBJECT", F.nullif(F.to_json(metadata), F.lit("{}")))
+        bare = bare.withColumn("source_metadata", shown)
     return bare.join(nested, "message_id", "left")
 
 
@@ -325,6 +338,8 @@ def attachment_provenance(tables: dict[str, DataFrame], attachment_ids: DataFram
     messages = tables["messages"].select("message_id", "conversation_id", "sent_at", "source_id")
     sources = tables["sources"].select("source_id", F.col("kind").alias("source_kind"), "external_account_id")
     blobs = tables["blobs"].select(F.col("sha256").alias("blob_sha256"), "stored_path")
+    if "raw_json" in attachments.columns:
+        attachments = attachments.withColumn("source_metadata", json_keys_without("raw_json", ATTACHMENT_KEYS))
     return attachments.join(messages, "message_id").join(sources, "source_id").join(blobs, "blob_sha256", "left")
 
 
@@ -388,25 +403,34 @@ def digest_excerpts(window: DataFrame, parts: DataFrame, per_conversation: int =
     )
 
 
-def digest_markdown(counts: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """Text blocks of the digest: one ``sources`` block and one per conversation.
+def digest_markdown(counts: DataFrame, excerpts: DataFrame, truncated: bool = False) -> DataFrame:
+    """Text blocks of the digest: ``header``, ``sources`` and one per conversation.
 
     A block holds at most the excerpts of one conversation, so no row grows with the data;
     ``block_order`` gives the order in which the blocks form the document.
     """
-    sources = counts.filter("section = 'source'").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("k"), "name", "items"))).alias("rows")
-    ).select(
-        F.lit("sources").alias("block"),
+    title, note, considered, omitted = K.DIGEST_HEADER
+    # one row per source kind, of which there are few
+    gathered = counts.filter("section = 'source'").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("k"), "name", "items"))).alias("rows"),
+        F.coalesce(F.sum("items"), F.lit(0)).alias("total"),
+    )
+    header = gathered.select(
+        F.lit("header").alias("block"),
         F.lit("").alias("block_order"),
-        F.array_join(
-            F.concat(
-                F.array(F.lit("## Source counts")),
-                F.transform("rows", lambda r: F.concat(F.lit("- "), r["name"], F.lit(": "), r["items"].cast("string"))),
-            ),
-            "\n",
+        F.concat(
+            F.lit(f"{title}\n\n{note}\n{considered}"), F.col("total").cast("string"),
+            F.lit(f"\n{omitted}{'yes' if truncated else 'no'}"),
         ).alias("markdown"),
     )
+    source_lines = F.transform(
+        "rows", lambda r: F.concat(F.lit("- "), r["name"], F.lit(": "), r["items"].cast("string"))
+    )
+    sources = gathered.select(
+        F.lit("sources").alias("block"),
+        F.lit("0").alias("block_order"),
+        F.array_join(F.concat(F.array(F.lit("## Source counts")), source_lines), "\n").alias("markdown"),
+    )
     stamp = F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = F.concat(
         F.lit("- "), stamp, F.lit(" "), F.col("sender_display_name"), F.lit(": "), F.col("excerpt"),
@@ -422,6 +446,7 @@ def digest_markdown(counts: DataFrame, excerpts: DataFrame) -> DataFrame:
     conversations = blocks.select(
         F.col("conversation_id").alias("block"),
         F.concat(
+            F.lit("1:"),
             F.lpad((F.lit(10**12) - F.unix_seconds("conversation_newest_at")).cast("string"), 13, "0"),
             F.lit(":"), F.col("conversation_id"),
         ).alias("block_order"),
@@ -434,7 +459,7 @@ def digest_markdown(counts: DataFrame, excerpts: DataFrame) -> DataFrame:
             "\n",
         ).alias("markdown"),
     )
-    return sources.unionByName(conversations)
+    return header.unionByName(sources).unionByName(conversations)
 
 
 # --- candidates -----------------------------------------------------------------------------

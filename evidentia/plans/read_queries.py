@@ -310,6 +310,9 @@ def _(v: Views):
 
 @query("digest_markdown_blocks", "R13", """
 SELECT block, markdown FROM (
+  SELECT 'header' AS block, '# Deterministic inbox digest packet' || chr(10) || chr(10) || 'This packet is derived from normalized evidence; it is not an AI summary.'
+    || chr(10) || 'Messages considered: ' || count(*) || chr(10) || 'Additional messages omitted by limit: no' AS markdown FROM m
+  UNION ALL
   SELECT 'sources' AS block, '## Source counts' || chr(10) || string_agg('- ' || kind || ': ' || n, chr(10) ORDER BY n DESC, kind) AS markdown
   FROM (SELECT kind, count(*) AS n FROM m GROUP BY 1)
   UNION ALL

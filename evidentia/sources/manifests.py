@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.constants import TEXT_PART_TYPES, UNKNOWN_FILE, UNKNOWN_SENDER
 from evidentia.functions import base_name, canonical_json, json_keys_without, parse_instant, stable_id
+from evidentia.operators.ordering import ranked_in_slices
 
 # Conversations stay separate variants: one document may hold many, and each is bounded alone.
 DOCUMENT_SCHEMA = "schema_version variant, source variant, exported_at variant, conversations array<variant>"
@@ -217,6 +218,11 @@ def flatten_manifests(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def iso_instant(instant: str | Column) -> Column:
+    """UTC text of an instant, microseconds kept."""
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def _quoted(text: str | Column) -> Column:
     """JSON string literal of a text column."""
     encoded = F.to_json(F.array(text))
@@ -236,46 +242,58 @@ def build_manifests(
     messages: DataFrame,
     schema_version: str,
     rows_per_document: int = 5000,
+    exported_at: Column | None = None,
 ) -> DataFrame:
     """Normalised rows back to documents of bounded size, everything in canonical order.
 
-    ``messages`` carries ``raw_json`` per message, ``participants`` ``relation_raw``. A
-    conversation is cut into consecutive chunks, so no group grows with the data; importing
-    all chunks yields the same store, because messages merge and partial rosters merge.
+    ``messages`` carries ``raw_json`` per message, ``participants`` ``relation_raw``;
+    ``conversations`` may carry ``extra_json`` with further fields and ``participants_complete``.
+    A conversation is cut into consecutive chunks, so no group grows with the data. Chunk
+    ``k`` is dated ``k`` microseconds after ``exported_at`` and only chunk 0 declares a complete
+    roster: importing all chunks replaces the roster once and then merges the rest.
     """
-    from evidentia.operators.ordering import ranked_in_slices
-
     ranked = ranked_in_slices(messages, ["conversation_id"], ["sent_at", "external_message_id"], "sent_at")
     chunked = ranked.withColumn("chunk", F.floor((F.col("row_rank") - 1) / rows_per_document))
     message_lists = chunked.groupBy("conversation_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("row_rank", "raw_json"))).alias("items"),
-        F.max("sent_at").alias("last_at"),
+        F.array_sort(F.collect_list(F.struct("row_rank", "raw_json"))).alias("items")
     )
     members = participants.select(
         "conversation_id", F.struct("external_identity_id", "relation_raw").alias("member")
     )
-    spread = F.pmod(F.xxhash64("member.external_identity_id"), F.lit(1 << 20))
-    sizes = members.groupBy("conversation_id").agg(F.count("*").alias("members"))
+    sizes = members.groupBy("conversation_id").agg(F.ceil(F.count("*") / rows_per_document).alias("buckets"))
     member_lists = (
         members.join(sizes, "conversation_id")
-        .withColumn("buckets", F.ceil(F.col("members") / rows_per_document))
-        .withColumn("chunk", F.pmod(spread, F.col("buckets")))
+        .withColumn("chunk", F.pmod(F.xxhash64("member.external_identity_id"), F.col("buckets")))
         .groupBy("conversation_id", "chunk")
         .agg(F.array_sort(F.collect_list("member")).alias("members"))
     )
-    pieces = message_lists.join(member_lists, ["conversation_id", "chunk"], "full")
-    head = conversations.select("conversation_id", "source_id", "external_conversation_id", "title", "conversation_type")
+    keys = ["conversation_id", "chunk"]
+    first = conversations.select("conversation_id", F.lit(0).cast("long").alias("chunk")).distinct()
+    pieces = message_lists.join(member_lists, keys, "full").join(first, keys, "full")
+    absent = {"extra_json": F.lit("{}"), "participants_complete": F.lit(False)}
+    head = conversations.select(
+        "conversation_id", "source_id", "external_conversation_id", "title", "conversation_type",
+        *[(F.col(c) if c in conversations.columns else v).alias(c) for c, v in absent.items()],
+    )
     named = pieces.join(head, "conversation_id").join(sources, "source_id")
+    extra = F.regexp_extract("extra_json", r"(?s)^\{(.*)\}$", 1)
+    complete = F.when(F.col("participants_complete") & (F.col("chunk") == 0), "true").otherwise("false")
     conversation = F.concat(
         F.lit('{"source_conversation_id":'), _quoted("external_conversation_id"),
         F.lit(',"title":'), _quoted("title"),
         F.lit(',"type":'), _quoted("conversation_type"),
+        F.lit(',"participants_complete":'), complete,
+        F.when(extra != "", F.concat(F.lit(","), extra)).otherwise(""),
         F.lit(',"participants":'), _joined("members", "relation_raw"),
         F.lit(',"messages":'), _joined("items", "raw_json"),
         F.lit("}"),
     )
+    dated = F.lit("")
+    if exported_at is not None:
+        moment = F.timestamp_micros(F.unix_micros(exported_at) + F.col("chunk"))
+        dated = F.concat(F.lit(',"exported_at":"'), iso_instant(moment), F.lit('"'))
     document = F.concat(
-        F.lit('{"schema_version":'), _quoted(F.lit(schema_version)),
+        F.lit('{"schema_version":'), _quoted(F.lit(schema_version)), dated,
         F.lit(',"source":'),
         F.to_json(F.struct(F.col("kind"), F.col("external_account_id").alias("account_id"), F.col("display_name"))),
         F.lit(',"conversations":['), conversation, F.lit("]}"),

@@ -168,6 +168,17 @@ def test_hydration_keeps_residue(stored):
     page = Q.search_messages(t, "capacity_A")
     row = Q.hydrate_messages(page, t["parts"], t["attachments"]).first()
     assert row.parts[0].source_metadata == '{"tone":"calm"}'
+    assert row.source_metadata == '{"seq":1}'
+
+
+def test_digest_document(stored):
+    t = stored["tables"]
+    window = Q.digest_window(t)
+    blocks = Q.digest_markdown(Q.digest_counts(window, t["attachments"]), Q.digest_excerpts(window, t["parts"]))
+    text = "\n\n".join(r.markdown for r in blocks.orderBy("block_order").collect())
+    assert text.startswith("# Deterministic") and "Messages considered: 4" in text
+    assert text.index("### Ann") < text.index("### Club room")
+    assert "2026-08-30T01:02:00Z Zoe: spoken words (message_id=msg_" in text
 
 
 def test_context_and_roster(spark, stored):
