@@ -10,7 +10,6 @@ from evidentia import constants as K
 from evidentia.functions import (
     compact,
     contains_literal,
-    json_field,
     json_keys_without,
     json_type,
     literal_words,
@@ -195,7 +194,7 @@ def conversation_roster(
     members = tables["participants"]
     if conversation_ids is not None:
         members = members.join(conversation_ids.select("conversation_id"), "conversation_id", "left_semi")
-    role = json_field("relation_raw", "$.role")
+    role = F.get_json_object("relation_raw", "$.role")
     joined = members.withColumn("role", role).join(
         tables["identities"].select("identity_id", "external_identity_id", "display_name", "is_self"), "identity_id"
     )

@@ -89,7 +89,7 @@ def _(v: Views):
     return C.parts_from_type_code(rows, markup=False).groupBy("base_type").agg(F.count("*").alias("rows"))
 
 
-def _json_bodies(v: Views):
+def json_bodies(v: Views):
     k = F.col("o_orderkey")
     kind = F.when(k % 5 == 0, 1).when(k % 5 == 1, 2).when(k % 5 == 2, 500).when(k % 5 == 3, 1200).otherwise(77)
     extension = text('{"f_name":"doc ', k, '.pdf","title":"Card ', k, '"}')
@@ -112,7 +112,7 @@ SELECT o_orderkey AS local_id, CASE o_orderkey % 5 WHEN 0 THEN 'text' WHEN 1 THE
   CASE o_orderkey % 5 WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'application/pdf' END AS mime FROM orders""")
 def _(v: Views):
     part = F.element_at("parts", 1)
-    return C.parts_from_json_content(_json_bodies(v)).select(
+    return C.parts_from_json_content(json_bodies(v)).select(
         "local_id", part["type"].alias("part_type"), part["text"].alias("body"), part["file_name"].alias("file_name"),
         part["url"].alias("url"), part["mime_type"].alias("mime"),
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import time
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from evidentia.operators import validate
+from evidentia.operators.resolve import adapter_summary, session_gaps
+from evidentia.plans import adapting
+from evidentia.plans.content_queries import json_bodies
 from evidentia.plans.merge_queries import documents, raw_documents
 from evidentia.plans.registry import query
 from evidentia.plans.views import TEST_RULE, Views, text
@@ -233,6 +235,83 @@ def _(v: Views):
     return validate.audit_store(t)
 
 
+# --- adapters -----------------------------------------------------------------------------------
+
+
+@query("group_export_adapter", "S3 V3 J7 J10 H19 adapter", """
+SELECT 'group:peer-' || conv_id AS external_conversation_id, count(*) AS messages, count(*) FILTER (role = 'user') AS outgoing, count(*) FILTER (role = 'assistant') AS incoming,
+  count(*) FILTER (role = 'system') AS system, (SELECT count(DISTINCT r) FROM (SELECT role AS r FROM conversations i WHERE i.conv_id = o.conv_id UNION ALL SELECT 'user')) AS participants
+FROM conversations o WHERE conv_id % 9 <> 8 AND conv_id % 2 = 0 GROUP BY conv_id""")
+def _(v: Views):
+    docs = group_exports.parse_group_exports(_group_documents(v))
+    c = F.col("conv_id")
+    allowed = v.table("conversations").filter(c % 2 == 0).select(text("peer-", c).alias("allowed_id"))
+    export = adapting.adapt_group_exports(docs, allowed, "acct", "Own account")
+    people = export.participants.groupBy("conversation_id").agg(F.count("*").alias("participants"))
+    counts = adapter_summary(export.messages, ["conversation_id", "external_conversation_id"])
+    return counts.join(people, "conversation_id").select(
+        "external_conversation_id", "messages", "outgoing", "incoming", "system", "participants"
+    )
+
+
+@query("sharded_export_adapter", "S4 J1 J3 J5 J7 J10 C1 C2 adapter", """
+SELECT chat AS external_conversation_id, count(*) AS messages, count(*) FILTER (username = 'Supplier#000000007') AS outgoing,
+  count(*) FILTER (username <> 'Supplier#000000007') AS incoming, count(*) FILTER (username IS NULL) AS unknown,
+  count(*) FILTER (local_type & 4294967295 = 1) AS texts, count(*) FILTER (local_type & 4294967295 IN (3, 47)) AS images
+FROM sh LEFT JOIN nm USING (shard, sender_row) WHERE chat IN (SELECT 'user-' || p_partkey FROM part WHERE p_size > 5) GROUP BY 1""")
+def _(v: Views):
+    rows = v.shards.drop("chat").withColumns(
+        {"sort_seq": F.lit(0), "message_content": F.encode(text("body ", F.col("l_orderkey")), "UTF-8"), "content_type": F.lit(0)}
+    )
+    sessions = v.table("part").filter("p_size > 5").select(
+        text("user-", F.col("p_partkey")).alias("chat"), (F.col("p_size").cast("long") * 1000).alias("last_timestamp")
+    )
+    contacts = v.table("supplier").select(
+        F.col("s_name").alias("username"), F.col("s_suppkey").alias("member_id"), F.lit("").alias("remark"),
+        F.col("s_name").alias("nick_name"), F.lit(None).cast("string").alias("alias"),
+    )
+    titles = sessions.select("chat", F.lit("").alias("session_title"))
+    tables = adapting.ShardedTables(rows, sessions, titles, contacts, v.name_map)
+    messages = adapting.adapt_sharded(tables, "Supplier#000000007").messages
+    kind = F.col("parts")[0]["type"]
+    counts = messages.groupBy("external_conversation_id").agg(
+        F.count("*").alias("messages"), *[F.count_if(F.col("direction") == d).alias(d) for d in ("outgoing", "incoming", "unknown")],
+        F.count_if(kind == "text").alias("texts"), F.count_if(kind == "image").alias("images"),
+    )
+    return counts
+
+
+@query("keyed_export_adapter", "S5 J7 C4 F4 adapter", """
+SELECT 'c' || o_custkey AS external_conversation_id, count(*) AS messages, count(*) FILTER (o_orderkey % 7 = 3) AS outgoing,
+  count(*) FILTER (o_orderkey % 7 NOT IN (0, 3)) AS incoming, count(*) FILTER (o_orderkey % 7 = 0) AS unknown,
+  count(*) FILTER (o_orderkey % 5 IN (0, 3)) AS texts, max(epoch(o_orderdate))::BIGINT AS newest_epoch
+FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1""")
+def _(v: Views):
+    k = F.col("o_orderkey")
+    seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    bodies = json_bodies(v).select(F.col("local_id").alias("o_orderkey"), F.col("content_type").alias("contentType"), "content")
+    rows = v.table("orders").join(bodies, "o_orderkey").select(
+        text("tbmsg_", F.lpad((k % 128).cast("string"), 3, "0")).alias("table_name"), text("p", k).alias("primaryKey"),
+        text("c", F.col("o_custkey")).alias("cid"), k.alias("localId"), F.when(k % 2 == 0, text("m", k)).alias("mid"),
+        F.when(k % 7 != 0, (k % 7).cast("string")).alias("senderId"), F.when(k % 2 == 0, seconds).otherwise(seconds * 1000).alias("createdAt"),
+        "contentType", "content", F.lit(1).alias("messageStatus"), F.lit(0).alias("recallStatus"), F.lit("{}").alias("extension"),
+    )
+    c = F.col("c_custkey")
+    conversations = v.table("customer").filter(c % 3 != 0).select(
+        text("c", c).alias("cid"), F.lit(2).alias("type"), F.col("c_name").alias("title"), F.lit(3).alias("memberCount"),
+        c.alias("lastModify"), c.alias("createAt"), F.lit(0).alias("unreadCount"),
+    )
+    profiles = v.table("supplier").select(
+        F.col("s_suppkey").cast("string").alias("username"), F.col("s_name").alias("alias"), F.lit("").alias("nick"), F.lit("").alias("real_name")
+    )
+    messages = adapting.adapt_keyed(rows, conversations, profiles, "acct", "3").messages
+    kind = F.col("parts")[0]["type"]
+    return messages.groupBy("external_conversation_id").agg(
+        F.count("*").alias("messages"), *[F.count_if(F.col("direction") == d).alias(d) for d in ("outgoing", "incoming", "unknown")],
+        F.count_if(kind == "text").alias("texts"), F.max(F.unix_seconds("sent_at")).alias("newest_epoch"),
+    )
+
+
 # --- shards -----------------------------------------------------------------------------------
 
 
@@ -246,8 +325,6 @@ def _(v: Views):
 
 @query("shard_missing_tables", "S4 anti join", "SELECT 'user-' || p_partkey AS chat FROM part WHERE 'user-' || p_partkey NOT IN (SELECT chat FROM sh)")
 def _(v: Views):
-    from evidentia.operators.resolve import session_gaps
-
     sessions = v.table("part").select(text("user-", F.col("p_partkey")).alias("chat"))
     return session_gaps(sessions, v.shards.select("table_name")).select("chat")
 
@@ -273,7 +350,7 @@ def _(v: Views):
 @query("shard_partition_read", "S4 S5 partition columns", "SELECT shard, count(*) AS rows, max(create_time) AS newest FROM sh WHERE shard IN ('message_1.db', 'message_3.db') GROUP BY 1")
 def _(v: Views):
     path = scratch_path(v.spark, "shards")
-    v.shards.repartition("shard").write.partitionBy("shard").parquet(path)
+    v.shards.write.partitionBy("shard").parquet(path)
     rows = shards.read_shards(v.spark, path).filter(F.col("shard").isin("message_1.db", "message_3.db"))
     return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.max("create_time").alias("newest"))
 
@@ -338,18 +415,20 @@ def _(v: Views):
     return jobs.read_batches(v.spark, out, "message_id string, conversation_id string, batch long").drop("batch")
 
 
-def _replayed(v: Views, df, label: str, order: str, batches: int = 3):
-    """Write a table as a few files in time order and read it as a stream, one file per batch."""
+def _replay(v: Views, df, label: str, order: str, start, batches: int = 3) -> None:
+    """Let a table arrive in parts by time; the stream is drained after each arrival.
+
+    Every part keeps its own partitioning, and the stream resumes from its checkpoint.
+    """
     path = scratch_path(v.spark, label)
-    bounds = df.select(F.percentile_approx(F.col(order).cast("double"), [i / batches for i in range(1, batches)]).alias("b")).first()["b"]
+    steps = [i / batches for i in range(1, batches)]
+    bounds = df.select(F.percentile_approx(F.col(order).cast("double"), steps).alias("b")).first()["b"]
     piece = F.lit(0)
     for bound in bounds:
         piece = piece + (F.col(order).cast("double") > bound).cast("int")
-    cut = df.withColumn("piece", piece)
     for number in range(batches):
-        cut.filter(F.col("piece") == number).drop("piece").coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.05)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(piece == number).write.mode("append").parquet(path)
+        start(v.spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @query("stream_rule_scan", "E11 E1-E7", "SELECT message_id, event_type, candidate_id, title FROM mt1 JOIN (SELECT message_id, candidate_id FROM mt) USING (message_id)".replace("FROM mt1 JOIN", "FROM (SELECT message_id, event_type, title FROM mt) JOIN"))
@@ -357,8 +436,11 @@ def _(v: Views):
     # every message arrives twice and some were scanned before the stream started
     arriving = v.corpus.select("message_id", "sent_at", "body")
     out, checkpoint = scratch_path(v.spark, "scan"), scratch_path(v.spark, "checkpoint")
-    stream = _replayed(v, arriving.unionByName(arriving), "messages", "sent_at")
-    jobs.stream_scan(stream, TEST_RULE, out, checkpoint, stage(v.scan_state, "scanned")).awaitTermination()
+    done = stage(v.scan_state, "scanned")
+    _replay(
+        v, arriving.unionByName(arriving), "messages", "sent_at",
+        lambda stream: jobs.stream_scan(stream, TEST_RULE, out, checkpoint, done),
+    )
     rows = v.spark.read.schema(jobs.SCAN_SCHEMA).parquet(out)
     return rows.select("message_id", "event_type", "candidate_id", "title")
 
@@ -367,7 +449,7 @@ def _(v: Views):
 SELECT probe_id, state, effective_token, consecutive_failures, transition FROM ps""")
 def _(v: Views):
     out, checkpoint = scratch_path(v.spark, "hearts"), scratch_path(v.spark, "checkpoint")
-    jobs.stream_heartbeats(_replayed(v, v.probes, "probes", "observed_at"), out, checkpoint).awaitTermination()
+    _replay(v, v.probes, "probes", "observed_at", lambda stream: jobs.stream_heartbeats(stream, out, checkpoint))
     schema = "probe_id long, state string, effective_token string, consecutive_failures long, transition boolean, batch long"
     return jobs.read_batches(v.spark, f"{out}/states", schema).drop("batch")
 
@@ -377,7 +459,7 @@ SELECT substr(sha256(shard || chr(0) || table_name), 1, 24) AS stream_id, count(
 def _(v: Views):
     out, checkpoint = scratch_path(v.spark, "marks"), scratch_path(v.spark, "checkpoint")
     slim = v.shards.select("shard", "table_name", "local_id", "create_time")
-    jobs.stream_watermarks(_replayed(v, slim, "rows", "create_time"), out, checkpoint).awaitTermination()
+    _replay(v, slim, "rows", "create_time", lambda stream: jobs.stream_watermarks(stream, out, checkpoint))
     schema = "stream_id string, rows long, max_local_id long, max_create_time long, batch long"
     return jobs.fold_watermarks(jobs.read_batches(v.spark, out, schema))
 
@@ -391,8 +473,10 @@ SELECT detector_id, first_us, last_us + 1800000000 AS fires_us, n AS changes FRO
 def _(v: Views):
     changes = v.states.filter("state = 'CHANGE_OBSERVED'").select("detector_id", F.col("observed_at").alias("changed_at"))
     out, checkpoint = scratch_path(v.spark, "bursts"), scratch_path(v.spark, "checkpoint")
-    stream = _replayed(v, changes, "changes", "changed_at")
-    jobs.stream_quiet_captures(stream, 1800, "0 seconds", out, checkpoint).awaitTermination()
+    _replay(
+        v, stage(changes, "bursts"), "changes", "changed_at",
+        lambda stream: jobs.stream_quiet_captures(stream, 1800, "0 seconds", out, checkpoint),
+    )
     rows = v.spark.read.schema("detector_id string, first_change_at timestamp, fires_at timestamp, changes long").parquet(out)
     return rows.select("detector_id", F.unix_micros("first_change_at").alias("first_us"), F.unix_micros("fires_at").alias("fires_us"), "changes")
 
