@@ -58,8 +58,8 @@ def probe_states(
     A failed retryable probe without a token keeps the token before it; a probe that needs
     user action and has none drops it.
 
-    The rows are shuffled once, by (detector, slice). What a slice passes on fits in one row,
-    because only its first token-setting probe depends on the slices before it. Without
+    The rows are shuffled by (detector, slice), never by detector alone. What a slice passes on
+    fits in one row, because only its first token-setting probe depends on the slices before. Without
     ``slice_seconds`` the width is measured, so that a dense detector spreads over many tasks.
     """
     width = slice_seconds or measured_slice(probes, [KEY], "observed_at")
