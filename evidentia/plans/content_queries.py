@@ -49,7 +49,7 @@ def _marked(v: Views):
     markup = F.when(k % 7 == 0, F.concat(F.lit("junk "), app, F.lit("<"))).when(k % 2 == 0, F.concat(F.lit("<msg>"), app, F.lit("</msg>"))).otherwise(app)
     place = text('<msg><location poiname="', F.when(k % 3 == 0, "").otherwise(text("Poi ", k)), '" label="Label ', k, '"/></msg>')
     code = F.when(k % 4 == 0, 49).when(k % 4 == 1, 48).otherwise(k % 60)
-    body = F.when(code == 49, markup).when(code == 48, place).otherwise(text("body ", k))
+    body = F.when(k % 4 == 0, markup).when(k % 4 == 1, place).otherwise(text("body ", k))
     return v.table("part").select(k.alias("local_id"), code.cast("long").alias("base_type"), body.alias("text"), "p_name")
 
 
@@ -58,13 +58,15 @@ mk AS (SELECT p_partkey AS k, p_name, CASE p_partkey % 4 WHEN 0 THEN 49 WHEN 1 T
 
 
 @query("app_markup", "C3", """
-SELECT p_partkey AS local_id, p_partkey % 7 <> 0 AS is_app, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS title,
-  CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 8)::VARCHAR END AS app_type, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 3 = 0 THEN 'http://x.example/' || p_partkey END AS url
-FROM part WHERE p_partkey % 4 = 0""")
+SELECT p_partkey AS local_id, app AS is_app, CASE WHEN app THEN p_name END AS title, CASE WHEN app THEN (p_partkey % 8)::VARCHAR END AS app_type,
+  CASE WHEN app AND p_partkey % 3 = 0 THEN 'http://x.example/' || p_partkey END AS url,
+  CASE WHEN p_partkey % 4 = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Label ' ELSE 'Poi ' END || p_partkey END AS place
+FROM (SELECT *, p_partkey % 4 = 0 AND p_partkey % 7 <> 0 AS app FROM part)""")
 def _(v: Views):
-    rows = _marked(v).filter("base_type = 49")
-    found = C.with_markup(rows.filter(F.col("local_id") % 4 == 0), "text")
-    return found.select("local_id", "is_app", F.col("app_title").alias("title"), "app_type", F.col("app_url").alias("url"))
+    found = C.with_markup(_marked(v), "text")
+    return found.select(
+        "local_id", "is_app", F.col("app_title").alias("title"), "app_type", F.col("app_url").alias("url"), "place"
+    )
 
 
 @query("typed_parts_codes", "C2 C3", f""", {_MARKED}

@@ -61,7 +61,7 @@ def _(v: Views):
     return flat["participants"].select("conversation_id", "identity_id", "external_identity_id", "display_name", "is_self")
 
 
-@query("manifest_export", "S9 L6 round trip", """
+@query("manifest_export", "S1 S9 L6 round trip", """
 SELECT m.message_id, m.conversation_id, sent_epoch, sha256(search_body) AS body_sha256 FROM m JOIN body USING (message_id)""")
 def _(v: Views):
     flat = manifests.flatten_manifests(documents(v))
@@ -70,9 +70,9 @@ def _(v: Views):
     written = manifests.build_manifests(
         sources, conversations, flat["participants"], flat["messages"], "evidence-import/v1", rows_per_document=3
     )
-    again = manifests.parse_documents(
-        written.select(F.concat_ws("/", F.lit("/export"), "conversation_id", "chunk").alias("path"), F.col("document").alias("content"))
-    )
+    path = scratch_path(v.spark, "lines")
+    manifests.write_manifest_lines(written, path)
+    again = manifests.read_manifest_lines(v.spark, path)
     rows = manifests.flatten_manifests(again)["messages"]
     return rows.select(
         "message_id", "conversation_id", F.unix_seconds("sent_at").alias("sent_epoch"), F.sha2("search_body", 256).alias("body_sha256")

@@ -42,6 +42,17 @@ def read_manifests(spark: SparkSession, path: str, glob: str = "*.json") -> Data
     return parse_documents(raw)
 
 
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Many documents per file, one per line: splits like any text and avoids small files."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return parse_documents(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+
+
+def write_manifest_lines(documents: DataFrame, path: str) -> None:
+    """Sink for ``build_manifests``: one document per line."""
+    documents.select("document").write.text(path)
+
+
 def source_rows(documents: DataFrame) -> DataFrame:
     kind, account = _text("doc.source", "kind"), _text("doc.source", "account_id")
     return documents.select(

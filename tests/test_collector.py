@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import collector as C
 from evidentia.operators import query as Q
 from evidentia.operators import snapshots as S
-from evidentia.operators.ordering import ranked_in_slices
+from evidentia.operators.ordering import measured_slice, ranked_in_slices
 
 START = datetime(2026, 8, 1, tzinfo=timezone.utc)
 SCHEMA = (
@@ -191,6 +191,15 @@ def test_sliced_ranks_equal_plain_ranks(spark):
     assert got == expected
 
 
+def test_slice_width_follows_density(spark):
+    dense = spark.range(1000).select(F.lit("d").alias("key"), F.timestamp_seconds(F.col("id")).alias("at"))
+    assert 90 < measured_slice(dense, ["key"], "at", rows=100) < 110
+    assert measured_slice(dense, ["key"], "at") == 86400
+    assert measured_slice(dense.limit(0), ["key"], "at") == 86400
+    burst = dense.withColumn("at", F.timestamp_seconds(F.lit(5)))
+    assert measured_slice(burst, ["key"], "at", rows=100) == 0.1
+
+
 def test_context_matches_brute_force(spark):
     rng = random.Random(8)
     rows = [(f"m{i:03}", rng.choice("xxxy"), START + timedelta(seconds=rng.randrange(9000))) for i in range(200)]

@@ -8,7 +8,14 @@ from evidentia.operators import query as Q
 from evidentia.operators.validate import ArgumentError, manifest_problems
 from evidentia.plans.importing import import_documents
 from evidentia.sources.files import scan_files
-from evidentia.sources.manifests import build_manifests, flatten_manifests, parse_documents, read_manifests
+from evidentia.sources.manifests import (
+    build_manifests,
+    flatten_manifests,
+    parse_documents,
+    read_manifest_lines,
+    read_manifests,
+    write_manifest_lines,
+)
 from evidentia.sources.store import current_version, read_store, write_store
 from tests.helpers import VERSION, manifest, write
 
@@ -265,6 +272,16 @@ def test_export_round_trip(spark, stored):
     assert sorted(back["participants"].select(*members).collect()) == sorted(flat["participants"].select(*members).collect())
 
 
+def test_documents_as_lines(spark, stored, tmp_path):
+    flat = flatten_manifests(read_manifests(spark, stored["folder"]))
+    sources = flat["sources"].select("source_id", "kind", "external_account_id", "display_name").distinct()
+    documents = build_manifests(sources, flat["conversations"], flat["participants"], flat["messages"], VERSION, 2)
+    path = str(tmp_path / "lines")
+    write_manifest_lines(documents, path)
+    back = read_manifest_lines(spark, path)
+    assert back.count() == documents.count() and manifest_problems(back).count() == 0
+
+
 def test_store_versions(spark, stored, tmp_path):
     root = str(tmp_path / "s")
     assert current_version(spark, root) == 0
