@@ -97,6 +97,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return Model(vectors, layer, (np.log(there / there.sum()) - np.log(drawn / drawn.sum())).astype(np.float32), bits, orders)
 
 
+def scored(bodies: list[str | None], model: Model) -> list[float]:
+    """Probability of label 1 for each text."""
+    out = []
+    for body in bodies:
+        ids, counts = subwords(body or "", model.bits, model.orders)
+        hidden = counts @ model.vectors[ids] / counts.sum()
+        out.append(float(softmax((hidden @ model.layer + model.bias).astype(np.float64))[1]))
+    return out
+
+
 def quality_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Probability of label 1 for every whole text: the id, the columns ``keep``, score.
 
@@ -110,14 +120,23 @@ def quality_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     names = rows.columns[:-1]
 
     def score(batches):
-        m = shared.value
         for batch in batches:
-            scores = []
-            for body in batch.column(len(names)).to_pylist():
-                ids, counts = subwords(body, m.bits, m.orders)
-                hidden = counts @ m.vectors[ids] / counts.sum()
-                scores.append(float(softmax((hidden @ m.layer + m.bias).astype(np.float64))[1]))
+            scores = scored(batch.column(len(names)).to_pylist(), shared.value)
             yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     return rows.mapInArrow(score, f"{types}, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all columns unchanged; each row is judged by itself."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def choose(batches):
+        for batch in batches:
+            scores = scored(batch.column(place).to_pylist(), shared.value)
+            yield batch.filter(pa.array([x >= least for x in scores]))
+
+    return docs.mapInArrow(choose, docs.schema)
