@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import exact, language, mixing, neighbours, packing, personal, quality
+from evidentia.llm import exact, hidden, language, mixing, neighbours, packing, personal, quality
 from evidentia.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op5_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def op6_language_model(spark: SparkSession, root: str) -> DataFrame:
+    rows = hidden.language_scores(table(spark, root, "documents"), fold("doc_id", 10) != 0)
+    return rows.drop("learn").withColumn("held_out", held_out(10, 0))
+
+
 def op7_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -69,6 +74,6 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_exact_dedup, op4_quality, op5_packing, op7_mixing, op8_neighbours, op9_personal, op10_language)
+    f.__name__: f for f in (op3_exact_dedup, op4_quality, op5_packing, op6_language_model, op7_mixing, op8_neighbours, op9_personal, op10_language)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": EXACT_SQL}
