@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import exact, mixing, packing, quality
+from evidentia.llm import exact, jaccard, mixing, packing, quality
 from evidentia.llm.common import table
 from evidentia.llm.queries import quality_model
 from evidentia.session import stage
@@ -24,6 +24,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.without_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more over five-word shingles, the least doc_id."""
+    return jaccard.without_near_copies(docs, n=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that is taken more than once is there as often."""
     return mixing.mixed_documents(docs)
@@ -37,6 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

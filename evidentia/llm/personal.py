@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -249,12 +248,3 @@ def redacted(text: str, spans: list[Span]) -> str:
             out += [text[at:start], f"[{KINDS[kind]}]"]
         at = max(at, end)
     return "".join(out) + text[at:]
-
-
-def digest(spans: list) -> str:
-    """kind:start:end of each span, comma-joined."""
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

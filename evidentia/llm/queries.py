@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import exact, hidden, jaccard, language, mixing, neighbours, packing, personal, quality
+from evidentia.llm import exact, hidden, jaccard, language, mixing, neighbours, packing, personal, quality, repeats
 from evidentia.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def held_out(folds: int, aside: int):
     return F.coalesce(fold("doc_id", folds) == aside, F.lit(False))
 
 
+def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, root, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, root, "documents"))
 
@@ -78,6 +83,6 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_jaccard_join, op3_exact_dedup, op4_quality, op5_packing, op6_language_model, op7_mixing, op8_neighbours, op9_personal, op10_language)
+    f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_quality, op5_packing, op6_language_model, op7_mixing, op8_neighbours, op9_personal, op10_language)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": EXACT_SQL}
