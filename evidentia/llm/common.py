@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,39 @@ def ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFr
     return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__first") + F.col("__row")).drop("__at", "__part", "__row", "__first")
 
 
+#: Bits of a table of wanted keys, as a power of two: 8 MB, whatever the corpus.
+BITS = 26
+
+
+def bit_table(keys: DataFrame, name: str) -> np.ndarray:
+    """A bit for the leading bits of each 64-bit key; what has no bit is not among ``keys``.
+
+    The table has a fixed size: with very many keys it lets more of the others through, and drops none of its own.
+    """
+    bit = F.shiftrightunsigned(name, 64 - BITS)
+    words = keys.select(F.shiftright(bit, 5).alias("w"), F.pow(F.lit(2.0), F.pmod(bit, F.lit(32))).cast("long").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(1 << (BITS - 5), dtype=np.int64)
+    table[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64)
+    return table
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    return (table[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.int64)) & 1 == 1
+
+
+def perhaps_in(keys: DataFrame, name: str):
+    """A predicate that is true for all ``keys`` and for few others, so that a join need not shuffle every row."""
+    shared = keys.sparkSession.sparkContext.broadcast(bit_table(keys, name))
+
+    @F.pandas_udf("boolean")
+    def test(column: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(shared.value, column.to_numpy(dtype=np.int64)))
+
+    return test
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

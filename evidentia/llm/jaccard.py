@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import mixed, prepare, whole
+from evidentia.llm.common import bit_table, has_bit, mixed, prepare, whole
 from evidentia.llm.components import components
 from evidentia.llm.features import BASE, code_points, word_hashes
 from evidentia.session import stage
@@ -22,8 +22,6 @@ SALTS = 64
 PIVOTS = 64
 #: Bytes of a shingle's hash that are kept for comparing sets.
 WIDE = 6
-#: Bits of the table that says which sets are wanted; 8 MB, whatever the corpus.
-BITS = 26
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -152,11 +150,7 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
 def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFrame:
     """(node, shingles) of the sets in ``nodes``, and of few others: tasks look sets up in a table of fixed size."""
     spark = docs.sparkSession
-    bit = F.shiftrightunsigned("node", 64 - BITS)
-    words = nodes.distinct().select(F.shiftright(bit, 5).alias("w"), F.pow(F.lit(2.0), F.pmod(bit, F.lit(32))).cast("long").alias("b"))
-    table = np.zeros(1 << (BITS - 5), dtype=np.int64)
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64)
+    table = bit_table(nodes.distinct(), "node")
     shared = spark.sparkContext.broadcast(table)
 
     def collect(batches):
@@ -168,8 +162,7 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFra
                 node = set_id(h) if len(h) else None
                 if node is None or node in met:
                     continue
-                place = (node % (1 << 64)) >> (64 - BITS)
-                if shared.value[place >> 5] >> (place & 31) & 1:
+                if has_bit(shared.value, np.array([node]))[0]:
                     met.add(node)
                     ids.append(node)
                     sets.append((h >> np.uint64(64 - 8 * WIDE)).view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes())

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import mixed, prepare, texts, whole
+from evidentia.llm.common import mixed, perhaps_in, prepare, texts, whole
 from evidentia.llm.features import _powers
 from evidentia.llm.runs import common, front_code, merge
 from evidentia.session import stage
@@ -201,19 +201,19 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     twice = kinds.filter("n > 1").select("gram", "span")
     sure = rows.join(twice, ["gram", "span"]).select("key", (F.col("a") - F.col("y")).alias("start"), (F.col("a") - F.col("x") + length).alias("end"))
 
-    def asked(few: bool) -> DataFrame:
-        which = several.filter(F.col("kinds") <= HOT if few else F.col("kinds") > HOT)
-        places = kinds.join(which, "gram").select("one.*", "gram").groupBy("key").agg(F.collect_set(F.struct("a", "x", "y", "gram")).alias("at"))
-        return docs.join(stage(places, "repeats-asked"), "key").select("key", "text", "at")
-
+    places = kinds.join(several, "gram").select("one.*", "gram", (F.col("kinds") > HOT).alias("hot"))
+    places = places.groupBy("key").agg(F.collect_set(F.struct("a", "x", "y", "gram", "hot")).alias("at"))
+    places = stage(places, "repeats-places")
+    asked = docs.filter(perhaps_in(places, "key")("key")).join(places, "key").select("key", "text", "at")
+    asked = stage(asked, "repeats-asked")
+    few = asked.withColumn("at", F.filter("at", lambda p: ~p["hot"]))
+    many = asked.withColumn("at", F.filter("at", lambda p: p["hot"])).filter(F.size("at") > 0)
     total = several.filter(F.col("kinds") <= HOT).agg(F.sum("kinds")).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // MERGE))
-    merged = resolved(surroundings(asked(True), length, buckets), length, gram)
-    found = sure.unionByName(stage(merged, "repeats-merged"))
-    if not several.filter(F.col("kinds") > HOT).isEmpty():
-        windows = stage(window_hashes(asked(False), length), "repeats-windows")
-        again = windows.groupBy("window").count().filter("count > 1").select("window")
-        found = found.unionByName(windows.join(again, "window").select("key", "start", (F.col("start") + length).alias("end")))
+    merged = resolved(surroundings(few, length, buckets), length, gram)
+    windows = stage(window_hashes(many, length), "repeats-windows")
+    again = windows.groupBy("window").count().filter("count > 1").select("window")
+    found = sure.unionByName(merged).unionByName(windows.join(again, "window").select("key", "start", (F.col("start") + length).alias("end")))
     # a text's own spans only, so no group outgrows its text
     return found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
@@ -255,5 +255,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             sizes = [len(k) + r for k, r in zip(kept, removed, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in all_spans], pa.int64()), pa.array(all_spans, span), pa.array(kept, pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    rows = keyed.join(spans, "key", "left").select("id", "text", "spans")
+    some = perhaps_in(spans, "key")("key")
+    rows = keyed.filter(some).join(spans, "key", "left").select("id", "text", "spans")
+    rows = rows.unionByName(keyed.filter(~some).select("id", "text", F.lit(None).cast(rows.schema["spans"].dataType).alias("spans")))
     return rows.mapInArrow(cut, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
