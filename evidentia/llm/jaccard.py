@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import bit_table, has_bit, mixed, prepare, whole
@@ -203,7 +203,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """The id, n_shingles and component_id of every document: the least id that links of similar sets lead to.
 
     Equal sets are one node. Two sets of at least ``percent`` similarity share a signature (`bands`), so they meet in
-    its group. Each group's members are compared with its least one and with the one before them; then, in rounds,
+    its group. Each group's members are compared with the one that is best connected (`stars`); then, in rounds,
     members outside a group's largest component with all others that are still apart, until no group has members that
     are apart and not compared. So no link is lost that joins two components, pairs within a component are not listed,
     and a round adds at most 64 pairs a member. Comparisons count the shared shingles.
@@ -219,16 +219,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     near = near.withColumn("least", F.first("node").over(window))
     other = F.col("node") != F.coalesce(F.col("before"), F.col("node"))
     near = near.filter(other | (F.col("node") != F.coalesce(F.col("after"), F.col("node"))) | (F.col("node") != F.col("least")))
-    groups = stage(near.select("sig", "node", "before", "least"), "sets-groups")
-    ends = F.explode(F.array("before", "least")).alias("v")
-    pairs = groups.select(F.col("node").alias("u"), ends).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pairs = stage(pairs.distinct(), "sets-pairs")
+    sizes = rows.filter("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    groups = stage(near.select("sig", "node").distinct().join(sizes, "node").select("sig", "node", "n"), "sets-groups")
+    pairs = stage(stars(groups, percent), "sets-pairs")
     sets = stage(wanted_sets(docs, groups.select("node"), text, n), "sets-wanted")
     links = stage(linked(pairs, sets, percent), "sets-links")
     found = stage(components(links), "sets-components")
-    left = groups.select("sig", "node").distinct()
+    left = groups
     while True:
-        left, more = apart(left, found, pairs)
+        left, more = apart(left, found, pairs, percent)
         if more is None:
             break
         pairs = stage(pairs.unionByName(more), "sets-pairs")
@@ -243,13 +242,33 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return out.select(F.col(key), "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
-def apart(left: DataFrame, found: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def close(percent: int) -> Column:
+    """Sizes n and m that similar sets can have."""
+    return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+
+
+def stars(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of each member with the one of its group that has most company in all its groups.
+
+    The text that others were copied from is close to all of them, while two copies with changes of their own need not
+    be close to each other; so most links of a large group are found at once.
+    """
+    sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
+    company = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("company"))
+    company = stage(company, "sets-company")
+    member = stage(groups.join(company, "node"), "sets-company")
+    center = member.groupBy("sig").agg(F.max(F.struct("company", "node", "n")).alias("center")).select("sig", F.col("center.node").alias("v"), F.col("center.n").alias("m"))
+    both = member.select("sig", F.col("node").alias("u"), "n").join(center, "sig").filter("u != v").filter(close(percent))
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def apart(left: DataFrame, found: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Of groups with members in several components: what is left of them after this round, and the pairs to compare.
 
     In each such group up to PIVOTS members outside its largest component meet all members of other components; then
     they are done there.
     """
-    member = left.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    member = left.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
     member = stage(member, "sets-members")
     sizes = member.groupBy("sig", "component").count()
     open_ = sizes.groupBy("sig").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
@@ -259,11 +278,11 @@ def apart(left: DataFrame, found: DataFrame, pairs: DataFrame) -> tuple[DataFram
     member = stage(member.join(open_, "sig"), "sets-members")
     order = Window.partitionBy("sig").orderBy("node")
     pivots = member.filter("component != largest").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS)
-    pivots = stage(pivots.select("sig", F.col("node").alias("pivot"), F.col("component").alias("own")), "sets-pivots")
-    more = member.join(pivots, "sig").filter("component != own").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+    pivots = stage(pivots.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("own")), "sets-pivots")
+    more = member.join(pivots, "sig").filter((F.col("component") != F.col("own")) & close(percent)).select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
     more = stage(more.distinct().join(pairs, ["u", "v"], "left_anti"), "sets-more")
     done = pivots.select("sig", F.col("pivot").alias("node"))
-    return member.select("sig", "node").join(done, ["sig", "node"], "left_anti"), more
+    return member.select("sig", "node", "n").join(done, ["sig", "node"], "left_anti"), more
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -13,6 +13,10 @@ from evidentia.llm.common import prepare
 from evidentia.session import stage
 
 LEAF = 96
+#: A shard takes the first of these factors with this recall on so many of its queries, else 1.
+FACTORS = (4.0, 3.0, 2.0, 1.5, 1.25)
+RECALL = 0.97
+PROBES = 48
 
 
 @dataclass
@@ -89,6 +93,21 @@ class Search:
         self.visit(node.inside, rows[~within & open_])
 
 
+def tuned(points: np.ndarray, queries: np.ndarray, tree: Node, k: int) -> float:
+    """The largest factor whose recall is high enough on a few queries that are also searched exhaustively."""
+    few = queries[:: max(1, len(queries) // PROBES)][:PROBES]
+    rows = np.arange(len(few))
+    exact = Search(points, few, k, 1.0)
+    exact.take(rows, np.arange(len(points)), exact.distances(rows, np.arange(len(points))))
+    for factor in FACTORS:
+        found = Search(points, few, k, factor)
+        found.visit(tree, rows)
+        hits = np.mean([np.isin(a, b).mean() for a, b in zip(exact.best, found.best, strict=True)])
+        if hits >= RECALL:
+            return factor
+    return 1.0
+
+
 def clean(vectors: DataFrame, is_query: Column, key: str, vector: str) -> DataFrame:
     """Ids, vectors of doubles and the query mark of rows that take part: not null, not zero, all components finite."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -97,14 +116,15 @@ def clean(vectors: DataFrame, is_query: Column, key: str, vector: str) -> DataFr
     return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, factor: float = 4.0, shard_rows: int = 10_000, block_rows: int = 10_000, seed: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, factor: float | None = None, shard_rows: int = 10_000, block_rows: int = 10_000, seed: int = 9) -> DataFrame:
     """The ``k`` rows with the largest inner product for each row where ``is_query`` holds, itself left out.
 
     Equal vectors are searched once: an index entry stands for all rows with its vector and keeps their ``k + 1``
     smallest ids, which is all that any result can use. Inner products become distances by one more component, the
     root of what a vector lacks to the longest. Entries are dealt over shards of about ``shard_rows``; each builds one
     tree. Blocks of queries meet every shard. A half is left out when its lower bound times ``factor`` is above the
-    k-th distance so far: at 1 the search is exact; above 1 fewer halves are visited and recall falls.
+    k-th distance so far: at 1 the search is exact; above 1 fewer halves are visited and recall falls. Without a factor
+    each shard measures its own (`tuned`).
 
     Scores are inner products in double precision; nearest first, ties to the smaller id, all candidates if there are
     under ``k``. Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no
@@ -137,8 +157,10 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
             left = left.sort_values("entry", kind="stable", ignore_index=True)
             p, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
             lacking = np.sqrt(np.maximum(longest - (p**2).sum(axis=1), 0))
-            found = Search(np.column_stack((p, lacking)), np.column_stack((q, np.zeros(len(q)))), k + 1, factor)
-            found.visit(build(found.points, np.arange(len(p)), np.random.default_rng(seed)), np.arange(len(q)))
+            points, queries = np.column_stack((p, lacking)), np.column_stack((q, np.zeros(len(q))))
+            tree = build(points, np.arange(len(p)), np.random.default_rng(seed))
+            found = Search(points, queries, k + 1, factor or tuned(points, queries, tree, k + 1))
+            found.visit(tree, np.arange(len(q)))
             for i, at in enumerate(found.best):
                 scores = (p[at] * q[i]).sum(axis=1)
                 ids = [left["ids"].iat[j] for j in at]
