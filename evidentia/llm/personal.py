@@ -186,10 +186,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int =
     rows = docs.filter(draw < share).select(whole(text)).mapInArrow(encode, "x array<double>, y boolean").collect()
     rows.sort(key=lambda r: (r["x"], r["y"]))
     rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows], dtype=float)
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float)
     aside = len(rows) // 3
     trees = boost(x[aside:], y[aside:])
-    if not len(rows):
+    if not rows:
         return Model(trees, (float("inf"),) * len(KINDS))
     return Model(trees, thresholds(trees.probability(x[:aside]), y[:aside], x[:aside, 0], precision))
 
