@@ -139,7 +139,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     xs = [(ids, weighed(ids, counts, idf).astype(np.float32)) for ids, counts in rows]
     aside = len(xs) // 10
     weights = follow_the_leader(xs[aside:], ys[aside:], 1 << bits, max(len(langs), 1), epochs, alpha=2.0, beta=1.0, l1=0.02, l2=0.1, seed=seed)
-    logits = np.array([x @ weights[ids] for ids, x in xs[:aside]]).reshape(aside, -1)
+    logits = np.array([x @ weights[ids] for ids, x in xs[:aside]])
     return Model(langs, weights, idf, calibrated(logits, ys[:aside]), bits, orders)
 
 
