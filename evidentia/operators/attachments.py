@@ -14,21 +14,23 @@ from evidentia.operators.ordering import latest_per_key
 
 
 def resolve_attachments(parts: DataFrame, files: DataFrame, path: str = "path", root: str = "export_root") -> DataFrame:
-    """Attachment rows: present with digest and size, or missing.
+    """Attachment rows: present with size and digest, or missing.
+
+    A body that was found is present even where the scan left its digest out for its size.
 
     ``parts`` are the non-text parts, ``files`` a file scan with unique ``path``.
     """
     found = files.select(
-        F.col("path").alias("_full"), F.col("sha256").alias("blob_sha256"), "size_bytes"
+        F.col("path").alias("_full"), F.col("sha256").alias("blob_sha256"), "size_bytes", F.lit(True).alias("_found")
     )
     full = F.concat(F.col(root), F.lit("/"), normal_path(path))
     return (
         parts.withColumn("_full", F.when(F.col(path) != "", full))
         .join(found, "_full", "left")
-        .withColumn("status", F.when(F.col("blob_sha256").isNotNull(), "present").otherwise("missing"))
+        .withColumn("status", F.when(F.col("_found"), "present").otherwise("missing"))
         .withColumnRenamed(path, "source_relative_path")
         .withColumn("attachment_id", stable_id("att", F.col("message_id"), F.col("part_index")))
-        .drop("_full")
+        .drop("_full", "_found")
     )
 
 

@@ -225,6 +225,10 @@ HEARTBEAT_COLUMNS = [
 ]
 
 
+#: What imports, not probes, write.
+LIFECYCLE = ["last_generation_id", "last_import_at"]
+
+
 def current_heartbeats(states: DataFrame, order: tuple[str, ...] = ("observed_at", "probe_id")) -> DataFrame:
     """Newest state per detector, cut to one row per task before the shuffle."""
     newest = latest_per_key(
@@ -234,8 +238,20 @@ def current_heartbeats(states: DataFrame, order: tuple[str, ...] = ("observed_at
 
 
 def merge_heartbeats(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fresh heartbeats replace stored ones; silent detectors stay."""
-    return fresh.unionByName(stored.join(fresh.select(KEY), KEY, "left_anti"), allowMissingColumns=True)
+    """Fresh heartbeats replace stored ones; silent detectors stay.
+
+    A probe says nothing of imports, so a detector's last generation and import stay as they are stored.
+    """
+    kept = [c for c in LIFECYCLE if c in stored.columns]
+    if kept:
+        life = stored.select(F.col(KEY).alias("_key"), *[F.col(c).alias(f"_{c}") for c in kept])
+        joined = fresh.join(life, F.col(KEY) == F.col("_key"), "left")
+        for c in kept:
+            joined = joined.withColumn(c, F.coalesce(c, f"_{c}") if c in fresh.columns else F.col(f"_{c}"))
+        renewed = joined.drop("_key", *[f"_{c}" for c in kept])
+    else:
+        renewed = fresh
+    return renewed.unionByName(stored.join(fresh.select(KEY), KEY, "left_anti"), allowMissingColumns=True)
 
 
 def merge_lifecycle(heartbeats: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -430,6 +430,8 @@ def digest_markdown(counts: DataFrame, excerpts: DataFrame, truncated: bool = Fa
         F.lit("0").alias("block_order"),
         F.array_join(F.concat(F.array(F.lit("## Source counts")), source_lines), "\n").alias("markdown"),
     )
+    # conversations follow the heading: their order begins with "1:"
+    heading = gathered.select(F.lit("excerpts").alias("block"), F.lit("1").alias("block_order"), F.lit("## Conversation excerpts").alias("markdown"))
     stamp = F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = F.concat(
         F.lit("- "), stamp, F.lit(" "), F.col("sender_display_name"), F.lit(": "), F.col("excerpt"),
@@ -458,7 +460,7 @@ def digest_markdown(counts: DataFrame, excerpts: DataFrame, truncated: bool = Fa
             "\n",
         ).alias("markdown"),
     )
-    return header.unionByName(sources).unionByName(conversations)
+    return header.unionByName(sources).unionByName(heading).unionByName(conversations)
 
 
 # --- candidates -----------------------------------------------------------------------------

@@ -270,11 +270,14 @@ def monitor_run(
 
 
 def scan_messages(
-    messages: DataFrame, state: DataFrame, rule: Rule, cap: int | None = K.SCAN_CAP
+    messages: DataFrame, state: DataFrame, rule: Rule, cap: int | None = None
 ) -> DataFrame:
-    """Unscanned messages with their matches; ``messages`` carry ``body`` or nested ``parts``."""
-    if cap is not None and (type(cap) is not int or not 1 <= cap <= K.SCAN_CAP):
-        raise RuleError(f"cap must be an integer from 1 to {K.SCAN_CAP}, or None for everything")
+    """Unscanned messages with their matches; ``messages`` carry ``body`` or nested ``parts``.
+
+    All of them, unless ``cap`` names how many of the oldest to take in one run.
+    """
+    if cap is not None and (type(cap) is not int or cap < 1):
+        raise RuleError("cap must be a positive integer, or None for everything")
     chosen = select_unscanned(messages, state, rule.id, cap)
     if "body" not in chosen.columns:
         chosen = chosen.withColumn("body", body_of_parts("parts"))

@@ -35,9 +35,9 @@ def fingerprint(inventory: DataFrame, keys: list[str], columns: list[str]) -> Da
 
 
 def inventory_verdicts(
-    inventory: DataFrame, required: DataFrame, keys: list[str], max_files: int = INVENTORY_FILES[0]
+    inventory: DataFrame, required: DataFrame, keys: list[str], max_files: int | None = None
 ) -> DataFrame:
-    """Per source: required files absent, file limit exceeded, or usable."""
+    """Per source: required files absent, file limit exceeded (only if one is given), or usable."""
     counts = inventory.groupBy(*keys).agg(F.count("*").alias("files"))
     absent = (
         required.join(inventory.select(*keys, "relative_path"), [*keys, "relative_path"], "left_anti")
@@ -48,7 +48,7 @@ def inventory_verdicts(
     verdict = (
         F.when(F.coalesce("absent", F.lit(0)) > 0, "required_files_unavailable")
         .when(F.coalesce("files", F.lit(0)) == 0, "no_regular_files")
-        .when(F.col("files") > max_files, "file_limit_exceeded")
+        .when(F.col("files") > F.lit(max_files), "file_limit_exceeded")
         .otherwise("usable")
     )
     return joined.select(*keys, F.coalesce("files", F.lit(0)).alias("files"), verdict.alias("verdict"))

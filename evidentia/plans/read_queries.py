@@ -316,6 +316,8 @@ SELECT block, markdown FROM (
   SELECT 'sources' AS block, '## Source counts' || chr(10) || string_agg('- ' || kind || ': ' || n, chr(10) ORDER BY n DESC, kind) AS markdown
   FROM (SELECT kind, count(*) AS n FROM m GROUP BY 1)
   UNION ALL
+  SELECT 'excerpts' AS block, '## Conversation excerpts' AS markdown
+  UNION ALL
   SELECT conversation_id, '### ' || title || chr(10) || string_agg('- ' || strftime(to_timestamp(sent_epoch) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || ' ' || sender_display_name
       || ': ' || excerpt || ' (message_id=' || message_id || ')', chr(10) ORDER BY k)
       || CASE WHEN max(total) > 10 THEN chr(10) || '- … ' || (max(total) - 10) || ' more in selected window' ELSE '' END

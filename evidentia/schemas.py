@@ -53,7 +53,8 @@ TABLES = {
     "heartbeats": (
         "detector_id string, source_kind string, external_account_id string, observation_scope string, state string, "
         "worker_heartbeat_at timestamp, source_observed_at timestamp, last_change_at timestamp, source_token string, "
-        "consecutive_failures long, next_retry_at timestamp, error_code string, stale_after_seconds double"
+        "consecutive_failures long, next_retry_at timestamp, error_code string, stale_after_seconds double, "
+        "last_generation_id string, last_import_at timestamp"
     ),
     "collector_events": (
         "detector_id string, occurred_at timestamp, state string, observation_scope string, source_token string, "

@@ -214,3 +214,28 @@ def test_context_matches_brute_force(spark):
         at = line.index(target)
         assert [items[i] for i in sorted(items)] == line[max(0, at - 3): at + 5]
     assert len(got) == 20
+
+
+def test_import_survives_a_probe(spark):
+    """Completion, probe, the same completion again: one event."""
+    at = lambda minute: datetime(2024, 1, 1, 0, minute, tzinfo=timezone.utc)
+    types = "detector_id string, source_kind string, external_account_id string, observation_scope string, state string, worker_heartbeat_at timestamp"
+    heart = lambda minute: spark.createDataFrame([("d", "k", "a", "s", "QUIET", at(minute))], types)
+    done = spark.createDataFrame([("k", "a", at(1), "g1")], "source_kind string, external_account_id string, completed_at timestamp, generation_id string")
+    stored, events = C.merge_lifecycle(heart(0), done)
+    assert events.count() == 1
+    merged = C.merge_heartbeats(stored, heart(2))
+    row = merged.first()
+    assert (row["last_generation_id"], row["worker_heartbeat_at"].minute) == ("g1", 2)
+    again, more = C.merge_lifecycle(merged, done.withColumn("completed_at", F.lit(at(3))))
+    assert more.count() == 0
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from evidentia.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
