@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import prepare, whole
 from evidentia.llm.features import char_ngrams, code_points, counted, word_hashes
 from evidentia.llm.language import softmax
+from evidentia.session import stage
 
 
 @dataclass
@@ -40,25 +41,30 @@ def subwords(text: str, bits: int, orders: tuple[int, ...]) -> tuple[np.ndarray,
     return counted(np.concatenate(ids), 1 << bits)
 
 
-def labelled_sample(docs: DataFrame, text: str, label: str, key: str, bound: int, seed: int, bits: int, orders: tuple[int, ...]):
-    """At most about ``bound`` labelled texts, half of each label where there are enough, as feature rows."""
-    sizes = {r[label]: r["count"] for r in docs.groupBy(label).count().collect()}
+def chosen(rows: DataFrame, label: str, key: str, bound: int, seed: int) -> tuple[dict, DataFrame | None]:
+    """Rows of each label, and about ``bound`` of the rows, half of each label where there are enough."""
+    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     if not sizes:
-        return np.empty(0, dtype=np.int64), [], {}
+        return {}, None
     each = bound // len(sizes)
     share = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / v)))]), F.col(label))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    return sizes, rows.filter(draw < share)
+
+
+def encoded(rows: DataFrame, text: str, label: str, seed: int, bits: int, orders: tuple[int, ...]) -> tuple[np.ndarray, list]:
+    """Labels and features of the sampled ``rows``, in an order that does not depend on partitions."""
 
     def encode(batches):
         for batch in batches:
             found = [subwords(x, bits, orders) for x in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], names=["label", "ids", "counts"])
 
-    rows = docs.filter(draw < share).select(whole(text), F.col(label).cast("int")).mapInArrow(encode, "label int, ids binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["ids"])))
-    rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
-    ys = np.array([r["label"] for r in rows], dtype=np.int64)
-    return ys, [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows], sizes
+    found = rows.select(whole(text), F.col(label).cast("int")).mapInArrow(encode, "label int, ids binary, counts binary").collect()
+    found.sort(key=lambda r: (r["label"], bytes(r["ids"])))
+    found = [found[i] for i in np.random.default_rng(seed).permutation(len(found))]
+    ys = np.array([r["label"] for r in found], dtype=np.int64)
+    return ys, [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in found]
 
 
 def descend(xs: list, ys: np.ndarray, size: int, width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +89,23 @@ def descend(xs: list, ys: np.ndarray, size: int, width: int, epochs: int, rate:
     return vectors, layer
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = 6000, bits: int = 16, orders: tuple[int, ...] = (2, 3, 4), width: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = 6000, bits: int = 16, orders: tuple[int, ...] = (2, 3, 4), width: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5, labels: DataFrame | None = None) -> Model:
     """Learn from labelled rows (label 0 or 1): at most about ``bound``, half of each label where there are enough.
 
+    The labels are a column of ``docs`` or stand in ``labels`` (key, label), one row an id. Then the sample is drawn
+    from the ids, and only the texts of that sample leave their scan; of texts that share an id the least is read.
     The bias undoes the balance of the sample, so that scores follow the labels' shares among all labelled rows.
     """
     prepare(docs.sparkSession)
-    docs = docs.filter(F.col(label).isin(0, 1))
-    ys, xs, sizes = labelled_sample(docs, text, label, key, bound, seed, bits, orders)
+    given = (docs if labels is None else labels).filter(F.col(label).isin(0, 1))
+    if labels is not None:
+        given = given.select(key, label).join(docs.select(key), key, "left_semi")
+    sizes, sample = chosen(given, label, key, bound, seed)
+    if labels is not None and sample is not None:
+        # about ``bound`` ids with a label each, whatever the corpus
+        near = docs.select(key, F.col(text)).join(F.broadcast(stage(sample, "labelled")), key)
+        sample = near.groupBy(key).agg(F.min(text).alias(text), F.first(label).alias(label))
+    ys, xs = (np.empty(0, dtype=np.int64), []) if sample is None else encoded(sample, text, label, seed, bits, orders)
     vectors, layer = descend(xs, ys, 1 << bits, width, epochs, rate, seed)
     drawn = np.bincount(ys, minlength=2) + 0.5
     there = np.array([sizes.get(0, 0), sizes.get(1, 0)]) + 0.5

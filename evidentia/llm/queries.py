@@ -33,7 +33,7 @@ def op3_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 def quality_model(spark: SparkSession, root: str) -> quality.Model:
     """Learned from the labelled documents outside the held-out fold."""
     labels = table(spark, root, "labels").select("doc_id", "quality").filter(fold("doc_id", 5) != 0).dropDuplicates(["doc_id"])
-    return quality.train(table(spark, root, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return quality.train(table(spark, root, "documents"), labels=labels)
 
 
 def op4_quality(spark: SparkSession, root: str) -> DataFrame:
