@@ -16,7 +16,7 @@ from evidentia.operators import content as C
 from evidentia.operators import resolve as R
 from evidentia.operators.attachments import lookup_resources
 from evidentia.operators.ordering import latest_per_key
-from evidentia.operators.validate import filter_allowlist
+from evidentia.operators.validate import check_agreement, filter_allowlist
 from evidentia.sources import group_exports as G
 from evidentia.sources import shards as S
 from evidentia.sources.manifests import build_manifests, iso_instant
@@ -32,6 +32,8 @@ class Export:
     conversations: DataFrame
     participants: DataFrame
     messages: DataFrame
+    #: path, external_conversation_id, external_message_id, problem, raw_json: what was left out, row by row.
+    problems: DataFrame | None = None
 
     def documents(self, schema_version: str, exported_at: Column | None = None, rows_per_document: int = 5000) -> DataFrame:
         return build_manifests(
@@ -56,8 +58,8 @@ def _keyed(df: DataFrame, kind: str, account: str) -> DataFrame:
     )
 
 
-def _with_raw(messages: DataFrame, metadata: list[str]) -> DataFrame:
-    """Message JSON of the v1 contract; absent fields are left out."""
+def _with_raw(messages: DataFrame, metadata: list[str], source: str | None = None) -> DataFrame:
+    """Message JSON of the v1 contract; absent fields are left out. The message in ``source`` is kept as it was."""
     shape = F.struct(
         F.col("external_message_id").alias("source_message_id"),
         iso_instant("sent_at").alias("timestamp"),
@@ -66,6 +68,7 @@ def _with_raw(messages: DataFrame, metadata: list[str]) -> DataFrame:
         "direction",
         "parts",
         F.struct(*metadata).alias("metadata"),
+        *([F.parse_json(source).alias("source_message")] if source else []),
     )
     return messages.withColumn("raw_json", F.to_json(shape))
 
@@ -82,22 +85,28 @@ def adapt_group_exports(
     documents: DataFrame, allowed: DataFrame, account: str, display_name: str = "Account", since=None, until=None,
     kind: str = "group-export",
 ) -> Export:
-    """Explicitly allowed group exports inside the window; senders plus the own identity."""
-    usable = documents.join(G.export_problems(documents).select("path"), "path", "left_anti")
+    """Explicitly allowed group exports inside the window; senders plus the own identity.
+
+    ``problems`` names what is not in the export: unusable files, files outside the allowlist, every copy of an id
+    whose copies differ, and conversations whose files disagree on title or own ids (the first path's are taken).
+    """
+    rejected = G.export_problems(documents)
+    usable = documents.join(rejected.select("path"), "path", "left_anti")
     chosen = filter_allowlist(usable, allowed, ["peer_uid", "peer_uin"])
-    clean, _ = G.dedupe_group_messages(G.group_messages(chosen, since, until))
-    messages = _with_raw(_keyed(clean, kind, account), ["direction_status"])
+    copies = G.group_messages(chosen, since, until)
+    clean, conflicting = G.dedupe_group_messages(copies)
+    messages = _with_raw(_keyed(clean, kind, account), ["direction_status"], "raw_json")
     heads = latest_per_key(
-        chosen.select("external_conversation_id", "title", "self_ids", "participant_count", "path"),
+        chosen.select("external_conversation_id", "title", "self_ids", "self_name", "participant_count", "chat_info", "path"),
         ["external_conversation_id"], [F.col("path").asc()],
     )
-    extra = F.to_json(F.struct(F.struct("participant_count").alias("metadata")))
+    extra = F.to_json(F.struct(F.struct("participant_count").alias("metadata"), F.parse_json("chat_info").alias("chat_info")))
     conversations = _keyed(heads, kind, account).select(
         "source_id", "conversation_id", "external_conversation_id", "title", F.lit("group").alias("conversation_type"),
-        extra.alias("extra_json"), "self_ids",
+        extra.alias("extra_json"), "self_ids", "self_name",
     )
     own = conversations.filter(F.size("self_ids") > 0).select(
-        "conversation_id", F.col("self_ids")[0].alias("identity"), F.lit(display_name).alias("display_name"), F.lit(True).alias("is_self")
+        "conversation_id", F.col("self_ids")[0].alias("identity"), F.coalesce("self_name", F.lit(display_name)).alias("display_name"), F.lit(True).alias("is_self")
     )
     senders = messages.filter("sender_id IS NOT NULL").groupBy("conversation_id", F.col("sender_id").alias("identity")).agg(
         F.min_by("sender_name", F.struct("sent_at", "external_message_id")).alias("display_name"),
@@ -105,7 +114,26 @@ def adapt_group_exports(
     )
     others = senders.join(own.select("conversation_id", "identity"), ["conversation_id", "identity"], "left_anti")
     participants = _relation(own.unionByName(others))
-    return Export(_source(documents, kind, account, display_name), conversations, participants, messages)
+    problems = _group_problems(rejected, usable, chosen, copies, conflicting)
+    return Export(_source(documents, kind, account, display_name), conversations.drop("self_name"), participants, messages, problems)
+
+
+def _group_problems(rejected: DataFrame, usable: DataFrame, chosen: DataFrame, copies: DataFrame, conflicting: DataFrame) -> DataFrame:
+    """Rejected and skipped files, disagreements and conflicting copies, with the copies' source messages."""
+    skipped = usable.select("path", "external_conversation_id").join(chosen.select("path"), "path", "left_anti")
+    facts = chosen.select("external_conversation_id", "title", F.array_join("self_ids", "\x1f").alias("self_ids"))
+    clashes = check_agreement(facts, "external_conversation_id", ["title", "self_ids"])
+    differing = copies.join(conflicting, "external_message_id", "left_semi")
+    rows = [
+        rejected.select("path", "problem"),
+        skipped.withColumn("problem", F.lit("not_allowed")),
+        clashes.select("external_conversation_id", F.concat(F.lit("disagrees_on_"), "disagrees_on").alias("problem")),
+        differing.select("path", "external_conversation_id", "external_message_id", F.lit("conflicting_content").alias("problem"), "raw_json"),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.select("path", "external_conversation_id", "external_message_id", "problem", "raw_json")
 
 
 # --- sharded tables, md5 table names ------------------------------------------------------------

@@ -254,6 +254,31 @@ def _(v: Views):
     )
 
 
+@query("group_export_rejections", "S3 V3", """
+SELECT DISTINCT '/export/' || conv_id || '.json' AS path, CASE WHEN conv_id % 9 = 8 THEN 'not_a_group_export' ELSE 'not_allowed' END AS problem
+FROM conversations WHERE conv_id % 9 = 8 OR conv_id % 2 = 1""")
+def _(v: Views):
+    docs = group_exports.parse_group_exports(_group_documents(v))
+    c = F.col("conv_id")
+    allowed = v.table("conversations").filter(c % 2 == 0).select(text("peer-", c).alias("allowed_id"))
+    return adapting.adapt_group_exports(docs, allowed, "acct", "Own account").problems.select("path", "problem").distinct()
+
+
+@query("group_export_conflicts", "S3 M8 V3", """
+SELECT 'group:peer-' || conv_id || ':m' || turn AS external_message_id, '/export/' || conv_id || s AS path, CASE WHEN s = '.json' THEN 'uid-assistant' ELSE 'uid-other' END AS sender
+FROM conversations, (VALUES ('.json'), ('.json-2')) AS f(s) WHERE conv_id % 9 <> 8 AND role = 'assistant'""")
+def _(v: Views):
+    """A second file of each group names another sender for the assistant's messages."""
+    raw = _group_documents(v)
+    edited = raw.select(
+        F.concat("path", F.lit("-2")).alias("path"), F.replace(F.col("content").cast("string"), F.lit('"uid-assistant"'), F.lit('"uid-other"')).alias("content")
+    )
+    docs = group_exports.parse_group_exports(raw.select("path", F.col("content").cast("string")).unionByName(edited))
+    allowed = v.table("conversations").select(text("peer-", F.col("conv_id")).alias("allowed_id"))
+    found = adapting.adapt_group_exports(docs, allowed, "acct", "Own account").problems.filter("problem = 'conflicting_content'")
+    return found.select("external_message_id", "path", F.get_json_object("raw_json", "$.sender.uid").alias("sender"))
+
+
 @query("sharded_export_adapter", "S4 J1 J3 J5 J7 J10 C1 C2 adapter", """
 SELECT chat AS external_conversation_id, count(*) AS messages, count(*) FILTER (username = 'Supplier#000000007') AS outgoing,
   count(*) FILTER (username <> 'Supplier#000000007') AS incoming, count(*) FILTER (username IS NULL) AS unknown,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import blank_to_null, canonical_json
+from evidentia.functions import blank_to_null
 from evidentia.operators.content import parts_from_resources
 from evidentia.operators.merge import dedupe_exports
 from evidentia.operators.resolve import classify_direction
@@ -34,6 +34,8 @@ def parse_group_exports(raw: DataFrame) -> DataFrame:
         F.array_sort(
             F.array_compact(F.array(_id("doc.chatInfo", "$.selfUid"), _id("doc.chatInfo", "$.selfUin")))
         ).alias("self_ids"),
+        _id("doc.chatInfo", "$.selfName").alias("self_name"),
+        F.to_json("doc.chatInfo").alias("chat_info"),
         F.try_variant_get("doc.chatInfo", "$.participantCount", "long").alias("participant_count"),
         F.col("doc.messages").alias("messages"),
     )
@@ -61,7 +63,7 @@ def group_messages(documents: DataFrame, since=None, until=None) -> DataFrame:
     """Message rows inside the half-open window, with direction, parts and fingerprint."""
     ordered_window(since, until)
     rows = documents.select(
-        "external_conversation_id", "title", "self_ids", "export_root", F.explode("messages").alias("m")
+        "path", "external_conversation_id", "title", "self_ids", "export_root", F.explode("messages").alias("m")
     )
     resources = F.transform(
         F.try_variant_get("m", "$.content.resources", "array<variant>"),
@@ -74,6 +76,7 @@ def group_messages(documents: DataFrame, since=None, until=None) -> DataFrame:
     )
     uid, uin = _id("m", "$.sender.uid"), _id("m", "$.sender.uin")
     flat = rows.select(
+        "path",
         "external_conversation_id",
         "title",
         "self_ids",
@@ -96,7 +99,7 @@ def group_messages(documents: DataFrame, since=None, until=None) -> DataFrame:
         flat = flat.filter(F.col("sent_at") < F.lit(until))
     directed = classify_direction(flat, "aliases", "sender_ids", "self_ids", "is_system")
     built = parts_from_resources(directed)
-    return built.withColumn("fingerprint", F.sha2(canonical_json("raw_json"), 256)).drop("resources", "text")
+    return built.withColumn("fingerprint", F.sha2("raw_json", 256)).drop("resources", "text")
 
 
 def dedupe_group_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
