@@ -64,7 +64,9 @@ def op9_personal(spark: SparkSession, root: str) -> DataFrame:
     place = {k: i for i, k in enumerate(personal.KINDS)}
     order = lambda s: F.struct(F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     named = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, order)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    # a second parameter of the function would be the element's index
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
     both = named(F.concat("base", "added"))
     return rows.select("doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), both.alias("spans"), F.size("added").cast("long").alias("n_added"))
 
