@@ -18,8 +18,10 @@ from evidentia.session import stage
 CHUNK = 1_000_000
 HOT = 256
 SALTS = 64
-#: Members of a group that are compared with all others of it in one round.
-PIVOTS = 64
+#: Sets and shingles that a block holds at most (but for the deal's unevenness), and shingles that a table holds at once.
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1 << 22
+WIDTH = 2048
 #: Bytes of a shingle's hash that are kept for comparing sets.
 WIDE = 6
 
@@ -102,10 +104,10 @@ def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(sig, salt, node): every signature of every set, once a task for equal sets.
+    """(sig, salt, node, hot): every signature of every set, once a task for equal sets.
 
     A signature that very many sets of a task share is dealt over salts; the least of them stands in salt 0 and in each
-    of its salts, so that the parts stay connected.
+    of its salts, so that the parts stay connected; those rows are marked as hot.
     """
 
     def sign(batches):
@@ -124,9 +126,10 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
             least = starts[counts > HOT]
             extra_sig, extra_node = np.repeat(sig[least], SALTS + 1), np.repeat(node[least], SALTS + 1)
             extra_salt = np.tile(np.arange(SALTS + 1, dtype=np.int32), len(least))
-            columns = [np.concatenate(x) for x in ((sig, extra_sig), (salt, extra_salt), (node, extra_node))]
+            hot = np.arange(len(sig) + len(extra_sig)) >= len(sig)
+            columns = [*(np.concatenate(x) for x in ((sig, extra_sig), (salt, extra_salt), (node, extra_node))), hot]
             for i in range(0, len(columns[0]), 1 << 16):
-                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["sig", "salt", "node"])
+                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["sig", "salt", "node", "hot"])
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
@@ -144,7 +147,7 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
         if held:
             yield from rows()
 
-    return docs.select(whole(text)).mapInArrow(sign, "sig long, salt int, node long")
+    return docs.select(whole(text)).mapInArrow(sign, "sig long, salt int, node long, hot boolean")
 
 
 def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFrame:
@@ -203,10 +206,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """The id, n_shingles and component_id of every document: the least id that links of similar sets lead to.
 
     Equal sets are one node. Two sets of at least ``percent`` similarity share a signature (`bands`), so they meet in
-    its group. Each group's members are compared with the one that is best connected (`stars`); then, in rounds,
-    members outside a group's largest component with all others that are still apart, until no group has members that
-    are apart and not compared. So no link is lost that joins two components, pairs within a component are not listed,
-    and a round adds at most 64 pairs a member. Comparisons count the shared shingles.
+    its group; groups with the same members are one. Each group's members are first compared with the one that is best
+    connected (`stars`). Where that leaves members of a group apart, they are compared with all others that they are
+    apart from, in blocks of bounded size within one task (`across`), which gives links only, never pairs. So no link
+    is lost that joins two components, and pairs within a component are not listed. Comparisons count the shared
+    shingles.
 
     Documents without words have no shingles and are linked with nothing (a null text is one); fewer than ``n`` words
     are one shingle. Rows that repeat an id or a text are rows of their own with the same component. A null id counts
@@ -214,34 +218,33 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     prepare(docs.sparkSession)
     rows = stage(described(docs, key, text, n), "sets")
-    window = Window.partitionBy("sig", "salt").orderBy("node")
-    near = signed(docs, text, n, percent).withColumn("before", F.lag("node").over(window)).withColumn("after", F.lead("node").over(window))
-    near = near.withColumn("least", F.first("node").over(window))
-    other = F.col("node") != F.coalesce(F.col("before"), F.col("node"))
-    near = near.filter(other | (F.col("node") != F.coalesce(F.col("after"), F.col("node"))) | (F.col("node") != F.col("least")))
     sizes = rows.filter("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
-    groups = stage(near.select("sig", "node").distinct().join(sizes, "node").select("sig", "node", "n"), "sets-groups")
+    groups = stage(gathered(signed(docs, text, n, percent)).join(sizes, "node").select("sig", "node", "n"), "sets-groups")
     pairs = stage(stars(groups, percent), "sets-pairs")
     sets = stage(wanted_sets(docs, groups.select("node"), text, n), "sets-wanted")
     links = stage(linked(pairs, sets, percent), "sets-links")
     found = stage(components(links), "sets-components")
-    left = groups
-    while True:
-        left, more = apart(left, found, pairs, percent)
-        if more is None:
-            break
-        pairs = stage(pairs.unionByName(more), "sets-pairs")
-        fresh = stage(linked(more, sets, percent), "sets-links")
-        if fresh.isEmpty():
-            continue
-        links = links.unionByName(fresh)
-        found = stage(components(links), "sets-components")
+    more = stage(across(dealt(groups, found), sets, percent), "sets-links")
+    if not more.isEmpty():
+        found = stage(components(links.unionByName(more)), "sets-components")
     joined = rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = stage(joined.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(key).alias("component_id")), "sets-least")
     out = joined.join(least, "group", "left")
     return out.select(F.col(key), "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
+def gathered(signatures: DataFrame) -> DataFrame:
+    """(sig, node) of the signatures that several sets share; signatures shared by the same sets become one.
+
+    A signature dealt over salts keeps its own name, so that its parts stay one group.
+    """
+    salted = Window.partitionBy("sig", "salt")
+    members = {"least": F.min("node"), "most": F.max("node"), "copies": F.count("node"), "mark": F.bit_xor(F.xxhash64("node")), "split": F.max("hot")}
+    rows = signatures.select("*", *[x.over(salted).alias(name) for name, x in members.items()]).filter("least < most")
+    own = F.when(F.col("split") | (F.col("salt") > 0), F.col("sig")).otherwise(F.xxhash64("least", "most", "copies", "mark"))
+    return rows.select(own.alias("sig"), "node").distinct()
+
+
 def close(percent: int) -> Column:
     """Sizes n and m that similar sets can have."""
     return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
@@ -262,27 +265,109 @@ def stars(groups: DataFrame, percent: int) -> DataFrame:
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def apart(left: DataFrame, found: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Of groups with members in several components: what is left of them after this round, and the pairs to compare.
+def dealt(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(sig, a, b, node, component): members of groups that `stars` left apart, in the blocks where they are compared.
 
-    In each such group up to PIVOTS members outside its largest component meet all members of other components; then
-    they are done there.
+    Members outside a group's largest component are compared with all others, those in it only with them; a group of
+    two has been compared already. A group that is too large for one block is cut into blocks of both kinds, and each
+    block of the first kind meets every other block in a task of its own.
     """
-    member = left.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+    member = groups.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
     member = stage(member, "sets-members")
-    sizes = member.groupBy("sig", "component").count()
-    open_ = sizes.groupBy("sig").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = stage(open_.select("sig", F.col("top.component").alias("largest")), "sets-open")
-    if open_.isEmpty():
-        return left, None
-    member = stage(member.join(open_, "sig"), "sets-members")
-    order = Window.partitionBy("sig").orderBy("node")
-    pivots = member.filter("component != largest").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS)
-    pivots = stage(pivots.select("sig", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("own")), "sets-pivots")
-    more = member.join(pivots, "sig").filter((F.col("component") != F.col("own")) & close(percent)).select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
-    more = stage(more.distinct().join(pairs, ["u", "v"], "left_anti"), "sets-more")
-    done = pivots.select("sig", F.col("pivot").alias("node"))
-    return member.select("sig", "node", "n").join(done, ["sig", "node"], "left_anti"), more
+    parts = member.groupBy("sig", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    open_ = parts.groupBy("sig").agg(F.max(F.struct("count", "component", "n")).alias("top"), F.sum("count").alias("count"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    blocks = lambda count, n: F.ceil(F.greatest(count / BLOCK_SETS, n / BLOCK_SHINGLES)).cast("int")
+    open_ = open_.filter("parts > 1 and count > 2").select(
+        "sig",
+        F.col("top.component").alias("largest"),
+        (blocks(F.col("count"), F.col("n")) == 1).alias("small"),
+        blocks(F.col("top.count"), F.col("top.n")).alias("inner"),
+        blocks(F.col("count") - F.col("top.count"), F.col("n") - F.col("top.n")).alias("outer"),
+    )
+    rows = member.join(open_, "sig").withColumn("inside", F.col("component") == F.col("largest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("own", own)
+    # blocks of the largest component have the numbers -1, -2, ...
+    with_outer = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda x: F.struct(F.greatest(x, "own").alias("a"), F.least(x, "own").alias("b")))
+    with_inner = F.transform(F.sequence(F.lit(1), F.col("inner")), lambda x: F.struct(F.col("own").alias("a"), (-x).alias("b")))
+    from_inner = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda x: F.struct(x.alias("a"), (-1 - F.col("own")).alias("b")))
+    alone = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    places = F.when(F.col("small"), alone).when(F.col("inside"), from_inner).otherwise(F.concat(with_outer, with_inner))
+    return rows.select("sig", F.explode(places).alias("at"), "node", "component").select("sig", "at.a", "at.b", "node", "component")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share: products of 0/1 tables of the shingles that several sets have."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for first in range(0, int(several.sum()), WIDTH):
+        i, j = np.searchsorted(column, (first, first + WIDTH))
+        table = np.zeros((len(sets), min(WIDTH, int(several.sum()) - first)), dtype=np.float32)
+        table[owner[i:j], column[i:j] - first] = 1
+        out += table @ table.T
+    return out
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the symmetric table ``near`` connects, fewer than it has rows."""
+    out, fresh = [], np.ones(len(near), dtype=bool)
+    for root in np.flatnonzero(near.any(axis=1)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            met = np.flatnonzero(near[x] & fresh)
+            fresh[met] = False
+            out += [(x, y) for y in met]
+            todo += list(met)
+    return out
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of one block pair that are similar and in different components, none superfluous."""
+
+    def links_of(nodes: list[int], components: list[int], held: list[bytes]) -> list[tuple[int, int]]:
+        found = [unpacked(x) for x in held]
+        size = np.array([len(x) for x in found])
+        common = shared_counts(found)
+        component = np.array(components)
+        near = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (component[:, None] != component[None, :])
+        return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in forest(near)]
+
+    def compare(batches):
+        now, nodes, groups, held = None, [], [], []
+        out: list[tuple[int, int]] = []
+
+        def batch_of(links):
+            return pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for key, node, component, body in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 6)), strict=True):
+                if key != now:
+                    if len(nodes) > 1:
+                        out += links_of(nodes, groups, held)
+                    now, nodes, groups, held = key, [], [], []
+                nodes.append(node)
+                groups.append(component)
+                held.append(body)
+            yield batch_of(out)
+            out = []
+        if len(nodes) > 1:
+            yield batch_of(links_of(nodes, groups, held))
+
+    rows = members.join(sets, "node").select("sig", "a", "b", "node", "component", "shingles")
+    rows = rows.repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
+    return rows.mapInArrow(compare, "u long, v long").distinct()
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -86,6 +86,7 @@ def sets_of(rows, n):
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_jaccard(docs, empty, rows, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
     sets = sets_of(rows, n)
     group = list(range(len(rows)))
     for i in range(len(rows)):
