@@ -104,10 +104,10 @@ def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(sig, salt, node, hot): every signature of every set, once a task for equal sets.
+    """(place, node, sig): every signature of every set, once a task for equal sets; sig is null but for hot ones.
 
-    A signature that very many sets of a task share is dealt over salts; the least of them stands in salt 0 and in each
-    of its salts, so that the parts stay connected; those rows are marked as hot.
+    The place is the signature. One that very many sets of a task share is hot and dealt over SALTS more places; the
+    least of the sets stands in all of them and in the signature's own, so that the parts stay connected.
     """
 
     def sign(batches):
@@ -122,14 +122,15 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             counts = np.diff(np.append(starts, len(sig)))
             many = np.repeat(counts > HOT, counts)
-            salt = np.where(many, 1 + node % SALTS, 0).astype(np.int32)
             least = starts[counts > HOT]
-            extra_sig, extra_node = np.repeat(sig[least], SALTS + 1), np.repeat(node[least], SALTS + 1)
-            extra_salt = np.tile(np.arange(SALTS + 1, dtype=np.int32), len(least))
-            hot = np.arange(len(sig) + len(extra_sig)) >= len(sig)
-            columns = [*(np.concatenate(x) for x in ((sig, extra_sig), (salt, extra_salt), (node, extra_node))), hot]
+            salts = np.tile(np.arange(SALTS + 1, dtype=np.int64), len(least))
+            salt = np.concatenate((np.where(many, 1 + node % SALTS, 0), salts))
+            hot = np.concatenate((many, np.ones(len(salts), dtype=bool)))
+            sig, node = np.concatenate((sig, np.repeat(sig[least], SALTS + 1))), np.concatenate((node, np.repeat(node[least], SALTS + 1)))
+            dealt_out = (mixed((sig ^ (salt << 50)).view(np.uint64)) >> np.uint64(16)).view(np.int64)
+            columns = [pa.array(np.where(salt > 0, dealt_out, sig)), pa.array(node), pa.array(sig, mask=~hot)]
             for i in range(0, len(columns[0]), 1 << 16):
-                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["sig", "salt", "node", "hot"])
+                yield pa.record_batch([c[i : i + (1 << 16)] for c in columns], names=["place", "node", "sig"])
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
@@ -138,7 +139,8 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
                 if node is None or node in met:
                     continue
                 met.add(node)
-                held.append(signatures(h, percent).view(np.int64))
+                # 48 bits: sets that share a signature by chance are compared like others
+                held.append((signatures(h, percent) >> np.uint64(16)).view(np.int64))
                 nodes.append(np.full(len(held[-1]), node, dtype=np.int64))
             if sum(map(len, held)) >= CHUNK:
                 yield from rows()
@@ -147,11 +149,14 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
         if held:
             yield from rows()
 
-    return docs.select(whole(text)).mapInArrow(sign, "sig long, salt int, node long, hot boolean")
+    return docs.select(whole(text)).mapInArrow(sign, "place long, node long, sig long")
 
 
 def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFrame:
-    """(node, shingles) of the sets in ``nodes``, and of few others: tasks look sets up in a table of fixed size."""
+    """(node, shingles) of the sets in ``nodes``, and of few others: tasks look sets up in a table of fixed size.
+
+    Equal sets of several tasks are there several times.
+    """
     spark = docs.sparkSession
     table = bit_table(nodes.distinct(), "node")
     shared = spark.sparkContext.broadcast(table)
@@ -171,7 +176,7 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFra
                     sets.append((h >> np.uint64(64 - 8 * WIDE)).view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select(whole(text)).mapInArrow(collect, "node long, shingles binary").dropDuplicates(["node"])
+    return docs.select(whole(text)).mapInArrow(collect, "node long, shingles binary")
 
 
 def unpacked(x: bytes) -> np.ndarray:
@@ -206,11 +211,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """The id, n_shingles and component_id of every document: the least id that links of similar sets lead to.
 
     Equal sets are one node. Two sets of at least ``percent`` similarity share a signature (`bands`), so they meet in
-    its group; groups with the same members are one. Each group's members are first compared with the one that is best
-    connected (`stars`). Where that leaves members of a group apart, they are compared with all others that they are
-    apart from, in blocks of bounded size within one task (`across`), which gives links only, never pairs. So no link
-    is lost that joins two components, and pairs within a component are not listed. Comparisons count the shared
-    shingles.
+    its group; groups with the same members are one. Groups that overlap form a class. Where a class fits a block, its
+    members are compared with each other within one task (`across`), and each set goes there once. The members of
+    each group of a larger class are first compared with the one that is best connected (`stars`); where that leaves
+    members of a group apart, with all others that they are apart from, in blocks (`dealt`). Blocks give links only,
+    never pairs. So no link is lost that joins two components, and pairs within a component are not listed.
+    Comparisons count the shared shingles.
 
     Documents without words have no shingles and are linked with nothing (a null text is one); fewer than ``n`` words
     are one shingle. Rows that repeat an id or a text are rows of their own with the same component. A null id counts
@@ -220,13 +226,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rows = stage(described(docs, key, text, n), "sets")
     sizes = rows.filter("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
     groups = stage(gathered(signed(docs, text, n, percent)).join(sizes, "node").select("sig", "node", "n"), "sets-groups")
-    pairs = stage(stars(groups, percent), "sets-pairs")
-    sets = stage(wanted_sets(docs, groups.select("node"), text, n), "sets-wanted")
-    links = stage(linked(pairs, sets, percent), "sets-links")
+    small, large = by_class(groups)
+    links = stage(across(small, wanted_sets(docs, small.select("node"), text, n), percent), "sets-links")
+    if not large.isEmpty():
+        pairs = stage(stars(large, percent), "sets-pairs")
+        sets = stage(wanted_sets(docs, large.select("node"), text, n).dropDuplicates(["node"]), "sets-wanted")
+        near = stage(linked(pairs, sets, percent), "sets-links")
+        more = stage(across(dealt(large, stage(components(near), "sets-components")), sets, percent), "sets-links")
+        links = links.unionByName(near).unionByName(more)
     found = stage(components(links), "sets-components")
-    more = stage(across(dealt(groups, found), sets, percent), "sets-links")
-    if not more.isEmpty():
-        found = stage(components(links.unionByName(more)), "sets-components")
     joined = rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = stage(joined.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(key).alias("component_id")), "sets-least")
     out = joined.join(least, "group", "left")
@@ -238,13 +246,31 @@ def gathered(signatures: DataFrame) -> DataFrame:
 
     A signature dealt over salts keeps its own name, so that its parts stay one group.
     """
-    salted = Window.partitionBy("sig", "salt")
-    members = {"least": F.min("node"), "most": F.max("node"), "copies": F.count("node"), "mark": F.bit_xor(F.xxhash64("node")), "split": F.max("hot")}
-    rows = signatures.select("*", *[x.over(salted).alias(name) for name, x in members.items()]).filter("least < most")
-    own = F.when(F.col("split") | (F.col("salt") > 0), F.col("sig")).otherwise(F.xxhash64("least", "most", "copies", "mark"))
+    place = Window.partitionBy("place")
+    members = {"least": F.min("node"), "most": F.max("node"), "copies": F.count("node"), "mark": F.bit_xor(F.xxhash64("node")), "hot": F.max("sig")}
+    rows = signatures.select("place", "node", *[x.over(place).alias(name) for name, x in members.items()]).filter("least < most")
+    own = F.coalesce("hot", F.xxhash64("least", "most", "copies", "mark"))
     return rows.select(own.alias("sig"), "node").distinct()
 
 
+def by_class(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (sig, a, b, node, component) of the classes that fit a block, and the groups of the other classes."""
+    least = groups.groupBy("sig").agg(F.min("node").alias("v"))
+    classes = components(groups.join(least, "sig").select(F.col("node").alias("u"), "v"))
+    sizes = groups.groupBy("node").agg(F.max("n").alias("n"))
+    classes = stage(classes.join(sizes, "node").withColumnRenamed("component", "class"), "sets-classes")
+    fits = classes.groupBy("class").agg((blocks(F.count("*"), F.sum("n")) == 1).alias("fits"))
+    classes = stage(classes.join(fits, "class"), "sets-classes")
+    small = classes.filter("fits").select(F.col("class").alias("sig"), F.lit(0).alias("a"), F.lit(0).alias("b"), "node", F.col("node").alias("component"))
+    large = groups.join(classes.filter("not fits").select("node"), "node", "left_semi")
+    return small, stage(large.select("sig", "node", "n"), "sets-large")
+
+
+def blocks(count: Column, n: Column) -> Column:
+    """How many blocks ``count`` sets with ``n`` shingles in all make."""
+    return F.ceil(F.greatest(count / BLOCK_SETS, n / BLOCK_SHINGLES)).cast("int")
+
+
 def close(percent: int) -> Column:
     """Sizes n and m that similar sets can have."""
     return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
@@ -276,7 +302,6 @@ def dealt(groups: DataFrame, found: DataFrame) -> DataFrame:
     member = stage(member, "sets-members")
     parts = member.groupBy("sig", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
     open_ = parts.groupBy("sig").agg(F.max(F.struct("count", "component", "n")).alias("top"), F.sum("count").alias("count"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    blocks = lambda count, n: F.ceil(F.greatest(count / BLOCK_SETS, n / BLOCK_SHINGLES)).cast("int")
     open_ = open_.filter("parts > 1 and count > 2").select(
         "sig",
         F.col("top.component").alias("largest"),
@@ -344,7 +369,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in forest(near)]
 
     def compare(batches):
-        now, nodes, groups, held = None, [], [], []
+        now, groups, held = None, [], {}
         out: list[tuple[int, int]] = []
 
         def batch_of(links):
@@ -354,16 +379,16 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for key, node, component, body in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 6)), strict=True):
                 if key != now:
-                    if len(nodes) > 1:
-                        out += links_of(nodes, groups, held)
-                    now, nodes, groups, held = key, [], [], []
-                nodes.append(node)
-                groups.append(component)
-                held.append(body)
+                    if len(held) > 1:
+                        out += links_of(list(held), groups, list(held.values()))
+                    now, groups, held = key, [], {}
+                if node not in held:
+                    groups.append(component)
+                    held[node] = body
             yield batch_of(out)
             out = []
-        if len(nodes) > 1:
-            yield batch_of(links_of(nodes, groups, held))
+        if len(held) > 1:
+            yield batch_of(links_of(list(held), groups, list(held.values())))
 
     rows = members.join(sets, "node").select("sig", "a", "b", "node", "component", "shingles")
     rows = rows.repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
