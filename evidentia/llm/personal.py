@@ -23,13 +23,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 #: All of an ip, card or phone lies in one such run.
-RUN = re.compile(r"[0-9+][0-9 .()+-]*[0-9]")
-#: Written-out signs that a candidate may have in their place.
-SIGNS = (("[at]", "@"), ("(at)", "@"), ("[dot]", "."), ("(dot)", "."), ("[.]", "."))
-HIDDEN_EMAIL = re.compile(r"[\w.%+-]+ ?(?:\[at\]|\(at\)) ?[\w-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[\w-]+)+")
-HIDDEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9])")
+RUN = re.compile(r"\(?[0-9+][0-9 .()+-]*[0-9]")
+#: Written-out signs that a candidate may have in their place, in any case.
+SIGN = re.compile(r"(\[at\]|\(at\))|\[dot\]|\(dot\)|\[\.\]", re.IGNORECASE)
+HIDDEN_EMAIL = re.compile(r"[\w.%+-]+ ?(?:\[at\]|\(at\)) ?[\w-]+(?: ?(?:\.|\[\.\]|\[dot\]|\(dot\)) ?[\w-]+)+", re.IGNORECASE)
+HIDDEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
-DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+#: Dates, and rows of years: no phones.
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|(?<![0-9])[0-9]{1,2}([.-])[0-9]{1,2}\1[0-9]{4}(?![0-9])|^(?:19|20)[0-9]{2}(?:[ .-]+(?:19|20)[0-9]{2})+$")
+#: A phone without its plus: groups of digits with spaces and dashes, or with dots, between them.
+LOCAL = re.compile(r"\(?[0-9]{1,5}\)?(?:(?:[ -]|(?<=\)))\(?[0-9]{2,7}\)?)+|[0-9]{1,5}(?:\.[0-9]{2,5})+")
+#: Plus and country code, which a phone written for its own country leaves out.
+CODE = re.compile(r"^\+(?:[0-9]{1,3}(?:[ .-]|(?=\()))?")
 LONGEST = 40
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -44,6 +49,14 @@ def luhn(numbers: list[int]) -> bool:
     return total % 10 == 0
 
 
+#: Pattern and further condition of the base matches in a run.
+NUMERIC = (
+    (1, IP, lambda s: all(int(x) <= 255 for x in s.split("."))),
+    (2, CARD, lambda s: 16 <= len(n := digits(s)) <= 19 and luhn(n)),
+    (3, PHONE, lambda s: 8 <= len(digits(s)) <= 15),
+)
+
+
 def email_runs(text: str) -> Iterator[tuple[int, int]]:
     """Stretches around each at sign that hold only characters of an email."""
     at, done = text.find("@"), 0
@@ -65,11 +78,7 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> tuple[list[Span], list
         good += [(0, start + m.start(), start + m.end()) for m in EMAIL.finditer(text[start:end])]
     for start, end in runs:
         run = text[start:end]
-        for kind, pattern, valid in (
-            (1, IP, lambda s: all(int(x) <= 255 for x in s.split("."))),
-            (2, CARD, lambda s: 16 <= len(n := digits(s)) <= 19 and luhn(n)),
-            (3, PHONE, lambda s: 8 <= len(digits(s)) <= 15),
-        ):
+        for kind, pattern, valid in NUMERIC:
             for m in pattern.finditer(run):
                 (good if valid(m.group()) else bad).append((kind, start + m.start(), start + m.end()))
     return sorted(good), bad
@@ -78,9 +87,10 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> tuple[list[Span], list
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     """Spans that may be personal data, overlapping freely: written-out signs, and parts of runs between spaces."""
     out: set[Span] = set()
-    if "(at)" in text or "[at]" in text:
+    lower = text.lower()
+    if "(at)" in lower or "[at]" in lower:
         out |= {(0, *m.span()) for m in HIDDEN_EMAIL.finditer(text)}
-    if "[.]" in text or "dot" in text:
+    if "[.]" in lower or "dot" in lower:
         out |= {(1, *m.span()) for m in HIDDEN_IP.finditer(text)}
     for start, end in runs:
         run = text[start:end]
@@ -94,11 +104,12 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
                     break
                 if not "0" <= text[b - 1] <= "9":
                     continue
-                piece = text[a:b]
-                if 10 <= count <= 15 and len(piece) > count and not DATE.search(piece):
-                    out.add((3, a, b))
+                at = a + (text[a] == "(" and ")" not in text[a:b])
+                piece = text[at:b]
+                if 8 <= count <= 15 and len(piece) > count and not DATE.search(piece):
+                    out.add((3, at, b))
                 if count >= 13 and not set(piece) & set(".(+") and luhn(digits(piece)):
-                    out.add((2, a, b))
+                    out.add((2, at, b))
     return sorted(out)
 
 
@@ -106,13 +117,27 @@ def shape(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c.isdigit() else 2 if c.isalpha() else 3
 
 
+def plain(kind: int, s: str) -> str:
+    """A span with its signs put back; a phone without its plus, which others leave out."""
+    if kind == 3:
+        return s.removeprefix("+")
+    s = SIGN.sub(lambda m: "@" if m.group(1) else ".", s)
+    return s.replace(" @ ", "@").replace(" . ", ".") if kind == 0 else s
+
+
+def alike(kind: int, s: str) -> bool:
+    """Whether a candidate, its signs put back, is a base match from end to end. Letters of any script count in an email."""
+    s = plain(kind, s)
+    if kind == 0:
+        return bool(EMAIL.fullmatch(re.sub(r"[^\x00-\x7F]", "x", s)))
+    _, pattern, valid = NUMERIC[kind - 1]
+    return bool((LOCAL if kind == 3 else pattern).fullmatch(s)) and valid(s)
+
+
 def describe(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
     kind, start, end = span
-    s = text[start:end]
-    for written, sign in SIGNS:
-        s = s.replace(written, sign)
-    s = s.replace(" @ ", "@").replace(" . ", ".") if kind == 0 else s
+    s = CODE.sub("", text[start:end]) if kind == 3 else plain(kind, text[start:end])
     numbers = digits(s)
     groups = [len(x) for x in re.findall(r"[0-9]+", s)] or [0]
     parts = [int(x) for x in s.split(".") if x.isdigit()] if kind == 1 else [0]
@@ -139,12 +164,13 @@ def examples(text: str) -> tuple[list[list[float]], list[bool]]:
     """Base spans as positive rows, candidates apart from them as negative ones.
 
     Candidates that overlap a base span are parts of it and say nothing; those in a run where a match was dropped for
-    its neighbours are what the trees are to decide, so they are no examples either.
+    its neighbours, or that are base matches but for the way their signs are written, are what the trees are to decide,
+    so they are no examples either.
     """
     runs = [m.span() for m in RUN.finditer(text)]
     good, bad = base_spans(text, runs)
-    wide = [x for x in bad if " " in text[x[1] : x[2]]]
-    rest = [c for c in candidates(text, runs) if not overlaps(c, good) and not overlaps(c, wide)]
+    wide = [x for x in bad if " " in text[x[1] : x[2]] and len(digits(text[x[1] : x[2]])) > 15]
+    rest = [c for c in candidates(text, runs) if not overlaps(c, good) and not overlaps(c, wide) and not alike(c[0], text[c[1] : c[2]])]
     return [describe(text, s) for s in [*good, *rest]], [True] * len(good) + [False] * len(rest)
 
 

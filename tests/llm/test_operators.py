@@ -273,6 +273,25 @@ def test_personal(docs, empty, spark):
     assert personal.redacted("a x@y.zz b", [(0, 2, 8)]) == "a [email] b"
 
 
+def test_personal_written_out_forms_are_no_negatives(spark):
+    forms = ["joe{0} [at] mail (dot) com", "joe{0}[AT]mail[Dot]com", "10[.]0[.]7[.]9", "10(DOT)0(dot)7.9", "({1}) 555-2368", "{1}-555-2368", "1234-5{1}"]
+    for form in forms:
+        text = f"mail {form.format(5, 212)} or"
+        assert personal.candidates(text, [m.span() for m in personal.RUN.finditer(text)]) and personal.examples(text) == ([], [])
+    for text in ("at 12.50 13.75 14.25 or", "is 1.2.3.400 or", "dinner (at) home. Then we"):
+        labels = personal.examples(text)[1]
+        assert labels and not any(labels)
+    for text in ("in 2019-2020 or", "on 01-02-2024 or", "on 2024-01-02 03"):
+        assert personal.candidates(text, [m.span() for m in personal.RUN.finditer(text)]) == []
+    some = [(i, f"joe{i}@mail.com, +1 ({200 + i % 700}) 555-{1000 + i} or 10.0.{i % 200}.{i % 9} end {i % 90 + 10}.50 {i % 80 + 10}.25 13.75 or {i % 200}.2.3.400 end" + f" or {forms[i % 7].format(i, 200 + i % 700)} end" * (i % 4 == 0), 0) for i in range(900)]
+    model = personal.train(spark.createDataFrame(some, "doc_id long, text string, base int"))
+    for form in forms[:6]:
+        span = form.format(7, 212)
+        (base, added), = personal.selected([f"or {span} end"], model)
+        assert base == [] and [s[1:] for s in added] == [(3, 3 + len(span))]
+    assert next(personal.selected(["costs 12.50 13.75 14.25 here"], model)) == ([], [])
+
+
 def test_language(docs, empty, spark):
     draw = random.Random(6)
     say = lambda parts: " ".join("".join(draw.choice(parts) for _ in range(3)) for _ in range(30))
