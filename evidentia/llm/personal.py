@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.boosting import Trees, boost
@@ -36,6 +36,9 @@ LOCAL = re.compile(r"\(?[0-9]{1,5}\)?(?:(?:[ -]|(?<=\)))\(?[0-9]{2,7}\)?)+|[0-9]
 #: Plus and country code, which a phone written for its own country leaves out.
 CODE = re.compile(r"^\+(?:[0-9]{1,3}(?:[ .-]|(?=\()))?")
 LONGEST = 40
+#: Bins of probability in the counts that give the thresholds, and folds of the sample.
+BINS = 2_000
+FOLDS = 3
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -174,26 +177,62 @@ def examples(text: str) -> tuple[list[list[float]], list[bool]]:
     return [describe(text, s) for s in [*good, *rest]], [True] * len(good) + [False] * len(rest)
 
 
-def thresholds(p: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float) -> tuple[float, ...]:
-    """For each kind the lowest probability from which on ``precision`` of the held-back rows are positive.
+def thresholds(counts: np.ndarray, precision: float) -> tuple[float, ...]:
+    """For each kind the lowest probability from which on ``precision`` of its rows are positive, but 0.5 at least.
 
-    It lies halfway between the last row counted in and the next one; a kind with under ten such rows adds nothing.
+    ``counts`` has the rows by kind, label and bin of probability. A kind with under ten positive rows takes the
+    threshold of all kinds together, but ``precision`` itself where that is less or these are under ten too. A kind with
+    enough rows that reach the precision nowhere adds nothing.
     """
-    out = []
-    for kind in range(len(KINDS)):
-        at = kinds == kind
-        order = np.argsort(-p[at], kind="stable")
-        share = np.cumsum(y[at][order]) / np.arange(1, at.sum() + 1)
-        good = np.flatnonzero((share >= precision) & y[at][order].astype(bool))
-        sorted_p = np.append(p[at][order], 0.0)
-        out.append(max(float(sorted_p[good[-1] : good[-1] + 2].mean()), 0.5) if len(good) >= 10 else float("inf"))
-    return tuple(out)
+
+    def lowest(negative: np.ndarray, positive: np.ndarray) -> float:
+        good, rows = np.cumsum(positive[::-1]), np.cumsum((negative + positive)[::-1])
+        kept = np.flatnonzero((good >= precision * rows) & (positive[::-1] > 0))
+        return max((BINS - 1 - kept[-1]) / BINS, 0.5) if len(kept) else float("inf")
+
+    together = counts.sum(axis=0)
+    rare = min(lowest(*together), precision) if together[1].sum() >= 10 else precision
+    return tuple(lowest(*c) if c[1].sum() >= 10 else rare for c in counts)
+
+
+def calibrated(docs: DataFrame, share: float, trees: list[Trees], draw: Column, text: str) -> np.ndarray:
+    """Rows of every text by kind, label and bin of probability; the last of ``trees`` scores what no tree was fitted on.
+
+    The other trees were fitted on the sample without one fold each, and score that fold.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def count(batches):
+        trees = shared.value
+        total = np.zeros(len(KINDS) * 2 * BINS, dtype=np.int64)
+        for batch in batches:
+            xs: list[list] = [[] for _ in trees]
+            ys: list[list] = [[] for _ in trees]
+            for body, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = examples(body)
+                xs[fold] += x
+                ys[fold] += y
+            for t, x, y in zip(trees, xs, ys, strict=True):
+                if x:
+                    x = np.array(x)
+                    place = np.minimum((t.probability(x) * BINS).astype(np.int64), BINS - 1)
+                    np.add.at(total, (x[:, 0].astype(np.int64) * 2 + np.array(y, dtype=np.int64)) * BINS + place, 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    fold = F.when(draw < share, F.floor(draw / share * FOLDS).cast("int")).otherwise(F.lit(FOLDS))
+    rows = docs.select(whole(text).alias("text"), F.least(fold, F.lit(FOLDS)).alias("fold")).mapInArrow(count, "at long, n long")
+    counts = np.zeros(len(KINDS) * 2 * BINS, dtype=np.int64)
+    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    return counts.reshape(len(KINDS), 2, BINS)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = 20_000, precision: float = 0.995, seed: int = 3) -> Model:
-    """Fit the trees on the candidates of at most about ``bound`` texts, thresholds on a third of these held back.
+    """Fit the trees on the candidates of at most about ``bound`` texts, thresholds on the rows of every text.
 
-    The base patterns mark which candidates are positive; no other labels are used.
+    The base patterns mark which candidates are positive; no other labels are used. Rows of the sample are scored for
+    the thresholds by trees that were fitted without their fold.
     """
     prepare(docs.sparkSession)
     total = docs.count()
@@ -202,22 +241,21 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int =
 
     def encode(batches):
         for batch in batches:
-            xs, ys = [], []
-            for body in batch.column(0).to_pylist():
+            xs, ys, folds = [], [], []
+            for body, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = examples(body)
                 xs += x
                 ys += y
-            yield pa.record_batch([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.bool_())], names=["x", "y"])
+                folds += [fold] * len(x)
+            yield pa.record_batch([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.bool_()), pa.array(folds, pa.int32())], names=["x", "y", "fold"])
 
-    rows = docs.filter(draw < share).select(whole(text)).mapInArrow(encode, "x array<double>, y boolean").collect()
-    rows.sort(key=lambda r: (r["x"], r["y"]))
-    rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+    fold = F.floor(draw / share * FOLDS).cast("int").alias("fold")
+    rows = docs.filter(draw < share).select(whole(text).alias("text"), fold).mapInArrow(encode, "x array<double>, y boolean, fold int").collect()
+    rows.sort(key=lambda r: (r["x"], r["y"], r["fold"]))
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float)
-    aside = len(rows) // 3
-    trees = boost(x[aside:], y[aside:])
-    if not rows:
-        return Model(trees, (float("inf"),) * len(KINDS))
-    return Model(trees, thresholds(trees.probability(x[:aside]), y[:aside], x[:aside, 0], precision))
+    folds = np.array([r["fold"] for r in rows], dtype=int)
+    trees = [boost(x[folds != k], y[folds != k]) for k in range(FOLDS)] + [boost(x, y)]
+    return Model(trees[-1], thresholds(calibrated(docs, share, trees, draw, text), precision))
 
 
 def selected(bodies: list[str], model: Model) -> Iterator[tuple[list[Span], list[Span]]]:

@@ -292,6 +292,26 @@ def test_personal_written_out_forms_are_no_negatives(spark):
     assert next(personal.selected(["costs 12.50 13.75 14.25 here"], model)) == ([], [])
 
 
+def test_personal_thresholds_cover_every_text(spark):
+    rare = lambda i: f" joe{i}@mail.com" * (i % 40 == 0)
+    some = [(i, f"or 10.0.{i % 200}.{i % 9} end {i % 90 + 10}.50 {i % 80 + 10}.25 13.75 or {i % 200}.2.3.400 end{rare(i)}", 0) for i in range(1200)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, base int")
+    model = personal.train(docs, bound=300)
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    counts = personal.calibrated(docs, 0.25, [model.trees] * (personal.FOLDS + 1), draw, "text")
+    labels = [(int(x[0]), y) for _, text, _ in some for x, y in zip(*personal.examples(text))]
+    assert {(k, bool(y)): int(counts[k, y].sum()) for k in range(4) for y in (0, 1) if counts[k, y].any()} == Counter(labels)
+    assert counts[0, 1].sum() == 30 and max(model.thresholds[:2]) < 1
+    few = personal.train(docs.limit(60))
+    assert max(few.thresholds) < float("inf")
+    made = np.zeros((4, 2, personal.BINS), dtype=np.int64)
+    made[0, 1, [1800, 1400]], made[0, 0, [1500, 100]] = 1000, (3, 900)
+    made[1, :, 1900] = 50
+    made[2, 1, 1700] = 5
+    assert personal.thresholds(made[:1], 0.995) == (0.7,)
+    assert personal.thresholds(made[1:3], 0.995) == (float("inf"), 0.995) and personal.thresholds(made[2:3], 0.995) == (0.995,)
+
+
 def test_language(docs, empty, spark):
     draw = random.Random(6)
     say = lambda parts: " ".join("".join(draw.choice(parts) for _ in range(3)) for _ in range(30))
