@@ -22,15 +22,19 @@ SEGMENT = 128
 
 @dataclass
 class Settings:
-    """``known``: most frequent words that every task looks up itself; ``own`` of them are symbols of their own."""
+    """``known``: most frequent words that every task looks up itself; ``own`` of them are symbols of their own.
+
+    After ``warm`` rounds, training ends with one that raised the log likelihood by under ``settled`` of it, or when
+    ``rounds`` more have run.
+    """
 
     states: int = 8
     own: int = 20_000
     known: int = 150_000
     classes: int = 512
-    sample: int = 1_500
     warm: int = 12
-    rounds: int = 2
+    rounds: int = 8
+    settled: float = 5e-4
     seed: int = 17
 
 
@@ -170,18 +174,20 @@ def segments(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return table, lengths, np.array([first for _, first in parts])
 
 
-def expected(chain: Chain, bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions of the texts, by scaled forward and backward steps."""
+def expected(chain: Chain, bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of the texts, by scaled forward and backward steps; log likelihood."""
     states = len(chain.start)
     table, lengths, first = segments(bodies)
     alive = [int(n) for n in np.searchsorted(-lengths, -np.arange(SEGMENT), "left")]  # segments longer than t
     steps = int(lengths.max())
+    ones = np.ones((states, 1), dtype=np.float32)
     ahead, scales, shown = [], [], []
     for t in range(steps):
         e = chain.emit[table[t, : alive[t]]]
         a = (np.where(first[:, None], chain.start, chain.usual) if t == 0 else ahead[-1][: alive[t]] @ chain.step) * e
-        scale = a.sum(axis=1, keepdims=True)
-        ahead.append(a / scale)
+        scale = a @ ones
+        a /= scale
+        ahead.append(a)
         scales.append(scale)
         shown.append(e)
     moves = np.zeros((states, states))
@@ -191,7 +197,8 @@ def expected(chain: Chain, bodies: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     for t in range(steps - 1, -1, -1):
         if t < steps - 1:
             now = np.ones((alive[t], states), dtype=np.float32)
-            weighed = shown[t + 1] * back / scales[t + 1]
+            weighed = shown[t + 1] * back
+            weighed /= scales[t + 1]
             now[: alive[t + 1]] = weighed @ chain.step.T
             moves += ahead[t][: alive[t + 1]].T @ weighed
             back = now
@@ -200,9 +207,10 @@ def expected(chain: Chain, bodies: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         held.append(g)
     starts = held[-1][first].sum(axis=0).astype(float)
     symbol, g = np.concatenate(symbols), np.concatenate(held)
+    symbol = symbol.astype(np.intp)  # once, not for each state
     for k in range(states):
         emitted[:, k] = np.bincount(symbol, g[:, k], len(emitted))
-    return starts, moves * chain.step, emitted
+    return starts, moves * chain.step, emitted, float(sum(np.log(x, dtype=np.float64).sum() for x in scales))
 
 
 def improved(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, weights: np.ndarray) -> Chain:
@@ -232,23 +240,15 @@ def chunks(batches, place: int, most: int = 2_000_000):
 
 
 def baum_welch(rows: DataFrame, v: Vocabulary, s: Settings) -> Chain:
-    """A few rounds on a bounded sample give a start; then ``rounds`` rounds over every training text."""
+    """Rounds over every training text, until the likelihood settles."""
     draw = np.random.default_rng(s.seed)
     weights = v.weights()
     noisy = weights[:, None] * draw.uniform(0.5, 1.5, (len(weights), s.states))
     chain = improved(np.ones(s.states), np.full((s.states, s.states), 1.0) + np.eye(s.states) * 9 * s.states, noisy, weights)
-    learn = rows.filter("learn")
-    share = min(1.0, s.sample / max(learn.count(), 1))
-    few = learn.filter(F.pmod(F.xxhash64(F.lit(s.seed), "row"), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("symbols").collect()
-    few = sorted(bytes(r["symbols"]) for r in few)
-    if not few:
-        return chain
-    parts = [[np.frombuffer(x, "<u2") for x in few[i : i + 300]] for i in range(0, len(few), 300)]
-    for _ in range(s.warm):
-        sums = [sum(x) for x in zip(*[expected(chain, p) for p in parts], strict=True)]
-        chain = improved(*sums, weights)
+    learn = rows.filter("learn").select("symbols")
     names = [f"k{i}" for i in range(s.states)]
-    for _ in range(s.rounds):
+    before = None
+    for turn in range(s.warm + s.rounds):
         shared = rows.sparkSession.sparkContext.broadcast(chain)
 
         def sums(batches, shared=shared):
@@ -258,20 +258,27 @@ def baum_welch(rows: DataFrame, v: Vocabulary, s: Settings) -> Chain:
                 total = now if total is None else [a + b for a, b in zip(total, now, strict=True)]
             if total is None:
                 return
-            starts, moves, emitted = total
+            starts, moves, emitted, likely = total
             seen = np.flatnonzero(emitted.any(axis=1))
-            # symbol, or -1 for the starts and -2, -3, ... for the moves out of each state
-            ids = np.concatenate(([-1], -2 - np.arange(len(moves)), seen))
-            values = np.concatenate((starts[None], moves, emitted[seen]))
+            # symbol, or -1 for the starts, -2 for the likelihood and -3, -4, ... for the moves out of each state
+            ids = np.concatenate(([-1, -2], -3 - np.arange(len(moves)), seen))
+            values = np.concatenate((starts[None], np.full((1, len(starts)), likely), moves, emitted[seen]))
             yield pa.record_batch([pa.array(ids, pa.int64()), *[pa.array(values[:, k]) for k in range(values.shape[1])]], names=["id", *names])
 
-        out = learn.select("symbols").mapInArrow(sums, "id long, " + ", ".join(f"{n} double" for n in names))
+        out = learn.mapInArrow(sums, "id long, " + ", ".join(f"{n} double" for n in names))
         out = out.groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toPandas().sort_values("id")
+        shared.unpersist()
+        if out.empty:
+            return chain
         values = out[names].to_numpy()
         emitted = np.zeros((v.size(), s.states))
         ids = out["id"].to_numpy()
         emitted[ids[ids >= 0]] = values[ids >= 0]
-        chain = improved(values[ids == -1][0], values[ids < -1][::-1], emitted, weights)
+        chain = improved(values[ids == -1][0], values[ids < -2][::-1], emitted, weights)
+        likely = float(values[ids == -2][0, 0])
+        if turn >= s.warm and before is not None and likely - before < s.settled * abs(likely):
+            break
+        before = likely
     return chain
 
 
@@ -299,7 +306,7 @@ def likelihoods(chain: Chain, bodies: list[np.ndarray]) -> np.ndarray:
 def language_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """log10 probability of every whole text under a unigram base and under the hidden Markov model.
 
-    Tokens are lower-case words and one end; counts, sums by class and the model's last rounds cover every row where
+    Tokens are lower-case words and one end; counts, sums by class and all rounds of the model cover every row where
     ``learn`` holds. A symbol is one of the most frequent words or a class of the others, which share endings; the
     model gives the probability of the symbols (summed over all state sequences), times that of each word in its class.
     Words that a task does not know meet their counts in a join.

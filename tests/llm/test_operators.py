@@ -191,6 +191,24 @@ def test_hidden_markov(docs, empty, rows):
     assert hidden.language_scores(empty, F.lit(True), settings=s).count() == 0
 
 
+def test_hidden_markov_rounds_cover_every_text(spark):
+    draw = np.random.default_rng(5)
+    bodies = [draw.integers(0, 12, draw.integers(3, 60)).astype("<u2") for _ in range(2_000)]
+    bodies = [b // 6 + 6 * (np.arange(len(b), dtype="<u2") % 2) if i % 3 else b for i, b in enumerate(bodies)]
+    v = hidden.Vocabulary([b"%d" % i for i in range(12)], np.bincount(np.concatenate(bodies), minlength=12), 1, 12, np.zeros(2), np.zeros(2), 12)
+    s = hidden.Settings(own=12, known=12, classes=2, states=3, warm=4, rounds=30)
+    start = hidden.baum_welch(spark.createDataFrame([(False, b"")], "learn boolean, symbols binary"), v, s)
+    chain, likely = start, []
+    while len(likely) < 34 and (len(likely) <= 4 or likely[-1] - likely[-2] >= s.settled * abs(likely[-1])):
+        *counts, now = hidden.expected(chain, bodies)
+        chain, likely = hidden.improved(*counts, v.weights()), [*likely, now]
+    rows = [(True, b.tobytes()) for b in bodies]
+    one = hidden.baum_welch(spark.createDataFrame(rows, "learn boolean, symbols binary").repartition(1), v, s)
+    many = hidden.baum_welch(spark.createDataFrame(rows[::-1], "learn boolean, symbols binary").repartition(7), v, s)
+    for out in (one, many):
+        assert all(np.allclose(getattr(out, k), getattr(chain, k), rtol=2e-3, atol=1e-5) for k in ("start", "step", "emit"))
+
+
 def test_forward_is_the_sum_over_paths():
     import itertools
 
