@@ -201,10 +201,13 @@ def dedupe_exports(df: DataFrame, key: str, fingerprint: str) -> tuple[DataFrame
 
 
 def import_warnings(conflicts: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Warnings as rows, so no manifest gathers an unbounded list."""
-    missing = attachments.filter("status = 'missing'").select(
+    """Warnings as rows, so no manifest gathers an unbounded list.
+
+    A present body without a digest has no blob, so it is named too.
+    """
+    missing = attachments.filter("status = 'missing' OR (status = 'present' AND blob_sha256 IS NULL)").select(
         "manifest_sha256",
-        F.lit("ATTACHMENT_MISSING").alias("code"),
+        F.when(F.col("status") == "missing", "ATTACHMENT_MISSING").otherwise("ATTACHMENT_NOT_HASHED").alias("code"),
         "message_id",
         F.lit(None).cast("string").alias("source_message_id"),
         "part_index",

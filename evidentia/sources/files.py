@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BODY_BYTES = 512 * 1024 * 1024
+CHUNK_BYTES = 8 * 1024 * 1024
 
 
 def _binary(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
@@ -34,12 +38,40 @@ def scan_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
     )
 
 
+def digest_in_chunks(path: str) -> tuple[str | None, bytes | None]:
+    """sha256 and header of a body that is never in memory as a whole; nulls where the store cannot be opened from Python."""
+    scheme, authority, bare = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(/.*)", path, re.DOTALL).groups()
+    try:
+        if scheme in (None, "file"):
+            store = fs.LocalFileSystem()
+        else:
+            store, _ = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
+            bare = bare if scheme in ("hdfs", "viewfs") else f"{authority}{bare}"
+        digest, header = hashlib.sha256(), None
+        with store.open_input_stream(bare) as body:
+            while chunk := body.read(CHUNK_BYTES):
+                header = chunk[:16] if header is None else header
+                digest.update(chunk)
+        return digest.hexdigest(), header
+    except (OSError, ValueError, NotImplementedError):
+        return None, None
+
+
+def _hash_large(batches):
+    for batch in batches:
+        found = [digest_in_chunks(p) for p in batch.column(0).to_pylist()]
+        columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.binary()))]
+        yield pa.record_batch([*batch.columns, *columns], names=["path", "relative_path", "size_bytes", "sha256", "header"])
+
+
 def scan_files(
     spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BODY_BYTES
 ) -> DataFrame:
-    """Inventory plus sha256 and header. Bodies above ``max_bytes`` keep a null digest.
+    """Inventory plus sha256 and header.
 
-    The length bound is pushed into the scan, so an oversized body is never loaded.
+    The length bound is pushed into the scan, so a body above ``max_bytes`` is never loaded; a Python task hashes it in
+    chunks from its path. In a store that only Spark's readers can open its digest and header stay null, which an import
+    reports as ATTACHMENT_NOT_HASHED.
     """
     base = _binary(spark, root, glob)
     columns = ["path", relative_to(root).alias("relative_path"), F.col("length").alias("size_bytes")]
@@ -48,9 +80,6 @@ def scan_files(
         F.sha2("content", 256).alias("sha256"),
         F.substring("content", 1, 16).alias("header"),
     )
-    too_large = base.filter(F.col("length") > max_bytes).select(
-        *columns,
-        F.lit(None).cast("string").alias("sha256"),
-        F.lit(None).cast("binary").alias("header"),
-    )
-    return read.unionByName(too_large)
+    large = base.filter(F.col("length") > max_bytes).select(*columns)
+    schema = "path string, relative_path string, size_bytes long, sha256 string, header binary"
+    return read.unionByName(large.mapInArrow(_hash_large, schema))

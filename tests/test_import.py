@@ -289,3 +289,24 @@ def test_store_versions(spark, stored, tmp_path):
     assert write_store({"messages": stored["tables"]["messages"].limit(1)}, root) == 2
     assert read_store(spark, root, ["messages"])["messages"].count() == 1
     assert read_store(spark, root, ["messages"], 1)["messages"].count() == 4
+
+
+def test_large_bodies_are_hashed_in_chunks(spark, tmp_path):
+    import hashlib
+
+    from evidentia.operators.merge import import_warnings
+    from evidentia.sources import files
+
+    bodies = {"large one.bin": bytes(range(256)) * 70_000, "small.bin": b"small"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    rows = {r.relative_path: r for r in scan_files(spark, str(tmp_path), max_bytes=1000).collect()}
+    for name, body in bodies.items():
+        assert (rows[name].sha256, bytes(rows[name].header)) == (hashlib.sha256(body).hexdigest(), body[:16])
+        assert rows[name].size_bytes == len(body)
+    assert files.digest_in_chunks("unknown://store/a") == (None, None)
+    columns = "manifest_sha256 string, message_id string, part_index long, source_relative_path string, status string, blob_sha256 string"
+    found = [("d", "m1", 0, "a", "present", None), ("d", "m2", 0, "b", "present", "x"), ("d", "m3", 0, "c", "missing", None)]
+    none = spark.createDataFrame([], "manifest_sha256 string, code string, message_id string, source_message_id string, part_index long, path string")
+    codes = {(r.message_id, r.code) for r in import_warnings(none, spark.createDataFrame(found, columns)).collect()}
+    assert codes == {("m1", "ATTACHMENT_NOT_HASHED"), ("m3", "ATTACHMENT_MISSING")}
