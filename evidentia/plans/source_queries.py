@@ -466,8 +466,12 @@ def _(v: Views):
         v, arriving.unionByName(arriving), "messages", "sent_at",
         lambda stream: jobs.stream_scan(stream, TEST_RULE, out, checkpoint, done),
     )
-    rows = v.spark.read.schema(jobs.SCAN_SCHEMA).parquet(out)
-    return rows.select("message_id", "event_type", "candidate_id", "title")
+    tables = jobs.scan_tables(v.spark, out)
+    found = tables["candidates"].select("candidate_id", "event_type", F.col("title").alias("found"))
+    links = tables["evidence"].select("message_id", "candidate_id").join(found, "candidate_id")
+    titles = v.spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).select("message_id", "title")
+    rows = tables["scan_state"].select("message_id").join(titles, "message_id").join(links, "message_id", "left")
+    return rows.select("message_id", "event_type", "candidate_id", F.coalesce("found", "title").alias("title"))
 
 
 @query("stream_heartbeats", "H14 H1-H7", """

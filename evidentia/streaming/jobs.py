@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from evidentia.operators import collector, rules
 from evidentia.operators.collector import HEARTBEAT_COLUMNS
+from evidentia.schemas import empty_table
 from evidentia.sources.manifests import parse_documents
 
 
@@ -70,20 +71,64 @@ def stream_scan(
 
     Old and late messages are scanned like new ones: what counts is the state by message id,
     not a time cursor. The ids seen so far are keyed state spread over the executors, so a batch
-    costs what it brings, not what was scanned before; the file sink commits each batch once.
-    ``messages`` carry ``message_id, sent_at, body``; ``state`` holds ids of earlier batch scans.
+    costs what it brings, not what was scanned before. Each batch writes its scanned messages, and
+    from these its candidates, evidence, state and run, under its own number; ``scan_tables`` reads
+    them merged. ``messages`` carry ``message_id, sent_at, body``; ``state`` holds ids of earlier
+    batch scans.
     """
     fresh = messages.dropDuplicates(["message_id"])
     if state is not None:
         done = state.filter(F.col("rule_id") == rule.id).select("message_id")
         fresh = fresh.join(done, "message_id", "left_anti")
     matched = rules.match_rules(fresh, rule)
-    rows = matched.select("message_id", "candidate_id", "event_type", "title", "dedup_key", "sent_at")
-    writer = rows.writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint
-    )
-    writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
-    return writer.start()
+    extras = [c for c in ("source_kind",) if c in matched.columns]
+    rows = matched.select("message_id", "candidate_id", "event_type", "title", "dedup_key", "sent_at", "matches", *extras)
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_path(out, number))
+        scanned = batch.sparkSession.read.schema(batch.schema).parquet(batch_path(out, number))
+        as_of, run_id = F.current_timestamp(), f"{rule.id}-stream-{number}"
+        states = rules.scan_state_rows(scanned, rule, as_of, run_id)
+        progress = scanned.agg(F.count("*").alias("scanned_messages")).select(
+            "scanned_messages", F.lit(0).cast("long").alias("remaining_messages"), F.lit("complete").alias("status")
+        )
+        made = {
+            "candidates": rules.candidate_rows(scanned, rule, as_of),
+            "evidence": rules.evidence_rows(scanned),
+            "monitor_runs": rules.monitor_run(states, progress, rule, as_of, run_id),
+            "scan_state": states,
+        }
+        for name, df in made.items():
+            df.write.mode("overwrite").parquet(batch_path(scan_root(out, name), number))
+
+    return run_batches(rows, each, checkpoint, continuous)
+
+
+RUN_SCHEMA = (
+    "monitor_run_id string, rule_id string, started_at timestamp, finished_at timestamp, status string, "
+    "scanned_messages long, candidate_count long, remaining_messages long"
+)
+
+
+def scan_root(out: str, name: str) -> str:
+    """Beside the scanned messages; readers of ``out`` skip names with an underscore."""
+    return f"{out}/_tables/{name}"
+
+
+def scan_tables(spark: SparkSession, out: str, store: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Candidates, evidence, state and runs of all batches, merged with the stored ones."""
+    store = store or {}
+    schemas = {name: empty_table(spark, name).schema for name in ("candidates", "evidence", "scan_state")}
+    schemas["monitor_runs"] = RUN_SCHEMA
+    tables = {name: read_batches(spark, scan_root(out, name), schema).drop("batch") for name, schema in schemas.items()}
+    if "candidates" in store:
+        tables["candidates"] = rules.merge_candidates(store["candidates"], tables["candidates"])
+    if "evidence" in store:
+        tables["evidence"] = rules.merge_evidence(store["evidence"], tables["evidence"])
+    for name in ("scan_state", "monitor_runs"):
+        if name in store:
+            tables[name] = store[name].unionByName(tables[name])
+    return tables
 
 
 # --- heartbeats ---------------------------------------------------------------------------

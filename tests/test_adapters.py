@@ -204,3 +204,19 @@ def test_stream_scan_scans_once(spark, tmp_path):
     late.write.mode("append").parquet(folder)
     assert drain() == {("m0", "registration"), ("m1", None), ("m2", "deadline")}
     assert spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).count() == 3
+
+
+def test_stream_scan_writes_the_four_tables(spark, tmp_path):
+    rule = rules.default_rule()
+    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    seen = messages(spark, "报名", "x", "截止")
+    seen.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(seen.schema).parquet(folder)
+    jobs.stream_scan(stream, rule, out, checkpoint).awaitTermination()
+    tables = jobs.scan_tables(spark, out)
+    found = {r.candidate_id: r.event_type for r in tables["candidates"].collect()}
+    links = {(r.message_id, found[r.candidate_id]) for r in tables["evidence"].collect()}
+    assert links == {("m0", "registration"), ("m2", "deadline")} and len(found) == 2
+    assert {(r.message_id, r.matched) for r in tables["scan_state"].collect()} == {("m0", True), ("m1", False), ("m2", True)}
+    assert sum(r.scanned_messages for r in tables["monitor_runs"].collect()) == 3
+    assert rules.select_unscanned(seen, tables["scan_state"], rule.id).count() == 0
