@@ -96,6 +96,25 @@ def perhaps_in(keys: DataFrame, name: str):
     return test
 
 
+#: A key that holds over one in so many rows is joined by broadcast.
+SHARE = 1000
+
+
+def joined_evenly(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` (staged) with ``unique``: one row a key, whose column ``count`` says how many rows it has.
+
+    Keys with over one in SHARE of all rows would each meet in one task; there are fewer than SHARE of them, which
+    bounds what is broadcast. The others are shuffled. ``count`` is dropped; null keys match nothing.
+    """
+    total = unique.agg(F.sum(count)).first()[0] or 0
+    hot = unique.filter(F.col(count) * SHARE > total)
+    cold = unique.filter(F.col(count) * SHARE <= total).drop(count)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    hot = F.broadcast(hot.drop(count))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

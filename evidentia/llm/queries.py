@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import exact, hidden, jaccard, language, mixing, neighbours, packing, personal, quality, repeats
+from evidentia.llm import alignment, exact, hidden, jaccard, language, mixing, neighbours, packing, personal, quality, ranking, repeats, simhash
 from evidentia.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,18 @@ def op10_language(spark: SparkSession, root: str) -> DataFrame:
     return language.identify(docs, model, keep=(held_out(4, 2).alias("held_out"),))
 
 
+def op11_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, root, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.aligned(table(spark, root, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return ranking.ranked(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 EXACT_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -84,7 +96,40 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+RANKED_SQL = r"""
+WITH term_of AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row_no, doc_id, terms, len(terms)::BIGINT AS n FROM term_of WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+held AS (
+  SELECT row_no, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row_no, doc_id, n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, total GROUP BY term, docs),
+scored AS (
+  SELECT item_id, row_no, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM held JOIN weight USING (term) JOIN wanted USING (term), total GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row_no)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_quality, op5_packing, op6_language_model, op7_mixing, op8_neighbours, op9_personal, op10_language)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_quality, op5_packing, op6_language_model, op7_mixing,
+        op8_neighbours, op9_personal, op10_language, op11_simhash, op12_token_alignment, op13_ranked_search,
+    )
 }
-SQL: dict[str, str] = {"op3_exact_dedup": EXACT_SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": EXACT_SQL, "op13_ranked_search": RANKED_SQL}
