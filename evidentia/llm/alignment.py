@@ -6,6 +6,7 @@ import functools
 import hashlib
 import itertools
 import json
+import os
 import re
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ CACHE = 600_000
 PAIRS = 1 << 21
 #: Segments that are aligned in one go.
 STEP = 50_000
+#: Characters from which a segment is left to the tokenizer's own library, which takes runs of any length.
+LONG = 10_000
 #: A pair of ids is one number: the id of B in the lower bits.
 LOW = 24
 #: Distinct pairs up to which one table of them is sent to every task; beyond it, pairs are joined.
@@ -62,9 +65,11 @@ class Aligner:
     """
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
         from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
         with open(path_a, encoding="utf-8") as file:
             vocabulary = json.load(file)
@@ -76,6 +81,8 @@ class Aligner:
         if order != sorted(order) or vocabulary["normalizer"]:
             raise ValueError("merges must follow the ids, and texts be taken as they are")
         self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long = Tokenizer.from_file(path_a)
+        self.long.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         self.bytes_a = dict(zip(ranks.values(), ranks, strict=True))
@@ -97,7 +104,7 @@ class Aligner:
         """The tokens of segments in turn. Segments that end in white space stand alone, others share a line."""
         a, b, line = [], [], []
         for x in [*parts, None]:
-            alone = x is None or not x or x[-1].isspace()
+            alone = x is None or not x or x[-1].isspace() or len(x) > LONG
             if line and (alone or len(line) == 500):
                 text = " ".join(line)
                 a += self.a.encode_ordinary(" " + text)
@@ -106,7 +113,7 @@ class Aligner:
             if x is None:
                 break
             if alone:
-                a += self.a.encode_ordinary(" " + x)
+                a += self.a.encode_ordinary(" " + x) if len(x) <= LONG else self.long.encode(" " + x, add_special_tokens=False).ids
                 b += self.b.encode(x) if x else [self.space]
             else:
                 line.append(x)
