@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import stable_id
@@ -21,11 +22,16 @@ from evidentia.sources.manifests import (
     participant_rows,
     source_rows,
 )
+from evidentia.sources.store import Store
 
 
 @dataclass
 class ImportResult:
-    """New store tables, the ledger of this batch, its warnings and its rejections."""
+    """New store tables, the ledger of this batch, its warnings and its rejections.
+
+    Against a ``Store``, ``tables`` are its changes instead: new rows of tables that grow, and all rows of the buckets
+    that the batch touches in others. ``Store.commit`` takes them.
+    """
 
     tables: dict[str, DataFrame]
     runs: DataFrame
@@ -34,12 +40,22 @@ class ImportResult:
     problems: DataFrame
 
 
-def _with(store: dict[str, DataFrame] | None, name: str) -> DataFrame | None:
+def _with(store: Mapping[str, DataFrame] | None, name: str, keys: DataFrame | None = None) -> DataFrame | None:
+    """A stored table, or what of it rows with ``keys`` can meet, where the store can tell."""
+    if isinstance(store, Store) and keys is not None:
+        return store.touching(name, keys)
     return store.get(name) if store else None
 
 
+def import_into(spark: SparkSession, root: str, documents: DataFrame, files: DataFrame, as_of: Column) -> tuple[int, ImportResult]:
+    """Import a batch into the store at ``root`` as its next version, writing only what the batch touches."""
+    store = Store(spark, root)
+    result = import_documents(documents, files, as_of, store)
+    return store.commit(result.tables), result
+
+
 def import_documents(
-    documents: DataFrame, files: DataFrame, as_of: Column, store: dict[str, DataFrame] | None = None
+    documents: DataFrame, files: DataFrame, as_of: Column, store: Mapping[str, DataFrame] | None = None
 ) -> ImportResult:
     """One batch of parsed documents against the store.
 
@@ -61,9 +77,8 @@ def import_documents(
     occurrences = stage(conversation_rows(fresh), "conversations")
     participants = stage(participant_rows(occurrences), "participants")
     conversations = conversation_raw(occurrences)
-    labelled = stage(
-        M.label_messages(message_rows(occurrences, participants), _with(store, "messages")), "messages"
-    )
+    stored_messages = _with(store, "messages", sources_in.select("source_id"))
+    labelled = stage(M.label_messages(message_rows(occurrences, participants), stored_messages), "messages")
     inserted = labelled.filter("outcome = 'inserted'").drop("outcome", "conflict")
     conflicts = M.message_conflicts(labelled)
 
@@ -85,7 +100,7 @@ def import_documents(
     )
     sources = M.upsert_latest(
         sources_in.select("source_id", "kind", "external_account_id", "display_name", "exported_at", "manifest_sha256"),
-        ["source_id"], ["exported_at", "manifest_sha256"], _with(store, "sources"),
+        ["source_id"], ["exported_at", "manifest_sha256"], _with(store, "sources", sources_in.select("source_id")),
     )
     message_columns = [
         "message_id", "source_id", "conversation_id", "external_message_id", "sender_identity_id",
@@ -94,7 +109,7 @@ def import_documents(
     messages = inserted.select(*message_columns, stable_id("imp", "manifest_sha256").alias("import_run_id"))
 
     def appended(name: str, rows: DataFrame) -> DataFrame:
-        old = _with(store, name)
+        old = None if isinstance(store, Store) else _with(store, name)
         return rows if old is None else old.unionByName(rows)
 
     part_columns = ["part_id", "message_id", "part_index", "part_type", "text_content", "attachment_id", "raw_json"]
@@ -105,16 +120,19 @@ def import_documents(
     used = files.join(
         attachments.select(F.col("blob_sha256").alias("sha256")).distinct(), "sha256", "left_semi"
     )
+    named = stage(conversations.select("conversation_id").distinct(), "conversation-ids")
+    people = participants.select("identity_id").distinct()
+    bodies_used = used.select("sha256").distinct()
     tables = {
         "sources": sources,
-        "import_runs": runs.unionByName(new_runs),
-        "identities": M.merge_identities(participants, _with(store, "identities")),
-        "conversations": M.merge_conversations(conversations, labelled, _with(store, "conversations")),
-        "participants": M.merge_roster(conversations, participants, _with(store, "participants")),
+        "import_runs": appended("import_runs", new_runs),
+        "identities": M.merge_identities(participants, _with(store, "identities", people)),
+        "conversations": M.merge_conversations(conversations, labelled, _with(store, "conversations", named)),
+        "participants": M.merge_roster(conversations, participants, _with(store, "participants", named)),
         "messages": appended("messages", messages),
         "parts": appended("parts", parts.select(*part_columns)),
         "attachments": appended("attachments", attachments.select(*attachment_columns)),
-        "blobs": M.merge_blobs(used, _with(store, "blobs")),
+        "blobs": M.merge_blobs(used, _with(store, "blobs", bodies_used)),
     }
     tables = {name: conform(df, name) for name, df in tables.items()}
     return ImportResult(tables, new_runs, repeated, warnings, problems)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import merge as M
-from evidentia.plans.importing import import_documents
+from evidentia.plans.importing import import_documents, import_into
 from evidentia.plans.registry import query
 from evidentia.plans.views import EPOCH, Views, text
 from evidentia.session import scratch_path
 from evidentia.sources import manifests
-from evidentia.sources.store import read_store, write_store
+from evidentia.sources.store import Store
 
 T1, T2 = 1788100000, 1788200000
 
@@ -239,11 +239,11 @@ def _(v: Views):
 # --- documents ------------------------------------------------------------------------------
 
 
-def raw_documents(v: Views, sequence: int = 1, damaged: bool = False, per_document: int = 1):
+def raw_documents(v: Views, sequence: int = 1, damaged: bool = False, per_document: int = 1, renamed: bool = False):
     """Nested export documents built from the conversations, at most 200 turns each.
 
     The second sequence repeats the even conversations with changed even turns. ``damaged``
-    plants one defect per group of conversations.
+    plants one defect per group of conversations. ``renamed`` gives other titles, and rosters of users only.
     """
     c, t = F.col("conv_id"), F.col("turn")
     m = v.messages
@@ -282,11 +282,13 @@ def raw_documents(v: Views, sequence: int = 1, damaged: bool = False, per_docume
     )
     title = text("Topic ", c % 50)
     title = F.when(c % 10 == 3, " ").otherwise(title) if damaged else title
+    title = text("Renamed ", c % 50) if renamed else title
+    members = F.filter("members", lambda x: x["source_identity_id"].startswith("user")) if renamed else F.col("members")
     version = F.when(c % 10 == 6, "bad").otherwise("evidence-import/v1") if damaged else F.lit("evidence-import/v1")
     conversation = F.struct(
         F.col("external_conversation_id").alias("source_conversation_id"), title.alias("title"),
         F.when(c % 2 == 0, "single").otherwise("group").alias("type"), (c % 4 == 0).alias("participants_complete"),
-        F.col("members").alias("participants"), F.transform("items", lambda x: x["body"]).alias("messages"),
+        members.alias("participants"), F.transform("items", lambda x: x["body"]).alias("messages"),
     )
     # conversations of one source (ids that agree modulo 3) share a document, chunk by chunk
     doc = F.concat_ws("-", F.lit(sequence), "kind", F.floor(c / (3 * per_document)), "chunk") if per_document > 1 else F.concat_ws(
@@ -309,8 +311,8 @@ def raw_documents(v: Views, sequence: int = 1, damaged: bool = False, per_docume
     return rows.select("doc", text("/export/", F.col("doc"), ".json").alias("path"), document.alias("content"))
 
 
-def documents(v: Views, sequence: int = 1, damaged: bool = False):
-    return manifests.parse_documents(raw_documents(v, sequence, damaged).select("path", "content"))
+def documents(v: Views, sequence: int = 1, damaged: bool = False, renamed: bool = False):
+    return manifests.parse_documents(raw_documents(v, sequence, damaged, renamed=renamed).select("path", "content"))
 
 
 _IMPORT = f"""
@@ -326,18 +328,42 @@ def _(v: Views):
     return result.runs.groupBy("inserted_messages", "reused_messages", "conflicts").agg(F.count("*").alias("documents"))
 
 
-@query("import_second_batch", "M2 M5 S8 against a store", """
-SELECT source_id, count(*) AS messages, count(DISTINCT conversation_id) AS conversations FROM m GROUP BY 1""")
+def _stored_rows(tables):
+    """Rows of the store's tables in one shape: name, id, owner, label, body, number."""
+    none = F.lit(None).cast("string")
+    shapes = {
+        "messages": ("message_id", "conversation_id", F.concat_ws("|", "sender_display_name", "direction", "external_message_id"), F.sha2("search_body", 256), F.unix_seconds("sent_at")),
+        "conversations": ("conversation_id", "source_id", "title", F.concat_ws("|", "conversation_type", "external_conversation_id"), F.unix_seconds("last_activity")),
+        "participants": ("conversation_id", "identity_id", none, none, F.lit(0)),
+        "identities": ("identity_id", "source_id", "display_name", "external_identity_id", F.col("is_self").cast("int")),
+        "blobs": ("sha256", none, "stored_path", none, "size_bytes"),
+        "sources": ("source_id", "kind", "external_account_id", "display_name", F.lit(0)),
+    }
+    names = ("id", "owner", "label", "body", "number")
+    rows = None
+    for name, columns in shapes.items():
+        columns = [(F.col(x) if isinstance(x, str) else x) for x in columns]
+        columns[-1] = columns[-1].cast("long")
+        part = tables[name].select(F.lit(name).alias("name"), *[x.alias(n) for x, n in zip(columns, names, strict=True)])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("import_second_batch", "M2 M4 M5 M6 M7 S8 into a store", """
+SELECT 'messages' AS name, message_id AS id, conversation_id AS owner, concat_ws('|', sender_display_name, direction, external_message_id) AS label,
+  sha256(search_body) AS body, sent_epoch::BIGINT AS number FROM m JOIN body USING (message_id)
+UNION ALL SELECT 'conversations', conversation_id, source_id, CASE WHEN conv_id % 2 = 0 THEN 'Renamed ' ELSE 'Topic ' END || (conv_id % 50),
+  conversation_type || '|' || external_conversation_id, last_epoch FROM c
+UNION ALL SELECT DISTINCT 'participants', conversation_id, identity_id, NULL, NULL, 0 FROM m WHERE conv_id % 4 <> 0 OR role = 'user'
+UNION ALL SELECT DISTINCT 'identities', identity_id, source_id, sender_display_name, sender_external_id, (role = 'assistant')::INT FROM m
+UNION ALL SELECT 'blobs', sha256, NULL, stored_path, NULL, size_bytes FROM b WHERE sha256 IN (SELECT blob_sha256 FROM a)
+UNION ALL SELECT 'sources', source_id, kind, account, display_name, 0 FROM s""")
 def _(v: Views):
-    as_of = F.timestamp_seconds(F.lit(EPOCH))
     root = scratch_path(v.spark, "store")
-    first = import_documents(documents(v, 1), v.files, as_of)
-    write_store(first.tables, root)
-    stored = read_store(v.spark, root, list(first.tables))
-    second = import_documents(documents(v, 2), v.files, as_of, stored)
-    return second.tables["messages"].groupBy("source_id").agg(
-        F.count("*").alias("messages"), F.count_distinct("conversation_id").alias("conversations")
-    )
+    as_of = F.timestamp_seconds(F.lit(EPOCH))
+    import_into(v.spark, root, documents(v, 1), v.files, as_of)
+    import_into(v.spark, root, documents(v, 2, renamed=True), v.files, as_of)
+    return _stored_rows(Store(v.spark, root))
 
 
 @query("imported_attachments", "C7 S2 M7", """

@@ -412,16 +412,29 @@ def _(v: Views):
     return files.scan_inventory(v.spark, _written_pages(v), "*.txt").select(_block(), "size_bytes")
 
 
-@query("store_snapshot", "S8", """
-SELECT 'messages' AS name, count(*) AS rows FROM m UNION ALL SELECT 'parts', count(*) FROM p UNION ALL SELECT 'conversations', count(*) FROM c""")
+@query("store_snapshot", "S8 versions, touched buckets, compaction", """
+SELECT 'v1' AS name, conversation_id, title, sum(n)::BIGINT AS messages FROM (SELECT conversation_id, title, count(*) AS n FROM m WHERE turn % 2 = 0 GROUP BY ALL) GROUP BY ALL
+UNION ALL SELECT 'v3', conversation_id, CASE WHEN conv_id % 5 = 0 THEN 'Changed' ELSE title END, count(*) FROM m
+  WHERE conversation_id IN (SELECT conversation_id FROM m WHERE turn % 2 = 0) OR conv_id % 5 = 0 GROUP BY conv_id, conversation_id, title""")
 def _(v: Views):
     root = scratch_path(v.spark, "store")
-    names = ("messages", "parts", "conversations")
-    store.write_store({n: v.tables[n].limit(0) for n in names}, root)
-    store.write_store({n: v.tables[n] for n in names}, root)
-    tables = store.read_store(v.spark, root, list(names))
-    counts = [tables[n].agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    even = F.split("external_message_id", ":")[1].cast("int") % 2 == 0
+    messages, conversations = v.tables["messages"], v.tables["conversations"]
+    known = conversations.join(messages.filter(even).select("conversation_id").distinct(), "conversation_id", "left_semi")
+    store.write_store({"messages": messages.filter(even), "conversations": known}, root, buckets=16)
+    opened = store.Store(v.spark, root)
+    changed = conversations.filter(F.split("external_conversation_id", "-")[1].cast("int") % 5 == 0).withColumn("title", F.lit("Changed"))
+    old = opened.touching("conversations", changed.select("conversation_id"))
+    merged = changed.unionByName(old.join(changed.select("conversation_id"), "conversation_id", "left_anti"))
+    opened.commit({"messages": messages.filter(~even), "conversations": merged})
+    store.Store(v.spark, root).compact()
+
+    def counted(name: str, version: int):
+        tables = store.Store(v.spark, root, version)
+        sizes = tables["messages"].groupBy("conversation_id").agg(F.count("*").alias("messages"))
+        return tables["conversations"].join(sizes, "conversation_id").select(F.lit(name).alias("name"), "conversation_id", "title", "messages")
+
+    return counted("v1", 1).unionByName(counted("v3", 3))
 
 
 # --- streams ----------------------------------------------------------------------------------
