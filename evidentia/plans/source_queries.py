@@ -15,7 +15,7 @@ from evidentia.plans.registry import query
 from evidentia.plans.views import TEST_RULE, Views, text
 from evidentia.session import scratch_path, stage
 from evidentia.sources import files, group_exports, manifests, shards, store
-from evidentia.streaming import jobs
+from evidentia.streaming import heartbeats, jobs
 
 
 def _written_documents(v: Views, sequence: int = 1) -> str:
@@ -453,10 +453,11 @@ def _(v: Views):
     return jobs.read_batches(v.spark, out, "message_id string, conversation_id string, batch long").drop("batch")
 
 
-def _replay(v: Views, df, label: str, order: str, start, batches: int = 3) -> None:
+def _replay(v: Views, df, label: str, order: str, start, batches: int = 3, again=None) -> None:
     """Let a table arrive in parts by time; the stream is drained after each arrival.
 
-    Every part keeps its own partitioning, and the stream resumes from its checkpoint.
+    Every part keeps its own partitioning, and the stream resumes from its checkpoint. Rows for which ``again`` holds
+    come once more with each later part.
     """
     path = scratch_path(v.spark, label)
     steps = [i / batches for i in range(1, batches)]
@@ -465,7 +466,8 @@ def _replay(v: Views, df, label: str, order: str, start, batches: int = 3) -> No
     for bound in bounds:
         piece = piece + (F.col(order).cast("double") > bound).cast("int")
     for number in range(batches):
-        df.filter(piece == number).write.mode("append").parquet(path)
+        part = piece == number if again is None else (piece == number) | (again & (piece < number))
+        df.filter(part).write.mode("append").parquet(path)
         start(v.spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
@@ -491,11 +493,34 @@ def _(v: Views):
 SELECT probe_id, state, effective_token, consecutive_failures, transition FROM ps""")
 def _(v: Views):
     out, checkpoint = scratch_path(v.spark, "hearts"), scratch_path(v.spark, "checkpoint")
-    _replay(v, v.probes, "probes", "observed_at", lambda stream: jobs.stream_heartbeats(stream, out, checkpoint))
+    _replay(v, v.probes, "probes", "observed_at", lambda stream: heartbeats.stream_heartbeats(stream, out, checkpoint))
     schema = "probe_id long, state string, effective_token string, consecutive_failures long, transition boolean, batch long"
     return jobs.read_batches(v.spark, f"{out}/states", schema).drop("batch")
 
 
+@query("stream_stale_detectors", "H14 stale timer, late probes, restart", """
+SELECT 'stale' AS kind, detector_id, t + (stale_after_seconds * 1000000)::BIGINT AS at_us, NULL AS state, NULL AS token FROM (
+  SELECT detector_id, t, stale_after_seconds, lead(t) OVER (PARTITION BY d ORDER BY t, probe_id) AS following, max(t) OVER () AS newest FROM pr)
+WHERE following > t + stale_after_seconds * 1000000
+  OR following IS NULL AND newest // 1000 > (t + (stale_after_seconds * 1000000)::BIGINT) // 1000
+UNION ALL SELECT 'heartbeat', detector_id, t, state, effective_token FROM hb""")
+def _(v: Views):
+    # every seventh probe is delivered again with each later part: it is late then and changes nothing
+    out, checkpoint = scratch_path(v.spark, "hearts"), scratch_path(v.spark, "checkpoint")
+
+    def start(stream):
+        return heartbeats.stream_heartbeats(stream, out, checkpoint)
+
+    _replay(v, v.probes, "probes", "observed_at", start, again=F.col("probe_id") % 7 == 0)
+    stale = jobs.read_batches(v.spark, f"{out}/stale", "detector_id string, stale_at timestamp, batch long")
+    none = F.lit(None).cast("string")
+    silent = stale.select(F.lit("stale").alias("kind"), "detector_id", F.unix_micros("stale_at").alias("at_us"), none.alias("state"), none.alias("token"))
+    hearts = heartbeats.heartbeats_now(v.spark, out)
+    return silent.unionByName(
+        hearts.select(F.lit("heartbeat").alias("kind"), "detector_id", F.unix_micros("worker_heartbeat_at").alias("at_us"), "state", F.col("source_token").alias("token"))
+    )
+
+
 @query("stream_watermark_fold", "H11 stream", """
 SELECT substr(sha256(shard || chr(0) || table_name), 1, 24) AS stream_id, count(*) AS rows, max(local_id) AS max_local_id, max(create_time) AS max_create_time FROM sh GROUP BY shard, table_name""")
 def _(v: Views):

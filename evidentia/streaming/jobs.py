@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from evidentia.operators import collector, rules
-from evidentia.operators.collector import HEARTBEAT_COLUMNS
 from evidentia.schemas import empty_table
 from evidentia.sources.manifests import parse_documents
 
@@ -131,33 +130,6 @@ def scan_tables(spark: SparkSession, out: str, store: dict[str, DataFrame] | Non
     return tables
 
 
-# --- heartbeats ---------------------------------------------------------------------------
-
-
-def stream_heartbeats(
-    probes: DataFrame, out: str, checkpoint: str, continuous: str | None = None
-) -> StreamingQuery:
-    """Probe states and heartbeats, the stored heartbeats carried from batch to batch."""
-    states_root, hearts_root = f"{out}/states", f"{out}/heartbeats"
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        previous = None
-        if number > 0:
-            try:
-                previous = spark.read.parquet(batch_path(hearts_root, number - 1))
-            except AnalysisException:
-                previous = None
-        states = collector.probe_states(batch, previous)
-        states.write.mode("overwrite").parquet(batch_path(states_root, number))
-        written = spark.read.schema(states.schema).parquet(batch_path(states_root, number))
-        fresh = collector.current_heartbeats(written).select(*HEARTBEAT_COLUMNS)
-        merged = fresh if previous is None else collector.merge_heartbeats(previous, fresh)
-        merged.write.mode("overwrite").parquet(batch_path(hearts_root, number))
-
-    return run_batches(probes, each, checkpoint, continuous)
-
-
 # --- debounce -----------------------------------------------------------------------------
 
 
