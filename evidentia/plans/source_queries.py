@@ -471,22 +471,29 @@ def _replay(v: Views, df, label: str, order: str, start, batches: int = 3, again
         start(v.spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
-@query("stream_rule_scan", "E11 E1-E7", "SELECT message_id, event_type, candidate_id, title FROM mt1 JOIN (SELECT message_id, candidate_id FROM mt) USING (message_id)".replace("FROM mt1 JOIN", "FROM (SELECT message_id, event_type, title FROM mt) JOIN"))
-def _(v: Views):
-    # every message arrives twice and some were scanned before the stream started
-    arriving = v.corpus.select("message_id", "sent_at", "body")
-    out, checkpoint = scratch_path(v.spark, "scan"), scratch_path(v.spark, "checkpoint")
-    done = stage(v.scan_state, "scanned")
-    _replay(
-        v, arriving.unionByName(arriving), "messages", "sent_at",
-        lambda stream: jobs.stream_scan(stream, TEST_RULE, out, checkpoint, done),
-    )
-    tables = jobs.scan_tables(v.spark, out)
-    found = tables["candidates"].select("candidate_id", "event_type", F.col("title").alias("found"))
-    links = tables["evidence"].select("message_id", "candidate_id").join(found, "candidate_id")
-    titles = v.spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).select("message_id", "title")
-    rows = tables["scan_state"].select("message_id").join(titles, "message_id").join(links, "message_id", "left")
-    return rows.select("message_id", "event_type", "candidate_id", F.coalesce("found", "title").alias("title"))
+@query("stream_rule_scan", "E11 E1-E7", """
+SELECT 'state' AS kind, message_id AS id, (event_type IS NOT NULL)::VARCHAR AS value, 1::BIGINT AS number FROM mt
+UNION ALL SELECT 'candidate', candidate_id, event_type || '|' || title || '|REVIEW_REQUIRED', 1 FROM mt WHERE event_type IS NOT NULL
+UNION ALL SELECT 'evidence', candidate_id, message_id, 0 FROM mt WHERE event_type IS NOT NULL
+UNION ALL SELECT 'scanned', 'complete', count(event_type)::VARCHAR, count(*) FROM mt""")
+def _(v: Views):
+    # every message arrives twice, and some were scanned before the stream started
+    arriving = v.corpus.select("message_id", "sent_at", "body", "source_kind")
+    root, checkpoint = scratch_path(v.spark, "scan"), scratch_path(v.spark, "checkpoint")
+    before = F.lit("before")
+    done = v.scan_state.withColumn("monitor_run_id", before)
+    store.write_store({"scan_state": done}, root)
+    _replay(v, arriving.unionByName(arriving), "messages", "sent_at", lambda stream: jobs.stream_scan(stream, TEST_RULE, root, checkpoint, folders=1))
+    tables = store.Store(v.spark, root)
+    shape = lambda name, kind, key, value, number: tables[name].select(F.lit(kind).alias("kind"), F.col(key).alias("id"), value.alias("value"), number.alias("number"))
+    one = F.lit(1).cast("long")
+    states = shape("scan_state", "state", "message_id", F.col("matched").cast("string"), one)
+    states = states.join(tables["scan_state"].filter(F.col("monitor_run_id") == before).select(F.col("message_id").alias("id")), "id", "left_anti")
+    candidates = shape("candidates", "candidate", "candidate_id", F.concat_ws("|", "event_type", "title", "review_status"), one)
+    evidence = shape("evidence", "evidence", "candidate_id", F.col("message_id"), F.col("evidence_order"))
+    runs = tables["monitor_runs"].groupBy("status").agg(F.sum("candidate_count").cast("string").alias("value"), F.sum("scanned_messages").alias("number"))
+    runs = runs.select(F.lit("scanned").alias("kind"), F.col("status").alias("id"), "value", "number")
+    return states.select("kind", "id", "value", "number").unionByName(candidates).unionByName(evidence).unionByName(runs)
 
 
 @query("stream_heartbeats", "H14 H1-H7", """

@@ -2,7 +2,9 @@
 
 A commit adds folders and then one entry of the log for each table it changed. Tables that only grow get a folder of
 new rows. Tables whose rows change are dealt over buckets by the hash of a key, and a commit writes only the buckets
-that it touched; the newest folder of a bucket holds its rows. Readers list nothing but the folders of the entries up
+that it touched; the newest folder of a bucket holds its rows. A growing table that is looked up by a key is dealt over
+buckets as well: each of them has the folders of all commits that added to it, and ``tidy`` makes one of them where
+they are many. Readers list nothing but the folders of the entries up
 to their version, and read them with declared columns, so no footers are compared and a column that an older writer
 did not know is null.
 """
@@ -27,7 +29,7 @@ CLUSTERING = {
     "participants": ["conversation_id"],
 }
 
-#: Tables whose rows change, by the column whose hash is a row's bucket. All others only grow.
+#: Tables that are dealt over buckets, by the column whose hash is a row's bucket.
 BUCKETED = {
     "sources": "source_id",
     "identities": "identity_id",
@@ -37,12 +39,15 @@ BUCKETED = {
     "candidates": "candidate_id",
     "evidence": "candidate_id",
     "heartbeats": "detector_id",
+    "scan_state": "message_id",
 }
+#: Of these, the ones that only grow; a commit adds to their buckets and replaces none.
+GROWING = {"scan_state"}
 BUCKETS = 64
 #: Values up to which a read of a growing table is narrowed by a list that reaches the row-group statistics.
 LISTED = 1000
 
-LOG = "version long, name string, action string, folder string, buckets int, touched array<int>, filled array<int>, committed_at timestamp"
+LOG = "version long, tag string, name string, action string, folder string, buckets int, touched array<int>, filled array<int>, committed_at timestamp"
 
 
 class ConcurrentCommit(RuntimeError):
@@ -108,13 +113,24 @@ class Store(Mapping):
         at = f"{self.root}/{name}"
         if name not in BUCKETED:
             return [f"{at}/{e['folder']}" for e in self._entries.get(name, [])]
-        newest: dict[int, str | None] = {}
+        layers = self.layers(name)
+        wanted = sorted(b for b in layers if buckets is None or b in buckets)
+        return [f"{at}/{folder}/bucket={b}" for b in wanted for folder in layers[b]]
+
+    def layers(self, name: str) -> dict[int, list[str]]:
+        """The folders that hold the rows of each bucket, oldest first."""
+        found: dict[int, list[str]] = {}
         for entry in self._entries.get(name, []):
             filled = set(entry["filled"])
             for bucket in entry["touched"]:
-                newest[bucket] = entry["folder"] if bucket in filled else None
-        wanted = sorted(b for b, folder in newest.items() if folder and (buckets is None or b in buckets))
-        return [f"{at}/{newest[b]}/bucket={b}" for b in wanted]
+                before = found.get(bucket, []) if entry["action"] == "append" else []
+                found[bucket] = [*before, entry["folder"]] if bucket in filled else before
+        return {bucket: folders for bucket, folders in found.items() if folders}
+
+    def has(self, tag: str) -> bool:
+        """Whether some commit carried ``tag``."""
+        log = committed_versions(self.spark, self.root)
+        return log is not None and not log.filter((F.col("tag") == tag) & (F.col("version") <= self.version)).isEmpty()
 
     def _read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
         folders = self.folders(name, buckets)
@@ -139,13 +155,27 @@ class Store(Mapping):
         values = [r[0] for r in keys.distinct().limit(LISTED + 1).collect()]
         return self[name] if len(values) > LISTED else self[name].filter(F.col(column).isin(values))
 
-    def commit(self, changes: Mapping[str, DataFrame]) -> int:
+    def commit(self, changes: Mapping[str, DataFrame], tag: str | None = None) -> int:
         """Add ``changes`` as the next version: new rows of growing tables, all rows of the touched buckets of others.
 
-        The buckets of a table that ``touching`` has read are replaced, and so are those of the changed rows.
+        The buckets of a table that ``touching`` has read are replaced, and so are those of the changed rows. ``tag``
+        names the work that the commit does, so that a repetition of it can tell.
+        """
+        grow = {n for n in changes if n not in BUCKETED or n in GROWING}
+        sets = {n: set() if n in grow else self.touched.get(n, set()) for n in changes}
+        return _commit(self.spark, self.root, changes, self.version + 1, {n: self.buckets(n) for n in changes}, sets, grow, tag)
+
+    def tidy(self, name: str, most: int = 8) -> int | None:
+        """Make one folder of each bucket that has more than ``most``; the new version, None where there is nothing to do.
+
+        A row is written again once in ``most`` commits that touch its bucket, and no read opens more than ``most`` + 1
+        folders of a bucket.
         """
-        sets = {name: self.touched.get(name, set()) for name in changes}
-        return _commit(self.spark, self.root, changes, self.version + 1, {n: self.buckets(n) for n in changes}, sets)
+        long = {b for b, folders in self.layers(name).items() if len(folders) > most}
+        if not long:
+            return None
+        rows = self._read(name, long)
+        return _commit(self.spark, self.root, {name: rows}, self.version + 1, {name: self.buckets(name)}, {name: long}, set(), None)
 
     def compact(self, names: list[str] | None = None, buckets: int | None = None) -> int:
         """Write tables whole again, so that many small folders become one; ``buckets`` changes how they are dealt."""
@@ -154,7 +184,14 @@ class Store(Mapping):
 
 
 def _commit(
-    spark: SparkSession, root: str, tables: Mapping[str, DataFrame], version: int, buckets: dict[str, int], touched: dict[str, set[int]] | None
+    spark: SparkSession,
+    root: str,
+    tables: Mapping[str, DataFrame],
+    version: int,
+    buckets: dict[str, int],
+    touched: dict[str, set[int]] | None,
+    grow: set[str] = frozenset(),
+    tag: str | None = None,
 ) -> int:
     """Write the folders, then the log entry that makes them visible; ``touched`` is None for whole tables."""
     entries = []
@@ -164,9 +201,9 @@ def _commit(
         replaced = filled if touched is None else sorted({*filled, *touched[name]})
         if touched is None and name in BUCKETED:
             replaced = list(range(buckets[name]))
-        action = "whole" if touched is None else "change" if name in BUCKETED else "append"
-        entries.append((name, action, folder, buckets[name], replaced, filled))
-    log = spark.createDataFrame(entries, "name string, action string, folder string, buckets int, touched array<int>, filled array<int>")
+        action = "whole" if touched is None else "append" if name in grow else "change"
+        entries.append((tag, name, action, folder, buckets[name], replaced, filled))
+    log = spark.createDataFrame(entries, "tag string, name string, action string, folder string, buckets int, touched array<int>, filled array<int>")
     log = log.withColumn("committed_at", F.current_timestamp()).coalesce(1)
     try:
         log.write.mode("errorifexists").parquet(f"{root}/_commits/version={version}")

@@ -8,6 +8,7 @@ in the shared folder; no job depends on a surviving executor.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from pyspark.sql.utils import AnalysisException
 
 from evidentia.operators import collector, rules
 from evidentia.schemas import empty_table
+from evidentia.session import stage
 from evidentia.sources.manifests import parse_documents
+from evidentia.sources.store import Store
 
 
 def stream_manifests(spark: SparkSession, path: str, glob: str = "*.json", files_per_trigger: int = 1000) -> DataFrame:
@@ -59,75 +62,53 @@ def read_batches(spark: SparkSession, root: str, schema, before: int | None = No
 
 # --- rule scan --------------------------------------------------------------------------
 
-SCAN_SCHEMA = "message_id string, candidate_id string, event_type string, title string, dedup_key string, sent_at timestamp"
-
 
 def stream_scan(
-    messages: DataFrame, rule: rules.Rule, out: str, checkpoint: str, state: DataFrame | None = None,
-    continuous: str | None = None,
+    messages: DataFrame, rule: rules.Rule, root: str, checkpoint: str, continuous: str | None = None, folders: int = 8
 ) -> StreamingQuery:
-    """Scan each arriving message once per rule.
-
-    Old and late messages are scanned like new ones: what counts is the state by message id,
-    not a time cursor. The ids seen so far are keyed state spread over the executors, so a batch
-    costs what it brings, not what was scanned before. Each batch writes its scanned messages, and
-    from these its candidates, evidence, state and run, under its own number; ``scan_tables`` reads
-    them merged. ``messages`` carry ``message_id, sent_at, body``; ``state`` holds ids of earlier
-    batch scans.
+    """Scan each arriving message once per rule, into the store at ``root``.
+
+    Old and late messages are scanned like new ones: what counts is the state by message id, not a time cursor. The
+    state is the store's own table, dealt over buckets of the id: a batch reads the buckets of its ids, adds its rows to
+    them, and makes one folder of a bucket that has gathered more than ``folders``. So nothing is kept beside the table,
+    each id is there once, and a batch costs what it brings. Candidates and evidence are merged within the buckets that
+    the batch touches. One commit holds all four tables and the batch's name, so a replayed batch changes nothing.
+    ``messages`` carry ``message_id, sent_at, body``.
     """
-    fresh = messages.dropDuplicates(["message_id"])
-    if state is not None:
-        done = state.filter(F.col("rule_id") == rule.id).select("message_id")
-        fresh = fresh.join(done, "message_id", "left_anti")
-    matched = rules.match_rules(fresh, rule)
-    extras = [c for c in ("source_kind",) if c in matched.columns]
-    rows = matched.select("message_id", "candidate_id", "event_type", "title", "dedup_key", "sent_at", "matches", *extras)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(out, number))
-        scanned = batch.sparkSession.read.schema(batch.schema).parquet(batch_path(out, number))
-        as_of, run_id = F.current_timestamp(), f"{rule.id}-stream-{number}"
+        spark = batch.sparkSession
+        store = Store(spark, root)
+        stream = spark.read.text(f"{checkpoint}/metadata").first()[0]
+        tag = f"{rule.id} {stream} {number}"
+        if store.has(tag):
+            return
+        arrived = stage(batch.dropDuplicates(["message_id"]), "scan-arrived")
+        known = store.touching("scan_state", arrived.select("message_id"))
+        fresh = arrived if known is None else rules.select_unscanned(arrived, known, rule.id)
+        scanned = stage(rules.match_rules(fresh, rule).drop("body"), "scan-matched")
+        as_of, run_id = F.lit(datetime.now(timezone.utc)), f"{rule.id}-stream-{number}"
         states = rules.scan_state_rows(scanned, rule, as_of, run_id)
         progress = scanned.agg(F.count("*").alias("scanned_messages")).select(
             "scanned_messages", F.lit(0).cast("long").alias("remaining_messages"), F.lit("complete").alias("status")
         )
-        made = {
-            "candidates": rules.candidate_rows(scanned, rule, as_of),
-            "evidence": rules.evidence_rows(scanned),
-            "monitor_runs": rules.monitor_run(states, progress, rule, as_of, run_id),
+        candidates, evidence = rules.candidate_rows(scanned, rule, as_of), rules.evidence_rows(scanned)
+        ids = candidates.select("candidate_id")
+        changes = {
             "scan_state": states,
+            "candidates": rules.merge_candidates(_or_empty(store, "candidates", ids), candidates),
+            "evidence": rules.merge_evidence(_or_empty(store, "evidence", ids), evidence),
+            "monitor_runs": rules.monitor_run(states, progress, rule, as_of, run_id),
         }
-        for name, df in made.items():
-            df.write.mode("overwrite").parquet(batch_path(scan_root(out, name), number))
-
-    return run_batches(rows, each, checkpoint, continuous)
+        store.commit(changes, tag)
+        Store(spark, root).tidy("scan_state", folders)
 
-
-RUN_SCHEMA = (
-    "monitor_run_id string, rule_id string, started_at timestamp, finished_at timestamp, status string, "
-    "scanned_messages long, candidate_count long, remaining_messages long"
-)
-
-
-def scan_root(out: str, name: str) -> str:
-    """Beside the scanned messages; readers of ``out`` skip names with an underscore."""
-    return f"{out}/_tables/{name}"
+    return run_batches(messages, each, checkpoint, continuous)
 
 
-def scan_tables(spark: SparkSession, out: str, store: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Candidates, evidence, state and runs of all batches, merged with the stored ones."""
-    store = store or {}
-    schemas = {name: empty_table(spark, name).schema for name in ("candidates", "evidence", "scan_state")}
-    schemas["monitor_runs"] = RUN_SCHEMA
-    tables = {name: read_batches(spark, scan_root(out, name), schema).drop("batch") for name, schema in schemas.items()}
-    if "candidates" in store:
-        tables["candidates"] = rules.merge_candidates(store["candidates"], tables["candidates"])
-    if "evidence" in store:
-        tables["evidence"] = rules.merge_evidence(store["evidence"], tables["evidence"])
-    for name in ("scan_state", "monitor_runs"):
-        if name in store:
-            tables[name] = store[name].unionByName(tables[name])
-    return tables
+def _or_empty(store: Store, name: str, keys: DataFrame) -> DataFrame:
+    found = store.touching(name, keys)
+    return empty_table(store.spark, name) if found is None else found
 
 
 # --- debounce -----------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from evidentia.operators import resolve as R
 from evidentia.operators import rules
 from evidentia.operators.validate import ArgumentError, filter_window
 from evidentia.sources import group_exports as G
+from evidentia.sources.store import Store, write_store
 from evidentia.streaming import jobs
 
 
@@ -189,34 +191,59 @@ def test_candidates_refresh_but_keep_review(spark):
     assert seconds(merged["报名"]) == (1, 9) and seconds(merged["截止"]) == (9, 9)
 
 
-def test_stream_scan_scans_once(spark, tmp_path):
-    rule = rules.default_rule()
-    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
-    first, late = messages(spark, "报名", "x"), messages(spark, "报名", "x", "截止")
-    first.write.parquet(folder)
-
-    def drain():
-        stream = spark.readStream.schema(first.schema).parquet(folder)
-        jobs.stream_scan(stream, rule, out, checkpoint).awaitTermination()
-        return {(r.message_id, r.event_type) for r in spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).collect()}
-
-    assert drain() == {("m0", "registration"), ("m1", None)}
-    late.write.mode("append").parquet(folder)
-    assert drain() == {("m0", "registration"), ("m1", None), ("m2", "deadline")}
-    assert spark.read.schema(jobs.SCAN_SCHEMA).parquet(out).count() == 3
+def drained(spark, root, schema, rule, files=1000, **options):
+    """One query over what has arrived: a restart between any two calls."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+    jobs.stream_scan(stream, rule, f"{root}/store", f"{root}/checkpoint", **options).awaitTermination()
+    return Store(spark, f"{root}/store")
 
 
-def test_stream_scan_writes_the_four_tables(spark, tmp_path):
-    rule = rules.default_rule()
-    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
-    seen = messages(spark, "报名", "x", "截止")
-    seen.coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema(seen.schema).parquet(folder)
-    jobs.stream_scan(stream, rule, out, checkpoint).awaitTermination()
-    tables = jobs.scan_tables(spark, out)
-    found = {r.candidate_id: r.event_type for r in tables["candidates"].collect()}
-    links = {(r.message_id, found[r.candidate_id]) for r in tables["evidence"].collect()}
+def test_stream_scan_scans_once(spark, tmp_path):
+    rule, root = rules.default_rule(), str(tmp_path)
+    first, late = messages(spark, "报名", "x"), messages(spark, "报名", "x", "截止")
+    first.write.parquet(f"{root}/in")
+    store = drained(spark, root, first.schema, rule)
+    assert {(r.message_id, r.matched) for r in store["scan_state"].collect()} == {("m0", True), ("m1", False)}
+    late.write.mode("append").parquet(f"{root}/in")
+    store = drained(spark, root, first.schema, rule)
+    assert sorted((r.message_id, r.matched) for r in store["scan_state"].collect()) == [("m0", True), ("m1", False), ("m2", True)]
+    found = {r.candidate_id: r.event_type for r in store["candidates"].collect()}
+    links = {(r.message_id, found[r.candidate_id]) for r in store["evidence"].collect()}
     assert links == {("m0", "registration"), ("m2", "deadline")} and len(found) == 2
-    assert {(r.message_id, r.matched) for r in tables["scan_state"].collect()} == {("m0", True), ("m1", False), ("m2", True)}
-    assert sum(r.scanned_messages for r in tables["monitor_runs"].collect()) == 3
-    assert rules.select_unscanned(seen, tables["scan_state"], rule.id).count() == 0
+    assert sum(r.scanned_messages for r in store["monitor_runs"].collect()) == 3
+    assert rules.select_unscanned(late, store["scan_state"], rule.id).count() == 0
+
+
+def test_stream_scan_of_many_batches_keeps_its_state_small(spark, tmp_path):
+    """Twenty batches that repeat most ids: one row an id, few folders a bucket, the same result as one batch scan."""
+    rule, root = rules.Rule("r", "1", {"a": ["alpha"], "b": ["beta"]}, "both"), str(tmp_path)
+    types = "message_id string, sent_at timestamp, body string"
+    rows = [(f"m{i}", datetime(2026, 1, 1), ["alpha", "beta", "alpha beta", "x"][i % 4]) for i in range(40)]
+    every = spark.createDataFrame(rows, types)
+    write_store({"scan_state": spark.createDataFrame([("r", "m39")], "rule_id string, message_id string")}, f"{root}/store", buckets=2)
+    for i in range(20):
+        part = [rows[j] for j in range(40) if j <= 2 * i + 1 and (j >= 2 * i or j % 3 == 0)]
+        spark.createDataFrame(part, types).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    store = drained(spark, root, every.schema, rule, folders=3, files=1)
+    assert store.version > 20
+    assert store["scan_state"].count() == store["scan_state"].select("message_id").distinct().count() == 40
+    assert all(len(x) <= 4 for x in store.layers("scan_state").values())
+    scan = rules.scan_messages(every, spark.createDataFrame([("r", "m39")], "rule_id string, message_id string"), rule)
+    want = {(r.candidate_id, r.event_type) for r in rules.candidate_rows(scan, rule, F.current_timestamp()).collect()}
+    assert {(r.candidate_id, r.event_type) for r in store["candidates"].collect()} == want
+    assert {(r.candidate_id, r.message_id) for r in store["evidence"].collect()} == {(r.candidate_id, r.message_id) for r in rules.evidence_rows(scan).collect()}
+    runs = store["monitor_runs"].agg(F.count("*"), F.sum("scanned_messages"), F.sum("candidate_count")).first()
+    assert tuple(runs) == (20, 39, len(want))
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    rule, root = rules.default_rule(), str(tmp_path)
+    seen = messages(spark, "报名", "x", "截止")
+    seen.coalesce(1).write.parquet(f"{root}/in")
+    before = drained(spark, root, seen.schema, rule)
+    # the stream forgets that it has finished its batch
+    for name in os.listdir(f"{root}/checkpoint/commits"):  # and their checksums
+        os.remove(f"{root}/checkpoint/commits/{name}")
+    after = drained(spark, root, seen.schema, rule)
+    assert after.version == before.version
+    assert after["monitor_runs"].count() == 1 and after["scan_state"].count() == 3
