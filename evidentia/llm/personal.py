@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,9 +22,15 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-#: All of an ip, card or phone lies in one such run.
-RUN = re.compile(r"\(?[0-9+][0-9 .()+-]*[0-9]")
+#: What the base patterns are made of, so that each is found in one pass over a text of any kind.
+LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+#: All of an ip, card or phone lies in a run of these characters.
+NUMERIC_CHARS = re.compile(r"[0-9 .()+-]+")
+FIRST = re.compile(r"[0-9+]")
+HIDDEN_AT = re.compile(r" ?(?:\[at\]|\(at\))", re.IGNORECASE)
+HIDDEN_LOCAL = re.compile(r"[\w.%+-]")
 #: Written-out signs that a candidate may have in their place, in any case.
 SIGN = re.compile(r"(\[at\]|\(at\))|\[dot\]|\(dot\)|\[\.\]", re.IGNORECASE)
 HIDDEN_EMAIL = re.compile(r"[\w.%+-]+ ?(?:\[at\]|\(at\)) ?[\w-]+(?: ?(?:\.|\[\.\]|\[dot\]|\(dot\)) ?[\w-]+)+", re.IGNORECASE)
@@ -36,6 +43,10 @@ LOCAL = re.compile(r"\(?[0-9]{1,5}\)?(?:(?:[ -]|(?<=\)))\(?[0-9]{2,7}\)?)+|[0-9]
 #: Plus and country code, which a phone written for its own country leaves out.
 CODE = re.compile(r"^\+(?:[0-9]{1,3}(?:[ .-]|(?=\()))?")
 LONGEST = 40
+#: Parts between spaces that a phone or card has at most: each but the first has two digits or more, 15 in all.
+MOST_PARTS = 8
+BREAKS = frozenset(".(+")
+DIGITS = re.compile(r"[0-9]+")
 #: Bins of probability in the counts that give the thresholds, and folds of the sample.
 BINS = 2_000
 FOLDS = 3
@@ -52,66 +63,111 @@ def luhn(numbers: list[int]) -> bool:
     return total % 10 == 0
 
 
+def value(x: str) -> int:
+    """The number that some digits mean, 1000 for any above 999: there may be thousands of digits."""
+    x = x.lstrip("0")
+    return 1000 if len(x) > 3 else int(x or "0")
+
+
 #: Pattern and further condition of the base matches in a run.
 NUMERIC = (
-    (1, IP, lambda s: all(int(x) <= 255 for x in s.split("."))),
+    (1, IP, lambda s: all(value(x) <= 255 for x in s.split("."))),
     (2, CARD, lambda s: 16 <= len(n := digits(s)) <= 19 and luhn(n)),
     (3, PHONE, lambda s: 8 <= len(digits(s)) <= 15),
 )
 
 
-def email_runs(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around each at sign that hold only characters of an email."""
-    at, done = text.find("@"), 0
+def numeric_runs(text: str) -> list[tuple[int, int]]:
+    """From the first digit or plus of each run, an opening bracket before it included, to its last digit."""
+    out = []
+    for m in NUMERIC_CHARS.finditer(text):
+        run = m.group()
+        first, last = FIRST.search(run), len(run.rstrip(" .()+-"))
+        if first and last - 1 > first.start():
+            start = first.start()
+            out.append((m.start() + start - (start > 0 and run[start - 1] == "("), m.start() + last))
+    return out
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of `EMAIL`: what can stand before each at sign, where a domain follows it.
+
+    No two local parts share a character, as they hold no at sign, so every character is looked at a few times only.
+    """
+    done = 0
+    at = text.find("@")
     while at >= 0:
-        start, end = at, at + 1
-        while start > done and text[start - 1] in EMAIL_CHARS:
-            start -= 1
-        while end < len(text) and text[end] in EMAIL_CHARS:
-            end += 1
-        yield start, end
-        at, done = text.find("@", end), end
+        local = text[done:at]
+        start = done + len(local.rstrip(LOCAL_CHARS))
+        domain = DOMAIN.match(text, at) if start < at else None
+        if domain:
+            yield start, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
+
+
+
+def addresses(run: str) -> Iterator[tuple[int, int]]:
+    """Matches of `IP`: each four parts in turn of numbers with dots between them."""
+    for m in DOTTED.finditer(run):
+        at, parts = m.start(), m.group().split(".")
+        for i in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
 
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> tuple[list[Span], list[Span]]:
     """Matches of the base patterns by kind, then start; and the matches that were dropped."""
-    good: list[Span] = []
+    good: list[Span] = [(0, start, end) for start, end in emails(text)]
     bad: list[Span] = []
-    for start, end in email_runs(text):
-        good += [(0, start + m.start(), start + m.end()) for m in EMAIL.finditer(text[start:end])]
     for start, end in runs:
         run = text[start:end]
         for kind, pattern, valid in NUMERIC:
-            for m in pattern.finditer(run):
-                (good if valid(m.group()) else bad).append((kind, start + m.start(), start + m.end()))
+            found = addresses(run) if kind == 1 else (m.span() for m in pattern.finditer(run))
+            for a, b in found:
+                (good if valid(run[a:b]) else bad).append((kind, start + a, start + b))
     return sorted(good), bad
 
 
+def hidden_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of `HIDDEN_EMAIL`, looked for from each written-out at sign to the left."""
+    done = 0
+    for sign in HIDDEN_AT.finditer(text):
+        start = sign.start()
+        while start > done and HIDDEN_LOCAL.match(text, start - 1):
+            start -= 1
+        if done <= start < sign.start() and (m := HIDDEN_EMAIL.match(text, start)):
+            yield m.span()
+            done = m.end()
+
+
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     """Spans that may be personal data, overlapping freely: written-out signs, and parts of runs between spaces."""
     out: set[Span] = set()
     lower = text.lower()
     if "(at)" in lower or "[at]" in lower:
-        out |= {(0, *m.span()) for m in HIDDEN_EMAIL.finditer(text)}
+        out |= {(0, *span) for span in hidden_emails(text)}
     if "[.]" in lower or "dot" in lower:
         out |= {(1, *m.span()) for m in HIDDEN_IP.finditer(text)}
     for start, end in runs:
         run = text[start:end]
         out |= {(1, start + m.start(), start + m.end()) for m in LOOSE_IP.finditer(run)}
-        parts = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^ ]+", run)]
-        for i, (a, _) in enumerate(parts):
+        parts = [(start + m.start(), start + m.end(), sum(map(len, DIGITS.findall(m.group())))) for m in re.finditer(r"[^ ]+", run)]
+        for i, (a, _, _) in enumerate(parts):
             count = 0
-            for c, b in parts[i:]:
-                count += len(digits(text[c:b]))
-                if count > 19 or b - a > LONGEST:
+            for k, (_, b, n) in enumerate(parts[i : i + MOST_PARTS]):
+                count += n
+                if b - a > LONGEST or count > 19:
                     break
-                if not "0" <= text[b - 1] <= "9":
+                # each part but the first has two digits or more
+                if count < 8 or count < 2 * k + 1 or not "0" <= text[b - 1] <= "9":
                     continue
                 at = a + (text[a] == "(" and ")" not in text[a:b])
                 piece = text[at:b]
-                if 8 <= count <= 15 and len(piece) > count and not DATE.search(piece):
+                if count <= 15 and len(piece) > count and not DATE.search(piece):
                     out.add((3, at, b))
-                if count >= 13 and not set(piece) & set(".(+") and luhn(digits(piece)):
+                if count >= 13 and not set(piece) & BREAKS and luhn(digits(piece)):
                     out.add((2, at, b))
     return sorted(out)
 
@@ -143,7 +199,7 @@ def describe(text: str, span: Span) -> list[float]:
     s = CODE.sub("", text[start:end]) if kind == 3 else plain(kind, text[start:end])
     numbers = digits(s)
     groups = [len(x) for x in re.findall(r"[0-9]+", s)] or [0]
-    parts = [int(x) for x in s.split(".") if x.isdigit()] if kind == 1 else [0]
+    parts = [value(x) for x in s.split(".") if x.isdigit()] if kind == 1 else [0]
     before = text[max(0, start - LONGEST) : start].split(" ")
     word = before[-1] or (before[-2] if len(before) > 1 else "")
     return [
@@ -159,8 +215,28 @@ class Model:
     thresholds: tuple[float, ...]
 
 
-def overlaps(a: Span, spans: list[Span]) -> bool:
-    return any(a[1] < e and s < a[2] for _, s, e in spans)
+class Cover:
+    """Stretches of a text, joined where they overlap, so that one look tells whether a span meets any."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted((s, e) for _, s, e in spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, span: Span) -> bool:
+        at = bisect.bisect_right(self.ends, span[1])
+        return at < len(self.starts) and self.starts[at] < span[2]
+
+    def add(self, span: Span) -> None:
+        """A span that meets none."""
+        at = bisect.bisect_right(self.ends, span[1])
+        self.starts.insert(at, span[1])
+        self.ends.insert(at, span[2])
 
 
 def examples(text: str) -> tuple[list[list[float]], list[bool]]:
@@ -170,10 +246,11 @@ def examples(text: str) -> tuple[list[list[float]], list[bool]]:
     its neighbours, or that are base matches but for the way their signs are written, are what the trees are to decide,
     so they are no examples either.
     """
-    runs = [m.span() for m in RUN.finditer(text)]
+    runs = numeric_runs(text)
     good, bad = base_spans(text, runs)
     wide = [x for x in bad if " " in text[x[1] : x[2]] and len(digits(text[x[1] : x[2]])) > 15]
-    rest = [c for c in candidates(text, runs) if not overlaps(c, good) and not overlaps(c, wide) and not alike(c[0], text[c[1] : c[2]])]
+    known = Cover(good + wide)
+    rest = [c for c in candidates(text, runs) if not known.meets(c) and not alike(c[0], text[c[1] : c[2]])]
     return [describe(text, s) for s in [*good, *rest]], [True] * len(good) + [False] * len(rest)
 
 
@@ -266,9 +343,10 @@ def selected(bodies: list[str], model: Model) -> Iterator[tuple[list[Span], list
     """
     found, rows = [], []
     for body in bodies:
-        runs = [m.span() for m in RUN.finditer(body)]
+        runs = numeric_runs(body)
         good, _ = base_spans(body, runs)
-        rest = [c for c in candidates(body, runs) if not overlaps(c, good)]
+        known = Cover(good)
+        rest = [c for c in candidates(body, runs) if not known.meets(c)]
         found.append((good, rest))
         rows += [describe(body, c) for c in rest]
     p = model.trees.probability(np.array(rows)) if rows else np.empty(0)
@@ -276,9 +354,11 @@ def selected(bodies: list[str], model: Model) -> Iterator[tuple[list[Span], list
     for good, rest in found:
         scores, at = p[at : at + len(rest)], at + len(rest)
         added: list[Span] = []
+        taken = Cover([])
         for _, _, c in sorted((-round(float(q), 6), c[1] - c[2], c) for c, q in zip(rest, scores, strict=True) if q >= model.thresholds[c[0]]):
-            if not overlaps(c, added):
+            if not taken.meets(c):
                 added.append(c)
+                taken.add(c)
         yield good, sorted(added)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,7 +281,7 @@ def test_personal(docs, empty, spark):
                 n = re.sub("[^0-9]", "", m.group())
                 if name == "email" or name == "ip" and max(map(int, m.group().split("."))) < 256 or name == "card" and 16 <= len(n) <= 19 and personal.luhn([*map(int, n)]) or name == "phone" and 8 <= len(n) <= 15:
                     good.append((kind, *m.span()))
-        assert personal.base_spans(text, [m.span() for m in personal.RUN.finditer(text)])[0] == good
+        assert personal.base_spans(text, personal.numeric_runs(text))[0] == good
     many = [(i, f"call +1 ({200 + i % 700}) 555-{1000 + i} or 10.0.{i % 200}.9 or m{i}@b.com, id {10**9 + i} v {i}.2", 0) for i in range(400)]
     model = personal.train(spark.createDataFrame(many, "doc_id long, text string, base int"))
     (base, added), = personal.selected(["+1 (269) 555-3296 4524132264652876 end"], model)
@@ -295,12 +296,12 @@ def test_personal_written_out_forms_are_no_negatives(spark):
     forms = ["joe{0} [at] mail (dot) com", "joe{0}[AT]mail[Dot]com", "10[.]0[.]7[.]9", "10(DOT)0(dot)7.9", "({1}) 555-2368", "{1}-555-2368", "1234-5{1}"]
     for form in forms:
         text = f"mail {form.format(5, 212)} or"
-        assert personal.candidates(text, [m.span() for m in personal.RUN.finditer(text)]) and personal.examples(text) == ([], [])
+        assert personal.candidates(text, personal.numeric_runs(text)) and personal.examples(text) == ([], [])
     for text in ("at 12.50 13.75 14.25 or", "is 1.2.3.400 or", "dinner (at) home. Then we"):
         labels = personal.examples(text)[1]
         assert labels and not any(labels)
     for text in ("in 2019-2020 or", "on 01-02-2024 or", "on 2024-01-02 03"):
-        assert personal.candidates(text, [m.span() for m in personal.RUN.finditer(text)]) == []
+        assert personal.candidates(text, personal.numeric_runs(text)) == []
     some = [(i, f"joe{i}@mail.com, +1 ({200 + i % 700}) 555-{1000 + i} or 10.0.{i % 200}.{i % 9} end {i % 90 + 10}.50 {i % 80 + 10}.25 13.75 or {i % 200}.2.3.400 end" + f" or {forms[i % 7].format(i, 200 + i % 700)} end" * (i % 4 == 0), 0) for i in range(900)]
     model = personal.train(spark.createDataFrame(some, "doc_id long, text string, base int"))
     for form in forms[:6]:
@@ -344,3 +345,39 @@ def test_language(docs, empty, spark):
     assert by_id[0] == by_id[1] == by_id[2] == language.UNKNOWN and by_id[3] in ("en", "fr")
     none = language.train(empty)
     assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {language.UNKNOWN}
+
+
+LONG = {
+    "digits": "1" * 1_000_000,
+    "digits and dots": "1" * 100_000 + ".1.1.1 " + "0" * 100_000 + "1.2.3.4",
+    "single digits": "1 " * 500_000,
+    "signs": "+ " * 500_000,
+    "a local part": "a" * 1_000_000 + "@",
+    "at signs": "a@" * 500_000,
+    "written-out sign first": "(at)" + "a" * 1_000_000,
+    "written-out sign last": "a" * 1_000_000 + "(at)",
+    "dots": "1." * 500_000,
+    "numbers": " ".join(str(i * 7919 % 1_000_000) for i in range(150_000)),
+    "a domain": "a@" + "b." * 500_000 + "c",
+    "brackets": "(" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_personal_data_in_long_texts_of_any_kind(name):
+    """One pass over a megabyte, whatever it is made of: no scan begins anew at each character."""
+    began = time.process_time()
+    personal.examples(LONG[name])
+    assert time.process_time() - began < 8  # 2 s on an idle machine
+
+
+def test_base_spans_of_dense_texts_equal_the_patterns():
+    draw = random.Random(3)
+    for _ in range(3000):
+        letters = draw.choice(["a1.@-+ ", "01.", "0123456789 -", "+1 ().-2", "ab@.", "5 -", "1. ", "a@b.c(at)[at][dot] "])
+        body = "".join(draw.choice(letters) for _ in range(draw.randrange(60)))
+        want = [(0, *m.span()) for m in personal.EMAIL.finditer(body)]
+        want += [(k, *m.span()) for k, pattern, valid in personal.NUMERIC for m in pattern.finditer(body) if valid(m.group())]
+        assert personal.base_spans(body, personal.numeric_runs(body))[0] == sorted(want)
+        signs = "".join(draw.choice(["a", "(at)", "[at]", " ", ".", "(dot)", "[.]", "b", "-"]) for _ in range(draw.randrange(30)))
+        assert list(personal.hidden_emails(signs)) == [m.span() for m in personal.HIDDEN_EMAIL.finditer(signs)]
