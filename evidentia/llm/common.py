@@ -17,7 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch holds, so that very long texts do not meet in a Python worker."""
+    """Bound what one Arrow batch holds, so that very long texts do not meet in a Python worker.
+
+    Operators write their steps to tables, so the shuffle files of a step go when it has ended.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark

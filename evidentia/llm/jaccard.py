@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import bit_table, has_bit, mixed, prepare, whole
@@ -15,7 +16,7 @@ from evidentia.llm.features import BASE, code_points, word_hashes
 from evidentia.session import stage
 
 #: Signatures that a task looks at together, and from how many equal ones among them a signature counts as hot.
-CHUNK = 1_000_000
+CHUNK = 2_000_000
 HOT = 256
 SALTS = 64
 #: Sets and shingles that a block holds at most (but for the deal's unevenness), and shingles that a table holds at once.
@@ -24,6 +25,12 @@ BLOCK_SHINGLES = 1 << 22
 WIDTH = 2048
 #: Bytes of a shingle's hash that are kept for comparing sets.
 WIDE = 6
+#: Signatures of one bucket in all, and the least number of buckets.
+BUCKET = 4_000_000
+LEAST_BUCKETS = 64
+#: Counts of a sketch, and members of a group that are looked at pair by pair through their sketches.
+BINS = 128
+SMALL = 512
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -87,24 +94,66 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """How many shingles fall into each of BINS parts of the domain, 255 for more."""
+    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """The id, size and identity of each document's set."""
+    """The id, size, identity and sketch of each document's set."""
 
     def describe(batches):
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, sketches = [], [], []
             for body in batch.column(1).to_pylist():
                 h = shingles(body, n)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=[key, "n_shingles", "node"])
+                sketches.append(sketch(h) if len(h) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.record_batch(columns, names=[key, "n_shingles", "node", "sketch"])
 
     rows = docs.select(F.col(key), whole(text))
-    return rows.mapInArrow(describe, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_shingles long, node long")
+    return rows.mapInArrow(describe, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, sketch binary")
+
+
+def packed(place: np.ndarray, node: np.ndarray, sig: np.ndarray | None, buckets: int) -> Iterator[tuple]:
+    """Rows (bucket, first, steps, sets, at, sig) that hold the sorted places of each bucket.
+
+    The places are told by their differences, each one's set by its number among the distinct ones of the row: about 9
+    bytes a signature instead of 26, and nothing is lost.
+    """
+    order = np.argsort(place, kind="stable")
+    place, node = place[order], node[order]
+    bucket = bucket_of(place, buckets)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(place) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        steps = np.diff(place[a:b], prepend=place[a])
+        sets, at = np.unique(node[a:b], return_inverse=True)
+        steps = steps.astype("<u4" if steps.max() < 1 << 32 else "<u8")
+        at = at.astype("<u2" if len(sets) <= 1 << 16 else "<u4")
+        names = sig[order[a:b]].tobytes() if sig is not None else None
+        yield int(bucket[a]), int(place[a]), steps.tobytes(), sets.tobytes(), at.tobytes(), names
+
 
+def unpacked_signatures(first: int, steps: bytes, sets: bytes, at: bytes, sig: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sets and, of hot ones, signatures (-1 for others) of one row of `packed`."""
+    sets = np.frombuffer(sets, dtype=np.int64)
+    at = np.frombuffer(at, dtype="<u2" if len(sets) <= 1 << 16 else "<u4")
+    steps = np.frombuffer(steps, dtype="<u4" if len(steps) == 4 * len(at) else "<u8")
+    place = first + np.cumsum(steps.astype(np.int64))
+    return place, sets[at], np.full(len(at), -1) if sig is None else np.frombuffer(sig, dtype=np.int64)
 
-def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(place, node, sig): every signature of every set, once a task for equal sets; sig is null but for hot ones.
+
+def bucket_of(place: np.ndarray, buckets: int) -> np.ndarray:
+    return ((place >> 16) * buckets) >> 32
+
+
+PACKED = "bucket int, first long, steps binary, sets binary, at binary, sig binary"
+
+
+def signed(docs: DataFrame, text: str, n: int, percent: int, buckets: int) -> DataFrame:
+    """Every signature of every set, once a task for equal sets, as rows of `packed`.
 
     The place is the signature. One that very many sets of a task share is hot and dealt over SALTS more places; the
     least of the sets stands in all of them and in the signature's own, so that the parts stay connected.
@@ -128,9 +177,12 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
             hot = np.concatenate((many, np.ones(len(salts), dtype=bool)))
             sig, node = np.concatenate((sig, np.repeat(sig[least], SALTS + 1))), np.concatenate((node, np.repeat(node[least], SALTS + 1)))
             dealt_out = (mixed((sig ^ (salt << 50)).view(np.uint64)) >> np.uint64(16)).view(np.int64)
-            columns = [pa.array(np.where(salt > 0, dealt_out, sig)), pa.array(node), pa.array(sig, mask=~hot)]
-            for i in range(0, len(columns[0]), 1 << 16):
-                yield pa.record_batch([c[i : i + (1 << 16)] for c in columns], names=["place", "node", "sig"])
+            place = np.where(salt > 0, dealt_out, sig)
+            blocks = [*packed(place[~hot], node[~hot], None, buckets), *packed(place[hot], node[hot], sig[hot], buckets)]
+            for i in range(0, len(blocks), 64):
+                columns = list(zip(*blocks[i : i + 64], strict=True))
+                types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "first", "steps", "sets", "at", "sig"])
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
@@ -149,7 +201,7 @@ def signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
         if held:
             yield from rows()
 
-    return docs.select(whole(text)).mapInArrow(sign, "place long, node long, sig long")
+    return docs.select(whole(text)).mapInArrow(sign, PACKED)
 
 
 def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFrame:
@@ -211,7 +263,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """The id, n_shingles and component_id of every document: the least id that links of similar sets lead to.
 
     Equal sets are one node. Two sets of at least ``percent`` similarity share a signature (`bands`), so they meet in
-    its group; groups with the same members are one. Groups that overlap form a class. Where a class fits a block, its
+    its group; groups with the same members are one, and members whose sketches rule out every other member leave it
+    (`plausible`). Groups that overlap form a class. Where a class fits a block, its
     members are compared with each other within one task (`across`), and each set goes there once. The members of
     each group of a larger class are first compared with the one that is best connected (`stars`); where that leaves
     members of a group apart, with all others that they are apart from, in blocks (`dealt`). Blocks give links only,
@@ -224,8 +277,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     prepare(docs.sparkSession)
     rows = stage(described(docs, key, text, n), "sets")
-    sizes = rows.filter("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
-    groups = stage(gathered(signed(docs, text, n, percent)).join(sizes, "node").select("sig", "node", "n"), "sets-groups")
+    sizes = rows.filter("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    # a set has fewer signatures than shingles and a few more
+    most = rows.agg(F.sum(F.col("n_shingles") + 8)).first()[0] or 0
+    shared = stage(gathered(signed(docs, text, n, percent, max(LEAST_BUCKETS, most // BUCKET))), "sets-shared")
+    groups = stage(plausible(shared, stage(sizes, "sets-sizes"), percent), "sets-groups")
     small, large = by_class(groups)
     links = stage(across(small, wanted_sets(docs, small.select("node"), text, n), percent), "sets-links")
     if not large.isEmpty():
@@ -246,11 +302,90 @@ def gathered(signatures: DataFrame) -> DataFrame:
 
     A signature dealt over salts keeps its own name, so that its parts stay one group.
     """
-    place = Window.partitionBy("place")
-    members = {"least": F.min("node"), "most": F.max("node"), "copies": F.count("node"), "mark": F.bit_xor(F.xxhash64("node")), "hot": F.max("sig")}
-    rows = signatures.select("place", "node", *[x.over(place).alias(name) for name, x in members.items()]).filter("least < most")
-    own = F.coalesce("hot", F.xxhash64("least", "most", "copies", "mark"))
-    return rows.select(own.alias("sig"), "node").distinct()
+
+    def groups_of(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        place, node, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((node, place))
+        place, node, sig = place[order], node[order], sig[order]
+        fresh = np.concatenate(([True], (place[1:] != place[:-1]) | (node[1:] != node[:-1])))
+        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        hot = np.maximum.reduceat(sig, starts)
+        place, node = place[fresh], node[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        sizes = np.diff(np.append(starts, len(place)))
+        name = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts) + sizes.astype(np.uint64) * BASE).view(np.int64)
+        several = sizes > 1
+        # equal groups of other signatures are left out
+        _, first = np.unique(np.where(several, np.where(hot >= 0, hot, name), 0), return_index=True)
+        keep = np.zeros(len(starts), dtype=bool)
+        keep[first] = True
+        # a salted part shares its name with other parts, which may hold other sets
+        keep = (keep | (hot >= 0)) & several
+        rows = np.repeat(keep, sizes)
+        return np.repeat(np.where(hot >= 0, hot, name), sizes)[rows], node[rows]
+
+    def gather(batches):
+        now, parts = None, []
+
+        def done():
+            sig, node = groups_of(parts)
+            for i in range(0, len(sig), 1 << 16):
+                yield pa.record_batch([pa.array(sig[i : i + (1 << 16)]), pa.array(node[i : i + (1 << 16)])], names=["sig", "node"])
+
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from done()
+                    now, parts = bucket, []
+                parts.append(unpacked_signatures(*row))
+        if parts:
+            yield from done()
+
+    rows = signatures.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(gather, "sig long, node long").distinct()
+
+
+def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, n): members of groups without those that no other member of the group can be similar to.
+
+    Two sets differ by at least the sum of the differences of their sketches. Where that is more than similar sets of
+    their sizes may differ by, they are not similar, so no link is lost. Groups of over SMALL members stay as they are.
+    """
+
+    def near(members: list[tuple]) -> list[int]:
+        n = np.array([m[1] for m in members])
+        x = np.frombuffer(b"".join([m[2] for m in members]), dtype=np.uint8).reshape(len(members), BINS).astype(np.int16)
+        apart = np.stack([np.abs(x - y).sum(axis=1, dtype=np.int64) for y in x])
+        most = (100 - percent) * (n[:, None] + n[None, :])
+        good = (apart * (100 + percent) <= most) & (n[:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[:, None] * percent)
+        np.fill_diagonal(good, False)
+        return np.flatnonzero(good.any(axis=1)).tolist()
+
+    def look(batches):
+        now, members = None, []
+        out: list[tuple] = []
+
+        def batch_of(rows):
+            return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["sig", "node", "n"])
+
+        for batch in batches:
+            for sig, *member in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if sig != now:
+                    out += [(now, *members[i][:2]) for i in near(members)] if len(members) > 1 else []
+                    now, members = sig, []
+                members.append(member)
+            yield batch_of(out)
+            out = []
+        if len(members) > 1:
+            yield batch_of([(now, *members[i][:2]) for i in near(members)])
+
+    counts = shared.groupBy("sig").agg(F.count("*").alias("members"))
+    large = counts.filter(F.col("members") > SMALL)
+    big = shared.join(large.select("sig"), "sig", "left_semi").join(sizes.select("node", "n"), "node").select("sig", "node", "n")
+    rest = shared.join(large.select("sig"), "sig", "left_anti").join(sizes, "node").select("sig", "node", "n", "sketch")
+    rest = rest.repartition("sig").sortWithinPartitions("sig")
+    return rest.mapInArrow(look, "sig long, node long, n long").unionByName(big)
 
 
 def by_class(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
