@@ -31,6 +31,9 @@ LEAST_BUCKETS = 64
 #: Counts of a sketch, and members of a group that are looked at pair by pair through their sketches.
 BINS = 128
 SMALL = 512
+#: Pairs that one copy of a center's set is compared in, and rounds of centers before groups are compared in blocks.
+TOGETHER = 256
+ROUNDS = 3
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -238,25 +241,40 @@ def unpacked(x: bytes) -> np.ndarray:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, by exact counts."""
+    """The pairs (u, v) whose sets are similar, by exact counts; ``sets`` has each node once.
+
+    The set of u goes to v once a pair, the set of v once for each task that compares it: a v with very many pairs is
+    dealt over several.
+    """
 
     def compare(batches):
+        center = None
         for batch in batches:
             good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                size = len(a) // WIDE + len(b) // WIDE
-                if len(a) * 100 < len(b) * percent or len(b) * 100 < len(a) * percent:
-                    good.append(False)
+            for u, v, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if u is None:
+                    center = (v, body)
+                    continue
+                if center is None or center[0] != v:
+                    raise ValueError(f"no set of {v}")
+                b = center[1]
+                size = len(body) // WIDE + len(b) // WIDE
+                if len(body) * 100 < len(b) * percent or len(b) * 100 < len(body) * percent:
                     continue
-                both = np.concatenate((unpacked(a), unpacked(b)))
+                both = np.concatenate((unpacked(body), unpacked(b)))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (size - common))
-            yield pa.record_batch(batch.columns[:2], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+                if 100 * common >= percent * (size - common):
+                    good.append((u, v))
+            yield pa.record_batch([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    both = right.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    parts = stage(pairs.groupBy("v").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")), "sets-centers")
+    dealt_pairs = pairs.join(parts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), "u")
+    left = dealt_pairs.join(sets.withColumnRenamed("node", "u"), "u").select("u", "v", "shingles", "part")
+    places = parts.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = places.join(sets.withColumnRenamed("node", "v"), "v").select(F.lit(None).cast("long").alias("u"), "v", "shingles", "part")
+    rows = left.unionByName(right).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    return rows.drop("part").mapInArrow(compare, "u long, v long")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -265,9 +283,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     Equal sets are one node. Two sets of at least ``percent`` similarity share a signature (`bands`), so they meet in
     its group; groups with the same members are one, and members whose sketches rule out every other member leave it
     (`plausible`). Groups that overlap form a class. Where a class fits a block, its
-    members are compared with each other within one task (`across`), and each set goes there once. The members of
-    each group of a larger class are first compared with the one that is best connected (`stars`); where that leaves
-    members of a group apart, with all others that they are apart from, in blocks (`dealt`). Blocks give links only,
+    members are compared with each other within one task (`across`), and each set goes there once. Members of the
+    groups of larger classes are first compared with one center each, in up to ROUNDS rounds (`stars`); where that
+    leaves members of a group apart, with all others that they are apart from, in blocks (`dealt`). Blocks give links only,
     never pairs. So no link is lost that joins two components, and pairs within a component are not listed.
     Comparisons count the shared shingles.
 
@@ -285,11 +303,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     small, large = by_class(groups)
     links = stage(across(small, wanted_sets(docs, small.select("node"), text, n), percent), "sets-links")
     if not large.isEmpty():
-        pairs = stage(stars(large, percent), "sets-pairs")
         sets = stage(wanted_sets(docs, large.select("node"), text, n).dropDuplicates(["node"]), "sets-wanted")
-        near = stage(linked(pairs, sets, percent), "sets-links")
-        more = stage(across(dealt(large, stage(components(near), "sets-components")), sets, percent), "sets-links")
-        links = links.unionByName(near).unionByName(more)
+        near, seen, known = None, None, large.select("node").distinct().withColumn("component", F.col("node"))
+        for _ in range(ROUNDS):
+            pairs = stage(stars(large, known, seen, percent), "sets-pairs")
+            if pairs.isEmpty():
+                break
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            fresh = stage(linked(pairs, sets, percent), "sets-links")
+            near = fresh if near is None else near.unionByName(fresh)
+            known = stage(components(near), "sets-components")
+        more = stage(across(dealt(large, known), sets, percent), "sets-links")
+        links = links.unionByName(more) if near is None else links.unionByName(near).unionByName(more)
     found = stage(components(links), "sets-components")
     joined = rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = stage(joined.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(key).alias("component_id")), "sets-least")
@@ -411,33 +436,42 @@ def close(percent: int) -> Column:
     return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
 
-def stars(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of each member with the one of its group that has most company in all its groups.
+def members_by_component(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """``groups`` with the component of each node, itself where ``found`` has none."""
+    return groups.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+
+
+def stars(groups: DataFrame, found: DataFrame, seen: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (u, v): each member that is apart from the center of some group, with one such center.
 
-    The text that others were copied from is close to all of them, while two copies with changes of their own need not
-    be close to each other; so most links of a large group are found at once.
+    A group's center is the one of its largest component that has most company in all its groups: the text that others
+    were copied from is close to all of them, while two copies with changes of their own need not be close to each
+    other. Of several centers a member takes the one with most company that it was not compared with before, so a round
+    sends each set once, and most links of large groups are found in the first.
     """
     sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
     company = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("company"))
-    company = stage(company, "sets-company")
-    member = stage(groups.join(company, "node"), "sets-company")
-    center = member.groupBy("sig").agg(F.max(F.struct("company", "node", "n")).alias("center")).select("sig", F.col("center.node").alias("v"), F.col("center.n").alias("m"))
-    both = member.select("sig", F.col("node").alias("u"), "n").join(center, "sig").filter("u != v").filter(close(percent))
-    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    member = stage(members_by_component(groups, found).join(stage(company, "sets-company"), "node"), "sets-company")
+    parts = member.groupBy("sig", "component").agg(F.count("*").alias("count"), F.max(F.struct("company", "node", "n")).alias("best"))
+    center = parts.groupBy("sig").agg(F.max(F.struct("count", "best", "component")).alias("top"))
+    center = center.select("sig", F.col("top.best.node").alias("v"), F.col("top.best.n").alias("m"), F.col("top.component").alias("of"), F.col("top.best.company").alias("c"))
+    both = member.select("sig", F.col("node").alias("u"), "n", "component").join(center, "sig").filter("component != of").filter(close(percent))
+    both = both.select("u", "v", "c").distinct()
+    if seen is not None:
+        both = both.join(seen, ["u", "v"], "left_anti")
+    return both.groupBy("u").agg(F.max(F.struct("c", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
 
 
 def dealt(groups: DataFrame, found: DataFrame) -> DataFrame:
     """(sig, a, b, node, component): members of groups that `stars` left apart, in the blocks where they are compared.
 
-    Members outside a group's largest component are compared with all others, those in it only with them; a group of
-    two has been compared already. A group that is too large for one block is cut into blocks of both kinds, and each
+    Members outside a group's largest component are compared with all others, those in it only with them. A group that is too large for one block is cut into blocks of both kinds, and each
     block of the first kind meets every other block in a task of its own.
     """
-    member = groups.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-    member = stage(member, "sets-members")
+    member = stage(members_by_component(groups, found), "sets-members")
     parts = member.groupBy("sig", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
     open_ = parts.groupBy("sig").agg(F.max(F.struct("count", "component", "n")).alias("top"), F.sum("count").alias("count"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    open_ = open_.filter("parts > 1 and count > 2").select(
+    open_ = open_.filter("parts > 1").select(
         "sig",
         F.col("top.component").alias("largest"),
         (blocks(F.col("count"), F.col("n")) == 1).alias("small"),
