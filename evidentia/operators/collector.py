@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import constants as K
-from evidentia.operators.ordering import latest_per_key, measured_slice, time_slice
+from evidentia.operators.ordering import latest_per_key, sliced, time_slice
 
 KEY = "detector_id"
 _BEFORE_ALL = -(2**62)
@@ -60,21 +60,22 @@ def probe_states(
 
     The rows are shuffled by (detector, slice), never by detector alone. What a slice passes on
     fits in one row, because only its first token-setting probe depends on the slices before. Without
-    ``slice_seconds`` the width is measured, so that a dense detector spreads over many tasks.
+    ``slice_seconds`` slices are of bounded depth, so that a dense detector, or one with a burst of probes at one
+    instant, spreads over many tasks.
     """
-    width = slice_seconds or measured_slice(probes, [KEY], "observed_at")
+    columns = probes.columns
+    probes = probes.withColumn("_slice", time_slice("observed_at", slice_seconds)) if slice_seconds else sliced(probes, [KEY], list(order), "observed_at")
     within = Window.partitionBy(KEY, "_slice").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carries = F.col("source_token").isNull() & F.col("probe_state").eqNullSafe(F.lit("RETRYABLE_ERROR"))
-    sliced = probes.withColumns(
+    cut = probes.withColumns(
         {
-            "_slice": time_slice("observed_at", width),
             "_set": F.when(~carries, F.struct(F.col("source_token").alias("token"))),
             "_failed": is_failure("probe_state"),
         }
     )
     earlier_rows = within.rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.withColumns(
+    local = cut.withColumns(
         {
             "_position": F.row_number().over(within),
             "_set_now": F.last("_set", ignorenulls=True).over(running),
@@ -146,7 +147,7 @@ def probe_states(
     )
     failures = F.when(F.col("_failed"), F.col("_run") + carried_run).otherwise(0).cast("long")
     result = joined.select(
-        *probes.columns,
+        *columns,
         "effective_token",
         "previous_token",
         "is_first",
@@ -260,15 +261,13 @@ def merge_lifecycle(heartbeats: DataFrame, imports: DataFrame) -> tuple[DataFram
     An unbound completion is ignored, and so is one repeating the generation right before it.
     The completions are cut into slices per account so that a busy one spreads.
     """
-    width = measured_slice(imports, ["source_kind", "external_account_id"], "completed_at")
+    imports = sliced(imports, ["source_kind", "external_account_id"], ["completed_at", "generation_id"], "completed_at")
     bound = heartbeats.select(
         KEY, "source_kind", "external_account_id", "observation_scope",
         F.col("last_generation_id").alias("_stored") if "last_generation_id" in heartbeats.columns
         else F.lit(None).cast("string").alias("_stored"),
     )
-    rows = imports.join(bound, ["source_kind", "external_account_id"]).withColumn(
-        "_slice", time_slice("completed_at", width)
-    )
+    rows = imports.join(bound, ["source_kind", "external_account_id"])
     order = F.struct("completed_at", "generation_id")
     ends = rows.groupBy(KEY, "_slice").agg(F.max_by("generation_id", order).alias("_end"))
     earlier = Window.partitionBy(KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from evidentia.functions import (
     literal_words,
     strict_variant,
 )
-from evidentia.operators.ordering import HOUR, ranked_in_slices, top_per_key
+from evidentia.operators.ordering import ranked_in_slices, top_per_key
 from evidentia.operators.validate import ArgumentError, bounded_limit, bounded_offset, one_of, text_argument
 
 MEDIA_TYPES = ("any", "image", "audio", "video", "file")
@@ -179,6 +179,22 @@ def list_conversations(
     )
 
 
+def _roster(tables: dict[str, DataFrame], conversation_ids: DataFrame | None) -> DataFrame:
+    """Members with their facts and ``_order``: owner, members, others, then by name and id."""
+    members = tables["participants"]
+    if conversation_ids is not None:
+        members = members.join(conversation_ids.select("conversation_id"), "conversation_id", "left_semi")
+    fact = lambda column, name: F.get_json_object(column, f"$.{name}")
+    people = tables["identities"]
+    own = fact("raw_json", "metadata") if "raw_json" in people.columns else F.lit(None).cast("string")
+    people = people.select("identity_id", "external_identity_id", "display_name", "is_self", own.alias("_own"))
+    joined = members.withColumns({"role": fact("relation_raw", "role"), "membership": fact("relation_raw", "membership")}).join(people, "identity_id")
+    role_order = F.when(F.col("role") == "owner", 0).when(F.col("role") == "member", 1).otherwise(2)
+    order = F.struct(role_order.alias("role"), F.lower("display_name").alias("name"), F.col("identity_id").alias("id"))
+    # what an identity says of itself comes before what its membership says
+    return joined.withColumns({"metadata": F.coalesce("_own", fact("relation_raw", "metadata")), "_order": order}).drop("_own")
+
+
 def conversation_roster(
     tables: dict[str, DataFrame],
     conversation_ids: DataFrame | None = None,
@@ -187,22 +203,65 @@ def conversation_roster(
 ) -> DataFrame:
     """A page of each conversation's roster: owner, members, others, then by name and id.
 
-    The rank filter cuts every map task to ``offset + limit`` rows per conversation before the
-    shuffle, so one very large roster does not gather in a task.
+    Each task's rows are cut to ``offset + limit`` per conversation before they meet (`top_per_key`, in two levels for
+    deep pages), so one very large roster does not gather in a task.
     """
     start, size = bounded_offset(offset), bounded_limit(limit, K.LIMIT_PARTICIPANTS)
-    members = tables["participants"]
+    ranked = top_per_key(_roster(tables, conversation_ids), ["conversation_id"], [F.col("_order")], start + size, "position")
+    return ranked.filter(F.col("position") > start).drop("_order")
+
+
+def whole_roster(tables: dict[str, DataFrame], conversation_ids: DataFrame | None = None, after: tuple | None = None) -> DataFrame:
+    """All members, with the three parts of their order, by which a reader may go on behind ``after``.
+
+    ``after`` is (order of the role, name in lower case, identity id). Nothing is ranked, so the size of a roster does
+    not matter.
+    """
+    rows = _roster(tables, conversation_ids).select("*", F.col("_order.role").alias("role_order"), F.col("_order.name").alias("name_order")).drop("_order")
+    if after is None:
+        return rows
+    role, name, last = after
+    later_name = (F.col("name_order") > name) | ((F.col("name_order") == name) & (F.col("identity_id") > last))
+    return rows.filter((F.col("role_order") > role) | ((F.col("role_order") == role) & later_name))
+
+
+ROSTER_ITEM = ("identity_id", "external_identity_id", "display_name", "is_self", "role", "membership", "metadata")
+
+
+def conversation_details(
+    tables: dict[str, DataFrame], conversation_ids: DataFrame | None = None, offset: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """One row per conversation: header with source, counts, exported facts, and a page of its roster nested in order.
+
+    Counts are taken of the wanted conversations only, each by one aggregate that is folded on the map side. The nested
+    page has at most ``limit`` members; ``has_more`` tells whether others follow. Unknown ids have no row.
+    """
+    start, size = bounded_offset(offset), bounded_limit(limit, K.LIMIT_PARTICIPANTS)
+    chosen = tables["conversations"]
     if conversation_ids is not None:
-        members = members.join(conversation_ids.select("conversation_id"), "conversation_id", "left_semi")
-    role = F.get_json_object("relation_raw", "$.role")
-    joined = members.withColumn("role", role).join(
-        tables["identities"].select("identity_id", "external_identity_id", "display_name", "is_self"), "identity_id"
+        chosen = chosen.join(conversation_ids.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    keys = None if conversation_ids is None else conversation_ids
+    sources = tables["sources"].select(
+        "source_id", F.col("kind").alias("source_kind"), "external_account_id", F.col("display_name").alias("source_display_name")
     )
-    role_order = F.when(F.col("role") == "owner", 0).when(F.col("role") == "member", 1).otherwise(2)
-    ranked = top_per_key(
-        joined, ["conversation_id"], [role_order, F.lower("display_name"), F.col("identity_id")], start + size, "position"
+    raw = F.try_parse_json("raw_json")
+    text = lambda path: F.to_json(F.try_variant_get(raw, path, "variant"))
+    rows = chosen.join(sources, "source_id").select(
+        "conversation_id", "external_conversation_id", "title", "conversation_type", "last_activity", "source_id", "source_kind",
+        "external_account_id", "source_display_name", F.coalesce(text("$.metadata"), F.lit("{}")).alias("metadata"),
+        text("$.group").alias("group"), F.try_variant_get(raw, "$.participant_scope", "string").alias("participant_scope"),
+        F.coalesce(F.try_variant_get(raw, "$.participants_complete", "boolean"), F.lit(False)).alias("participants_complete"),
     )
-    return ranked.filter(F.col("position") > start)
+    for name, alias in (("messages", "message_count"), ("participants", "participant_count")):
+        side = tables[name].select("conversation_id")
+        side = side if keys is None else side.join(keys.select("conversation_id"), "conversation_id", "left_semi")
+        counts = side.groupBy("conversation_id").agg(F.count("*").alias(alias))
+        rows = rows.join(counts, "conversation_id", "left").withColumn(alias, F.coalesce(alias, F.lit(0)))
+    page = conversation_roster(tables, keys, start, size)
+    nested = page.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("position", *ROSTER_ITEM))).alias("participants"))
+    found = rows.join(nested, "conversation_id", "left")
+    items = F.coalesce("participants", F.array().cast(nested.schema["participants"].dataType))
+    return found.withColumns({"participants": items, "has_more": F.lit(start) + F.size(items) < F.col("participant_count")})
 
 
 # --- messages ---------------------------------------------------------------------------
@@ -296,7 +355,7 @@ def hydrate_messages(messages: DataFrame, parts: DataFrame, attachments: DataFra
 
 
 def read_context(
-    messages: DataFrame, targets: DataFrame, before: int | None = None, after: int | None = None, slice_seconds: int = HOUR
+    messages: DataFrame, targets: DataFrame, before: int | None = None, after: int | None = None, slice_seconds: float | None = None
 ) -> DataFrame:
     """Neighbours of many targets at once, by (time, id) inside each conversation.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.constants import LOW_32_BITS
 from evidentia.functions import blank_to_null, md5_table_name
-from evidentia.operators.ordering import latest_per_key
+from evidentia.operators.ordering import latest_per_key, top_per_key
 
 
 def first_non_blank(*columns) -> Column:
@@ -300,9 +300,8 @@ def newest_conversations(sessions: DataFrame, activity: str, limit: int, tie: st
 
 
 def newest_messages(messages: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
-    """Newest messages per conversation over all shards, cut per task before the shuffle."""
-    window = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return messages.withColumn("newest_rank", F.row_number().over(window)).filter(F.col("newest_rank") <= limit)
+    """Newest messages per conversation over all shards, cut before they meet, however many are wanted."""
+    return top_per_key(messages, [key], [F.col(c).desc() for c in order], limit, "newest_rank")
 
 
 def adapter_summary(messages: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import query as Q
 from evidentia.operators import resolve, rules
 from evidentia.plans.registry import query
-from evidentia.plans.views import AS_OF, EPOCH, TEST_RULE, Views
+from evidentia.plans.views import AS_OF, EPOCH, TEST_RULE, Views, text
 
 def as_of():
     return F.timestamp_seconds(F.lit(AS_OF))
@@ -241,8 +241,20 @@ SELECT chat, position, username FROM (
   SELECT rm.chat, ct.username, row_number() OVER (PARTITION BY rm.chat ORDER BY CASE WHEN ct.username = rm.owner THEN 0 ELSE 1 END, lower(ct.username), ct.username) AS position
   FROM mb JOIN rm USING (room_id) JOIN ct USING (member_id)) WHERE position BETWEEN 6 AND 25""")
 def _(v: Views):
+    page = Q.conversation_roster(_large_roster(v), None, 5, 20)
+    return page.select(
+        F.col("conversation_id").alias("chat"), F.col("position").cast("long").alias("position"), F.col("identity_id").alias("username")
+    )
+
+
+_MEMBERS = """
+SELECT rm.chat, ct.username, row_number() OVER (PARTITION BY rm.chat ORDER BY CASE WHEN ct.username = rm.owner THEN 0 ELSE 1 END, lower(ct.username), ct.username) AS position
+FROM mb JOIN rm USING (room_id) JOIN ct USING (member_id)"""
+
+
+def _large_roster(v: Views):
     members = resolve.group_members(v.rooms, v.members, v.contacts.select("member_id", "username"), v.contacts)
-    tables = {
+    return {
         "participants": members.select(
             F.col("chat").alias("conversation_id"), F.col("identity").alias("identity_id"),
             F.concat(F.lit('{"role":"'), F.col("role"), F.lit('"}')).alias("relation_raw"),
@@ -252,9 +264,74 @@ def _(v: Views):
             F.col("username").alias("display_name"), F.lit(False).alias("is_self"),
         ),
     }
-    page = Q.conversation_roster(tables, None, 5, 20)
-    return page.select(
-        F.col("conversation_id").alias("chat"), F.col("position").cast("long").alias("position"), F.col("identity_id").alias("username")
+
+
+@query("conversation_roster_deep", "R5 L4 deep pages in two levels", """
+SELECT position, username, member_role FROM (
+  SELECT c_name AS username, CASE c_custkey % 50 WHEN 0 THEN 'owner' WHEN 1 THEN 'guest' ELSE 'member' END AS member_role,
+    row_number() OVER (ORDER BY CASE c_custkey % 50 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, lower(c_name), c_name) AS position FROM customer)
+WHERE position BETWEEN 601 AND 1100""")
+def _(v: Views):
+    # one conversation of all customers
+    rest = F.col("c_custkey") % 50
+    role = F.when(rest == 0, "owner").when(rest == 1, "guest").otherwise("member")
+    name = F.col("c_name")
+    tables = {
+        "participants": v.table("customer").select(F.lit("all").alias("conversation_id"), name.alias("identity_id"), text('{"role":"', role, '"}').alias("relation_raw")),
+        "identities": v.table("customer").select(name.alias("identity_id"), name.alias("external_identity_id"), name.alias("display_name"), F.lit(False).alias("is_self")),
+    }
+    page = Q.conversation_roster(tables, None, 600, 500)
+    return page.select(F.col("position").cast("long").alias("position"), F.col("identity_id").alias("username"), F.col("role").alias("member_role"))
+
+
+@query("conversation_roster_whole", "R5 R7 whole rosters behind a key", f"""
+SELECT chat, username FROM ({_MEMBERS}) JOIN rm USING (chat) WHERE username <> owner AND lower(username) > 'customer#000000700'""")
+def _(v: Views):
+    rows = Q.whole_roster(_large_roster(v), after=(1, "customer#000000700", "~"))
+    return rows.select(F.col("conversation_id").alias("chat"), F.col("identity_id").alias("username"))
+
+
+@query("conversation_details", "R5 header, counts, facts and members", """,
+people AS (
+  SELECT conversation_id, identity_id, sender_external_id, sender_display_name, role,
+    row_number() OVER (PARTITION BY conversation_id ORDER BY CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END,
+      lower(sender_display_name), identity_id) AS position
+  FROM (SELECT DISTINCT conversation_id, identity_id, sender_external_id, sender_display_name, role FROM m))
+SELECT c.conversation_id, title, last_epoch, c.kind AS source_kind, 'Source ' || c.kind AS source_display_name,
+  '{"is_hidden":' || (conv_id % 5 = 0) || ',"unread_count":' || (conv_id % 7) || '}' AS metadata,
+  CASE WHEN conv_id % 3 = 0 THEN '{"member_count":' || (conv_id % 11) || '}' END AS "group",
+  CASE WHEN conv_id % 2 = 0 THEN 'members' END AS participant_scope, conv_id % 2 = 1 AS participants_complete,
+  (SELECT count(*) FROM m WHERE m.conversation_id = c.conversation_id) AS message_count,
+  (SELECT count(*) FROM people p WHERE p.conversation_id = c.conversation_id) AS participant_count,
+  (SELECT string_agg(concat_ws('|', position, identity_id, sender_external_id, sender_display_name, role = 'assistant',
+      CASE role WHEN 'user' THEN 'owner' WHEN 'assistant' THEN 'member' ELSE 'observed' END, 'active', '{"level":' || position_of || '}'), ',' ORDER BY position)
+    FROM (SELECT *, length(role) AS position_of FROM people) p WHERE p.conversation_id = c.conversation_id AND position <= 2) AS participants,
+  (SELECT count(*) FROM people p WHERE p.conversation_id = c.conversation_id) > 2 AS has_more
+FROM c""")
+def _(v: Views):
+    n = F.split("external_conversation_id", "-")[1].cast("long")
+    tables = dict(v.tables)
+    tables["conversations"] = tables["conversations"].withColumn(
+        "raw_json",
+        F.to_json(
+            F.struct(
+                F.struct((n % 7).alias("unread_count"), (n % 5 == 0).alias("is_hidden")).alias("metadata"),
+                F.when(n % 3 == 0, F.struct((n % 11).alias("member_count"))).alias("group"),
+                F.when(n % 2 == 0, "members").alias("participant_scope"), (n % 2 == 1).alias("participants_complete"),
+            )
+        ),
+    )
+    role = F.get_json_object("relation_raw", "$.role")
+    level = F.when(role == "owner", 4).when(role == "member", 9).otherwise(F.lit(6))
+    tables["participants"] = tables["participants"].withColumn(
+        "relation_raw", F.to_json(F.struct(role.alias("role"), F.lit("active").alias("membership"), F.struct(level.alias("level")).alias("metadata")))
+    )
+    found = Q.conversation_details(tables, None, 0, 2)
+    item = lambda x: F.concat_ws("|", *[x[c].cast("string") for c in ("position", *Q.ROSTER_ITEM)])
+    return found.select(
+        "conversation_id", "title", epoch("last_activity").alias("last_epoch"), "source_kind", "source_display_name", "metadata", "group",
+        "participant_scope", "participants_complete", "message_count", "participant_count",
+        F.array_join(F.transform("participants", item), ",").alias("participants"), "has_more",
     )
 
 
@@ -421,3 +498,14 @@ WHERE newest_rank <= 5""")
 def _(v: Views):
     found = resolve.newest_messages(v.shards, "chat", ["create_time", "local_id", "l_orderkey", "l_suppkey"], 5)
     return found.select("chat", "create_time", "local_id", "l_orderkey", F.col("newest_rank").cast("long").alias("newest_rank"))
+
+
+@query("newest_thousand_per_conversation", "L2 deep ranks in two levels", """
+SELECT chat, create_time, local_id, l_orderkey, newest_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey % 5 ORDER BY create_time DESC, local_id DESC, l_orderkey DESC, l_suppkey DESC) AS newest_rank, FROM sh)
+WHERE newest_rank <= 1000""")
+def _(v: Views):
+    # five busy conversations, each with a fifth of all messages
+    rows = v.shards.withColumn("busy", F.col("l_suppkey") % 5)
+    found = resolve.newest_messages(rows, "busy", ["create_time", "local_id", "l_orderkey", "l_suppkey"], 1000)
+    return found.select("chat", "create_time", "local_id", "l_orderkey", F.col("newest_rank").cast("long").alias("newest_rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import collector as C
 from evidentia.operators import query as Q
 from evidentia.operators import snapshots as S
-from evidentia.operators.ordering import measured_slice, ranked_in_slices
+from evidentia.operators.ordering import ranked_in_slices, sliced, top_per_key
 
 START = datetime(2026, 8, 1, tzinfo=timezone.utc)
 SCHEMA = (
@@ -191,13 +191,58 @@ def test_sliced_ranks_equal_plain_ranks(spark):
     assert got == expected
 
 
-def test_slice_width_follows_density(spark):
-    dense = spark.range(1000).select(F.lit("d").alias("key"), F.timestamp_seconds(F.col("id")).alias("at"))
-    assert 90 < measured_slice(dense, ["key"], "at", rows=100) < 110
-    assert measured_slice(dense, ["key"], "at") == 86400
-    assert measured_slice(dense.limit(0), ["key"], "at") == 86400
-    burst = dense.withColumn("at", F.timestamp_seconds(F.lit(5)))
-    assert measured_slice(burst, ["key"], "at", rows=100) == 0.1
+def depths(df, keys=("key",)):
+    return sorted(r["count"] for r in df.groupBy(*keys, "_slice").count().collect())
+
+
+def test_slices_follow_the_fullest_hour(spark):
+    dense = spark.range(7200).select(F.lit("d").alias("key"), "id", F.timestamp_seconds(F.col("id")).alias("at"))
+    assert depths(sliced(dense, ["key"], ["at", "id"], "at", rows=3600)) == [3600, 3600]
+    assert depths(sliced(dense, ["key"], ["at", "id"], "at", rows=8000)) == [7200]
+    assert depths(sliced(dense, ["key"], ["at", "id"], "at")) == [7200]
+    assert sliced(dense.limit(0), ["key"], ["at", "id"], "at").count() == 0
+
+
+def test_a_burst_is_cut_between_equal_instants(spark):
+    """One instant holds nearly all rows of a key: no slice has twice the median, and ranks are as ever."""
+    draw = random.Random(5)
+    rows = [("burst", i, START) for i in range(6000)] + [("calm", i, START + timedelta(hours=i)) for i in range(300)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, id long, at timestamp").repartition(8)
+    cut = sliced(df, ["key"], ["at", "id"], "at", rows=500)
+    counts = depths(cut.filter("key = 'burst'"))
+    assert len(counts) > 8 and counts[-1] < 2 * counts[len(counts) // 2]
+    ends = cut.groupBy("key", "_slice").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("key = 'burst'").orderBy("_slice").collect()
+    assert all(a.high < b.low for a, b in zip(ends, ends[1:]))
+    ranks = ranked_in_slices(df, ["key"], ["at", "id"], "at", rows=500).collect()
+    assert {(r.key, r.id, r.row_rank) for r in ranks} == {(k, i, i + 1) for k, i, _ in rows}
+
+
+def test_state_machine_over_a_burst(spark, monkeypatch):
+    from evidentia.operators import ordering
+
+    rows = random_probes(9, 200)
+    rows = [(*r[:4], START, *r[5:]) if r[1] == "hot" else r for r in rows]
+    cut = ordering.sliced
+    monkeypatch.setattr(C, "sliced", lambda *a: cut(*a, rows=20))
+    assert outcome(C.probe_states(spark.createDataFrame(rows, SCHEMA))) == replay(rows)
+
+
+def test_deep_ranks_are_cut_in_two_levels(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice("aaaaab"), draw.randrange(50), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, score long, id long")
+    order = [F.col("score").desc(), F.col("id")]
+    for size in (10, 1000, 1600):
+        got = {(r.key, r.id): r.row_rank for r in top_per_key(df, ["key"], order, size).collect()}
+        want = {}
+        for key in "ab":
+            line = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))[:size]
+            want |= {(key, r[2]): n for n, r in enumerate(line, 1)}
+        assert got == want
+    # no task of the last rank is sent more than the parts' survivors
+    plan = top_per_key(df, ["key"], order, 1600)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number") >= 2 and "_salt" in plan
 
 
 def test_context_matches_brute_force(spark):
