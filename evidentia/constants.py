@@ -33,7 +33,6 @@ DIGEST_HEADER = (
 ATTACHMENT_BYTES = (2097152, 26214400)
 
 # --- fixed values: rule scan -----------------------------------------------------
-SCAN_CAP = 50000
 TITLE_CHARS = 160
 NO_TEXT_TITLE = "[无可提取文本]"
 SIGNUP_DEADLINE_RULE = {
@@ -65,7 +64,6 @@ OBSERVATION_SCOPES = (
 BACKOFF_CAP_SECONDS = 900.0
 BACKOFF_MAX_DOUBLINGS = 10
 READY_CAPABILITY = "PARTIAL_EXPORT"
-INVENTORY_FILES = (20000, 100000)
 
 # --- fixed values: sharded exports ---------------------------------------------------
 MS_THRESHOLD = 100_000_000_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.constants import INVENTORY_FILES, LOW_32_BITS, READY_CAPABILITY
+from evidentia.constants import LOW_32_BITS, READY_CAPABILITY
 from evidentia.functions import digest_of, is_sqlite, masked_id, unsafe_inventory_path
 from evidentia.operators.ordering import latest_per_key
 

@@ -57,151 +57,149 @@ def ordered_window(since, until):
 # --- documents --------------------------------------------------------------------------
 
 
-def _field(variant: str, name: str) -> Column:
+def _field(variant: str | Column, name: str) -> Column:
     return F.try_variant_get(variant, f"$.{name}", "variant")
 
 
-def _kind(variant: str, name: str) -> Column:
+def _kind(variant: str | Column, name: str) -> Column:
     return F.coalesce(json_type(_field(variant, name)), F.lit("ABSENT"))
 
 
-def _string(variant: str, name: str) -> Column:
+def _string(variant: str | Column, name: str) -> Column:
     return F.when(_kind(variant, name) == "STRING", F.try_variant_get(variant, f"$.{name}", "string"))
 
 
-def _not_text(variant: str, name: str) -> Column:
+def _array(variant: str | Column, name: str) -> Column:
+    """The elements of a list, none where it is absent or something else."""
+    return F.coalesce(F.try_variant_get(variant, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _not_text(variant: str | Column, name: str) -> Column:
     value = _string(variant, name)
     return value.isNull() | (F.trim(value) == "")
 
 
-def _bad_optional(variant: str, name: str, kind: str) -> Column:
+def _bad_optional(variant: str | Column, name: str, kind: str) -> Column:
     return ~_kind(variant, name).isin(kind, "VOID", "ABSENT")
 
 
-def _bad_enum(variant: str, name: str, allowed) -> Column:
+def _bad_enum(variant: str | Column, name: str, allowed) -> Column:
     kind = _kind(variant, name)
     return (kind != "ABSENT") & ~F.coalesce(_string(variant, name).isin(*allowed), F.lit(False))
 
 
-def _bad_instant(variant: str, name: str) -> Column:
+def _bad_instant(variant: str | Column, name: str) -> Column:
     return (_kind(variant, name) == "STRING") & parse_instant(_string(variant, name)).isNull()
 
 
-def _report(rows: DataFrame, where: Column, checks: dict[str, Column]) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in checks.items()]))
-    return rows.select("manifest_sha256", where.alias("location"), F.explode(found).alias("problem"))
+def _found(where: Column, checks: dict[str, Column]) -> Column:
+    """The broken rules of one element, as (location, problem)."""
+    codes = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in checks.items()]))
+    return F.transform(codes, lambda code: F.struct(where.alias("location"), code.alias("problem")))
 
 
-def manifest_problems(documents: DataFrame) -> DataFrame:
-    """One row per broken rule: ``manifest_sha256, location, problem``."""
-    root = documents.select("manifest_sha256", "doc.*", strict_object("body").alias("is_object"))
-    version = F.when(json_type("schema_version") == "STRING", F.try_variant_get("schema_version", "$", "string"))
-    reports = [
-        _report(
-            root,
-            F.lit("document"),
-            {
-                "document_not_object": ~F.col("is_object"),
-                "schema_version_unsupported": ~F.coalesce(version.rlike(SCHEMA_VERSION_PATTERN), F.lit(False)),
-                "conversations_not_array": F.col("conversations").isNull(),
-                "exported_at_not_instant": F.col("exported_at").isNotNull()
-                & (json_type("exported_at") != "VOID")
-                & parse_instant(F.try_variant_get("exported_at", "$", "string")).isNull(),
-                "source_kind_missing": _not_text("source", "kind"),
-                "source_account_missing": _not_text("source", "account_id"),
-                "source_name_missing": _not_text("source", "display_name"),
-            },
-        )
-    ]
-    conversations = documents.select(
-        "manifest_sha256", F.posexplode("doc.conversations").alias("c", "conversation")
-    )
-    at_conversation = F.concat(F.lit("conversations["), F.col("c"), F.lit("]"))
-    reports.append(
-        _report(
-            conversations,
-            at_conversation,
-            {
-                "conversation_id_missing": _not_text("conversation", "source_conversation_id"),
-                "title_missing": _not_text("conversation", "title"),
-                "type_unsupported": _bad_enum("conversation", "type", CONVERSATION_TYPES),
-                "last_activity_not_instant": _bad_optional("conversation", "last_activity", "STRING")
-                | _bad_instant("conversation", "last_activity"),
-                "participants_not_array": ~_kind("conversation", "participants").isin("ARRAY", "ABSENT"),
-                "participants_complete_not_boolean": ~_kind("conversation", "participants_complete").isin(
-                    "BOOLEAN", "ABSENT"
-                ),
-                "messages_not_array": _kind("conversation", "messages") != "ARRAY",
-            },
-        )
-    )
-    participants = conversations.select(
-        "manifest_sha256", "c",
-        F.posexplode(F.try_variant_get("conversation", "$.participants", "array<variant>")).alias("i", "participant"),
-    )
-    reports.append(
-        _report(
-            participants,
-            F.concat(at_conversation, F.lit(".participants["), F.col("i"), F.lit("]")),
-            {
-                "identity_id_missing": _not_text("participant", "source_identity_id"),
-                "display_name_missing": _not_text("participant", "display_name"),
-            },
-        )
-    )
-    messages = conversations.select(
-        "manifest_sha256", "c",
-        F.posexplode(F.try_variant_get("conversation", "$.messages", "array<variant>")).alias("i", "message"),
-    )
-    at_message = F.concat(at_conversation, F.lit(".messages["), F.col("i"), F.lit("]"))
-    reports.append(
-        _report(
-            messages,
-            at_message,
-            {
-                "message_id_missing": _not_text("message", "source_message_id"),
-                "timestamp_not_instant": _not_text("message", "timestamp") | _bad_instant("message", "timestamp"),
-                "sender_name_not_string": ~_kind("message", "sender_name").isin("STRING", "ABSENT"),
-                "direction_unsupported": _bad_enum("message", "direction", DIRECTIONS),
-                "parts_not_array": (_kind("message", "parts") != "ARRAY")
-                | (F.size(F.try_variant_get("message", "$.parts", "array<variant>")) == 0),
-            },
-        )
-    )
-    parts = messages.select(
-        "manifest_sha256", "c", "i",
-        F.posexplode(F.try_variant_get("message", "$.parts", "array<variant>")).alias("p", "part"),
-    )
-    kind = _string("part", "type")
+def _each(items: Column, where: Column, name: str, look) -> Column:
+    """What ``look`` finds in each element, one list for all; the element's place is part of its location."""
+    place = lambda i: F.concat(where, F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+    return F.flatten(F.transform(items, lambda x, i: look(x, place(i))))
+
+
+def _part_problems(part: Column, where: Column) -> Column:
+    kind, path = _string(part, "type"), _string(part, "path")
     is_text = F.coalesce(kind.isin(*TEXT_PART_TYPES), F.lit(False))
     known = F.coalesce(kind.isin(*PART_TYPES), F.lit(False))
-    path = _string("part", "path")
-    no_text = (_kind("part", "text") != "STRING") & (
-        (_kind("part", "text") != "ABSENT") | (_kind("part", "url") != "STRING")
+    no_text = (_kind(part, "text") != "STRING") & ((_kind(part, "text") != "ABSENT") | (_kind(part, "url") != "STRING"))
+    return _found(
+        where,
+        {
+            "part_type_unsupported": ~known,
+            "text_missing": is_text & no_text,
+            "path_not_string": known & ~is_text & _bad_optional(part, "path", "STRING"),
+            "path_unsafe": known & ~is_text & F.coalesce(escapes_root(path), F.lit(False)),
+            "mime_type_not_string": known & ~is_text & _bad_optional(part, "mime_type", "STRING"),
+            "transcription_not_string": known & ~is_text & _bad_optional(part, "transcription", "STRING"),
+        },
     )
-    reports.append(
-        _report(
-            parts,
-            F.concat(at_message, F.lit(".parts["), F.col("p"), F.lit("]")),
-            {
-                "part_type_unsupported": ~known,
-                "text_missing": is_text & no_text,
-                "path_not_string": known & ~is_text & _bad_optional("part", "path", "STRING"),
-                "path_unsafe": known & ~is_text & F.coalesce(escapes_root(path), F.lit(False)),
-                "mime_type_not_string": known & ~is_text & _bad_optional("part", "mime_type", "STRING"),
-                "transcription_not_string": known & ~is_text & _bad_optional("part", "transcription", "STRING"),
-            },
-        )
+
+
+def _message_problems(message: Column, where: Column) -> Column:
+    own = _found(
+        where,
+        {
+            "message_id_missing": _not_text(message, "source_message_id"),
+            "timestamp_not_instant": _not_text(message, "timestamp") | _bad_instant(message, "timestamp"),
+            "sender_name_not_string": ~_kind(message, "sender_name").isin("STRING", "ABSENT"),
+            "direction_unsupported": _bad_enum(message, "direction", DIRECTIONS),
+            "parts_not_array": (_kind(message, "parts") != "ARRAY") | (F.size(_array(message, "parts")) == 0),
+        },
     )
-    result = reports[0]
-    for report in reports[1:]:
-        result = result.unionByName(report)
-    return result
+    return F.concat(own, _each(_array(message, "parts"), where, ".parts", _part_problems))
+
+
+def _participant_problems(participant: Column, where: Column) -> Column:
+    checks = {"identity_id_missing": _not_text(participant, "source_identity_id"), "display_name_missing": _not_text(participant, "display_name")}
+    return _found(where, checks)
+
+
+def _conversation_problems(conversation: Column, where: Column) -> Column:
+    own = _found(
+        where,
+        {
+            "conversation_id_missing": _not_text(conversation, "source_conversation_id"),
+            "title_missing": _not_text(conversation, "title"),
+            "type_unsupported": _bad_enum(conversation, "type", CONVERSATION_TYPES),
+            "last_activity_not_instant": _bad_optional(conversation, "last_activity", "STRING") | _bad_instant(conversation, "last_activity"),
+            "participants_not_array": ~_kind(conversation, "participants").isin("ARRAY", "ABSENT"),
+            "participants_complete_not_boolean": ~_kind(conversation, "participants_complete").isin("BOOLEAN", "ABSENT"),
+            "messages_not_array": _kind(conversation, "messages") != "ARRAY",
+        },
+    )
+    members = _each(_array(conversation, "participants"), where, ".participants", _participant_problems)
+    return F.concat(own, members, _each(_array(conversation, "messages"), where, ".messages", _message_problems))
+
+
+def problems_of_document(version: str | None = None) -> Column:
+    """All broken rules of a parsed document (``doc``, ``body``), by one walk through its levels within its row.
+
+    ``version`` is the one schema version that is taken; without it any name of the contract's form is.
+    """
+    stated = F.when(json_type("doc.schema_version") == "STRING", F.try_variant_get("doc.schema_version", "$", "string"))
+    known = stated.rlike(SCHEMA_VERSION_PATTERN) if version is None else stated == version
+    exported = F.col("doc.exported_at")
+    own = _found(
+        F.lit("document"),
+        {
+            "document_not_object": ~strict_object("body"),
+            "schema_version_unsupported": ~F.coalesce(known, F.lit(False)),
+            "conversations_not_array": F.col("doc.conversations").isNull(),
+            "exported_at_not_instant": exported.isNotNull()
+            & (json_type(exported) != "VOID")
+            & parse_instant(F.try_variant_get(exported, "$", "string")).isNull(),
+            "source_kind_missing": _not_text("doc.source", "kind"),
+            "source_account_missing": _not_text("doc.source", "account_id"),
+            "source_name_missing": _not_text("doc.source", "display_name"),
+        },
+    )
+    conversations = F.coalesce("doc.conversations", F.array().cast("array<variant>"))
+    return F.concat(own, _each(conversations, F.lit(""), "conversations", _conversation_problems))
+
+
+def checked_documents(documents: DataFrame, version: str | None = None) -> DataFrame:
+    """``documents`` with ``problems`` in place of ``body``: parsed once for the checks and for all that follows."""
+    return documents.withColumn("problems", problems_of_document(version)).drop("body")
+
+
+def manifest_problems(documents: DataFrame, version: str | None = None) -> DataFrame:
+    """One row per broken rule: ``manifest_sha256, location, problem``."""
+    found = F.col("problems") if "problems" in documents.columns else problems_of_document(version)
+    return documents.select("manifest_sha256", F.explode(found).alias("_p")).select("manifest_sha256", "_p.location", "_p.problem")
 
 
-def split_valid(documents: DataFrame, problems: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def split_valid(documents: DataFrame, problems: DataFrame | None = None, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents without any problem, and the problems; one bad row rejects its document."""
-    problems = manifest_problems(documents) if problems is None else problems
+    if problems is None and "problems" in documents.columns:
+        return documents.filter(F.size("problems") == 0).drop("problems"), manifest_problems(documents)
+    problems = manifest_problems(documents, version) if problems is None else problems
     return documents.join(problems.select("manifest_sha256").distinct(), "manifest_sha256", "left_anti"), problems
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import stable_id
 from evidentia.operators import merge as M
 from evidentia.operators.attachments import resolve_attachments
-from evidentia.operators.validate import manifest_problems, split_valid
+from evidentia.operators.validate import checked_documents, split_valid
 from evidentia.schemas import conform, empty_table
 from evidentia.session import stage
 from evidentia.sources.manifests import (
@@ -55,12 +55,12 @@ def import_into(spark: SparkSession, root: str, documents: DataFrame, files: Dat
 
 
 def import_documents(
-    documents: DataFrame, files: DataFrame, as_of: Column, store: Mapping[str, DataFrame] | None = None
+    documents: DataFrame, files: DataFrame, as_of: Column, store: Mapping[str, DataFrame] | None = None, version: str | None = None
 ) -> ImportResult:
-    """One batch of parsed documents against the store.
+    """One batch of parsed documents against the store; ``version`` names the only schema version to take.
 
-    Documents that are broken or known are left out first. The flattened levels are written
-    once to the shared folder, so that no later step parses JSON again and a lost executor
+    Documents that are broken or known are left out first. Parsed documents and their flattened levels are written
+    once to the shared folder, so that the input is read once, no later step parses JSON again and a lost executor
     costs only its own tasks. Shuffles happen only on the merge keys (message, conversation,
     identity, digest).
     """
@@ -68,11 +68,9 @@ def import_documents(
     runs = _with(store, "import_runs")
     if runs is None:
         runs = empty_table(spark, "import_runs")
-    problems = stage(manifest_problems(documents), "problems")
-    valid, problems = split_valid(documents, problems)
+    # the one pass over the documents: their JSON is parsed and checked, everything below reads the variants
+    valid, problems = split_valid(stage(checked_documents(documents, version), "documents"))
     fresh, repeated = M.split_new_manifests(valid, runs)
-
-    # JSON is parsed once into conversation variants; everything below reads those
     sources_in = stage(source_rows(fresh), "sources")
     occurrences = stage(conversation_rows(fresh), "conversations")
     participants = stage(participant_rows(occurrences), "participants")

@@ -310,3 +310,34 @@ def test_large_bodies_are_hashed_in_chunks(spark, tmp_path):
     none = spark.createDataFrame([], "manifest_sha256 string, code string, message_id string, source_message_id string, part_index long, path string")
     codes = {(r.message_id, r.code) for r in import_warnings(none, spark.createDataFrame(found, columns)).collect()}
     assert codes == {("m1", "ATTACHMENT_NOT_HASHED"), ("m3", "ATTACHMENT_MISSING")}
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    """Checks and all levels come from one pass: a counter in the scan sees each document once."""
+    from evidentia.operators.validate import checked_documents, split_valid
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    folder = write(tmp_path / "a", manifest())
+    (tmp_path / "a" / "bad.json").write_text('{"schema_version": 1}')
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", "content")
+    documents = parse_documents(raw.mapInArrow(count, "path string, content binary"))
+    result = import_documents(documents, scan_files(spark, folder), as_of())
+    assert {name: df.count() for name, df in result.tables.items()}["messages"] == 4 and result.problems.count() > 3
+    assert result.warnings.count() == 1 and seen.value == 2
+    good, problems = split_valid(checked_documents(parse_documents(raw)))
+    assert good.count() == 1 and {r.problem for r in problems.collect()} >= {"conversations_not_array", "source_kind_missing"}
+
+
+def test_one_schema_version(spark, tmp_path):
+    folder = write(tmp_path / "a", manifest())
+    documents = read_manifests(spark, folder)
+    assert manifest_problems(documents).count() == 0 == manifest_problems(documents, VERSION).count()
+    assert [r.problem for r in manifest_problems(documents, "other-import/v1").collect()] == ["schema_version_unsupported"]
+    result = import_documents(documents, scan_files(spark, folder), as_of(), version="other-import/v1")
+    assert result.runs.count() == 0 and result.problems.count() == 1
