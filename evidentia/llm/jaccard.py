@@ -28,8 +28,8 @@ WIDE = 6
 #: Signatures of one bucket in all, and the least number of buckets.
 BUCKET = 4_000_000
 LEAST_BUCKETS = 64
-#: Counts of a sketch, and members of a group that are looked at pair by pair through their sketches.
-BINS = 128
+#: Bits of the smallest sketch, and members of a group that are looked at pair by pair through their sketches.
+BITS = 256
 SMALL = 512
 #: Pairs that one copy of a center's set is compared in, and rounds of centers before groups are compared in blocks.
 TOGETHER = 256
@@ -98,8 +98,20 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """How many shingles fall into each of BINS parts of the domain, 255 for more."""
-    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """For each part of the domain, whether an odd number of shingles falls into it; about as many parts as shingles.
+
+    Where two sets' bits differ, at least one shingle is in one of them only, so there are no fewer such shingles than
+    differing bits. A sketch takes about a fiftieth of its set.
+    """
+    bits = max(BITS, 1 << (len(h) * 3 // 4).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches of half as many parts."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
 
 def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -374,18 +386,26 @@ def gathered(signatures: DataFrame) -> DataFrame:
 def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(sig, node, n): members of groups without those that no other member of the group can be similar to.
 
-    Two sets differ by at least the sum of the differences of their sketches. Where that is more than similar sets of
-    their sizes may differ by, they are not similar, so no link is lost. Groups of over SMALL members stay as they are.
+    Two sets differ by at least as many shingles as their sketches differ by bits. Where that is more than similar sets
+    of their sizes may differ by, they are not similar, so no link is lost. Groups of over SMALL members stay as they are.
     """
 
     def near(members: list[tuple]) -> list[int]:
-        n = np.array([m[1] for m in members])
-        x = np.frombuffer(b"".join([m[2] for m in members]), dtype=np.uint8).reshape(len(members), BINS).astype(np.int16)
-        apart = np.stack([np.abs(x - y).sum(axis=1, dtype=np.int64) for y in x])
-        most = (100 - percent) * (n[:, None] + n[None, :])
-        good = (apart * (100 + percent) <= most) & (n[:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[:, None] * percent)
-        np.fill_diagonal(good, False)
-        return np.flatnonzero(good.any(axis=1)).tolist()
+        width = np.array([len(m[2]) for m in members])
+        keep = np.zeros(len(members), dtype=bool)
+        for w in np.unique(width).tolist():
+            # similar sets have sketches of one size, or of two that follow each other
+            own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            both = np.concatenate((own, twice))
+            bits = [np.frombuffer(b"".join([members[i][2] for i in x]), dtype=np.uint8).reshape(len(x), k * w) for k, x in ((1, own), (2, twice))]
+            x = np.concatenate((bits[0], folded(bits[1])))
+            n = np.array([members[i][1] for i in both])
+            apart = np.stack([np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) for y in x[: len(own)]])
+            good = (apart * (100 + percent) <= (100 - percent) * (n[: len(own), None] + n)) & (n[: len(own), None] * 100 >= n * percent) & (n * 100 >= n[: len(own), None] * percent)
+            np.fill_diagonal(good, False)
+            keep[own] |= good.any(axis=1)
+            keep[both] |= good.any(axis=0)
+        return np.flatnonzero(keep).tolist()
 
     def look(batches):
         now, members = None, []
@@ -462,13 +482,31 @@ def stars(groups: DataFrame, found: DataFrame, seen: DataFrame | None, percent:
     return both.groupBy("u").agg(F.max(F.struct("c", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
 
 
+def merged(member: DataFrame) -> DataFrame:
+    """The groups of more than one component; those of a class become one group where its sets then travel less.
+
+    A set is sent once for each of its groups, or once for each block of its class. Groups that overlap a lot, as those
+    of many changed copies of a text do, make a class of few blocks.
+    """
+    open_ = member.groupBy("sig").agg(F.min("node").alias("v"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = stage(member.join(open_.filter("low < high").select("sig", "v"), "sig"), "sets-open")
+    classes = components(rows.select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "class")
+    rows = stage(rows.drop("v").join(classes, "node"), "sets-open")
+    sets = rows.groupBy("class", "node").agg(F.max("n").alias("n"), F.max("component").alias("component"), F.count("*").alias("times"))
+    cost = sets.groupBy("class").agg((blocks(F.count("*"), F.sum("n")) * F.count("*") < F.sum("times")).alias("whole"))
+    cost = stage(cost, "sets-classes")
+    whole = sets.join(cost.filter("whole"), "class").select(F.xxhash64(F.lit("class"), "class").alias("sig"), "node", "n", "component")
+    return whole.unionByName(rows.join(cost.filter("not whole"), "class").select("sig", "node", "n", "component"))
+
+
 def dealt(groups: DataFrame, found: DataFrame) -> DataFrame:
     """(sig, a, b, node, component): members of groups that `stars` left apart, in the blocks where they are compared.
 
-    Members outside a group's largest component are compared with all others, those in it only with them. A group that is too large for one block is cut into blocks of both kinds, and each
+    Groups that overlap a lot are one (`merged`). Members outside a group's largest component are compared with all
+    others, those in it only with them. A group that is too large for one block is cut into blocks of both kinds, and each
     block of the first kind meets every other block in a task of its own.
     """
-    member = stage(members_by_component(groups, found), "sets-members")
+    member = stage(merged(stage(members_by_component(groups, found), "sets-members")), "sets-members")
     parts = member.groupBy("sig", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
     open_ = parts.groupBy("sig").agg(F.max(F.struct("count", "component", "n")).alias("top"), F.sum("count").alias("count"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     open_ = open_.filter("parts > 1").select(
