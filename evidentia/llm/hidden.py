@@ -32,8 +32,8 @@ class Settings:
     own: int = 20_000
     known: int = 150_000
     classes: int = 512
-    warm: int = 12
-    rounds: int = 8
+    warm: int = 2
+    rounds: int = 18
     settled: float = 5e-4
     seed: int = 17
 
