@@ -72,7 +72,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     mixed = ids.filter("__kept > 0")
     rest = docs.join(ids.select("__id"), same, "left_anti")
     # an id with rows that stay and rows that go: one row of each text that stays under this id
-    stays = groups.filter("kept").select(F.col(key).alias("__id"), "text_sha256").distinct()
+    stays = groups.filter("kept").select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sha256")).distinct()
     stays = stays.join(mixed.select("__id"), stays["__id"].eqNullSafe(mixed["__id"]), "left_semi")
-    some = docs.join(stays, same & (F.sha2(whole(text), 256) == F.col("text_sha256")), "left_semi")
+    some = docs.join(stays, same & (F.sha2(whole(text), 256) == F.col("__sha256")), "left_semi")
     return rest.unionByName(some.dropDuplicates([key, text]))

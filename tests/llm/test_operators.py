@@ -381,3 +381,13 @@ def test_base_spans_of_dense_texts_equal_the_patterns():
         assert personal.base_spans(body, personal.numeric_runs(body))[0] == sorted(want)
         signs = "".join(draw.choice(["a", "(at)", "[at]", " ", ".", "(dot)", "[.]", "b", "-"]) for _ in range(draw.randrange(30)))
         assert list(personal.hidden_emails(signs)) == [m.span() for m in personal.HIDDEN_EMAIL.finditer(signs)]
+
+
+def test_columns_with_reserved_looking_names_pass_unchanged(spark):
+    """Operators that return their input's columns do not mistake them for their own."""
+    names = ["text_sha256", "keep_id", "node", "component_id", "rank", "copies", "size", "u", "v", "kept", "group"]
+    rows = [(i, f"text {i // 2} of some words", "s", *range(len(names))) for i in range(6)] + [(5, "another text under one id", "s", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    for out in (exact.without_copies(docs), jaccard.without_near_copies(docs), mixing.mixed_documents(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(names)))}
