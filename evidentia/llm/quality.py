@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,25 +58,38 @@ def encoded(rows: DataFrame, text: str, label: str, seed: int, bits: int, orders
 
     def encode(batches):
         for batch in batches:
-            found = [subwords(x, bits, orders) for x in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], names=["label", "ids", "counts"])
+            found = [packed(*subwords(x, bits, orders), bits) for x in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(1), pa.array([i for i, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())], names=["label", "ids", "counts"])
 
-    found = rows.select(whole(text), F.col(label).cast("int")).mapInArrow(encode, "label int, ids binary, counts binary").collect()
-    found.sort(key=lambda r: (r["label"], bytes(r["ids"])))
+    rows = rows.select(whole(text), F.col(label).cast("int")).mapInArrow(encode, "label int, ids binary, counts binary")
+    # a partition at a time, so that the driver's JVM never holds the sample
+    found = [(r["label"], bytes(r["ids"]), bytes(r["counts"])) for r in stage(rows, "quality-sample").toLocalIterator()]
+    found.sort(key=lambda r: (r[0], hashlib.blake2b(r[1], digest_size=16).digest(), hashlib.blake2b(r[2], digest_size=16).digest()))
     found = [found[i] for i in np.random.default_rng(seed).permutation(len(found))]
-    ys = np.array([r["label"] for r in found], dtype=np.int64)
-    return ys, [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in found]
+    return np.array([r[0] for r in found], dtype=np.int64), [r[1:] for r in found]
 
 
-def descend(xs: list, ys: np.ndarray, size: int, width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def packed(ids: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """Steps between the sorted ids, and counts, in two bytes each where they fit, in four elsewhere."""
+    return np.diff(ids, prepend=0).astype("<u2" if bits <= 16 else "<u4").tobytes(), counts.astype("<u2" if not len(counts) or counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(ids: bytes, counts: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and counts of `packed`; ids of at most 16 bits always take two bytes."""
+    steps = np.frombuffer(ids, "<u2" if bits <= 16 else "<u4")
+    counts = np.frombuffer(counts, "<u2" if len(counts) == 2 * len(steps) else "<u4")
+    return np.cumsum(steps, dtype=np.int32), counts.astype(np.float32)
+
+
+def descend(xs: list[tuple[bytes, bytes]], ys: np.ndarray, bits: int, width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Stochastic gradient descent on vectors and layer, one document a step, the rate falling to 0."""
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1 / width, 1 / width, (size, width)).astype(np.float32)
+    vectors = draw.uniform(-1 / width, 1 / width, (1 << bits, width)).astype(np.float32)
     layer = np.zeros((width, 2), dtype=np.float32)
     steps, done = max(epochs * len(xs), 1), 0
     for _ in range(epochs):
         for i in draw.permutation(len(xs)):
-            ids, counts = xs[i]
+            ids, counts = unpacked(*xs[i], bits)
             shares = counts / counts.sum()
             hidden = shares @ vectors[ids]
             g = softmax(hidden @ layer)
@@ -106,7 +120,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         near = docs.select(key, F.col(text)).join(F.broadcast(stage(sample, "labelled")), key)
         sample = near.groupBy(key).agg(F.min(text).alias(text), F.first(label).alias(label))
     ys, xs = (np.empty(0, dtype=np.int64), []) if sample is None else encoded(sample, text, label, seed, bits, orders)
-    vectors, layer = descend(xs, ys, 1 << bits, width, epochs, rate, seed)
+    vectors, layer = descend(xs, ys, bits, width, epochs, rate, seed)
     drawn = np.bincount(ys, minlength=2) + 0.5
     there = np.array([sizes.get(0, 0), sizes.get(1, 0)]) + 0.5
     return Model(vectors, layer, (np.log(there / there.sum()) - np.log(drawn / drawn.sum())).astype(np.float32), bits, orders)
