@@ -88,32 +88,9 @@ SQLITE_HEADER_HEX = "53514C69746520666F726D6174203300"
 MP4_BRAND_HEX = "66747970"
 
 # --- fixed values: media types by extension --------------------------------------------
-MIME_BY_EXTENSION = {
-    "bmp": "image/bmp",
-    "csv": "text/csv",
-    "doc": "application/msword",
+MIME_BESIDES = {
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    "gif": "image/gif",
-    "gz": "application/gzip",
-    "htm": "text/html",
-    "html": "text/html",
-    "jpeg": "image/jpeg",
-    "jpg": "image/jpeg",
-    "json": "application/json",
     "m4a": "audio/mp4a-latm",
-    "mov": "video/quicktime",
-    "mp3": "audio/mpeg",
-    "mp4": "video/mp4",
-    "pdf": "application/pdf",
-    "png": "image/png",
-    "ppt": "application/vnd.ms-powerpoint",
     "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "tif": "image/tiff",
-    "tiff": "image/tiff",
-    "txt": "text/plain",
-    "wav": "audio/x-wav",
-    "webp": "image/webp",
-    "xls": "application/vnd.ms-excel",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "zip": "application/zip",
 }

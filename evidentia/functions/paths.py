@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidentia.constants import MIME_BY_EXTENSION
+from evidentia.constants import MIME_BESIDES
 from evidentia.functions.ids import _col
 
 
@@ -46,9 +48,19 @@ def safe_file_name(name, fallback="") -> Column:
 
 
 def mime_type(name) -> Column:
-    """Media type by extension, null when unknown."""
-    table = F.create_map(*[F.lit(x) for pair in MIME_BY_EXTENSION.items() for x in pair])
-    extension = F.lower(F.regexp_extract(_col(name), r"[^/.]\.([A-Za-z0-9]+)$", 1))
+    """Media type by extension, null when unknown: the standard library's own table, whatever the machine's files say.
+
+    Endings of compression are not looked at (``a.tar.gz`` is a tar, ``a.gz`` unknown), and short ones stand for two.
+    """
+    standard = mimetypes.MimeTypes(filenames=())
+    types = {ending[1:]: kind for ending, kind in standard.types_map[True].items()}
+    table = F.create_map(*[F.lit(x) for pair in sorted((types | MIME_BESIDES).items()) for x in pair])
+    plain = _col(name)
+    for ending, written_out in standard.suffix_map.items():
+        plain = F.regexp_replace(plain, rf"(?i)(?<=[^/.])\{ending}$", written_out)
+    packed = "|".join(x[1:] for x in standard.encodings_map)
+    plain = F.regexp_replace(plain, rf"(?<=[^/.])\.({packed})$", "")
+    extension = F.lower(F.regexp_extract(plain, r"[^/.]\.([A-Za-z0-9]+)$", 1))
     return F.try_element_at(table, extension)
 
 

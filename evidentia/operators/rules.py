@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,3 +283,90 @@ def scan_messages(
     if "body" not in chosen.columns:
         chosen = chosen.withColumn("body", body_of_parts("parts"))
     return match_rules(chosen, rule)
+
+
+# --- many rules at once ---------------------------------------------------------------
+
+#: Keywords that one pass looks for; a table of rules beyond it is an error, not a slow plan.
+MOST_KEYWORDS = 100_000
+
+RULE_TABLE = "rule_id string, type_position int, event_type string, keyword_position int, keyword string, combined string"
+RULE_MATCHES = "array<struct<rule_id:string,event_type:string,matches:array<struct<key:string,value:array<string>>>>>"
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """Rules as rows of RULE_TABLE, one for each keyword."""
+    rows = [
+        (r.id, i, event_type, j, word, r.combined)
+        for r in rules
+        for i, (event_type, words) in enumerate(r.event_types.items())
+        for j, word in enumerate(words)
+    ]
+    return spark.createDataFrame(rows, RULE_TABLE)
+
+
+class Matcher:
+    """All keywords of all rules in one automaton, which goes over a text once however many there are."""
+
+    def __init__(self, rows: list[tuple]):
+        self.types: dict[str, list[str]] = {}
+        self.combined: dict[str, str] = {}
+        self.owners: dict[str, list[tuple[str, str, int]]] = {}
+        for rule, _, event_type, at, word, combined in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+            types = self.types.setdefault(rule, [])
+            if event_type not in types:
+                types.append(event_type)
+            self.combined[rule] = combined
+            self.owners.setdefault(word, []).append((rule, event_type, at))
+        self.always = self.owners.pop("", [])
+        self._automaton = None
+
+    def automaton(self):
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for word in self.owners:
+                self._automaton.add_word(word, word)
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def __getstate__(self):
+        return self.__dict__ | {"_automaton": None}
+
+    def matches(self, body: str | None) -> list[dict]:
+        """For each rule with a hit: its event type, and its types with the keywords found, in the rule's order."""
+        if body is None:
+            return []
+        found = {word for _, word in self.automaton().iter(body)} if self.owners else set()
+        hits: dict[str, dict[str, list[tuple[int, str]]]] = {}
+        for word, owners in [("", self.always), *((w, self.owners[w]) for w in found)]:
+            for rule, event_type, at in owners:
+                hits.setdefault(rule, {}).setdefault(event_type, []).append((at, word))
+        out = []
+        for rule, by_type in hits.items():
+            types = [t for t in self.types[rule] if t in by_type]
+            every = len(self.types[rule]) > 1 and len(types) == len(self.types[rule])
+            value = [{"key": t, "value": [w for _, w in sorted(by_type[t])]} for t in types]
+            out.append({"rule_id": rule, "event_type": self.combined[rule] if every else types[0], "matches": value})
+        return out
+
+
+def match_rule_table(bodies: DataFrame, table: DataFrame, key: str = "message_id", body: str = "body") -> DataFrame:
+    """Each message and rule with at least one keyword: ``key, rule_id, event_type, matches``, as `match_rules` gives them.
+
+    ``table`` has the columns of RULE_TABLE. It is read once and its size checked; tasks share it as one automaton, so
+    the plan does not grow with the rules, and each body is read once for all of them.
+    """
+    rows = [tuple(r) for r in table.select(*[c.split()[0] for c in RULE_TABLE.split(", ")]).limit(MOST_KEYWORDS + 1).collect()]
+    if len(rows) > MOST_KEYWORDS:
+        raise RuleError(f"a rule table has at most {MOST_KEYWORDS} keywords")
+    shared = bodies.sparkSession.sparkContext.broadcast(Matcher(rows))
+
+    @F.pandas_udf(RULE_MATCHES)
+    def look(texts: pd.Series) -> pd.Series:
+        matcher = shared.value
+        return pd.Series([matcher.matches(x) for x in texts])
+
+    found = bodies.select(key, F.explode(look(F.col(body))).alias("hit"))
+    return found.select(key, "hit.rule_id", "hit.event_type", F.map_from_entries("hit.matches").alias("matches"))

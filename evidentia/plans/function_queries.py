@@ -90,10 +90,11 @@ def _(v: Views):
 
 
 @query("media_types", "F12", """
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'application/pdf' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'text/plain' END AS mime FROM part""")
+SELECT p_partkey, ['image/jpeg', 'application/pdf', NULL, NULL, 'text/plain', 'application/x-tar', 'application/x-tar', NULL, 'image/webp', 'image/svg+xml',
+  'video/quicktime', 'audio/mpeg', 'text/csv', NULL, 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'][(p_partkey % 15 + 1)::INT] AS mime FROM part""")
 def _(v: Views):
-    k = F.col("p_partkey")
-    ending = F.when(k % 5 == 0, ".JPG").when(k % 5 == 1, ".tar.pdf").when(k % 5 == 2, ".unknownext").when(k % 5 == 3, "").otherwise(".txt")
+    endings = [".JPG", ".tar.pdf", ".unknownext", "", ".txt", ".tar.gz", ".TGZ", ".gz", ".webp", ".svgz", ".mov", ".mp3", ".csv.bz2", ".tar.Zz", ".docx"]
+    ending = F.element_at(F.array(*map(F.lit, endings)), (F.col("p_partkey") % 15 + 1).cast("int"))
     return v.table("part").select("p_partkey", X.mime_type(F.concat(F.lit("f "), F.col("p_name"), ending)).alias("mime"))
 
 

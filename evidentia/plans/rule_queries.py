@@ -126,3 +126,28 @@ def _(v: Views):
         F.concat(F.lit('{"a":"'), F.when((n == 1) & (F.col("p_size") % 2 == 1), "other").otherwise(F.col("p_type")), F.lit('","b":1}')).alias("definition_json"),
     )
     return rules.rule_verdicts(stored, current)
+
+
+@query("rule_table_matches", "E3 E4 many rules in one pass", """,
+kw AS (
+  SELECT 'rule-' || (item_id % 20) AS rule_id, 'type-' || (item_id // 20 % 2) AS event_type, min(item_id) AS place, substr(text, 10, 4) AS keyword
+  FROM benchmark GROUP BY 1, 2, 4),
+kinds AS (SELECT rule_id, count(DISTINCT event_type) AS kinds FROM kw GROUP BY 1),
+hit AS (
+  SELECT message_id, rule_id, event_type, string_agg(keyword, ',' ORDER BY place, keyword) AS words
+  FROM d1 JOIN kw ON contains(body, keyword) GROUP BY 1, 2, 3)
+SELECT message_id, rule_id, CASE WHEN count(*) = kinds AND kinds > 1 THEN rule_id || '-all' ELSE min(event_type) END AS event_type,
+  string_agg(event_type || ':' || words, ';' ORDER BY event_type) AS found
+FROM hit JOIN kinds USING (rule_id) GROUP BY message_id, rule_id, kinds""")
+def _(v: Views):
+    item = F.col("item_id")
+    rows = v.table("benchmark").select(
+        F.concat(F.lit("rule-"), item % 20).alias("rule_id"), F.floor(item / 20 % 2).cast("int").alias("type_position"), item,
+        F.substring("text", 10, 4).alias("keyword"),
+    )
+    table = rows.groupBy("rule_id", "type_position", "keyword").agg(F.min("item_id").cast("int").alias("keyword_position"))
+    table = table.withColumns({"event_type": F.concat(F.lit("type-"), "type_position"), "combined": F.concat("rule_id", F.lit("-all"))})
+    found = rules.match_rule_table(v.corpus, table)
+    types = F.array_sort(F.map_keys("matches"))
+    shown = F.transform(types, lambda t: F.concat(t, F.lit(":"), F.array_join(F.element_at("matches", t), ",")))
+    return found.select("message_id", "rule_id", "event_type", F.array_join(shown, ";").alias("found"))

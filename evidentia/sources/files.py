@@ -38,23 +38,33 @@ def scan_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
     )
 
 
-def digest_in_chunks(path: str) -> tuple[str | None, bytes | None]:
-    """sha256 and header of a body that is never in memory as a whole; nulls where the store cannot be opened from Python."""
+def opened(path: str) -> tuple[fs.FileSystem, str] | None:
+    """The store of a path and the path in it, None for a store that Python has no reader for."""
     scheme, authority, bare = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(/.*)", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), bare
     try:
-        if scheme in (None, "file"):
-            store = fs.LocalFileSystem()
-        else:
-            store, _ = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
-            bare = bare if scheme in ("hdfs", "viewfs") else f"{authority}{bare}"
-        digest, header = hashlib.sha256(), None
-        with store.open_input_stream(bare) as body:
-            while chunk := body.read(CHUNK_BYTES):
-                header = chunk[:16] if header is None else header
-                digest.update(chunk)
-        return digest.hexdigest(), header
+        store, _ = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
     except (OSError, ValueError, NotImplementedError):
+        return None
+    return store, bare if scheme in ("hdfs", "viewfs") else f"{authority}{bare}"
+
+
+def digest_in_chunks(path: str) -> tuple[str | None, bytes | None]:
+    """sha256 and header of a body that is never in memory as a whole; nulls only where Python has no reader.
+
+    A body that is there but cannot be read now is an error, so that the task is tried again and no digest is lost.
+    """
+    found = opened(path)
+    if found is None:
         return None, None
+    store, bare = found
+    digest, header = hashlib.sha256(), None
+    with store.open_input_stream(bare) as body:
+        while chunk := body.read(CHUNK_BYTES):
+            header = chunk[:16] if header is None else header
+            digest.update(chunk)
+    return digest.hexdigest(), header
 
 
 def _hash_large(batches):

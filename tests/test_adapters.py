@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -247,3 +248,38 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     after = drained(spark, root, seen.schema, rule)
     assert after.version == before.version
     assert after["monitor_runs"].count() == 1 and after["scan_state"].count() == 3
+
+
+def test_many_rules_equal_each_rule_alone(spark):
+    """Twenty rules with 500 keywords: one pass finds what each rule's own scan finds, with a plan of the same size."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abc报名") for _ in range(draw.randrange(1, 4)))
+    many = [
+        rules.Rule(f"r{i}", "1", {f"t{j}": sorted({word() for _ in range(9)}) for j in range(i % 3 + 1)}, f"all{i}") for i in range(20)
+    ]
+    rows = [(f"m{i}", "".join(draw.choice("abc报名 ") for _ in range(draw.randrange(30)))) for i in range(60)] + [("none", None), ("empty", "")]
+    bodies = spark.createDataFrame(rows, "message_id string, body string")
+    got = {(r.message_id, r.rule_id): (r.event_type, r.matches) for r in rules.match_rule_table(bodies, rules.rule_table(spark, many)).collect()}
+    want = {}
+    for rule in many:
+        for key, body in rows:
+            hits = {t: [w for w in words if body and w in body] for t, words in rule.event_types.items()}
+            hits = {t: found for t, found in hits.items() if found}
+            if hits:
+                every = len(rule.event_types) > 1 and len(hits) == len(rule.event_types)
+                want[key, rule.id] = (rule.combined if every else next(iter(hits)), hits)
+    assert got == want and len(want) > 100
+    one = rules.match_rule_table(bodies, rules.rule_table(spark, many[:1]))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(one) - size(rules.match_rule_table(bodies, rules.rule_table(spark, many)))) < 50
+    plain = {r.message_id: r.event_type for r in rules.match_rules(bodies.withColumn("sent_at", F.current_timestamp()), many[2]).collect() if r.event_type}
+    assert plain == {key: found[0] for (key, rule), found in got.items() if rule == "r2"}
+
+
+def test_rule_table_is_checked(spark, monkeypatch):
+    monkeypatch.setattr(rules, "MOST_KEYWORDS", 2)
+    bodies = spark.createDataFrame([("m", "a")], "message_id string, body string")
+    with pytest.raises(rules.RuleError):
+        rules.match_rule_table(bodies, rules.rule_table(spark, [rules.Rule("r", "1", {"t": ["a", "b", "c"]}, "x")]))
+    always = rules.match_rule_table(bodies, rules.rule_table(spark, [rules.Rule("r", "1", {"t": [""]}, "x")])).first()
+    assert always.matches == {"t": [""]}

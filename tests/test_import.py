@@ -305,6 +305,8 @@ def test_large_bodies_are_hashed_in_chunks(spark, tmp_path):
         assert (rows[name].sha256, bytes(rows[name].header)) == (hashlib.sha256(body).hexdigest(), body[:16])
         assert rows[name].size_bytes == len(body)
     assert files.digest_in_chunks("unknown://store/a") == (None, None)
+    with pytest.raises(OSError):
+        files.digest_in_chunks(str(tmp_path / "gone.bin"))
     columns = "manifest_sha256 string, message_id string, part_index long, source_relative_path string, status string, blob_sha256 string"
     found = [("d", "m1", 0, "a", "present", None), ("d", "m2", 0, "b", "present", "x"), ("d", "m3", 0, "c", "missing", None)]
     none = spark.createDataFrame([], "manifest_sha256 string, code string, message_id string, source_message_id string, part_index long, path string")
