@@ -126,39 +126,41 @@ def verify_generations(receipts: DataFrame, files: DataFrame, required: list[str
     """Receipt inventory against the files present, one row per deviation.
 
     ``receipts``: exploded inventory rows ``generation_id, relative_path, sha256, size_bytes``;
-    ``files``: the scan with the same columns.
+    ``files``: the scan with the same columns, one row a path. ``required`` paths must be in every generation's inventory.
+
+    Both sides are read once and meet in one aggregate by path, folded on the map side: entries, wanted paths and files
+    are rows of one kind each, and what a path's rows say together are its problems.
     """
-    listed = receipts.select(
-        "generation_id", "relative_path", F.col("sha256").alias("_sha"), F.col("size_bytes").alias("_size")
-    )
-    unsafe = listed.filter(unsafe_inventory_path("relative_path")).select(
-        "generation_id", "relative_path", F.lit("unsafe_path").alias("problem")
-    )
     keys = ["generation_id", "relative_path"]
-    # partial aggregation collapses repeats; the values of a repeated path are ambiguous anyway
-    unique = listed.groupBy(*keys).agg(
-        F.count("*").alias("_entries"), F.min("_sha").alias("_sha"), F.min("_size").alias("_size")
-    )
-    duplicate = unique.filter("_entries > 1").select(*keys, F.lit("duplicate_entry").alias("problem"))
-    actual = files.select(*keys, F.col("sha256").alias("_actual"), F.col("size_bytes").alias("_actual_size"))
-    joined = unique.join(actual, keys, "full")
-    deviation = (
-        F.when(F.col("_entries").isNull(), "uninventoried_file")
-        .when(F.col("_actual_size").isNull(), "missing_file")
-        .when(
-            ~(F.col("_sha").eqNullSafe(F.col("_actual")) & F.col("_size").eqNullSafe(F.col("_actual_size"))),
-            "digest_or_size_changed",
-        )
-    )
-    found = joined.select(*keys, deviation.alias("problem")).filter("problem IS NOT NULL")
-    result = unsafe.unionByName(duplicate).unionByName(found)
-    if required:
-        wanted = receipts.select("generation_id").distinct().select(
-            "generation_id", F.explode(F.array(*[F.lit(r) for r in required])).alias("relative_path")
-        )
-        absent = wanted.join(listed.select(*keys), keys, "left_anti")
-        result = result.unionByName(absent.select(*keys, F.lit("required_not_inventoried").alias("problem")))
-    return result
+    none = F.lit(None)
+
+    def row(path: Column, kind: str, sha: Column, size: Column) -> Column:
+        return F.struct(path.alias("relative_path"), F.lit(kind).alias("kind"), sha.cast("string").alias("sha"), size.cast("long").alias("size"))
+
+    entry = row(F.col("relative_path"), "entry", F.col("sha256"), F.col("size_bytes"))
+    wanted = [row(F.lit(r), "wanted", none, none) for r in required or []]
+    listed = receipts.select("generation_id", F.explode(F.array(entry, *wanted)).alias("r")).select("generation_id", "r.*")
+    there = files.select("generation_id", row(F.col("relative_path"), "file", F.col("sha256"), F.col("size_bytes")).alias("r")).select("generation_id", "r.*")
+    of = lambda kind, column: F.min(F.when(F.col("kind") == kind, F.col(column)))
+    # the values of a path that is listed more than once are ambiguous anyway
+    paths = listed.unionByName(there).groupBy(*keys).agg(
+        F.count_if(F.col("kind") == "entry").alias("_entries"), F.count_if(F.col("kind") == "file").alias("_files"),
+        F.count_if(F.col("kind") == "wanted").alias("_wanted"), of("entry", "sha").alias("_sha"), of("entry", "size").alias("_size"),
+        of("file", "sha").alias("_actual"), of("file", "size").alias("_actual_size"),
+    )
+    same = F.col("_sha").eqNullSafe(F.col("_actual")) & F.col("_size").eqNullSafe(F.col("_actual_size"))
+    entries, present = F.col("_entries") > 0, F.col("_files") > 0
+    found = F.concat(
+        F.when(entries & unsafe_inventory_path("relative_path"), F.array_repeat(F.lit("unsafe_path"), F.col("_entries").cast("int"))).otherwise(F.array()),
+        F.array_compact(
+            F.array(
+                F.when(F.col("_entries") > 1, "duplicate_entry"),
+                F.when(present & ~entries, "uninventoried_file").when(entries & ~present, "missing_file").when(entries & ~same, "digest_or_size_changed"),
+                F.when((F.col("_wanted") > 0) & ~entries, "required_not_inventoried"),
+            )
+        ),
+    )
+    return paths.select(*keys, F.explode(found).alias("problem"))
 
 
 def generation_verdicts(receipts: DataFrame, problems: DataFrame) -> DataFrame:

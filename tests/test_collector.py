@@ -179,6 +179,20 @@ def test_generation_tamper(spark):
     }
 
 
+def test_generations_are_verified_with_one_read_of_each_side(spark):
+    columns = "generation_id string, relative_path string, sha256 string, size_bytes long"
+    receipts = spark.createDataFrame([("g", "raw/a", "1", 1), ("g", "raw/a", "1", 1), ("g", "../b", "2", 2), ("g", "../b", "2", 2), ("h", "raw/a", "1", 1)], columns)
+    files = spark.createDataFrame([("g", "raw/a", "1", 1), ("g", "../b", "2", 3), ("h", "raw/a", "1", 1), ("x", "raw/z", "1", 1)], columns)
+    found = S.verify_generations(receipts, files, ["raw/a", "raw/needed"])
+    assert sorted(map(tuple, found.collect())) == sorted([
+        ("g", "../b", "unsafe_path"), ("g", "../b", "unsafe_path"), ("g", "../b", "duplicate_entry"), ("g", "../b", "digest_or_size_changed"),
+        ("g", "raw/a", "duplicate_entry"), ("g", "raw/needed", "required_not_inventoried"), ("h", "raw/needed", "required_not_inventoried"),
+        ("x", "raw/z", "uninventoried_file"),
+    ])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 2
+
+
 def test_sliced_ranks_equal_plain_ranks(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("aaab"), START + timedelta(seconds=rng.randrange(20000))) for i in range(400)]
