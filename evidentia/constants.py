@@ -73,19 +73,19 @@ VIDEO_DETAIL_TYPE = 131074
 RESOURCE_MARKER = b"\x12\x22\x0a\x20"
 RESOURCE_TYPES = ("image", "audio", "video", "file")
 FORMAT_SIGNATURES = (
-    # (format, hex at offset 0, hex at byte 9 or None), tested in this order
-    ("wxgf", "77786766", None),
-    ("jpg", "FFD8FF", None),
-    ("png", "89504E47", None),
-    ("gif", "474946383761", None),
-    ("gif", "474946383961", None),
-    ("webp", "52494646", "57454250"),
-    ("tif", "49492A00", None),
-    ("tif", "4D4D002A", None),
-    ("bmp", "424D", None),
+    # (format, first bytes, bytes from the ninth on or None), tested in this order
+    ("wxgf", b"wxgf", None),
+    ("jpg", b"\xff\xd8\xff", None),
+    ("png", b"\x89PNG", None),
+    ("gif", b"GIF87a", None),
+    ("gif", b"GIF89a", None),
+    ("webp", b"RIFF", b"WEBP"),
+    ("tif", b"II*\x00", None),
+    ("tif", b"MM\x00*", None),
+    ("bmp", b"BM", None),
 )
-SQLITE_HEADER_HEX = "53514C69746520666F726D6174203300"
-MP4_BRAND_HEX = "66747970"
+SQLITE_HEADER = b"SQLite format 3\x00"
+MP4_BRAND = b"ftyp"
 
 # --- fixed values: media types by extension --------------------------------------------
 MIME_BESIDES = {

@@ -5,35 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidentia.constants import FORMAT_SIGNATURES, MP4_BRAND_HEX, RESOURCE_MARKER, SQLITE_HEADER_HEX
+from evidentia.constants import FORMAT_SIGNATURES, MP4_BRAND, RESOURCE_MARKER, SQLITE_HEADER
 from evidentia.functions.ids import _col
 
 _KEY = "[0-9A-Fa-f]{32}"
 
 
-def _head_hex(content, size: int = 16) -> Column:
-    return F.hex(F.substring(_col(content), 1, size))
+def _has(content, expected: bytes, start: int = 1) -> Column:
+    """Whether some bytes, counted from 1, are these."""
+    return F.substring(_col(content), start, len(expected)) == F.lit(bytearray(expected))
 
 
 def detect_format(content) -> Column:
     """Image format by signature, null when unknown."""
-    head = _head_hex(content)
     found = F.lit(None).cast("string")
-    for name, start, inner in reversed(FORMAT_SIGNATURES):
-        hit = head.startswith(start)
-        if inner:
-            hit = hit & (F.substring(head, 17, 8) == inner)
+    for name, first, ninth in reversed(FORMAT_SIGNATURES):
+        hit = _has(content, first)
+        if ninth:
+            hit = hit & _has(content, ninth, 9)
         found = F.when(hit, F.lit(name)).otherwise(found)
     return found
 
 
 def is_sqlite(content) -> Column:
-    return _head_hex(content) == SQLITE_HEADER_HEX
+    return _has(content, SQLITE_HEADER)
 
 
 def is_mp4(content) -> Column:
-    head = _head_hex(content, 12)
-    return (F.length(head) == 24) & (F.substring(head, 9, 8) == MP4_BRAND_HEX)
+    return (F.octet_length(_col(content)) >= 12) & _has(content, MP4_BRAND, 5)
 
 
 def extract_resource_key(content) -> Column:
