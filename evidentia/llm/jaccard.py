@@ -31,6 +31,8 @@ LEAST_BUCKETS = 64
 #: Bits of the smallest sketch, and members of a group that are looked at pair by pair through their sketches.
 BITS = 256
 SMALL = 512
+#: Parts a shingle of the finer sketch.
+FINE = 4
 #: Pairs that one copy of a center's set is compared in, and rounds of centers before groups are compared in blocks.
 TOGETHER = 256
 ROUNDS = 3
@@ -97,13 +99,13 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """For each part of the domain, whether an odd number of shingles falls into it; about as many parts as shingles.
+def sketch(h: np.ndarray, fine: int = 1) -> bytes:
+    """For each part of the domain, whether an odd number of shingles falls into it; about ``fine`` parts a shingle.
 
     Where two sets' bits differ, at least one shingle is in one of them only, so there are no fewer such shingles than
-    differing bits. A sketch takes about a fiftieth of its set.
+    differing bits. With ``fine`` 1, a sketch takes about a fiftieth of its set.
     """
-    bits = max(BITS, 1 << (len(h) * 3 // 4).bit_length())
+    bits = max(BITS, 1 << (len(h) * fine * 3 // 4).bit_length())
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -115,21 +117,22 @@ def folded(bits: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """The id, size, identity and sketch of each document's set."""
+    """The id, size, identity and two sketches of each document's set."""
 
     def describe(batches):
         for batch in batches:
-            sizes, ids, sketches = [], [], []
+            sizes, ids, sketches, fine = [], [], [], []
             for body in batch.column(1).to_pylist():
                 h = shingles(body, n)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
                 sketches.append(sketch(h) if len(h) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.record_batch(columns, names=[key, "n_shingles", "node", "sketch"])
+                fine.append(sketch(h, FINE) if len(h) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.record_batch(columns, names=[key, "n_shingles", "node", "sketch", "fine"])
 
     rows = docs.select(F.col(key), whole(text))
-    return rows.mapInArrow(describe, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, sketch binary")
+    return rows.mapInArrow(describe, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, sketch binary, fine binary")
 
 
 def packed(place: np.ndarray, node: np.ndarray, sig: np.ndarray | None, buckets: int) -> Iterator[tuple]:
@@ -312,6 +315,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     most = rows.agg(F.sum(F.col("n_shingles") + 8)).first()[0] or 0
     shared = stage(gathered(signed(docs, text, n, percent, max(LEAST_BUCKETS, most // BUCKET))), "sets-shared")
     groups = stage(plausible(shared, stage(sizes, "sets-sizes"), percent), "sets-groups")
+    # what is left is looked at again through sketches of several parts a shingle
+    left = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("fine").alias("sketch"))
+    left = stage(left, "sets-sizes")
+    groups = stage(plausible(groups.select("sig", "node"), left, percent), "sets-groups")
     small, large = by_class(groups)
     links = stage(across(small, wanted_sets(docs, small.select("node"), text, n), percent), "sets-links")
     if not large.isEmpty():
@@ -325,7 +332,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
             fresh = stage(linked(pairs, sets, percent), "sets-links")
             near = fresh if near is None else near.unionByName(fresh)
             known = stage(components(near), "sets-components")
-        more = stage(across(dealt(large, known), sets, percent), "sets-links")
+        # only members that may be similar to one of another component are still to be compared
+        apart = stage(plausible(members_by_component(large, known).select("sig", "node", "component"), left, percent), "sets-apart")
+        more = stage(across(dealt(apart, known), sets, percent), "sets-links")
         links = links.unionByName(more) if near is None else links.unionByName(near).unionByName(more)
     found = stage(components(links), "sets-components")
     joined = rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
@@ -388,6 +397,7 @@ def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     Two sets differ by at least as many shingles as their sketches differ by bits. Where that is more than similar sets
     of their sizes may differ by, they are not similar, so no link is lost. Groups of over SMALL members stay as they are.
+    Where ``shared`` has a component, members of one component do not count for each other.
     """
 
     def near(members: list[tuple]) -> list[int]:
@@ -402,7 +412,8 @@ def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             n = np.array([members[i][1] for i in both])
             apart = np.stack([np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) for y in x[: len(own)]])
             good = (apart * (100 + percent) <= (100 - percent) * (n[: len(own), None] + n)) & (n[: len(own), None] * 100 >= n * percent) & (n * 100 >= n[: len(own), None] * percent)
-            np.fill_diagonal(good, False)
+            component = np.array([members[i][3] for i in both])
+            good &= component[: len(own), None] != component
             keep[own] |= good.any(axis=1)
             keep[both] |= good.any(axis=0)
         return np.flatnonzero(keep).tolist()
@@ -415,7 +426,7 @@ def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["sig", "node", "n"])
 
         for batch in batches:
-            for sig, *member in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for sig, *member in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if sig != now:
                     out += [(now, *members[i][:2]) for i in near(members)] if len(members) > 1 else []
                     now, members = sig, []
@@ -428,7 +439,8 @@ def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     counts = shared.groupBy("sig").agg(F.count("*").alias("members"))
     large = counts.filter(F.col("members") > SMALL)
     big = shared.join(large.select("sig"), "sig", "left_semi").join(sizes.select("node", "n"), "node").select("sig", "node", "n")
-    rest = shared.join(large.select("sig"), "sig", "left_anti").join(sizes, "node").select("sig", "node", "n", "sketch")
+    component = F.col("component") if "component" in shared.columns else F.col("node").alias("component")
+    rest = shared.join(large.select("sig"), "sig", "left_anti").join(sizes, "node").select("sig", "node", "n", "sketch", component)
     rest = rest.repartition("sig").sortWithinPartitions("sig")
     return rest.mapInArrow(look, "sig long, node long, n long").unionByName(big)
 
