@@ -28,9 +28,11 @@ WIDE = 6
 #: Signatures of one bucket in all, and the least number of buckets.
 BUCKET = 4_000_000
 LEAST_BUCKETS = 64
-#: Bits of the smallest sketch, and members of a group that are looked at pair by pair through their sketches.
+#: Bits of the smallest sketch, and members of a group that are looked at in one task, pair by pair through their sketches.
 BITS = 256
-SMALL = 512
+SMALL = 8192
+#: Most bytes of the first sketch.
+FIRST = 256
 #: Parts a shingle of the finer sketch.
 FINE = 4
 #: Pairs that one copy of a center's set is compared in, and rounds of centers before groups are compared in blocks.
@@ -103,9 +105,10 @@ def sketch(h: np.ndarray, fine: int = 1) -> bytes:
     """For each part of the domain, whether an odd number of shingles falls into it; about ``fine`` parts a shingle.
 
     Where two sets' bits differ, at least one shingle is in one of them only, so there are no fewer such shingles than
-    differing bits. With ``fine`` 1, a sketch takes about a fiftieth of its set.
+    differing bits. With ``fine`` 1, a sketch takes about a fiftieth of its set, and FIRST bytes at most.
     """
     bits = max(BITS, 1 << (len(h) * fine * 3 // 4).bit_length())
+    bits = min(bits, 8 * FIRST) if fine == 1 else bits
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -330,6 +333,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
                 break
             seen = pairs if seen is None else seen.unionByName(pairs)
             fresh = stage(linked(pairs, sets, percent), "sets-links")
+            if fresh.isEmpty():
+                break
             near = fresh if near is None else near.unionByName(fresh)
             known = stage(components(near), "sets-components")
         # only members that may be similar to one of another component are still to be compared
@@ -393,30 +398,46 @@ def gathered(signatures: DataFrame) -> DataFrame:
 
 
 def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(sig, node, n): members of groups without those that no other member of the group can be similar to.
+    """(sig, node, n): the groups, cut to members that other members may be similar to, directly or over others.
 
     Two sets differ by at least as many shingles as their sketches differ by bits. Where that is more than similar sets
-    of their sizes may differ by, they are not similar, so no link is lost. Groups of over SMALL members stay as they are.
-    Where ``shared`` has a component, members of one component do not count for each other.
+    of their sizes may differ by, they are not similar, so no link is lost. What is left of several groups is named by
+    its members, so that it is there once. A group of over SMALL members is cut into blocks, and each block meets every
+    other one in a group of its own, so that no task holds a large group. Where ``shared`` has a component, members of
+    one component do not count for each other.
     """
 
-    def near(members: list[tuple]) -> list[int]:
+    def near(members: list[tuple]) -> list[tuple]:
         width = np.array([len(m[2]) for m in members])
-        keep = np.zeros(len(members), dtype=bool)
+        size = np.array([m[1] for m in members])
+        part_of = np.array([m[3] for m in members])
+        label = np.arange(len(members))
         for w in np.unique(width).tolist():
             # similar sets have sketches of one size, or of two that follow each other
             own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
             both = np.concatenate((own, twice))
-            bits = [np.frombuffer(b"".join([members[i][2] for i in x]), dtype=np.uint8).reshape(len(x), k * w) for k, x in ((1, own), (2, twice))]
+            bits = [np.frombuffer(b"".join([members[i][2] for i in x]), dtype=np.uint64).reshape(len(x), k * w // 8) for k, x in ((1, own), (2, twice))]
             x = np.concatenate((bits[0], folded(bits[1])))
-            n = np.array([members[i][1] for i in both])
-            apart = np.stack([np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) for y in x[: len(own)]])
-            good = (apart * (100 + percent) <= (100 - percent) * (n[: len(own), None] + n)) & (n[: len(own), None] * 100 >= n * percent) & (n * 100 >= n[: len(own), None] * percent)
-            component = np.array([members[i][3] for i in both])
-            good &= component[: len(own), None] != component
-            keep[own] |= good.any(axis=1)
-            keep[both] |= good.any(axis=0)
-        return np.flatnonzero(keep).tolist()
+            order = np.argsort(size[both], kind="stable")
+            x, both, single = x[order], both[order], order < len(own)
+            n, component = size[both], part_of[both]
+            # sizes that a similar set may have are a stretch of the sorted ones
+            first, last = np.searchsorted(n * 100, n * percent), np.searchsorted(n * percent, n * 100, "right")
+            for i in np.flatnonzero(single).tolist():
+                a, b = int(first[i]), int(last[i])
+                apart = np.bitwise_count(x[a:b] ^ x[i]).sum(axis=1, dtype=np.int64)
+                good = (apart * (100 + percent) <= (100 - percent) * (n[i] + n[a:b])) & (component[a:b] != component[i])
+                met = np.unique(label[both[a:b][good]])
+                met = met[met != label[both[i]]]
+                if len(met):
+                    label[np.isin(label, met)] = label[both[i]]
+        order = np.argsort(label, kind="stable")
+        starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+        counts = np.diff(np.append(starts, len(order)))
+        nodes = np.array([m[0] for m in members], dtype=np.int64)[order]
+        name = mixed(np.add.reduceat(mixed(nodes.view(np.uint64)), starts) + counts.astype(np.uint64) * BASE).view(np.int64)
+        several = np.repeat(counts > 1, counts)
+        return list(zip(np.repeat(name, counts)[several].tolist(), nodes[several].tolist(), size[order][several].tolist(), strict=True))
 
     def look(batches):
         now, members = None, []
@@ -426,27 +447,36 @@ def plausible(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["sig", "node", "n"])
 
         for batch in batches:
-            for sig, *member in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if sig != now:
-                    out += [(now, *members[i][:2]) for i in near(members)] if len(members) > 1 else []
-                    now, members = sig, []
+            for sig, a, b, *member in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (sig, a, b) != now:
+                    out += near(members) if len(members) > 1 else []
+                    now, members = (sig, a, b), []
                 members.append(member)
             yield batch_of(out)
             out = []
         if len(members) > 1:
-            yield batch_of([(now, *members[i][:2]) for i in near(members)])
+            yield batch_of(near(members))
 
-    counts = shared.groupBy("sig").agg(F.count("*").alias("members"))
-    large = counts.filter(F.col("members") > SMALL)
-    big = shared.join(large.select("sig"), "sig", "left_semi").join(sizes.select("node", "n"), "node").select("sig", "node", "n")
+    large = shared.groupBy("sig").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("cut")).filter("cut > 1")
     component = F.col("component") if "component" in shared.columns else F.col("node").alias("component")
-    rest = shared.join(large.select("sig"), "sig", "left_anti").join(sizes, "node").select("sig", "node", "n", "sketch", component)
-    rest = rest.repartition("sig").sortWithinPartitions("sig")
-    return rest.mapInArrow(look, "sig long, node long, n long").unionByName(big)
+    rows = shared.join(sizes, "node").select("sig", "node", "n", "sketch", component)
+    if large.isEmpty():
+        rows = rows.select("sig", F.lit(0).alias("a"), F.lit(0).alias("b"), "node", "n", "sketch", "component")
+    else:
+        rows = rows.join(large, "sig", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+        own = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
+        met = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda x: F.struct(F.greatest(x, own).alias("a"), F.least(x, own).alias("b")))
+        rows = rows.withColumn("at", F.explode(met)).select("sig", "at.a", "at.b", "node", "n", "sketch", "component")
+    rows = rows.repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
+    return rows.mapInArrow(look, "sig long, node long, n long").distinct()
 
 
 def by_class(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (sig, a, b, node, component) of the classes that fit a block, and the groups of the other classes."""
+    """Members (sig, a, b, node, component) of the classes that fit a block, and the groups of the other classes.
+
+    The groups (sig, node, n, company) of a class become one where its sets then travel less: a set is sent once for
+    each of its groups, or once for each block of its class. A node's company is the sum of the sizes of its groups.
+    """
     least = groups.groupBy("sig").agg(F.min("node").alias("v"))
     classes = components(groups.join(least, "sig").select(F.col("node").alias("u"), "v"))
     sizes = groups.groupBy("node").agg(F.max("n").alias("n"))
@@ -454,8 +484,14 @@ def by_class(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = classes.groupBy("class").agg((blocks(F.count("*"), F.sum("n")) == 1).alias("fits"))
     classes = stage(classes.join(fits, "class"), "sets-classes")
     small = classes.filter("fits").select(F.col("class").alias("sig"), F.lit(0).alias("a"), F.lit(0).alias("b"), "node", F.col("node").alias("component"))
-    large = groups.join(classes.filter("not fits").select("node"), "node", "left_semi")
-    return small, stage(large.select("sig", "node", "n"), "sets-large")
+    large = stage(groups.join(classes.filter("not fits").select("node", "class"), "node"), "sets-large")
+    met = large.join(large.groupBy("sig").agg(F.count("*").alias("size")), "sig")
+    sets = stage(met.groupBy("class", "node").agg(F.max("n").alias("n"), F.sum("size").alias("company"), F.count("*").alias("times")), "sets-large")
+    cost = sets.groupBy("class").agg((blocks(F.count("*"), F.sum("n")) * F.count("*") < F.sum("times")).alias("whole"))
+    cost = stage(cost, "sets-classes")
+    whole = sets.join(cost.filter("whole"), "class").select(F.xxhash64(F.lit("class"), "class").alias("sig"), "node", "n", "company")
+    rest = large.join(cost.filter("not whole"), "class").join(sets.select("node", "company"), "node")
+    return small, stage(whole.unionByName(rest.select("sig", "node", "n", "company")), "sets-large")
 
 
 def blocks(count: Column, n: Column) -> Column:
@@ -470,7 +506,7 @@ def close(percent: int) -> Column:
 
 def members_by_component(groups: DataFrame, found: DataFrame) -> DataFrame:
     """``groups`` with the component of each node, itself where ``found`` has none."""
-    return groups.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+    return groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def stars(groups: DataFrame, found: DataFrame, seen: DataFrame | None, percent: int) -> DataFrame:
@@ -481,9 +517,7 @@ def stars(groups: DataFrame, found: DataFrame, seen: DataFrame | None, percent:
     other. Of several centers a member takes the one with most company that it was not compared with before, so a round
     sends each set once, and most links of large groups are found in the first.
     """
-    sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
-    company = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("company"))
-    member = stage(members_by_component(groups, found).join(stage(company, "sets-company"), "node"), "sets-company")
+    member = stage(members_by_component(groups, found), "sets-company")
     parts = member.groupBy("sig", "component").agg(F.count("*").alias("count"), F.max(F.struct("company", "node", "n")).alias("best"))
     center = parts.groupBy("sig").agg(F.max(F.struct("count", "best", "component")).alias("top"))
     center = center.select("sig", F.col("top.best.node").alias("v"), F.col("top.best.n").alias("m"), F.col("top.component").alias("of"), F.col("top.best.company").alias("c"))
