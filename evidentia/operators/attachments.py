@@ -79,9 +79,11 @@ def pick_variant(messages: DataFrame, files: DataFrame, time_zone: str = "UTC")
     month, variant, path``.
     """
     order = F.when(F.col("variant") == "full", 0).when(F.col("variant") == "high", 1).otherwise(2)
-    nested = _by_month(files.withColumn("_order", order), ["chat_md5", "resource_key"], ["variant", "path"], "_order")
+    # one digest travels in place of both keys
+    key = lambda chat: F.unhex(F.sha2(F.concat(F.length(chat).cast("string"), F.lit("/"), chat, F.col("resource_key")), 256)).alias("_key")
+    nested = _by_month(files.select(key(F.col("chat_md5")), "month", "variant", "path", order.alias("_order")), ["_key"], ["variant", "path"], "_order")
     wanted = month_columns("create_time", (-1, 0, 1), time_zone)
-    joined = messages.withColumn("chat_md5", F.md5("chat")).join(nested, ["chat_md5", "resource_key"], "left")
+    joined = messages.withColumn("_key", key(F.md5("chat"))).join(nested, "_key", "left")
     pick = F.coalesce(*_first_month(wanted), "_earliest")
     return joined.withColumn("_pick", pick).select(
         *messages.columns, F.col("_pick.variant").alias("variant"), F.col("_pick.path").alias("body_path")
