@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ from evidentia.session import stage
 
 #: Entries of a worker's word cache; a word beyond it is tokenised each time it comes.
 CACHE = 400_000
+#: Where the tokenizer cuts an ASCII word in lower case before it merges anything.
+PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,7 +35,8 @@ def word_encoder(path: str):
     """A function from texts (bytes) to their token ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space before it merges anything, so a text's ids are those of its words in turn; each
-    worker keeps the ids of the words that it has met.
+    worker keeps the ids of the words that it has met. Words of ASCII are cut as the tokenizer cuts them (PARTS), so that
+    a new word is mostly one of known parts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -39,24 +44,33 @@ def word_encoder(path: str):
     model = Tokenizer.from_file(path)
     known: dict[bytes, bytes] = {}
 
+    parts: dict[bytes, bytes] = {}
+
     def ids_of(words: list[bytes]) -> list[bytes]:
-        encoded = model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
+        cut = [PARTS.findall(w.lower()) if w.isascii() else [w] for w in words]
+        new = list({p for part in cut for p in part if p not in parts})
+        encoded = model.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
+        fresh = dict(zip(new, [array("I", x.ids).tobytes() for x in encoded], strict=True))
+        if len(parts) + len(fresh) <= CACHE:
+            parts.update(fresh)
+            return [b"".join(map(parts.__getitem__, part)) for part in cut]
+        return [b"".join([fresh[p] if p in fresh else parts[p] for p in part]) for part in cut]
 
     def encode(bodies: list[bytes]) -> Iterator[bytes]:
         for body in bodies:
             words = body.split()
-            new = [w for w in set(words) if w not in known]
-            if not new:
-                yield b"".join([known[w] for w in words])
+            try:
+                yield b"".join(map(known.__getitem__, words))
                 continue
+            except KeyError:
+                new = [w for w in set(words) if w not in known]
             room = CACHE - len(known)
             fresh = dict(zip(new, ids_of(new), strict=True))
             known.update(list(fresh.items())[:room] if room > 0 else ())
             if len(fresh) > room:
                 yield b"".join([fresh[w] if w in fresh else known[w] for w in words])
             else:
-                yield b"".join([known[w] for w in words])
+                yield b"".join(map(known.__getitem__, words))
 
     return encode
 

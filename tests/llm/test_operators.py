@@ -139,6 +139,38 @@ def test_quality(docs, empty, spark):
     assert quality.scored(["a"], none) == [0.5]
 
 
+def test_jaccard_prunes_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(20)]
+    sets[7] = np.unique(np.append(sets[3][1:], np.uint64(5)))
+    sizes = spark.createDataFrame([(i, len(s), bytearray(jaccard.sketch(s))) for i, s in enumerate(sets)], "node long, n long, sketch binary")
+    shared = spark.createDataFrame([(sig, i) for sig in (1, 2) for i in range(20)], "sig long, node long")
+    left = jaccard.plausible(shared, sizes, 85).collect()
+    # what is left of both groups is one group of the two similar sets
+    assert sorted(r["node"] for r in left) == [3, 7] and len({r["sig"] for r in left}) == 1
+
+
+def test_packing_encodes_new_words_by_known_parts(monkeypatch):
+    import tokenizers
+
+    asked, model = [], tokenizers.Tokenizer.from_file(packing.public_path())
+
+    class Listener:
+        from_file = staticmethod(lambda path: Listener())
+
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return model.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Listener)
+    encode = packing.word_encoder.__wrapped__(packing.public_path())
+    bodies = [b"the House, it's red", b"(THE) house's 7red.", "h\u00e9 \x1cthe''s".encode()]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in encode(bodies)]
+    assert ids == [model.encode(x.decode(), add_special_tokens=False).ids for x in bodies]
+    assert asked.count("the") == 1 and "house's" not in asked and "House," not in asked
+
+
 def test_packing(docs, empty, rows):
     from tokenizers import Tokenizer
 
