@@ -500,7 +500,7 @@ def _(v: Views):
 SELECT probe_id, state, effective_token, consecutive_failures, transition FROM ps""")
 def _(v: Views):
     out, checkpoint = scratch_path(v.spark, "hearts"), scratch_path(v.spark, "checkpoint")
-    _replay(v, v.probes, "probes", "observed_at", lambda stream: heartbeats.stream_heartbeats(stream, out, checkpoint))
+    _replay(v, stage(v.probes, "probes"), "probes", "observed_at", lambda stream: heartbeats.stream_heartbeats(stream, out, checkpoint))
     schema = "probe_id long, state string, effective_token string, consecutive_failures long, transition boolean, batch long"
     return jobs.read_batches(v.spark, f"{out}/states", schema).drop("batch")
 
@@ -518,7 +518,7 @@ def _(v: Views):
     def start(stream):
         return heartbeats.stream_heartbeats(stream, out, checkpoint)
 
-    _replay(v, v.probes, "probes", "observed_at", start, again=F.col("probe_id") % 7 == 0)
+    _replay(v, stage(v.probes, "probes"), "probes", "observed_at", start, again=F.col("probe_id") % 7 == 0)
     stale = jobs.read_batches(v.spark, f"{out}/stale", "detector_id string, stale_at timestamp, batch long")
     none = F.lit(None).cast("string")
     silent = stale.select(F.lit("stale").alias("kind"), "detector_id", F.unix_micros("stale_at").alias("at_us"), none.alias("state"), none.alias("token"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,27 +23,22 @@ STATE = (
     "probe_id long, stale_after_seconds double, silent boolean"
 )
 STATE_NAMES = [field.split()[0] for field in STATE.split(", ")]
-#: What the machine adds to a probe's own columns. ``kind`` is state, late or stale.
+#: What the machine adds to a probe's own columns. ``kind`` is state, late or stale; ``newest`` marks a detector's last state of a batch.
 ADDED = {
     "kind": "string", "at_us": "long", "effective_token": "string", "previous_token": "string", "is_first": "boolean", "state": "string",
     "consecutive_failures": "long", "observed_us": "long", "changed_us": "long", "transition": "boolean",
+    "newest": "boolean",
 }
+#: Rows of a frame that a processor hands back at once.
+CHUNK = 10_000
+#: Seconds of silence that fit an instant in microseconds.
+LONGEST = 2.0**42
 
 
 class LostState(RuntimeError):
     """Results exist but the checkpoint that carries their state does not: going on would start from a baseline."""
 
 
-def derived_state(explicit: str | None, token: str | None, before: str | None) -> str:
-    if explicit is not None:
-        return explicit
-    if token is None:
-        return "OK_UNCHANGED"
-    if before is None:
-        return "BASELINE_ESTABLISHED"
-    return "OK_UNCHANGED" if before == token else "CHANGE_OBSERVED"
-
-
 class HeartbeatProcessor(StatefulProcessor):
     """Probes of one detector in order of instant and id; what is not after the kept heartbeat is late and changes nothing.
 
@@ -58,28 +54,20 @@ class HeartbeatProcessor(StatefulProcessor):
         self.kept = handle.getValueState("heartbeat", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).astype(object)
-        frame = frame.where(frame.notna(), None).sort_values(["at_us", "probe_id"], kind="stable")
         now = dict(zip(STATE_NAMES, self.kept.get(), strict=True)) if self.kept.exists() else None
-        out = []
-        for probe in frame.to_dict("records"):
-            if now is not None and (probe["at_us"], probe["probe_id"]) <= (now["at_us"], now["probe_id"]):
-                out.append(probe | {"kind": "late"})
-                continue
-            if now is not None and not now["silent"] and probe["at_us"] > deadline(now):
-                out.append(silence(key, now))
-            now, row = step(now, probe)
-            out.append(row)
+        now, told = advance(key, now, pd.concat(list(rows), ignore_index=True))
         self.kept.update(tuple(now[c] for c in STATE_NAMES))
         self._set_timer(now)
-        yield self._frame(out)
+        for frame in told:
+            for start in range(0, len(frame), CHUNK):
+                yield self._frame(frame.iloc[start : start + CHUNK])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = dict(zip(STATE_NAMES, self.kept.get(), strict=True))
         if now["silent"]:
             return
         self.kept.update(tuple((now | {"silent": True})[c] for c in STATE_NAMES))
-        yield self._frame([silence(key, now)])
+        yield self._frame(pd.DataFrame([silence(key, now)]))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.astype(object).where(initialState.notna(), None).to_dict("records")[0]
@@ -96,8 +84,9 @@ class HeartbeatProcessor(StatefulProcessor):
             # the first millisecond after the deadline
             self.handle.registerTimer(deadline(now) // 1000 + 1)
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in self.columns})
+    def _frame(self, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.Series([None] * len(rows), dtype=object)
+        frame = pd.DataFrame({c: rows[c].reset_index(drop=True) if c in rows else none for c in self.columns})
         for c in ("at_us", "consecutive_failures", "observed_us", "changed_us", "probe_id"):
             frame[c] = frame[c].astype("Int64")
         return frame
@@ -114,32 +103,93 @@ def silence(key, now: dict) -> dict:
     }
 
 
-def step(now: dict | None, probe: dict) -> tuple[dict, dict]:
-    """The state after a probe, and the probe with what the machine says of it."""
-    explicit = probe["probe_state"]
-    before = now["token"] if now else None
-    carries = probe["source_token"] is None and explicit == "RETRYABLE_ERROR"
-    token = before if carries else probe["source_token"]
-    state = derived_state(explicit, token, before)
-    failures = (now["failures"] if now else 0) + 1 if state in K.FAILURE_STATES else 0
-    observed = probe["at_us"] if probe["source_observed"] else None
-    changed = probe["at_us"] if state == "CHANGE_OBSERVED" else None
-    moved = now is None or (state, token, probe["error_code"]) != (now["state"], before, now["error_code"])
+def advance(key, now: dict | None, probes: pd.DataFrame) -> tuple[dict, list[pd.DataFrame]]:
+    """The state after a detector's probes of a batch, and frames of the probes and silences with what the machine says of them.
+
+    The probes are taken in order of instant and id, whole columns at a time: what a probe needs of those before it is a
+    running maximum, of a position or of an instant.
+    """
+    at, ids = probes["at_us"].astype("Int64").to_numpy("int64"), known_ids(probes["probe_id"])
+    order = np.lexsort((ids, at))
+    probes, at, ids = probes.iloc[order], at[order], ids[order]
+    late = np.append(False, (at[1:] == at[:-1]) & (ids[1:] == ids[:-1]))
+    if now is not None:
+        late |= (at < now["at_us"]) | ((at == now["at_us"]) & (ids <= known_ids(pd.Series([now["probe_id"]]))[0]))
+    told = [probes[late].assign(kind="late")]
+    probes, at = probes[~late], at[~late]
+    if not len(probes):
+        return now, told
+    before = now or dict.fromkeys(STATE_NAMES)
+    position = np.arange(len(probes))
+
+    explicit, error = objects(probes["probe_state"]), objects(probes["error_code"])
+    own = objects(probes["source_token"])
+    set_at = np.maximum.accumulate(np.where(pd.isna(own) & (explicit == "RETRYABLE_ERROR"), -1, position))
+    token = np.where(set_at >= 0, own[set_at], before["token"])
+    previous = shifted(token, before["token"])
+    derived = np.where(token == previous, "OK_UNCHANGED", np.where(pd.isna(previous), "BASELINE_ESTABLISHED", "CHANGE_OBSERVED"))
+    derived = np.where(pd.isna(token), "OK_UNCHANGED", derived).astype(object)
+    state = np.where(pd.isna(explicit), derived, explicit)
+
+    well = np.maximum.accumulate(np.where(pd.Series(state).isin(K.FAILURE_STATES), -1, position))
+    failures = position - well + np.where(well < 0, before["failures"] or 0, 0)
+    observed = newest(at, probes["source_observed"].eq(True).to_numpy(bool), before["observed_us"])
+    changed = newest(at, state == "CHANGE_OBSERVED", before["changed_us"])
+    moved = (state != shifted(state, before["state"])) | (token != previous) | (error != shifted(error, before["error_code"]))
+    first = (position == 0) & (now is None)
+
+    stale_after = probes["stale_after_seconds"].to_numpy("float64")
+    if not (np.abs(stale_after) < LONGEST).all():
+        raise ValueError(f"a probe of {key[0]} has no usable stale_after_seconds")
+    # the same rounding as deadline()
+    ends = at + (stale_after * 1_000_000).astype("int64")
+    said = {"effective_token": token, "state": state, "consecutive_failures": failures}
+    told.append(
+        probes.assign(
+            kind="state", previous_token=previous, is_first=first, observed_us=observed, changed_us=changed,
+            transition=moved | first, newest=position == len(probes) - 1, **said,
+        )
+    )
+    if now is not None and not now["silent"] and at[0] > deadline(now):
+        told.append(pd.DataFrame([silence(key, now)]))
+    gap = np.flatnonzero(at[1:] > ends[:-1])
+    silent = pd.DataFrame({name: values[gap] for name, values in said.items()})
+    told.append(silent.assign(**{KEY: key[0], "kind": "stale", "at_us": ends[gap], "probe_id": probes["probe_id"].to_numpy()[gap]}))
+
+    last = probes.iloc[-1]
     after = {
-        "token": token, "state": state, "error_code": probe["error_code"], "failures": failures,
-        "observed_us": newest(now, "observed_us", observed), "changed_us": newest(now, "changed_us", changed),
-        "at_us": probe["at_us"], "probe_id": probe["probe_id"], "stale_after_seconds": probe["stale_after_seconds"], "silent": False,
+        "token": token[-1], "state": state[-1], "error_code": error[-1], "failures": int(failures[-1]),
+        "observed_us": whole(observed[-1]), "changed_us": whole(changed[-1]), "at_us": int(at[-1]), "probe_id": whole(last["probe_id"]),
+        "stale_after_seconds": float(last["stale_after_seconds"]), "silent": False,
     }
-    row = probe | {
-        "kind": "state", "effective_token": token, "previous_token": before, "is_first": now is None, "state": state, "consecutive_failures": failures,
-        "observed_us": after["observed_us"], "changed_us": after["changed_us"], "transition": moved,
-    }
-    return after, row
+    return after, told
+
+
+def known_ids(ids: pd.Series) -> np.ndarray:
+    """Ids to sort and compare by; a missing one comes first, as in the batch operator."""
+    return ids.astype("Int64").fillna(np.iinfo("int64").min).to_numpy("int64")
+
+
+def objects(values: pd.Series) -> np.ndarray:
+    return values.astype(object).where(values.notna(), None).to_numpy()
+
+
+def shifted(values: np.ndarray, head) -> np.ndarray:
+    """For each row the value of the row before it."""
+    moved = np.roll(values, 1)
+    moved[0] = head
+    return moved
+
+
+def newest(at: np.ndarray, holds: np.ndarray, before: int | None) -> pd.arrays.IntegerArray:
+    """For each row the newest instant so far at which ``holds``."""
+    none = np.iinfo("int64").min
+    found = np.maximum(np.maximum.accumulate(np.where(holds, at, none)), none if before is None else before)
+    return pd.arrays.IntegerArray(found, found == none)
 
 
-def newest(now: dict | None, name: str, value: int | None) -> int | None:
-    known = [x for x in ((now or {}).get(name), value) if x is not None]
-    return max(known) if known else None
+def whole(value) -> int | None:
+    return None if pd.isna(value) else int(value)
 
 
 def readable(spark: SparkSession, path: str) -> bool:
@@ -192,7 +242,7 @@ def stream_heartbeats(
         batch.write.mode("overwrite").parquet(batch_path(f"{out}/rows", number))
         rows = session.read.schema(batch.schema).parquet(batch_path(f"{out}/rows", number))
         states = states_of(rows)
-        hearts = collector.current_heartbeats(states)
+        hearts = collector.current_heartbeats(states_of(rows.filter("newest")))
         made = {
             "states": states, "heartbeats": hearts, "late": rows.filter("kind = 'late'").select(KEY, "probe_id", "observed_at"),
             "stale": rows.filter("kind = 'stale'").select(KEY, "probe_id", F.timestamp_micros("at_us").alias("stale_at"), "state"),
@@ -206,7 +256,7 @@ def stream_heartbeats(
 def states_of(rows: DataFrame) -> DataFrame:
     """Rows of kind state with the columns of the batch operator."""
     instants = {"source_observed_at": F.timestamp_micros("observed_us"), "last_change_at": F.timestamp_micros("changed_us")}
-    return collector.with_backoff(rows.filter("kind = 'state'").withColumns(instants).drop("kind", "at_us", "observed_us", "changed_us"))
+    return collector.with_backoff(rows.filter("kind = 'state'").withColumns(instants).drop("kind", "at_us", "observed_us", "changed_us", "newest"))
 
 
 def heartbeats_now(spark: SparkSession, out: str) -> DataFrame:
