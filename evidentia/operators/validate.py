@@ -74,6 +74,11 @@ def _array(variant: str | Column, name: str) -> Column:
     return F.coalesce(F.try_variant_get(variant, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
 
 
+def _is_array(variant: str | Column, name: str) -> Column:
+    """Whether a field holds a list; asked without the schema of what is in it."""
+    return F.try_variant_get(variant, f"$.{name}", "array<variant>").isNotNull()
+
+
 def _not_text(variant: str | Column, name: str) -> Column:
     value = _string(variant, name)
     return value.isNull() | (F.trim(value) == "")
@@ -130,7 +135,7 @@ def _message_problems(message: Column, where: Column) -> Column:
             "timestamp_not_instant": _not_text(message, "timestamp") | _bad_instant(message, "timestamp"),
             "sender_name_not_string": ~_kind(message, "sender_name").isin("STRING", "ABSENT"),
             "direction_unsupported": _bad_enum(message, "direction", DIRECTIONS),
-            "parts_not_array": (_kind(message, "parts") != "ARRAY") | (F.size(_array(message, "parts")) == 0),
+            "parts_not_array": ~_is_array(message, "parts") | (F.size(_array(message, "parts")) == 0),
         },
     )
     return F.concat(own, _each(_array(message, "parts"), where, ".parts", _part_problems))
@@ -149,9 +154,9 @@ def _conversation_problems(conversation: Column, where: Column) -> Column:
             "title_missing": _not_text(conversation, "title"),
             "type_unsupported": _bad_enum(conversation, "type", CONVERSATION_TYPES),
             "last_activity_not_instant": _bad_optional(conversation, "last_activity", "STRING") | _bad_instant(conversation, "last_activity"),
-            "participants_not_array": ~_kind(conversation, "participants").isin("ARRAY", "ABSENT"),
+            "participants_not_array": _field(conversation, "participants").isNotNull() & ~_is_array(conversation, "participants"),
             "participants_complete_not_boolean": ~_kind(conversation, "participants_complete").isin("BOOLEAN", "ABSENT"),
-            "messages_not_array": _kind(conversation, "messages") != "ARRAY",
+            "messages_not_array": ~_is_array(conversation, "messages"),
         },
     )
     members = _each(_array(conversation, "participants"), where, ".participants", _participant_problems)

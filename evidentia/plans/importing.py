@@ -70,13 +70,17 @@ def import_documents(
         runs = empty_table(spark, "import_runs")
     # the one pass over the documents: their JSON is parsed and checked, everything below reads the variants
     valid, problems = split_valid(stage(checked_documents(documents, version), "documents"))
-    fresh, repeated = M.split_new_manifests(valid, runs)
-    sources_in = stage(source_rows(fresh), "sources")
+    fresh, _ = M.split_new_manifests(valid, runs)
+    # copies of a document are told by their few columns where nothing else of it is wanted
+    fresh_sources, repeated = M.split_new_manifests(source_rows(valid), runs)
+    sources_in = stage(fresh_sources, "sources")
     occurrences = stage(conversation_rows(fresh), "conversations")
     participants = stage(participant_rows(occurrences), "participants")
     conversations = conversation_raw(occurrences)
     stored_messages = _with(store, "messages", sources_in.select("source_id"))
-    labelled = stage(M.label_messages(message_rows(occurrences, participants), stored_messages), "messages")
+    # both sides of the labels read these rows, whose texts and digests are made once
+    rows = stage(message_rows(occurrences, participants), "message-rows")
+    labelled = stage(M.label_messages(rows, stored_messages), "messages")
     inserted = labelled.filter("outcome = 'inserted'").drop("outcome", "conflict")
     conflicts = M.message_conflicts(labelled)
 

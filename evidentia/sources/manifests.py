@@ -91,8 +91,13 @@ def conversation_rows(documents: DataFrame) -> DataFrame:
 
 
 def conversation_raw(conversations: DataFrame) -> DataFrame:
-    """Drop the variant, keep everything but the messages as canonical text."""
-    raw = F.coalesce(json_keys_without(F.to_json("conversation"), ["messages"]), F.lit("{}"))
+    """Drop the variant, keep everything but the messages as canonical text.
+
+    The messages, nearly all of the variant, are left out before anything becomes text.
+    """
+    fields = F.try_variant_get("conversation", "$", "map<string,variant>")
+    kept = F.to_json(F.map_filter(fields, lambda key, _: key != "messages"))
+    raw = F.coalesce(json_keys_without(kept, ["messages"]), F.lit("{}"))
     return conversations.withColumn("raw_json", raw).drop("conversation")
 
 
